@@ -65,3 +65,23 @@ def gapless(df: DataFrame, key: str, spread: Column, order: list[str], name: str
     numbered = dealt.withColumn("_at", F.row_number().over(inside) - 1)
     out = numbered.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")), "left")
     return out.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_key", "_b", "_before", "_at", "_bucket")
+
+
+def task(module: str, name: str, *args):
+    """A function for mapInArrow or applyInArrow that calls `module.name(batches, *args)`.
+
+    The package's folder goes with it, so that workers started elsewhere can import it too.
+    """
+    import manifoldry
+
+    root = manifoldry.__path__[0].rpartition("/")[0]
+
+    def run(batches):
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.insert(0, root)
+        return getattr(importlib.import_module(module), name)(batches, *args)
+
+    return run
