@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from manifoldry.llm import bpe, exact_dedup, packing, quality_rules, sharding, token_counts, url_filter
+from manifoldry.llm import bpe, exact_dedup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_token_counts": token_counts.op2,
     "op3_url_filter": url_filter.op3,
     "op4_quality_rules": quality_rules.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_bpe": bpe.op7,
     "op8_packing": packing.op8,

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: All that the pre-token pattern may take for white space, and a little more.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: Bytes of text in a block.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=4)
