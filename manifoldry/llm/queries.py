@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from manifoldry.llm import bpe, exact_dedup, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from manifoldry.llm import bpe, exact_dedup, minhash, packing, quality_rules, sharding, substring, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_minhash": minhash.op1,
     "op2_token_counts": token_counts.op2,
     "op3_url_filter": url_filter.op3,
     "op4_quality_rules": quality_rules.op4,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6,
     "op7_bpe": bpe.op7,
     "op8_packing": packing.op8,
+    "op9_substring": substring.op9,
     "op10_sharding": sharding.op10,
 }
 ORACLES = {
