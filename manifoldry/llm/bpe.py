@@ -19,10 +19,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manifoldry.llm import tokens
-from manifoldry.llm.common import buckets, materialise, read, task
+from manifoldry.llm.common import bucketed, buckets, read, task
 
 ROWS = "block string, bucket int, doc_ids array<long>, counts array<int>, payload binary"
-_POSITIONS = -1
+#: The bucket of a block's positions; words have buckets from 0.
+POSITIONS = -1
+BLOCK_BYTES = 8_000_000
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays, byte by byte of their values, compressed."""
+    parts = []
+    for x in arrays:
+        parts += [np.uint64(len(x)).tobytes(), np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.decompress(data), 0, []
+    while at < len(data):
+        n = int(np.frombuffer(data, np.uint64, 1, at)[0])
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at + 8).reshape(4, n).T).view("<u4").ravel())
+        at += 8 + 4 * n
+    return out
 
 
 def _pre_tokens(distinct: list[str], joined: int, pattern: str) -> tuple[list[str], np.ndarray]:
@@ -40,32 +59,29 @@ def explode(batches, pattern: str, n_buckets: int):
     from pyspark import TaskContext
 
     partition, number = TaskContext.get().partitionId(), 0
-    for block in tokens.blocks(batches):
+    for block in tokens.blocks(batches, BLOCK_BYTES):
         distinct, code, starts, joined = tokens.parts(block.column("text"))
         words, counts = _pre_tokens(distinct, joined, pattern)
         coded = pa.array(words, pa.large_string()).dictionary_encode()
-        word = coded.indices.to_numpy().astype(np.int64)
         begin = np.cumsum(counts) - counts
-        seen = tokens.spread(word, begin, counts, code)
+        seen = tokens.spread(coded.indices.to_numpy().astype(np.int64), begin, counts, code)
         per_doc = np.add.reduceat(np.append(counts[code], 0), starts[:-1]) if len(starts) > 1 else np.array([], np.int64)
         texts = [w.encode() for w in coded.dictionary.to_pylist()]
         # Frequent words get small numbers, whose bytes compress well.
         often = np.argsort(-np.bincount(seen, minlength=len(texts)), kind="stable")
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
-        seen = rank[seen].astype("<u4")
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(texts[i]) % n_buckets for i in often), np.int64, len(often))
-        order = np.argsort(bucket, kind="stable")  # words lie by bucket, and within by rank
-        planes = seen.view(np.uint8).reshape(-1, 4).T.tobytes()
-        press = zstandard.ZstdCompressor(level=3).compress
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(texts[i]) % n_buckets for i in often.tolist()), np.int64, len(often))
+        order = np.argsort(bucket, kind="stable")  # a bucket's words lie by rank
         name = f"{partition}-{number}"
         number += 1
-        rows = [(name, _POSITIONS, block.column("doc_id").to_pylist(), per_doc.tolist(), press(planes + order.astype("<u4").tobytes()))]
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        rows = [(name, POSITIONS, block.column("doc_id").to_pylist(), per_doc.tolist(), pack(rank[seen], bucket))]
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1)).tolist()
         for b in range(n_buckets):
-            mine = [texts[often[i]] for i in order[cuts[b] : cuts[b + 1]]]
+            mine = [texts[i] for i in often[order[cuts[b] : cuts[b + 1]]].tolist()]
             if mine:
-                rows.append((name, b, [], [len(w) for w in mine], press(b"".join(mine))))
+                lengths = np.fromiter(map(len, mine), np.int64, len(mine))
+                rows.append((name, b, [], [], pack(lengths, np.frombuffer(b"".join(mine), np.uint8))))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)]
         yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "doc_ids", "counts", "payload"])
 
@@ -73,26 +89,27 @@ def explode(batches, pattern: str, n_buckets: int):
 def encode_bucket(table: pa.Table, path: str, pattern: str) -> pa.Table:
     """All words of a bucket, of every block: each distinct one is encoded once; answers go by block."""
     coder = tokens.Coder(path, pattern)
-    lists = []
-    for counts, payload in zip(table.column("counts").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        data, words, at = zstandard.decompress(payload), [], 0
-        for n in counts:
-            words.append(data[at : at + n])
-            at += n
-        lists.append(words)
-    flat = pa.array([w for x in lists for w in x], pa.large_binary()).dictionary_encode()
-    distinct = [w.decode() for w in flat.dictionary.to_pylist()]
-    ids, start, length = coder.encode_parts(distinct, 0)
-    code = flat.indices.to_numpy().astype(np.int64)
-    counts, payload, at = [], [], 0
-    press = zstandard.ZstdCompressor(level=3).compress
-    for x in lists:
-        mine = code[at : at + len(x)]
-        at += len(x)
-        counts.append(length[mine].astype(np.int32))
-        payload.append(press(tokens.spread(ids, start, length, mine).astype("<u4").tobytes()))
-    none = pa.array([[]] * len(lists), pa.list_(pa.int64()))
-    return pa.table([table.column("block"), table.column("bucket"), none, pa.array(counts, pa.list_(pa.int32())), pa.array(payload, pa.binary())], ["block", "bucket", "doc_ids", "counts", "payload"])
+    sizes, lists = [], []
+    for payload in table.column("payload").to_pylist():
+        lengths, letters = unpack(payload)
+        stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        sizes.append(len(lengths))
+        lists.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(letters.astype(np.uint8).tobytes())]))
+    flat = pa.concat_arrays(lists).cast(pa.large_string()).dictionary_encode()
+    # A word that a space begins and nothing white ends can stand before the next such word.
+    alone = np.asarray(pc.invert(pc.match_substring_regex(flat.dictionary, f"^ [^{tokens.WHITE}]+$")))
+    order = np.argsort(alone, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ids, start, length = coder.encode_parts(flat.dictionary.take(pa.array(order)).to_pylist(), int((~alone).sum()))
+    code = place[flat.indices.to_numpy()]
+    payload, at = [], 0
+    for n in sizes:
+        mine = code[at : at + n]
+        at += n
+        payload.append(pack(length[mine], tokens.spread(ids, start, length, mine)))
+    none = [[]] * len(sizes)
+    return pa.table([table.column("block"), table.column("bucket"), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int32())), pa.array(payload, pa.binary())], ["block", "bucket", "doc_ids", "counts", "payload"])
 
 
 def decode_words(ids: np.ndarray, counts: np.ndarray, path: str) -> list[bytes]:
@@ -108,25 +125,21 @@ def decode_words(ids: np.ndarray, counts: np.ndarray, path: str) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
-def assemble(table: pa.Table, path: str) -> pa.Table:
+def assemble(table: pa.Table, answers: pa.Table, path: str) -> pa.Table:
     """The documents of one block, from its positions and the ids of its words."""
-    table = table.sort_by("bucket")  # positions first, then words as they were dealt
-    rows = table.to_pylist()
-    head, rest = rows[0], rows[1:]
-    ids = np.concatenate([np.frombuffer(zstandard.decompress(r["payload"]), "<u4") for r in rest]) if rest else np.array([], np.uint32)
-    counts = np.concatenate([np.array(r["counts"], np.int64) for r in rest]) if rest else np.array([], np.int64)
-    n_words, per_doc = len(counts), head["counts"]
-    n = sum(per_doc)
-    data = zstandard.decompress(head["payload"])
-    seen = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
-    order = np.frombuffer(data, "<u4", n_words, 4 * n)
-    place = np.empty(n_words, np.int64)
-    place[order] = np.arange(n_words)
-    stops = np.cumsum(counts)
-    said = [" ".join(map(str, ids[a:b].tolist())) for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True)]
-    said, decoded = [x.encode() for x in said], decode_words(ids, counts, path)
+    head = table.to_pylist()[0]
+    told = [unpack(x) for x in answers.sort_by("bucket").column("payload").to_pylist()]
+    counts = np.concatenate([x[0] for x in told] or [[]]).astype(np.int64)
+    ids = np.concatenate([x[1] for x in told] or [[]]).astype(np.int64)
+    seen, bucket = unpack(head["payload"])
+    place = np.empty(len(bucket), np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    stops = np.cumsum(counts).tolist()
+    names = list(map(str, ids.tolist()))
+    said = [" ".join(names[a:b]).encode() for a, b in zip([0, *stops], stops, strict=False)]
+    decoded = decode_words(ids, counts, path)
     at, n_tokens, hashes, texts = 0, [], [], []
-    for k in per_doc:
+    for k in head["counts"]:
         mine = place[seen[at : at + k]]
         at += k
         n_tokens.append(int(counts[mine].sum()))
@@ -142,12 +155,14 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text is empty and has no ids. Repeated rows give repeated results; a null doc_id stays null. Other columns
     are ignored. Empty input: empty result.
     """
-    n_buckets = buckets(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(__name__, "explode", pattern, n_buckets), ROWS)
-    rows = materialise(rows, "pre-tokens")
-    encoded = rows.where(F.col("bucket") != _POSITIONS).groupBy("bucket").applyInArrow(task(__name__, "encode_bucket", path, pattern), ROWS)
-    both = rows.where(F.col("bucket") == _POSITIONS).unionByName(encoded)
-    return both.groupBy("block").applyInArrow(task(__name__, "assemble", path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    n = buckets(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(__name__, "explode", pattern, n), ROWS)
+    # Positions, the bulk, stay where they are written; only words and their ids move.
+    rows = bucketed(rows, "block", n, "pre-tokens")
+    words, positions = rows.where(F.col("bucket") != POSITIONS), rows.where(F.col("bucket") == POSITIONS)
+    encoded = words.groupBy("bucket").applyInArrow(task(__name__, "encode_bucket", path, pattern), ROWS)
+    both = positions.groupBy("block").cogroup(encoded.groupBy("block"))
+    return both.applyInArrow(task(__name__, "assemble", path, two=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

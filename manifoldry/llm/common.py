@@ -35,6 +35,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """`df` written as a table in `n` buckets by `key`, so that grouping by `key` later needs no shuffle of it."""
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", new_path(df.sparkSession, label)).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once, even if a lambda inside `body` uses it for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -67,8 +74,8 @@ def gapless(df: DataFrame, key: str, spread: Column, order: list[str], name: str
     return out.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_key", "_b", "_before", "_at", "_bucket")
 
 
-def task(module: str, name: str, *args):
-    """A function for mapInArrow or applyInArrow that calls `module.name(batches, *args)`.
+def task(module: str, name: str, *args, two: bool = False):
+    """A function for mapInArrow or applyInArrow that calls `module.name(batches, *args)`, with two tables for a cogroup.
 
     The package's folder goes with it, so that workers started elsewhere can import it too.
     """
@@ -76,12 +83,18 @@ def task(module: str, name: str, *args):
 
     root = manifoldry.__path__[0].rpartition("/")[0]
 
-    def run(batches):
+    def call(*given):
         import importlib
         import sys
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+        return getattr(importlib.import_module(module), name)(*given, *args)
+
+    def run(batches):
+        return call(batches)
+
+    def run_two(left, right):
+        return call(left, right)
 
-    return run
+    return run_two if two else run

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: All that the pre-token pattern may take for white space, and a little more.
-_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: Bytes of text in a block.
 BLOCK_BYTES = 4_000_000
 
@@ -63,7 +63,7 @@ def parts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, int]:
     The first `n` distinct parts, n the last value, can be encoded as one string joined without a gap; others only one by one.
     """
     texts = _texts(column)
-    whole = pc.match_substring_regex(texts, f"[{_WHITE}] ")
+    whole = pc.match_substring_regex(texts, f"[{WHITE}] ")
     split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
     starts = split.offsets.to_numpy()
     starts = (starts - starts[0]).astype(np.int64)
@@ -71,7 +71,7 @@ def parts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, int]:
     # The first part of a text has no space before it; a text that cannot be split is its own only part.
     heads = pc.if_else(whole, texts, flat.take(pa.array(starts[:-1])))
     coded, head = flat.dictionary_encode(), heads.dictionary_encode()
-    bare = pc.match_substring_regex(coded.dictionary, f"^$|^[{_WHITE}]|[{_WHITE}]$")
+    bare = pc.match_substring_regex(coded.dictionary, f"^$|^[{WHITE}]|[{WHITE}]$")
     order = np.argsort(np.asarray(bare), kind="stable")
     moved = np.empty(len(order), np.int64)
     moved[order] = np.arange(len(order))
