@@ -31,8 +31,8 @@ DEPTHS = (3, 4, 5, 6, 8, 10, 13, 16, 20, 25, 32)
 REGION = 1024
 #: Regions of at most so many documents are compared in place, larger ones with their full sets.
 SMALL = 32
-#: Of 128 low bytes, so many must agree: 4.5 standard deviations below the mean at a similarity of 0.85.
-AGREE = 90
+#: Candidates whose values agree less often than this many standard deviations below what a link's would are none.
+DEVIATIONS = 4.5
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, VALUES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -47,10 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after another, and where each text's words start and the last stop."""
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, A-Z lower-cased, of all texts, one after another, and where each text's words start and the last stop."""
     texts = pc.fill_null(column.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    for white in "\t\n\x0b\x0c\r":
+        texts = pc.replace_substring(texts, white, " ")
+    split = pc.split_pattern(pc.ascii_lower(texts), " ")
     coded = split.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
@@ -130,7 +132,13 @@ def tree_keys(batches, depth: int, given: bool):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, pa.array(tree.astype(np.int32))], ["key", "node", "tree"])
 
 
-def near_pairs(batches):
+def least_agreement(percent: int) -> int:
+    """Of VALUES low bytes, how many must agree at least."""
+    p = percent / 100
+    return int(VALUES * (p + (1 - p) / 256) - DEVIATIONS * (VALUES * p * (1 - p)) ** 0.5)
+
+
+def near_pairs(batches, least: int):
     """Pairs of nodes with one key whose signatures agree enough; rows come sorted by key, SMALL of a key at most."""
     held: pa.RecordBatch | None = None
 
@@ -142,7 +150,7 @@ def near_pairs(batches):
             at = np.flatnonzero(key[lag:] == key[:-lag])
             if not len(at):
                 break
-            good = at[(low[at] == low[at + lag]).sum(axis=1) >= AGREE]
+            good = at[(low[at] == low[at + lag]).sum(axis=1) >= least]
             out_a.append(node[good])
             out_b.append(node[good + lag])
         a, b = (np.concatenate(x) if x else np.array([], np.int64) for x in (out_a, out_b))
@@ -249,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     small = regions.where(F.col("size") <= SMALL).select("key", "node").join(nodes, "node").select("key", "node", "sig")
     small = small.repartition("key").sortWithinPartitions("key", "node")
-    pairs = materialise(small.mapInArrow(task(__name__, "near_pairs"), "a long, b long").distinct(), "pairs")
+    pairs = materialise(small.mapInArrow(task(__name__, "near_pairs", least_agreement(percent)), "a long, b long").distinct(), "pairs")
     large = regions.where(F.col("size") > SMALL).select("key", "node").distinct()
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
