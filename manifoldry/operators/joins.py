@@ -104,8 +104,8 @@ def kmer_profile(df: DataFrame, key: str, seq: str, k: int = 5) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, seq: str, k: int = 5, threshold: float = 0.95) -> DataFrame:
     """Pairs with sum(min) / sum(max) of their k-mer profiles over the threshold.
 
-    Prefix filter: with k-mers ordered rare first, profiles that are this alike share a k-mer among those that hold the
-    first 1 - t / (2 - t) ... of either profile's mass, so only those k-mers make candidates.
+    Prefix filter: both profiles sum to 1, so the minimum must hold 2t / (1 + t). With k-mers ordered rare first, pairs
+    that are this alike share a k-mer before 1 - 2t / (1 + t) of either profile's mass is used up; only those make candidates.
     """
     p = kmer_profile(df, key, seq, k)
     common = p.groupBy("kmer").agg(F.count("*").alias("df"))

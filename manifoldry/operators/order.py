@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manifoldry.sources.store import settled
+
 
 def _ranged(df: DataFrame, *order: str) -> DataFrame:
     """`df` in range partitions with their number; an order is settled once, so the rows are kept."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()
+    return settled(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranged")
 
 
 def _offsets(dealt: DataFrame, total: Column) -> DataFrame:
