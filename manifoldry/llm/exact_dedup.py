@@ -52,9 +52,10 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """`docs` without later copies, columns unchanged. Rows that repeat a kept doc_id with the same text stay as one."""
-    gone = decisions(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """`docs` without later copies, columns unchanged. Rows that repeat a kept doc_id with the same text all stay."""
+    gone = decisions(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.sha2(normalised(F.col("text")), 256) == F.col("_sha"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -276,8 +276,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each component, columns unchanged."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """`docs` with one document of each component, columns unchanged. Rows of a doc_id stay or go together: they go if none is kept."""
+    judged = near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
