@@ -194,3 +194,23 @@ def test_cut_keeps_the_rest():
     assert substring.cut_spans("a b  c d\te", [(1, 3)]) == "a d\te"
     assert substring.cut_spans(" a b", [(0, 2)]) == " "
     assert substring.cut_spans("a b c ", [(2, 3)]) == "a b  "
+
+
+def test_passages_meet_all_earlier_holders(spark):
+    """Documents that share a passage, after older ones that hold only parts of it."""
+    rng = random.Random(12)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    rows, need = [], {}
+    for g in range(24):
+        b = words(60)
+        part = b[10:50] if g % 2 else [w if i % 12 else "edit" for i, w in enumerate(b)]
+        rows += [(10 * g + i, " ".join(words(60) + x + words(60))) for i, x in enumerate((part, part[5:35], b, b))]
+        need[10 * g + 3] = 10 * g + 2
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    missed = [d for d, source in need.items() if source not in got[d].sources or not any(s.start <= 60 and s.stop >= 120 for s in got[d].spans)]
+    assert not missed
+    assert {d for d, r in got.items() if r.n_spans} == set(need)
+
+
+def test_shared_run():
+    assert substring.shared_run(46, 80) == 24
