@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from manifoldry.llm import exact_dedup, minhash, packing, substring, toxicity
+from manifoldry.llm import exact_dedup, minhash, packing, substring, tokens, toxicity
 from manifoldry.llm.common import materialise, read
 
 
@@ -37,7 +37,7 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

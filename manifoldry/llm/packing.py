@@ -23,11 +23,11 @@ END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(batches, path: str, pattern: str, end: int, capacity: int):
+def cut(batches, path: str, pattern: str, end: int, capacity: int, added: dict[str, int]):
     """Pieces of the texts' ids; all but a document's first piece have `capacity` tokens."""
     coder = tokens.Coder(path, pattern)
     for block in tokens.blocks(batches):
-        ids, starts = coder.encode(block.column("text"), end)
+        ids, starts = coder.encode_with(block.column("text"), end, added)
         n = np.diff(starts)
         count = -(-n // capacity)
         doc = np.repeat(np.arange(len(n)), count)
@@ -121,14 +121,14 @@ def assign(batches, rows: np.ndarray):
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:5], "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str, pattern: str, end: int = END, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, end: int = END, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the one id `end`. Repeated rows are packed each by itself; a null doc_id stays null. Other
+    `added` are tokens with ids of their own wherever they stand in a text. A null or empty text is the one id `end`. Repeated rows are packed each by itself; a null doc_id stays null. Other
     columns are ignored. Empty input: empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = materialise(rows.mapInArrow(task(__name__, "cut", path, pattern, end, capacity), PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(task(__name__, "cut", path, pattern, end, capacity, added or {}), PIECES), "pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     shapes = runs(plan({r["length"]: r["count"] for r in histogram}, capacity))
     numbered = gapless(pieces, "length", F.struct("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], "number")
@@ -139,4 +139,4 @@ def pack(docs: DataFrame, path: str, pattern: str, end: int = END, capacity: int
 def op8(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))

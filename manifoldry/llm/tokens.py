@@ -7,6 +7,8 @@ of a block are dictionary-encoded by Arrow, each distinct part is encoded once,
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +43,15 @@ def token_lengths(path: str) -> np.ndarray:
     return out
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a `tokenizers` file, which are matched in the text as it is."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes of its column text, and at least a row."""
     for batch in batches:
@@ -117,3 +128,20 @@ class Coder:
         text_ends = starts[1:] + np.arange(1, len(starts))
         n = np.concatenate([[0], np.cumsum(length[code])])
         return out, np.concatenate([[0], n[text_ends]]).astype(np.int64)
+
+    def encode_with(self, column: pa.Array, end: int, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, with the ids of `added` where these stand in the texts; what is between them is encoded by itself."""
+        texts = _texts(column)
+        token = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
+        if not added or not pc.any(pc.match_substring_regex(texts, token)).as_py():
+            return self.encode(column, end)
+        # Each stretch is encoded with `end` after it, which then gives way to the added token that stood there.
+        stretches, after, last = [], [], []
+        for text in texts.to_pylist():
+            cut = re.split(f"({token})", text)
+            stretches += cut[::2]
+            after += [*(added[t] for t in cut[1::2]), end]
+            last.append(len(stretches))
+        ids, starts = self.encode(pa.array(stretches, pa.large_string()), end)
+        ids[starts[1:] - 1] = after
+        return ids, starts[[0, *last]]

@@ -114,3 +114,24 @@ def test_counts_of_an_open_end(spark, tmp_path):
     (tmp_path / "empty.bin").write_bytes(b"")
     rows = token_counts.count_tokens(spark, str(tmp_path), block=4).orderBy("doc_no").collect()
     assert [(r.start, r.n_tokens, r.ended) for r in rows] == [(0, 2, True), (3, 0, True), (4, 3, False)]
+
+
+def test_packing_codes_added_tokens_as_the_library_does(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    added = tokens.added_tokens(P.path("byte_bpe_50k.json"))
+    texts = [*ODD[:19], "a <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|> b", "x<|endoftext|>", " <|endoftext|>\n\n y  ", "<|endoftext|", "<|endoftext|> word" * 3000]
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert want[19] == [64, 220, 50256, 2124, 0]
+    rows = packing.pack(frame(spark, texts), PATH, P.PATTERN, added=added).collect()
+    total = Counter()
+    for r in rows:
+        part = want[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+        total[r.doc_id] += r.length
+    assert [total[i] for i in range(len(texts))] == [len(w) for w in want]
+
+
+def test_registered_packing_codes_added_tokens(spark, tmp_path):
+    frame(spark, ["a <|endoftext|> x"]).write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = packing.op8(spark, str(tmp_path)).collect()
+    assert (r.length, r.ids_crc32) == (5, zlib.crc32(np.array([64, 220, 50256, 2124, 0], "<u4").tobytes()))
