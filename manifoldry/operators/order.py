@@ -32,6 +32,14 @@ def with_index(df: DataFrame, *order: str, start: int = 0, name: str = "index")
     return out.withColumn(name, (F.col("_before") + F.col("_i") + start).cast("long")).drop("_p", "_i", "_before")
 
 
+def running_total(df: DataFrame, value: str, *order: str, name: str = "total") -> DataFrame:
+    """The sum of `value` over all rows before, by `order`: 0 for the first. Ties come in no fixed order."""
+    dealt = _ranged(df, *order)
+    local = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn("_l", local).join(F.broadcast(_offsets(dealt, F.sum(value))), "_p")
+    return out.withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
+
+
 def avg_rank(df: DataFrame, col: str, group: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Average ranks; ties share the mean. Distinct values are counted first: before + (c + 1) / 2."""
     group = group or []

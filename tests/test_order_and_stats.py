@@ -23,6 +23,7 @@ def test_average_ranks(spark, group):
 def test_index_and_even_sample(spark):
     df = spark.range(100).selectExpr("99 - id AS v")
     assert all(r["index"] == r.v for r in order.with_index(df, "v").collect())
+    assert all(r.total == r.v * (r.v - 1) / 2 for r in order.running_total(df, "v", "v").collect())
     assert sorted(r.v for r in order.even_sample(df, 10, "v").collect()) == list(range(0, 100, 10))
 
 
