@@ -1,9 +1,14 @@
 """Near-duplicate documents by an LSH forest of min-hash signatures.
 
 A document is the set of its 5-word shingles. Each tree of the forest orders the documents by another sequence of
-min-hash values; documents with a common prefix are neighbours there. How long the prefix must be adapts to the region:
-where more documents share it than a region may hold, the prefix grows. Neighbours are candidates; every link is
-confirmed on full sets, and linked documents are grouped.
+min-hash values; documents with a common prefix of DEPTH values are a region, and neighbours if it is small. Where it is
+larger than a region may be, its documents are sorted by their further values, and those next to each other, which have
+the longest common prefixes, are neighbours: how deep a prefix counts adapts to what is there. Neighbours are candidates;
+every link is confirmed on full sets, and linked documents are grouped.
+
+Neighbours in a sorted order are not all that is similar. Documents of regions that were too large are therefore joined
+once more, exactly, for links between groups not yet linked (`_across`). What remains to chance is whether two documents
+share a prefix of DEPTH values in one of the trees.
 
 Documents with equal sets are one node from the start, so exact copies cost nothing later on.
 """
@@ -14,21 +19,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.llm import tokens
 from manifoldry.llm.common import materialise, read, task
 from manifoldry.llm.components import components
+from manifoldry.operators.order import running_total
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 VALUES = 128
 TREES = 12
-#: Prefix lengths of regions, and the most documents of a region; beyond, the next length is taken.
-DEPTHS = (3, 4, 5, 6, 8, 10, 13, 16, 20, 25, 32)
-REGION = 1024
+#: Values of a region's common prefix, and of the order within a region that is too large.
+DEPTH, SORTED = 3, 32
+#: The most that a region may weigh. A document weighs 1, or more if it has over SHINGLES shingles.
+REGION, SHINGLES = 1024, 4096
+#: Documents that hold one rare shingle, and members of a group, that meet as pairs.
+FEW = 32
 #: Regions of at most so many documents are compared in place, larger ones with their full sets.
 SMALL = 32
 #: Candidates whose values agree less often than this many standard deviations below what a link's would are none.
@@ -114,22 +123,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, VALUES)
 
 
-def tree_keys(batches, depth: int, given: bool):
-    """(key, node, tree): a hash of tree, depth and the first `depth` values of the tree's order.
+def _values(sig: np.ndarray, tree: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The values from `lo` to `hi` of each row's order, which is that of its tree."""
+    at = (tree[:, None] * 10 + np.arange(lo, hi)) % VALUES
+    return np.take_along_axis(sig, at, axis=1)
 
-    All trees, or with `given` those that the row names.
-    """
+
+def tree_keys(batches):
+    """(key, node, tree): a hash of the tree and the first DEPTH values of its order."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = _matrix(batch.column("sig")), batch.column("node")
-        trees = [batch.column("tree").to_numpy()] if given else [np.full(len(sig), t) for t in range(TREES)]
-        for tree in trees:
-            key = mix(tree.astype(np.uint64) * np.uint64(1000) + np.uint64(depth))
-            for j in range(depth):
-                value = sig[np.arange(len(sig)), (tree * 10 + j) % VALUES].astype(np.uint64)
-                key = mix(key * _K[0] + value)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, pa.array(tree.astype(np.int32))], ["key", "node", "tree"])
+        sig = _matrix(batch.column("sig"))
+        for t in range(TREES):
+            tree = np.full(len(sig), t)
+            key = mix(tree.astype(np.uint64) * np.uint64(1000) + np.uint64(DEPTH))
+            for value in _values(sig, tree, 0, DEPTH).T:
+                key = mix(key * _K[0] + value.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(n) for n in ("node", "n_shingles")), pa.array(tree.astype(np.int32))], ["key", "node", "n_shingles", "tree"])
+
+
+def tree_orders(batches):
+    """(key, node, n_shingles, order): the further values of each row's tree, so that bytes sort as values do."""
+    for batch in batches:
+        values = _values(_matrix(batch.column("sig")), batch.column("tree").to_numpy(), DEPTH, SORTED) if batch.num_rows else np.zeros((0, SORTED - DEPTH))
+        order = [row.tobytes() for row in values.astype(">u2")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "node", "n_shingles")), pa.array(order, pa.binary())], ["key", "node", "n_shingles", "order"])
 
 
 def least_agreement(percent: int) -> int:
@@ -175,7 +194,8 @@ def near_pairs(batches, least: int):
 def sets_of(batches):
     for block in tokens.blocks(batches):
         sets = [s.astype("<u8").tobytes() for s in shingle_sets(block.column("text"))]
-        yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
+        n = pa.array([len(s) // 8 for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([block.column("doc_id"), n, pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "n_shingles", "shingles"])
 
 
 def confirm(batches, percent: int):
@@ -192,9 +212,13 @@ def confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def forest(table: pa.Table, percent: int) -> pa.Table:
-    """Links of one region that connect all that its links connect, at most one less than its nodes."""
-    node = table.column("node").to_numpy()
+def links_in(table: pa.Table, percent: int) -> pa.Table:
+    """Links that connect all that the links of a region connect and that is not connected yet, at most one less than its nodes.
+
+    `component` says what is connected already, `asks` which nodes to compare with all others.
+    """
+    node, asks = table.column("node").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+    _, group = np.unique(table.column("component").to_numpy(), return_inverse=True)
     sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
     n = np.array([len(s) for s in sets], np.int64)
     m = len(sets)
@@ -204,9 +228,10 @@ def forest(table: pa.Table, percent: int) -> pa.Table:
     holders, per = doc[order], np.bincount(shingle)
     begin = np.cumsum(per) - per
     first = np.cumsum(n) - n
-    group = np.arange(m)
     a, b = [], []
-    for i in range(m):
+    for i in np.flatnonzero(asks).tolist():
+        if (group == group[i]).all():
+            break
         mine = shingle[first[i] : first[i] + n[i]]
         both = np.bincount(tokens.spread(holders, begin, per, mine), minlength=m)
         linked = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (both > 0))
@@ -217,27 +242,94 @@ def forest(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
-    """(key, node, size): every region of 2 to REGION nodes that the forest's adaptive depth makes."""
-    keys = nodes.select("node", "sig").mapInArrow(task(__name__, "tree_keys", DEPTHS[0], False), "key long, node long, tree int")
-    found: DataFrame | None = None
-    for level, _ in enumerate(DEPTHS):
-        keys = materialise(keys, "tree-keys")
-        sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        placed = materialise(keys.join(sizes, "key"), "regions")
-        fits = placed.where(F.col("size") <= REGION).select("key", "node", "size")
-        found = fits if found is None else found.unionByName(fits)
-        over = placed.where(F.col("size") > REGION)
-        if over.isEmpty():
-            return found
-        if level + 1 < len(DEPTHS):
-            deeper = over.select("node", "tree").join(nodes.select("node", "sig"), "node").select("node", "sig", "tree")
-            keys = deeper.mapInArrow(task(__name__, "tree_keys", DEPTHS[level + 1], True), "key long, node long, tree int")
-    # All values of the longest prefix agree: such nodes are alike throughout. Two dealings into parts of a region's
-    # size; parts of one overlap all parts of the other, so what is linked stays connected.
-    parts = F.ceil(F.col("size") * 2 / REGION)
-    dealt = over.select("node", "size", F.explode(F.array(*[F.xxhash64(F.col("key"), F.lit(s), F.pmod(F.xxhash64("node", F.lit(s)), parts)) for s in ("a", "b")])).alias("key"))
-    return found.unionByName(dealt.select("key", "node", F.lit(REGION).cast("long").alias("size")))
+def shingle_rows(batches):
+    """(shingle, node, component, n_shingles) for each shingle of each set."""
+    for batch in tokens.blocks(batches, 8_000_000, "shingles"):
+        n = pc.divide(pc.binary_length(batch.column("shingles")), 8).to_numpy(zero_copy_only=False)
+        each = pa.array(np.repeat(np.arange(batch.num_rows), n))
+        shingle = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(shingle), *(batch.column(c).take(each) for c in ("node", "component", "n_shingles"))], ["shingle", "node", "component", "n_shingles"])
+
+
+def _weight() -> Column:
+    return F.greatest(F.lit(1.0), F.col("n_shingles") / SHINGLES)
+
+
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node, size) of all regions, with what is sorted cut in overlapping stretches, and the nodes of regions that are too large."""
+    keys = nodes.select("node", "n_shingles", "sig").mapInArrow(task(__name__, "tree_keys"), "key long, node long, n_shingles long, tree int")
+    keys = materialise(keys, "tree-keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum(_weight()).alias("weight")).where("size > 1")
+    placed = materialise(keys.join(sizes, "key"), "regions")
+    fits = placed.where(F.col("weight") <= REGION).select("key", "node", "size")
+    over = placed.where(F.col("weight") > REGION)
+    if over.isEmpty():
+        return fits, None
+    rows = over.select("key", "node", "n_shingles", "tree").join(nodes.select(F.col("node").alias("_node"), "sig"), F.col("node") == F.col("_node")).drop("_node")
+    orders = rows.mapInArrow(task(__name__, "tree_orders"), "key long, node long, n_shingles long, order binary")
+    at = running_total(orders.withColumn("weight", _weight()), "weight", "key", "order", "node", name="at")
+    # Each is in two stretches, so that any two less than half a region apart meet in one.
+    half = F.floor(F.col("at") / (REGION / 2)).cast("long")
+    stretch = at.select("node", F.explode(F.array(F.xxhash64("key", half), F.xxhash64("key", half + 1))).alias("key"))
+    stretch = materialise(stretch, "stretches")
+    lengths = stretch.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return fits.unionByName(stretch.join(lengths, "key").select("key", "node", "size")), materialise(over.select("node").distinct(), "overfull")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b").select("a", "b", "shingles_a", "shingles_b")
+    return with_b.mapInArrow(task(__name__, "confirm", percent), "a long, b long")
+
+
+def _linked(groups: DataFrame, percent: int) -> DataFrame:
+    """Links within each `key` of groups (key, node, shingles, component, asks)."""
+    columns = groups.select("key", "node", "shingles", "component", "asks")
+    return columns.groupBy("key").applyInArrow(task(__name__, "links_in", percent), "a long, b long")
+
+
+def _across(sets: DataFrame, percent: int) -> DataFrame:
+    """All links between nodes of different components in sets (node, n_shingles, shingles, component), or enough to connect the same.
+
+    Linked nodes share one of their rarest shingles, those beyond `percent` of a set and one more, whatever counts as
+    rare, if all sets have the same order (prefix filter). Shingles that only one component has come first in that order,
+    and lead nowhere; then the fewer hold a shingle, the sooner it comes.
+    """
+    rows = sets.mapInArrow(task(__name__, "shingle_rows"), "shingle long, node long, component long, n_shingles long")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "n")
+    shared = rows.join(held, "shingle")
+    rarest = Window.partitionBy("node").orderBy("n", "shingle")
+    placed = shared.select("*", F.row_number().over(rarest).alias("at"), F.count("*").over(Window.partitionBy("node")).alias("n_shared"))
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    prefix = placed.where(F.col("at") <= F.col("n_shared") - least + 1).select("shingle", "node", "component", "n_shingles")
+    prefix = materialise(prefix, "prefixes")
+    big = materialise(sets.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > FEW), "large-components")
+    in_small = prefix.join(big, "component", "left_anti")
+    in_large = prefix.join(big.select("component"), "component", "left_semi")
+
+    # Members of small components meet as pairs.
+    other = in_small.select("shingle", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("n_b"))
+    meet = (F.col("component") != F.col("of_b")) & (F.col("node") < F.col("b"))
+    alike = 100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
+    pairs = materialise(in_small.join(other, "shingle").where(meet & alike).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+
+    # Whoever shares a rare shingle with a large component meets all of it, in parts, once.
+    whole = in_large.select("shingle", F.col("component").alias("large")).distinct()
+    asking = in_small.select("shingle", "node", "component", F.lit(True).alias("small")).unionByName(in_large.select("shingle", "node", "component", F.lit(False).alias("small")))
+    asking = asking.join(whole, "shingle").where((F.col("component") != F.col("large")) & (F.col("small") | (F.col("component") < F.col("large")))).select("node", "large").distinct()
+    asking = materialise(asking, "asking")
+    n_parts = F.ceil(F.sum(_weight()) / (REGION / 2))
+    members = sets.join(big.select("component"), "component", "left_semi").select("component", "node", "n_shingles")
+    asked = asking.join(sets.select("node", "n_shingles"), "node")
+    parts = members.groupBy("component").agg(n_parts.alias("parts")).join(asked.groupBy(F.col("large").alias("component")).agg(n_parts.alias("chunks")), "component")
+    parts = materialise(parts, "parts")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held_by = members.join(parts, "component").select("node", "component", deal("parts").alias("part"), every("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    asked_by = asked.withColumnRenamed("large", "component").join(parts, "component").select("node", "component", deal("chunks").alias("chunk"), every("parts").alias("part"), F.lit(True).alias("asks"))
+    rooms = held_by.unionByName(asked_by).select(F.xxhash64("component", "part", "chunk").alias("key"), "node", "asks")
+    dense = rooms.join(sets, "node")
+    return _confirmed(pairs, sets.select("node", "shingles"), percent).unionByName(_linked(dense, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -251,23 +343,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     base = materialise(rows.mapInArrow(task(__name__, "sign"), "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
     real = base.where("n_shingles > 0 and doc_id is not null")
     reps = materialise(real.groupBy("set_id").agg(F.min("doc_id").alias("node")), "representatives")
-    nodes = real.join(reps.withColumnRenamed("set_id", "_set"), (F.col("doc_id") == F.col("node")) & (F.col("set_id") == F.col("_set"))).select("node", "sig")
+    nodes = real.join(reps.withColumnRenamed("set_id", "_set"), (F.col("doc_id") == F.col("node")) & (F.col("set_id") == F.col("_set"))).select("node", "n_shingles", "sig")
     nodes = materialise(nodes, "nodes")
-    regions = materialise(_regions(nodes), "neighbours")
+    regions, overfull = _regions(nodes)
+    regions = materialise(regions, "neighbours")
 
     small = regions.where(F.col("size") <= SMALL).select("key", "node").join(nodes, "node").select("key", "node", "sig")
     small = small.repartition("key").sortWithinPartitions("key", "node")
     pairs = materialise(small.mapInArrow(task(__name__, "near_pairs", least_agreement(percent)), "a long, b long").distinct(), "pairs")
     large = regions.where(F.col("size") > SMALL).select("key", "node").distinct()
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node"))
+    wanted = (wanted.union(overfull) if overfull is not None else wanted).distinct()
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = materialise(texts.mapInArrow(task(__name__, "sets_of"), "node long, shingles binary"), "shingle-sets")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b").select("a", "b", "shingles_a", "shingles_b")
-    links = with_b.mapInArrow(task(__name__, "confirm", percent), "a long, b long")
-    dense = large.join(sets, "node").select("key", "node", "shingles").groupBy("key").applyInArrow(task(__name__, "forest", percent), "a long, b long")
-    groups = materialise(components(links.unionByName(dense)), "components")
+    sets = materialise(texts.mapInArrow(task(__name__, "sets_of"), "node long, n_shingles long, shingles binary"), "shingle-sets")
+    dense = large.join(sets, "node").select("key", "node", "shingles", F.col("node").alias("component"), F.lit(True).alias("asks"))
+    links = materialise(_confirmed(pairs, sets, percent).unionByName(_linked(dense, percent)), "links")
+    groups = materialise(components(links), "components")
+    if overfull is not None:
+        known = sets.join(overfull, "node", "left_semi").join(groups, F.col("node") == F.col("id"), "left").select("node", "n_shingles", "shingles", F.coalesce("component", "node").alias("component"))
+        more = materialise(_across(materialise(known, "overfull-sets"), percent), "links")
+        groups = materialise(components(links.unionByName(more)), "components") if not more.isEmpty() else groups
 
     member = base.select("doc_id", "n_shingles", "set_id").join(reps, "set_id", "left").join(groups, F.col("node") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))

@@ -52,10 +52,10 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about `most` bytes of its column text, and at least a row."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about `most` bytes of its column `column`, and at least a row."""
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
