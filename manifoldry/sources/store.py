@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors see: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given.
+
+    Without either, a local master, whose executors are this machine's threads, gets a temporary folder; on a cluster
+    it is an error, since each executor would write to a disk of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
