@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from manifoldry.sources.store import shared_folder
+
 #: White space that separates words, as a regular expression class.
 SPACES = r"[\x20\x09-\x0D]"
 #: Anything but white space.
 NOT_SPACES = r"[^\x20\x09-\x0D]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -42,6 +34,17 @@ def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of `df` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once, even if a lambda inside `body` uses it for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -87,9 +90,21 @@ def task(module: str, name: str, *args, two: bool = False):
         import importlib
         import sys
 
+        import pyarrow as pa
+
         if root not in sys.path:
             sys.path.insert(0, root)
-        return getattr(importlib.import_module(module), name)(*given, *args)
+        made = getattr(importlib.import_module(module), name)(*given, *args)
+        if isinstance(made, pa.Table):
+            return made
+        return released(made)
+
+    def released(batches):
+        # Workers live on after a task: what Arrow keeps for later would add to the next one's needs.
+        import pyarrow as pa
+
+        yield from batches
+        pa.default_memory_pool().release_unused()
 
     def run(batches):
         return call(batches)

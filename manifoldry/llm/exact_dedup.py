@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manifoldry.llm.common import SPACES, materialise, read
+from manifoldry.llm.common import SPACES, materialise, read, unused
 
 #: Candidates taken from the sketch, and so the most rows that are ever broadcast.
 CANDIDATES = 64
@@ -53,8 +53,9 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` without later copies, columns unchanged. Rows that repeat a kept doc_id with the same text all stay."""
-    gone = decisions(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.sha2(normalised(F.col("text")), 256) == F.col("_sha"))
+    id_, sha = unused(docs, "_gone", "_sha")
+    gone = decisions(docs).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.sha2(normalised(F.col("text")), 256) == F.col(sha))
     return docs.join(gone, same, "left_anti")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.llm import tokens
-from manifoldry.llm.common import materialise, read, task
+from manifoldry.llm.common import materialise, read, task, unused
 from manifoldry.llm.components import components
 from manifoldry.operators.order import running_total
 
@@ -374,8 +374,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each component, columns unchanged. Rows of a doc_id stay or go together: they go if none is kept."""
     judged = near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (id_,) = unused(docs, "_gone")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_))
+    return docs.join(gone, F.col("doc_id") == F.col(id_), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -64,8 +64,12 @@ def place(key: Column, nodes: list[list[list[tuple[int, float]]]]) -> Column:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and the shard after one more is added, a row for each row of `docs`.
 
+    `shards` must fill whole regions (a multiple of RACKS * SHARDS): only then does one more shard open a region of its
+    own and take rows only into itself. In a region that is not full, old shards would take rows too.
     A null text has size 1 and the crc32 of an empty text. Repeated rows go to one shard, in slots of their own. Empty input: empty result.
     """
+    if shards < 1 or shards % (RACKS * SHARDS):
+        raise ValueError(f"law key needs a multiple of {RACKS * SHARDS} shards, got {shards}")
     text = F.coalesce(F.col("text"), F.lit(""))
     placed = docs.select(
         "doc_id",
@@ -75,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         place(F.col("doc_id"), tree(shards)).alias("shard"),
         place(F.col("doc_id"), tree(shards + 1)).alias("grown_shard"),
     )
-    return gapless(placed, "shard", F.col("doc_id"), ["doc_id", "text_crc32"], "slot")
+    return gapless(placed, "shard", F.struct("doc_id", "text_crc32"), ["doc_id", "text_crc32"], "slot")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Token counts from flat token files without an index.
 
-A file holds little-endian unsigned 16-bit ids, each document's followed by an end id, and nothing else. Blocks of a
-file are searched for the end id by themselves, all at once; a prefix scan over the blocks' summaries stitches the
-documents that cross block boundaries and numbers them.
+A file holds little-endian unsigned 16-bit ids, each document's followed by an end id, and nothing else. Spark's text
+reader cuts files at any size into splits, at the end id's two bytes wherever they stand; where ids begin is not known
+there. Blocks of a split are searched for the end id by themselves, all at once, for both ways that ids can lie; a
+prefix scan over the blocks' summaries then says which it is, stitches the documents that cross block boundaries, and
+numbers them.
 """
 
 from __future__ import annotations
@@ -13,11 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from manifoldry.llm import tokens
-from manifoldry.llm.common import new_path, read, task
+from manifoldry.llm.common import materialise, new_path, read, task
 
 END = 50256
-#: Bytes of a block; even, so that no id crosses blocks.
-BLOCK = 1 << 20
+
+
+def _separator(end: int) -> bytes:
+    """The end id's bytes. They must differ: only then does no id equal to `end` lie across two blocks."""
+    separator = int(end).to_bytes(2, "little")
+    if separator[0] == separator[1]:
+        raise ValueError("the end id's two bytes must differ")
+    return separator
 
 
 def flatten(batches, path: str, pattern: str, end: int):
@@ -32,57 +40,78 @@ def flatten(batches, path: str, pattern: str, end: int):
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, pattern: str, end: int = END) -> None:
-    """Flat token files in `out`, one a partition. The text writer puts its line separator, here the end id, after each row."""
+    """Flat token files in `out`, one a partition. The text writer puts its line separator, here the end id, after each row.
+
+    A null text is an empty document; repeated rows are documents each; an empty table gives no file with documents. The
+    documents of partition n are those of file part-n, in order (`document_ids`).
+    """
     rows = docs.select("text").mapInArrow(task(__name__, "flatten", path, pattern, end), "value binary")
-    separator = int(end).to_bytes(2, "little").decode("latin-1")
-    rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(out)
+    options = {"encoding": "ISO-8859-1", "lineSep": _separator(end).decode("latin-1")}
+    rows.select(F.col("value").cast("string")).write.options(**options).text(out)
 
 
-def scan(batches, end: int):
-    """For each block: ids in it, and the places of end ids, counted from the file's start."""
-    for batch in batches:
-        n, found = [], []
-        for start, data in zip(batch.column("start").to_pylist(), batch.column("data"), strict=True):
-            ids = np.frombuffer(data.as_buffer(), "<u2")
-            n.append(len(ids))
-            found.append(np.flatnonzero(ids == end) + start)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("start"), pa.array(n, pa.int64()), places], ["file", "start", "n", "ends"])
-
+def document_ids(docs: DataFrame) -> DataFrame:
+    """part, doc_no, doc_id of what `write_token_files` writes for `docs`, a table whose partitions are the same each time it is read."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.select(F.spark_partition_id().alias("part"), within.alias("doc_no"), F.col("doc_id").cast("long").alias("doc_id"))
 
-def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -> DataFrame:
-    """file, doc_no, start, n_tokens, ended: a row for each document of each token file in `folder`.
 
-    Files are taken as single values and must stay under 2 GB each. An empty document counts 0 tokens. Ids after a
-    file's last end id are a document with ended = false. Empty files have no documents.
+def scan(batches, end: int):
+    """For each block, which is what a batch has of a split: its bytes, and where end ids begin if ids lie at even bytes, or at odd ones."""
+    separator, last, number = _separator(end), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, at = batch.column("file").to_pylist(), batch.column("at").to_numpy()
+        code = batch.column("file").dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (at[1:] != at[:-1])) + 1).tolist(), batch.num_rows]
+        rows = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            number = number + 1 if last == (file[s], int(at[s])) else 0
+            last = (file[s], int(at[s]))
+            data = separator.join(batch.column("value").slice(s, e - s).to_pylist()) + separator
+            even, odd = (np.flatnonzero(np.frombuffer(data, "<u2", (len(data) - k) // 2, k) == end) * 2 + k for k in (0, 1))
+            rows.append((*last, number, batch.column("size")[s].as_py(), len(data), even.tolist(), odd.tolist()))
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["file", "at", "number", "size", "n", "even", "odd"])
+
+
+def count_tokens(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
+    """file, doc_no, start, n_tokens, ended: a row for each document of each token file in `folder`, of any size.
+
+    An empty document counts 0 tokens. Ids after a file's last end id are a document with ended = false; a last odd byte
+    is no id. Empty files have no documents.
     """
-    files = spark.read.format("binaryFile").load(folder).where("length > 0")
-    at = F.sequence(F.lit(0), ((F.col("length") - 1) / block).cast("int"))
-    cut = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.explode(at).alias("b"))
-    cut = cut.select("file", (F.col("b").cast("long") * (block // 2)).alias("start"), F.substring("content", F.col("b") * block + 1, F.lit(block)).alias("data"))
-    found = cut.mapInArrow(task(__name__, "scan", end), "file string, start long, n long, ends array<long>")
-    order = Window.partitionBy("file").orderBy("start")
+    options = {"encoding": "ISO-8859-1", "lineSep": _separator(end).decode("latin-1")}
+    lines = spark.read.options(**options).text(folder)
+    meta = [F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size")]
+    raw = lines.select(F.col("value").cast("binary").alias("value"), *meta)
+    found = raw.mapInArrow(task(__name__, "scan", end), "file string, at long, number int, size long, n long, even array<long>, odd array<long>")
+    found = materialise(found, "ends")
+    # Summaries alone, a row for each block, are in a file's order.
+    order = Window.partitionBy("file").orderBy("at", "number")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "file",
-        "ends",
-        F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)).alias("end_before"),
-        F.when(F.lead("start").over(order).isNull(), F.col("start") + F.col("n")).alias("total"),
-    )
-    # The file's last block also closes a document that nothing ended.
-    last = F.coalesce(F.array_max("ends"), F.col("end_before"))
-    open_ended = F.coalesce(F.col("total") > last + 1, F.lit(False))
-    ends = F.when(open_ended, F.concat("ends", F.array("total"))).otherwise(F.col("ends"))
-    rows = stitched.withColumn("ends", ends).select("file", "docs_before", "end_before", "total", "ends", F.posexplode("ends").alias("i", "stop"))
+    chosen = lambda f: F.when(F.col("begin") % 2 == 0, f(F.col("even"))).otherwise(f(F.col("odd")))
+    told = found.select("file", "at", "number", "n", *[F.struct(F.size(c).cast("long").alias("n"), F.array_max(c).alias("last")).alias(c) for c in ("even", "odd")])
+    told = told.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    told = told.select("file", "at", "number", "begin", F.lead("at").over(order).isNull().alias("final"), chosen(lambda c: c["n"]).alias("n_ends"), F.shiftright(F.col("begin") + chosen(lambda c: c["last"]), 1).alias("last"))
+    told = told.select("file", "at", "number", "begin", "final", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs_before"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("end_before"))
+    stitched = found.join(told, ["file", "at", "number"]).withColumn("total", F.shiftright("size", 1))
+    ends = F.transform(chosen(lambda c: c), lambda x: F.shiftright(F.col("begin") + x, 1))
+    # Nothing need stand after the file's last document: an end id beyond the file is none.
+    stitched = stitched.withColumn("ends", F.filter(ends, lambda x: x < F.col("total")))
+    open_ended = F.col("final") & (F.col("total") > F.coalesce(F.array_max("ends"), F.col("end_before")) + 1)
+    stitched = stitched.withColumn("ends", F.when(open_ended, F.concat("ends", F.array("total"))).otherwise(F.col("ends")))
+    rows = stitched.select("file", "docs_before", "end_before", "total", "ends", F.posexplode("ends").alias("i", "stop"))
     start = F.when(F.col("i") == 0, F.col("end_before")).otherwise(F.get("ends", F.col("i") - 1)) + 1
-    return rows.select("file", (F.col("docs_before") + F.col("i")).alias("doc_no"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), F.coalesce(F.col("stop") < F.col("total"), F.lit(True)).alias("ended"))
+    return rows.select("file", (F.col("docs_before") + F.col("i")).alias("doc_no"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("stop") < F.col("total")).alias("ended"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = new_path(spark, "token-files")
-    write_token_files(read(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return count_tokens(spark, out)
+    docs, out = read(spark, sf_dir, "documents"), new_path(spark, "token-files")
+    write_token_files(docs, out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counted = count_tokens(spark, out).withColumn("part", F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")).drop("file")
+    return counted.join(document_ids(docs), ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens", "ended")

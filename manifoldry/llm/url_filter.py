@@ -22,7 +22,7 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-#: Most labelled URLs that the trees learn from; a sample by hash of the URL beyond that.
+#: Most labelled URLs that the trees learn from, half for each verdict; a sample by hash of the URL beyond that.
 MAX_TRAIN = 20_000
 TREES, DEPTH = 12, 4
 #: Weight of the overall block rate in a suffix's statistic, in URLs.
@@ -78,6 +78,43 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+def with_score(urls: DataFrame) -> DataFrame:
+    """`urls` (url, host, path, rule_verdict) with a score: how likely the trees take each for one to block.
+
+    They learn from distinct URLs with a rule_verdict, at most MAX_TRAIN / 2 of each verdict, those of the least hash,
+    weighed by how often each stands there. A labelled URL's own rows are left out of its suffix statistic.
+    """
+    rows = materialise(urls.withColumn("suffix", F.substring_index("host", ".", -2)), "urls")
+    labelled = rows.where("rule_verdict is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    distinct = materialise(labelled.groupBy("url", "host", "path", "suffix", "label").agg(F.count("*").cast("double").alias("times")), "labelled")
+    totals = distinct.agg(F.sum("times").alias("n"), F.sum(F.col("label") * F.col("times")).alias("blocked"), F.count_distinct("label").alias("kinds")).head()
+    rate = float((totals.blocked or 0.0) / (totals.n or 1.0))
+    stats = distinct.groupBy("suffix").agg(F.sum(F.col("label") * F.col("times")).alias("_b"), F.sum("times").alias("_n"))
+    smoothed = lambda b, n: F.coalesce((b + PRIOR * rate) / (n + PRIOR), F.lit(rate))
+    featured = lexical(rows).join(stats, "suffix", "left").withColumn("f_suffix", smoothed(F.col("_b"), F.col("_n"))).drop("_b", "_n")
+    if totals.kinds < 2:
+        return featured.withColumn("score", F.lit(0.0))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    chosen = None
+    for label in (0.0, 1.0):
+        part = distinct.where(F.col("label") == label).orderBy(F.xxhash64("url", F.lit("train")), "url").limit(MAX_TRAIN // 2)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    own = F.col("times")
+    train = lexical(chosen).join(stats, "suffix").withColumn("f_suffix", smoothed(F.col("_b") - F.col("label") * own, F.col("_n") - own))
+    train = materialise(vectors.transform(train).select("features", "label", "times", "url").orderBy("url").coalesce(1).select("features", "label", "times"), "url-train")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, weightCol="times").fit(train)
+    return model.transform(vectors.transform(featured)).withColumn("score", vector_to_array("probability")[1])
+
+
+def held_out_accuracy(pages: DataFrame) -> DataFrame:
+    """n, n_right: URLs that a rule labels and whose crc32 is a multiple of 5, judged by trees that learn from the others."""
+    ruled = with_rule(parsed(pages.select("page_id", "url"))).withColumnRenamed("rule_verdict", "truth")
+    hidden = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0
+    scored = with_score(ruled.withColumn("hidden", hidden).withColumn("rule_verdict", F.when(~hidden, F.col("truth"))))
+    right = F.when((F.col("score") > 0.5) == (F.col("truth") == "block"), 1).otherwise(0)
+    return scored.where(F.col("hidden") & F.col("truth").isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(right), F.lit(0)).alias("n_right"))
+
+
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score for each row of `pages` (page_id, url).
 
@@ -85,21 +122,7 @@ def judge(pages: DataFrame) -> DataFrame:
     than two kinds of labels there is nothing to learn and every other URL is allowed, at score 0. Null and empty URLs
     have an empty host and path and are judged by the trees. Empty input: empty result.
     """
-    rows = materialise(with_rule(parsed(pages.select("page_id", "url"))), "urls")
-    labelled = rows.where("rule_verdict is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double")).withColumn("suffix", F.substring_index("host", ".", -2))
-    totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate"), F.count_distinct("label").alias("kinds")).head()
-    stats = labelled.groupBy("suffix").agg(F.sum("label").alias("_b"), F.count("*").alias("_n")).withColumn("_rate", (F.col("_b") + F.lit(PRIOR * totals.rate)) / (F.col("_n") + F.lit(PRIOR))).select("suffix", "_rate")
-    featured = lexical(rows).join(stats, "suffix", "left").withColumn("f_suffix", F.coalesce("_rate", F.lit(float(totals.rate)))).drop("_rate")
-    if totals.kinds < 2:
-        scored = featured.withColumn("score", F.lit(0.0))
-    else:
-        share = min(1.0, MAX_TRAIN / totals.n)
-        place = F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1_000_000)) / 1e6
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        train = featured.where(F.col("rule_verdict").isNotNull() & (place < share)).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-        train = materialise(vectors.transform(train).select("features", "label", "url").orderBy("url").coalesce(1).select("features", "label"), "url-train")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(train)
-        scored = model.transform(vectors.transform(featured)).withColumn("score", vector_to_array("probability")[1])
+    scored = with_score(with_rule(parsed(pages.select("page_id", "url"))))
     return scored.select(
         "page_id",
         "host",

@@ -92,13 +92,24 @@ def test_two_pieces_fit_better_than_one():
     assert packing.plan({60: 1, 30: 1, 20: 2}, 100)[0] == (1, [60, 20, 20])
 
 
-@pytest.mark.parametrize("block", [4, 64, 1 << 20])
-def test_counts_across_blocks(spark, tmp_path, block):
-    texts = [*ODD[:19], "tail"]
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_counts_across_splits(spark, tmp_path, split):
+    """Files are cut anywhere, also amid an id; ids whose bytes look like the end id across two ids do no harm."""
+    texts = [*ODD[:19], "tail", "tail"]
     out = str(tmp_path / "tokens")
     token_counts.write_token_files(frame(spark, texts), out, PATH, P.PATTERN)
-    rows = token_counts.count_tokens(spark, out, block=block).collect()
-    assert sorted(r.n_tokens for r in rows) == sorted(len(ids(t)) for t in texts) and all(r.ended for r in rows)
+    rng = random.Random(split)
+    tricky = [rng.choice([0x50C4, 0xC450, 0x5050, 0xC4C4, 7]) for _ in range(400)]
+    (tmp_path / "tokens" / "part-99999-tricky.txt").write_bytes(np.array(tricky, "<u2").tobytes())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = token_counts.count_tokens(spark, out).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    written = [r for r in rows if "tricky" not in r.file]
+    assert sorted(r.n_tokens for r in written) == sorted(len(ids(t)) for t in texts) and all(r.ended for r in written)
     by = defaultdict(list)
     for r in rows:
         by[r.file].append((r.doc_no, r.start, r.n_tokens))
@@ -107,13 +118,33 @@ def test_counts_across_blocks(spark, tmp_path, block):
         for no, (doc_no, start, n) in enumerate(sorted(docs)):
             assert (doc_no, start) == (no, at)
             at += n + 1
+    want, n = [], 0
+    for x in tricky:
+        if x == 0xC450:
+            want.append(n)
+            n = 0
+        else:
+            n += 1
+    want += [n] if n else []
+    assert [n for _, _, n in sorted(by["part-99999-tricky.txt"])] == want
 
 
 def test_counts_of_an_open_end(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(np.array([5, 6, 50256, 50256, 7, 8, 9], "<u2").tobytes())
     (tmp_path / "empty.bin").write_bytes(b"")
-    rows = token_counts.count_tokens(spark, str(tmp_path), block=4).orderBy("doc_no").collect()
+    rows = token_counts.count_tokens(spark, str(tmp_path)).orderBy("doc_no").collect()
     assert [(r.start, r.n_tokens, r.ended) for r in rows] == [(0, 2, True), (3, 0, True), (4, 3, False)]
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(spark, str(tmp_path), end=0x0505)
+
+
+def test_counts_carry_document_ids(spark, tmp_path):
+    texts = [*ODD, "again", "again"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = token_counts.op2(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(ids(t)) for i, t in enumerate(texts)} and len(rows) == len(texts)
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert token_counts.op2(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_packing_codes_added_tokens_as_the_library_does(spark):
