@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manifoldry.llm import tokens
 from manifoldry.llm.common import read, task
@@ -143,13 +144,12 @@ def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(total / (n + SMOOTH) + bias, -60, 60)))
 
 
-def score_batches(batches, kept: np.ndarray, values: np.ndarray, bias: float):
+def score_batches(batches, kept: np.ndarray, values: np.ndarray, bias: float, name: str):
     weight = np.zeros(1 << BUCKET_BITS)
     weight[kept] = values
     for block in tokens.blocks(batches, 2_000_000):
         score = score_texts(["" if x is None else x for x in block.column("text").to_pylist()], weight, bias)
-        keep = [n for n in block.schema.names if n != "_tox_score"]
-        yield pa.RecordBatch.from_arrays([*(block.column(n) for n in keep), pa.array(score)], [*keep, "_tox_score"])
+        yield pa.RecordBatch.from_arrays([*block.columns, pa.array(score)], [*block.schema.names, name])
 
 
 def held_out() -> F.Column:
@@ -183,9 +183,9 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataF
     """
     weight, bias = fit(docs, labels)
     kept = np.flatnonzero(weight)
-    base = docs.drop(name, "_tox_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", _tox_score double"
-    return base.mapInArrow(task(__name__, "score_batches", kept, weight[kept], bias), schema).withColumnRenamed("_tox_score", name)
+    base = docs.drop(name)
+    schema = T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())])
+    return base.mapInArrow(task(__name__, "score_batches", kept, weight[kept], bias, name), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
