@@ -33,9 +33,22 @@ def parse_class(description: Column) -> Column:
 
 
 def taxonomy(key: Column) -> Column:
+    """The class of a key, from its prefix."""
     return _lookup(PREFIXES, F.get(F.split(key, r"\|"), F.lit(0)), "unknown")
 
 
+def taxonomy_of_sub(sub: Column) -> Column:
+    """The class that a subcategory names; control is a category, not a subcategory."""
+    return F.coalesce(F.when(sub.isin(*PREFIXES.values()), sub), F.lit("unknown"))
+
+
+def taxonomy_of_pair(category: Column, sub: Column) -> Column:
+    """The class of (category, subcategory): that of the category; extreme ones by subcategory, knotted if it is no other."""
+    extreme = F.when(sub.isin("fold_switching", "idp"), sub).otherwise("knotted")
+    plain = F.when(category.isin("anchor", "astral95", "integrable"), category).when(category == "control", "random")
+    return F.coalesce(F.when(category == "extreme", extreme), plain, F.lit("unknown"))
+
+
 def source_key(category: Column, key: Column) -> Column:
     """anchor: first 4 characters of part 3; astral95: characters 2-5 if there are 5; others: first 4; lower-cased."""
     part = F.coalesce(F.get(F.split(key, r"\|"), F.lit(2)), F.lit(""))

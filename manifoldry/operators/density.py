@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators import pairs
-from manifoldry.operators.summary import dominant, value_shares, with_scalars
+from manifoldry.operators.order import percentiles, with_index
+from manifoldry.operators.summary import dominant, value_shares, with_percentiles, with_scalars
 from manifoldry.sources.store import settled
 
 
@@ -50,9 +53,33 @@ def grid_cells(df: DataFrame, n: int) -> DataFrame:
     return cells.crossJoin(F.broadcast(box)).select("id", "ix", "iy", at("ix", "x0", "x1").alias("x"), at("iy", "y0", "y1").alias("y"))
 
 
+def _axes(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    x0, x1, y0, y1 = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    step = np.arange(n) / (n - 1)
+    return x0 + step * (x1 - x0), y0 + step * (y1 - y0)
+
+
 def density_raster(df: DataFrame, n: int = 200) -> DataFrame:
-    cells = grid_cells(df, n)
-    return cells.join(kde(df, cells), "id").withColumn("value", F.log10(F.col("density") + 1e-60)).select("id", "ix", "iy", "x", "y", "value")
+    """(id, ix, iy, x, y, value): log10 of the density at n x n cells.
+
+    The kernel is a product of one in x and one in y, so a batch of points is laid over the whole grid, whose size is a
+    parameter, by a product of two matrices; a task hands on one sum a cell.
+    """
+    rows, h = bandwidth(df)
+    gx, gy = _axes(df, n)
+
+    def sums(batches):
+        total = np.zeros((n, n))
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("x", "y"))
+            total += np.exp(-((gx - x) ** 2) / (2 * h * h)).T @ np.exp(-((gy - y) ** 2) / (2 * h * h))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "total"])
+
+    laid = df.select(F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null").mapInArrow(sums, "at long, total double")
+    laid = laid.groupBy("at").agg((F.sum("total") / (rows * 2 * math.pi * h * h)).alias("density"))
+    out = grid_cells(df, n).join(laid, F.col("id") == F.col("at"), "left")
+    return out.select("id", "ix", "iy", "x", "y", F.log10(F.coalesce("density", F.lit(0.0)) + 1e-60).alias("value"))
 
 
 def kde_grid(df: DataFrame, n: int, group: str, least: int = 20) -> DataFrame:
@@ -62,10 +89,27 @@ def kde_grid(df: DataFrame, n: int, group: str, least: int = 20) -> DataFrame:
     f = F.pow(F.col("_n"), F.lit(-1 / 3))
     det = (F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")) * f * f
     stats = stats.select(group, "_n", det.alias("_d"), (F.col("_yy") * f / det).alias("_a"), (F.col("_xx") * f / det).alias("_b"), (-F.col("_xy") * f / det).alias("_c"))
-    cells = grid_cells(df, n).select("ix", "iy", F.col("x").alias("gx"), F.col("y").alias("gy"))
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    form = F.col("_a") * dx * dx + F.col("_b") * dy * dy + 2 * F.col("_c") * dx * dy
-    each = df.join(F.broadcast(stats), group).crossJoin(F.broadcast(cells)).groupBy(group, "ix", "iy").agg(F.sum(F.exp(-form / 2) / (F.col("_n") * 2 * math.pi * F.sqrt("_d"))).alias("density"))
+    gx, gy = _axes(df, n)
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x, y, a, b, c, w, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            for s in range(0, len(x), 256):
+                dx, dy = gx - x[s : s + 256, None], gy - y[s : s + 256, None]
+                a_, b_, c_ = (v[s : s + 256, None, None] for v in (a, b, c))
+                form = a_ * (dx * dx)[:, :, None] + b_ * (dy * dy)[:, None, :] + 2 * c_ * dx[:, :, None] * dy[:, None, :]
+                each = np.exp(-form / 2) * w[s : s + 256, None, None]
+                for label in np.unique(k[s : s + 256]).tolist():
+                    total[label] = total.get(label, 0) + each[k[s : s + 256] == label].sum(axis=0)
+        for label, grid in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n, label)), pa.array(np.repeat(np.arange(n, dtype=np.int32), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), n)), pa.array(grid.ravel())], ["_k", "ix", "iy", "d"])
+
+    # Classes and cells are both bounded by parameters: a task sums its points over all cells of the classes it has.
+    numbered = stats.withColumn("_k", F.xxhash64(group))
+    given = df.join(F.broadcast(numbered), group).select(F.col("x").cast("double"), F.col("y").cast("double"), "_a", "_b", "_c", (1 / (F.col("_n") * 2 * math.pi * F.sqrt("_d"))).alias("_w"), "_k")
+    laid = given.where("x is not null and y is not null").mapInArrow(sums, "_k long, ix int, iy int, d double").groupBy("_k", "ix", "iy").agg(F.sum("d").alias("density"))
+    each = laid.join(F.broadcast(numbered.select("_k", group)), "_k").select(group, "ix", "iy", "density")
     level = each.where("density > 0").groupBy(group).agg(F.percentile("density", F.lit(0.9)).alias("_l"))
     return each.join(F.broadcast(level), group, "left").withColumn("inside", F.coalesce(F.col("density") >= F.col("_l"), F.lit(False))).drop("_l")
 
@@ -111,12 +155,14 @@ def local_density_std(knn_with_self: DataFrame, density: DataFrame) -> DataFrame
 
 
 def median_deviation(df: DataFrame, col: str, name: str) -> DataFrame:
-    return with_scalars(df, F.percentile(col, F.lit(0.5)).alias("_m")).withColumn(name, F.abs(F.col(col) - F.col("_m"))).drop("_m")
+    return with_percentiles(df, col, {"_m": 0.5}).withColumn(name, F.abs(F.col(col) - F.col("_m"))).drop("_m")
 
 
 def boundary_score(df: DataFrame, cols: list[str], q: float = 0.95, least: int = 2) -> DataFrame:
     """How many columns exceed their own percentile, and whether at least `least` do."""
-    out = with_scalars(df, *[F.percentile(c, F.lit(q)).alias(f"_q{i}") for i, c in enumerate(cols)])
+    out = df
+    for i, c in enumerate(cols):
+        out = out.crossJoin(F.broadcast(percentiles(df, c, {f"_q{i}": q})))
     score = sum(((F.col(c) > F.col(f"_q{i}")).cast("int") for i, c in enumerate(cols)), F.lit(0))
     return out.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least).drop(*[f"_q{i}" for i in range(len(cols))])
 
@@ -153,14 +199,15 @@ def dbscan(df: DataFrame, eps: float = 2.0, min_samples: int = 5) -> DataFrame:
             break
     border = both.join(labels.select(F.col("id").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("b")).withColumnRenamed("i", "id")
     found = df.select("id").join(labels, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "b").alias("root"))
-    names = found.where("root is not null").select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    return found.join(F.broadcast(names), "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    names = with_index(found.where("root is not null").select("root").distinct(), "root", name="cluster")
+    return found.join(names, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def cluster_profile(df: DataFrame, cluster: str, label: str) -> DataFrame:
+def cluster_profile(df: DataFrame, cluster: str, label: str, measures: list[str] | None = None) -> DataFrame:
+    """n, centre, mean of each measure, most frequent label of each cluster, and how many points are noise."""
     inside = df.where(F.col(cluster) >= 0)
-    stats = inside.groupBy(cluster).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return stats.join(dominant(inside, [cluster], label), cluster)
+    stats = inside.groupBy(cluster).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), *[F.avg(m).alias(f"mean_{m}") for m in measures or []])
+    return with_scalars(stats.join(dominant(inside, [cluster], label), cluster), F.count_if(F.col(cluster) < 0).alias("n_noise"), of=df)
 
 
 def boundary_mix(df: DataFrame, flag: str, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.functions import scalars as S
+from manifoldry.operators.order import running_total
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -35,6 +36,28 @@ def enrich_where(df: DataFrame, condition: Column, dim: DataFrame, key: str) ->
     return df.join(d, (df[key] == F.col("_k")) & condition, "left").drop("_k")
 
 
+def valid_records(regions: DataFrame, key: str, fault: Column) -> DataFrame:
+    """The regions of records none of whose regions has a fault (a reason or null). Many regions of a record meet as a partial minimum."""
+    bad = regions.where(fault.isNotNull()).select(key).distinct()
+    return regions.join(bad, key, "left_anti")
+
+
+def locate_fallback(df: DataFrame, first: DataFrame, second: DataFrame, key: str, frag: str, seq: str) -> DataFrame:
+    """Where each fragment lies (start, end) and an outcome.
+
+    In the key's sequence of `first`, fuzzily; for keys that `first` does not have, in that of `second`, exactly. outcome:
+    first, second, mismatch (the sequence does not hold it) or none (no sequence).
+    """
+    a, b = (t.select(F.col(key), F.col(seq).alias(n)) for t, n in ((first, "_a"), (second, "_b")))
+    out = df.join(a, key, "left").join(b, key, "left")
+    at = F.instr(F.col("_b"), F.col(frag))
+    exact = F.when(at > 0, F.struct(at.alias("start"), (at + F.length(frag) - 1).alias("end")))
+    spot = F.when(F.col("_a").isNotNull(), S.locate_fragment(F.col("_a"), F.col(frag))).otherwise(exact)
+    found = F.when(F.col("_a").isNull() & F.col("_b").isNull(), "none").when(F.col("_spot").isNull(), "mismatch").when(F.col("_a").isNotNull(), "first").otherwise("second")
+    out = out.withColumn("_spot", spot).withColumn("outcome", found)
+    return out.withColumn("start", F.col("_spot.start")).withColumn("end", F.col("_spot.end")).drop("_a", "_b", "_spot")
+
+
 def lookup_fallback(df: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """`value` from `first`, else from `second`, and which it was."""
     a, b = (x.select(F.col(key), F.col(value).alias(n)) for x, n in ((first, "_a"), (second, "_b")))
@@ -91,8 +114,9 @@ def scale_curve(intervals: DataFrame, scales: DataFrame, group: list[str]) -> Da
     changes = marks.groupBy(*group, "at").agg(F.sum("d").alias("d"))
     asked = intervals.select(*group).distinct().crossJoin(F.broadcast(s)).select(*group, F.col("s").alias("at"), F.lit(0).alias("d"), F.lit(True).alias("asked"))
     both = changes.withColumn("asked", F.lit(False)).unionByName(asked)
-    w = Window.partitionBy(*group).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("alive", F.sum("d").over(w)).where("asked").select(*group, F.col("at").alias("s"), "alive")
+    # Changes at a scale count there: its mark comes after them.
+    at = running_total(both, "d", "at", "asked", group=group, name="alive")
+    return at.where("asked").select(*group, F.col("at").alias("s"), "alive")
 
 
 def kmer_profile(df: DataFrame, key: str, seq: str, k: int = 5) -> DataFrame:

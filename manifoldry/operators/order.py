@@ -17,47 +17,78 @@ def _ranged(df: DataFrame, *order: str) -> DataFrame:
     return settled(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranged")
 
 
-def _offsets(dealt: DataFrame, total: Column) -> DataFrame:
-    """Sums of `total` over all earlier partitions: a row for each partition."""
-    sums = dealt.groupBy("_p").agg(total.alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sums.select("_p", before.alias("_before"))
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equal keys, nulls too."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def _running(df: DataFrame, value: Column, order: list[str], group: list[str], name: str) -> DataFrame:
+    """Sum of `value` over all earlier rows of the group: within range partitions, then over the partitions' sums.
+
+    A group of any size is spread over range partitions; what meets in one task is a row for each partition it is in.
+    """
+    dealt = _ranged(df, *group, *order)
+    keys = ["_p", *group]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    offsets = sums.select(*[F.col(k).alias(n) for k, n in zip(keys, renamed, strict=True)], F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    if not group:
+        offsets = F.broadcast(offsets)  # a row for each range partition
+    out = dealt.withColumn("_l", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, same_keys(keys, renamed))
+    return out.withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before", *renamed)
 
 
 def with_index(df: DataFrame, *order: str, start: int = 0, name: str = "index") -> DataFrame:
     """A 0-based position by `order`."""
-    dealt = _ranged(df, *order)
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    out = dealt.withColumn("_i", local).join(F.broadcast(_offsets(dealt, F.count("*"))), "_p")
-    return out.withColumn(name, (F.col("_before") + F.col("_i") + start).cast("long")).drop("_p", "_i", "_before")
+    out = _running(df, F.lit(1), list(order), [], "_at")
+    return out.withColumn(name, (F.col("_at") + start).cast("long")).drop("_at")
 
 
-def running_total(df: DataFrame, value: str, *order: str, name: str = "total") -> DataFrame:
-    """The sum of `value` over all rows before, by `order`: 0 for the first. Ties come in no fixed order."""
-    dealt = _ranged(df, *order)
-    local = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = dealt.withColumn("_l", local).join(F.broadcast(_offsets(dealt, F.sum(value))), "_p")
-    return out.withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
+def running_total(df: DataFrame, value: str, *order: str, group: list[str] | None = None, name: str = "total") -> DataFrame:
+    """The sum of `value` over all rows before, by `order` within `group`: 0 for the first. Ties come in no fixed order."""
+    return _running(df, F.col(value), list(order), group or [], name)
 
 
-def avg_rank(df: DataFrame, col: str, group: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Average ranks; ties share the mean. Distinct values are counted first: before + (c + 1) / 2."""
+def value_ranks(df: DataFrame, col: str, group: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """The average rank of each distinct value within its group: rows before it + (its rows + 1) / 2."""
     group = group or []
     counts = df.groupBy(*group, col).agg(F.count("*").alias("_c"))
-    if group:
-        before = F.sum("_c").over(Window.partitionBy(*group).orderBy(col).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = counts.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2)
-    else:
-        dealt = _ranged(counts, col)
-        local = F.coalesce(F.sum("_c").over(Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = dealt.withColumn("_l", local).join(F.broadcast(_offsets(dealt, F.sum("_c"))), "_p").withColumn(name, F.col("_before") + F.col("_l") + (F.col("_c") + 1) / 2)
-    keys = [*group, col]
-    ranks = ranks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return df.join(ranks, condition).drop(*[f"_k{i}" for i in range(len(keys))])
+    return running_total(counts, "_c", col, group=group, name="_b").withColumn(name, F.col("_b") + (F.col("_c") + 1) / 2).drop("_b", "_c")
+
+
+def avg_rank(df: DataFrame, col: str, group: list[str] | None = None, name: str = "rank", of: DataFrame | None = None) -> DataFrame:
+    """Average ranks; ties share the mean. Ranks are those among the rows of `of`, by default `df` itself."""
+    keys = [*(group or []), col]
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    ranks = value_ranks(df if of is None else of, col, group, name)
+    ranks = ranks.select(*[F.col(k).alias(n) for k, n in zip(keys, renamed, strict=True)], name)
+    return df.join(ranks, same_keys(keys, renamed)).drop(*renamed)
+
+
+def percentiles(df: DataFrame, col: str, wanted: dict[str, float], group: list[str] | None = None) -> DataFrame:
+    """A column for each wanted share p of each group: the value at place p (n - 1), between neighbours in proportion.
+
+    Values are counted, ordered over range partitions, and taken by place; no group's values meet in one buffer. Nulls
+    are left out; a group of nulls alone has null results.
+    """
+    group = group or []
+    counts = df.groupBy(*group, F.col(col).cast("double").alias("_v")).agg(F.count(F.col(col)).alias("_c"))
+    placed = running_total(counts, "_c", "_v", group=group, name="_b")
+    renamed = [f"_g{i}" for i in range(len(group))]
+    totals = counts.groupBy(*[F.col(g).alias(n) for g, n in zip(group, renamed, strict=True)]).agg(F.sum("_c").alias("_n"))
+    placed = placed.join(totals, same_keys(group, renamed)) if group else placed.crossJoin(F.broadcast(totals))
+    at = lambda k: F.max(F.when((F.col("_b") <= k) & (k < F.col("_b") + F.col("_c")), F.col("_v")))
+    found = []
+    for name, p in wanted.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        found += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_f_{name}")]
+    out = placed.groupBy(*group).agg(*found)
+    return out.select(*group, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in wanted])
 
 
 def merge_intervals(df: DataFrame, key: str) -> DataFrame:
@@ -69,8 +100,14 @@ def merge_intervals(df: DataFrame, key: str) -> DataFrame:
     return island.groupBy(key, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
-def hashed(*cols: str, seed: int = 42) -> Column:
-    return F.xxhash64(*cols, F.lit(seed))
+def hashed(*cols: str | Column, seed: int = 42) -> Column:
+    """A seeded draw: the md5 of seed and values, so that other engines can draw the same rows."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]))
+
+
+def drawn_int(*cols: str | Column, seed: int = 42) -> Column:
+    """A seeded draw from 0 to 2^48 - 1."""
+    return F.conv(F.substring(hashed(*cols, seed=seed), 1, 12), 16, 10).cast("long")
 
 
 def quota_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -97,7 +134,7 @@ def bootstrap(df: DataFrame, group: str, key: str, n: int, reps: int, seed: int
     """For each replicate and class, n rows without replacement; classes smaller than n are left out."""
     big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
     each = df.join(big, group, "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("rep", group).orderBy(F.xxhash64(key, F.col("rep") + seed), key)
+    w = Window.partitionBy("rep", group).orderBy(hashed("rep", key, seed=seed), key)
     return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -106,6 +143,35 @@ def top_k(df: DataFrame, k: int, by: list[Column], group: list[str]) -> DataFram
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def aligned_correlation(a: DataFrame, b: DataFrame, key: str, pos: str, x: str, y: str, least: int = 5) -> DataFrame:
+    """(key, outcome, n, rho, mean): rank correlation of two sequences by key over the places both have, and the mean of `y` there.
+
+    outcome: ok, no_left, no_right, or short where either has fewer than `least` places; skipped keys have null results.
+    """
+    n_a, n_b = (t.groupBy(key).agg(F.count("*").alias(n)) for t, n in ((a, "_na"), (b, "_nb")))
+    state = F.when(F.col("_nb").isNull(), "no_right").when(F.col("_na").isNull(), "no_left").when(F.least("_na", "_nb") < least, "short").otherwise("ok")
+    judged = n_a.join(n_b, key, "full_outer").select(key, state.alias("outcome"))
+    pairs = a.select(key, pos, x).join(b.select(key, pos, y), [key, pos]).join(judged.where("outcome = 'ok'").select(key), key, "left_semi")
+    ranked = avg_rank(avg_rank(pairs, x, [key], "_ra"), y, [key], "_rb", of=pairs)
+    varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
+    told = ranked.groupBy(key).agg(F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias("rho"), F.avg(y).alias("mean"))
+    return judged.join(told, key, "left")
+
+
+def cumulative_phase(df: DataFrame, key: str, order: list[str], step: str, name: str = "phase") -> DataFrame:
+    """Running sum of `step` along each sequence, its own step included."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.sum(step).over(w))
+
+
+def recurring_pairs(df: DataFrame, panel: str, item: str, by: list[Column], k: int, least: int = 2) -> DataFrame:
+    """(a, b, n): pairs of items that are both among the first k of at least `least` panels; k bounds a panel's pairs."""
+    picked = top_k(df, k, by, [panel]).select(panel, item).distinct()
+    other = picked.select(F.col(panel).alias("_p"), F.col(item).alias("b"))
+    pairs = picked.join(other, (F.col(panel) == F.col("_p")) & (F.col(item) < F.col("b")))
+    return pairs.groupBy(F.col(item).alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def representatives(df: DataFrame, col: str, key: str) -> DataFrame:
     """The rows with the largest, smallest and middle value (position N // 2), without repeats."""
     n = df.count()

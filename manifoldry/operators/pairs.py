@@ -12,7 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from manifoldry.operators.order import drawn_int, with_index
+from manifoldry.sources.store import settled
+
 BLOCK = 2048
+#: Runs of blocks that a block of a nearest-neighbour join meets, so that few blocks still make many tasks.
+LANES = 8
 
 
 def packed(df: DataFrame, n_blocks: int, cols: list[str]) -> DataFrame:
@@ -24,12 +29,18 @@ def blocks_for(df: DataFrame, size: int = BLOCK) -> int:
     return max(1, -(-df.count() // size))
 
 
-def block_pairs(left: DataFrame, right: DataFrame, cols: list[str], n_left: int, n_right: int, symmetric: bool = False) -> DataFrame:
-    """(a, b, left, right): every pair of blocks, with `symmetric` only those with a <= b."""
+def block_pairs(left: DataFrame, right: DataFrame, cols: list[str], n_left: int, n_right: int, symmetric: bool = False, lanes: int = 0) -> DataFrame:
+    """(a, b, left, right): every pair of blocks, with `symmetric` only those with a <= b.
+
+    With `lanes`, the blocks that a left block meets lie in so many sorted runs, each in one partition.
+    """
     x = packed(left, n_left, cols).select(F.col("block").alias("a"), F.col("rows").alias("left"))
     y = packed(right, n_right, cols).select(F.col("block").alias("b"), F.col("rows").alias("right"))
     first = F.col("a") if symmetric else F.lit(0)
-    return x.withColumn("b", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(y, "b").repartition("a", "b")
+    met = x.withColumn("b", F.explode(F.sequence(first, F.lit(n_right - 1)))).join(y, "b")
+    if lanes:
+        return met.withColumn("lane", F.pmod("b", F.lit(lanes))).repartition("a", "lane").sortWithinPartitions("a", "lane", "b")
+    return met.repartition("a", "b")
 
 
 def matrix(rows: pa.Array, field: str = "vec") -> np.ndarray:
@@ -65,17 +76,18 @@ def reduced(pairs: DataFrame, reduce, schema: str) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def knn(df: DataFrame, k: int, metric: str = "euclidean", include_self: bool = False, query: DataFrame | None = None, other: str | None = None, n_blocks: int | None = None) -> DataFrame:
+def knn(df: DataFrame, k: int, metric: str = "euclidean", include_self: bool = False, query: DataFrame | None = None, other: str | None = None, n_blocks: int | None = None, same: str | None = None) -> DataFrame:
     """(src, rank, dst, dist): the k nearest rows of `df` (id, vec) for each row of `query`, by default `df` itself.
 
-    Ties go to the smaller id. With `other`, only rows with another value of that column are neighbours.
+    Ties go to the smaller id. With `other`, only rows with another value of that column are neighbours, with `same` only
+    those with the same. At most k rows a lane and row leave a task, LANES in all, however many blocks there are.
     """
     asked = df if query is None else query
     n = n_blocks or blocks_for(df)
-    cols = ["id", "vec", *([other] if other else [])]
-    pairs = block_pairs(asked, df, cols, n if query is None else n_blocks or blocks_for(query), n)
+    cols = ["id", "vec", *({other, same} - {None})]
+    pairs = block_pairs(asked, df, cols, n if query is None else n_blocks or blocks_for(query), n, lanes=LANES)
 
-    def nearest(left, right, _):
+    def nearest(left, right):
         a, b = ids(left), ids(right)
         # Small differences matter less than the order of work: distances are compared at 12 places.
         d = np.round(distances(matrix(left), matrix(right), metric), 12)
@@ -83,13 +95,37 @@ def knn(df: DataFrame, k: int, metric: str = "euclidean", include_self: bool = F
             d[a[:, None] == b[None, :]] = np.inf
         if other:
             d[ids(left, other)[:, None] == ids(right, other)[None, :]] = np.inf
+        if same:
+            d[ids(left, same)[:, None] != ids(right, same)[None, :]] = np.inf
         m = min(k, len(b))
         order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :m]
         dist = np.take_along_axis(d, order, 1)
-        good = np.isfinite(dist)
-        yield {"src": np.repeat(a, m).reshape(-1, m)[good], "dst": b[order][good], "dist": dist[good]}
+        return a, b[order], dist
+
+    def folded(batches):
+        """One lane of a left block after another: only its k best so far are kept, whatever number of blocks it meets."""
+        lane, best = None, None
+
+        def told():
+            a, dst, dist = best
+            good = np.isfinite(dist)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(a, dst.shape[1]).reshape(dst.shape)[good]), pa.array(dst[good]), pa.array(dist[good])], ["src", "dst", "dist"])
 
-    best = reduced(pairs, nearest, "src long, dst long, dist double")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = (batch.column("a")[i].as_py(), batch.column("lane")[i].as_py())
+                a, dst, dist = nearest(batch.column("left")[i].values, batch.column("right")[i].values)
+                if here == lane:
+                    dst, dist = np.concatenate([best[1], dst], axis=1), np.concatenate([best[2], dist], axis=1)
+                    order = np.lexsort((dst, dist), axis=1)[:, :k]
+                    dst, dist = np.take_along_axis(dst, order, 1), np.take_along_axis(dist, order, 1)
+                elif lane is not None:
+                    yield told()
+                lane, best = here, (a, dst, dist)
+        if lane is not None:
+            yield told()
+
+    best = pairs.mapInArrow(folded, "src long, dst long, dist double")
     w = Window.partitionBy("src").orderBy("dist", "dst")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
@@ -98,6 +134,18 @@ def nearest(query: DataFrame, ref: DataFrame) -> DataFrame:
     return knn(ref, 1, include_self=True, query=query).drop("rank")
 
 
+def random_pairs(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(draw, id_a, id_b, dist) of n seeded draws of two different rows of `df` (id, vec); none where there are fewer than two."""
+    v = settled(with_index(df.select("id", "vec"), "id"), "indexed")
+    total = v.count()
+    a = F.col("a")
+    draws = df.sparkSession.range(n if total > 1 else 0).withColumnRenamed("id", "draw").withColumn("a", drawn_int("draw", seed=seed) % total)
+    draws = draws.withColumn("b", (a + 1 + drawn_int("draw", seed=seed + 1) % max(1, total - 1)) % total)
+    left, right = (v.select(F.col("index").alias(k), F.col("id").alias(f"id_{k}"), F.col("vec").alias(f"v{k}")) for k in "ab")
+    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return draws.join(left, "a").join(right, "b").select("draw", "id_a", "id_b", d.alias("dist"))
+
+
 def label_sums(df: DataFrame, label: str, n_blocks: int | None = None) -> DataFrame:
     """(id, label, total, n): distances from each row to each class, itself left out of n."""
     n = n_blocks or blocks_for(df)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manifoldry.operators import pairs
-from manifoldry.operators.order import avg_rank, sample_n
+from manifoldry.operators.order import avg_rank, percentiles, running_total, sample_n
+from manifoldry.operators.summary import joined, with_percentiles, with_scalars
+from manifoldry.sources.store import settled
 
 
 def silhouette(df: DataFrame, label: str, n_blocks: int | None = None) -> DataFrame:
@@ -24,6 +26,18 @@ def silhouette_delta(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
     return x.withColumnRenamed("silhouette", "before").join(y, "id").withColumn("delta", F.col("after") - F.col("before"))
 
 
+def silhouette_change(delta: DataFrame, label: str) -> DataFrame:
+    """Each class's rows, mean before and after, percent change (0 from a mean of 0), quantiles of the difference and their outlier count.
+
+    Outliers are rows whose |difference| is over the 99th percentile of all |differences|.
+    """
+    d = with_percentiles(delta.withColumn("_a", F.abs("delta")), "_a", {"_cut": 0.99})
+    change = (F.col("mean_after") - F.col("mean_before")) / F.abs("mean_before") * 100
+    means = d.groupBy(label).agg(F.count("*").alias("n"), F.avg("before").alias("mean_before"), F.avg("after").alias("mean_after"), F.stddev_samp("delta").alias("std_delta"), F.count_if(F.col("_a") > F.col("_cut")).alias("n_outliers"))
+    means = means.withColumn("percent_change", F.when(F.abs("mean_before") > 1e-6, change).otherwise(0.0))
+    return joined(means, percentiles(delta, "delta", {"q05": 0.05, "q50": 0.5, "q95": 0.95}, [label]), [label])
+
+
 def neighborhood_preservation(hi: DataFrame, lo: DataFrame, k: int = 15) -> DataFrame:
     """Mean share of the k neighbours that both spaces have."""
     a, b = (pairs.knn(x, k).select("src", "dst") for x in (hi, lo))
@@ -44,7 +58,7 @@ def seed_stability(hi: DataFrame, lo: DataFrame, n: int, seeds: list[int]) -> Da
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return with_scalars(out, F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("std"))
 
 
 def knn_purity(df: DataFrame, label: str, k: int = 15) -> DataFrame:
@@ -58,11 +72,12 @@ def knn_purity(df: DataFrame, label: str, k: int = 15) -> DataFrame:
 
 
 def knn_cv(df: DataFrame, label: str, k: int = 5, folds: int = 5) -> DataFrame:
-    """(fold, balanced_accuracy): majority of the k nearest rows of other folds, ties to the smallest label."""
-    w = Window.partitionBy(label).orderBy("id")
-    dealt = df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int")).persist()
+    """(fold, balanced_accuracy, mean, std): majority of the k nearest rows of other folds, ties to the smallest label; mean and deviation over folds."""
+    at = running_total(df.withColumn("_1", F.lit(1)), "_1", "id", group=[label], name="_at")
+    dealt = settled(at.withColumn("fold", F.pmod("_at", F.lit(folds)).cast("int")).drop("_1", "_at"), "folds")
     names = dealt.select("id", label)
     votes = pairs.knn(dealt, k, other="fold").join(names.toDF("dst", "v"), "dst").groupBy("src", "v").agg(F.count("*").alias("c"))
     said = votes.groupBy("src").agg(F.min(F.struct((-F.col("c")).alias("c"), "v"))["v"].alias("said")).withColumnRenamed("src", "id")
     recall = dealt.join(said, "id").groupBy("fold", label).agg(F.avg(F.when(F.col("said") == F.col(label), 1.0).otherwise(0.0)).alias("recall"))
-    return recall.groupBy("fold").agg(F.avg("recall").alias("balanced_accuracy"))
+    scores = recall.groupBy("fold").agg(F.avg("recall").alias("balanced_accuracy"))
+    return with_scalars(scores, F.avg("balanced_accuracy").alias("mean"), F.stddev_pop("balanced_accuracy").alias("std"))

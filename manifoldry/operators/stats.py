@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from manifoldry.operators.order import avg_rank
+from manifoldry.operators.order import avg_rank, percentiles, running_total, same_keys
+from manifoldry.operators.summary import joined
 
 
 def normal_p(z: float) -> float:
@@ -78,34 +79,77 @@ def kolmogorov_p(x: float) -> float:
 
 
 def with_p(df: DataFrame, name: str, fn, *cols: str) -> DataFrame:
-    """A p-value column. Only for results with a row a test."""
-    p = F.udf(lambda *v: None if any(x is None for x in v) else float(fn(*v)), T.DoubleType())
-    return df.withColumn(name, p(*[F.col(c).cast("double") for c in cols]))
+    """A p-value column, in Arrow batches: grouped tests have as many rows as groups."""
+
+    @F.pandas_udf("double")
+    def p(v: pd.DataFrame) -> pd.Series:
+        values = zip(*[v[c] for c in v.columns], strict=True)
+        return pd.Series([None if any(pd.isna(x) for x in row) else float(fn(*row)) for row in values], dtype="float64")
+
+    return df.withColumn(name, p(F.struct(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])))
+
+
+def with_rho_p(df: DataFrame) -> DataFrame:
+    """Two-sided p of rho from n pairs."""
+    rho = F.col("rho")
+    t = F.when(F.abs(rho) >= 1, float("inf")).otherwise(F.abs(rho) * F.sqrt((F.col("n") - 2) / (1 - rho * rho)))
+    return with_p(df.withColumn("_t", t).withColumn("_df", F.col("n") - 2), "p", lambda t, d: 0.0 if math.isinf(t) else t_p(t, d), "_t", "_df").drop("_t", "_df")
+
+
+def _enough(df: DataFrame, group: list[str], least: int) -> DataFrame:
+    """The rows of groups of `least` rows or more."""
+    if not group:
+        return df
+    renamed = [f"_e{i}" for i in range(len(group))]
+    big = df.groupBy(*[F.col(g).alias(n) for g, n in zip(group, renamed, strict=True)]).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return df.join(big, same_keys(group, renamed), "left_semi")
 
 
 def spearman(df: DataFrame, a: str, b: str, group: list[str] | None = None, least: int = 3, p: bool = False) -> DataFrame:
     """n and rho for each group, over pairs without nulls; groups of fewer than `least` rows are left out."""
     group = group or []
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b)
-    if group:
-        size = F.count("*").over(Window.partitionBy(*group))
-        pairs = pairs.withColumn("_n", size).where(F.col("_n") >= least).drop("_n")
-    ranked = avg_rank(avg_rank(pairs, a, group, "_ra"), b, group, "_rb")
+    pairs = _enough(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b), group, least)
+    ranked = avg_rank(avg_rank(pairs, a, group, "_ra"), b, group, "_rb", of=pairs)
     varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias("rho"))
-    if not p:
-        return out
-    rho = F.col("rho")
-    t = F.when(F.abs(rho) >= 1, float("inf")).otherwise(F.abs(rho) * F.sqrt((F.col("n") - 2) / (1 - rho * rho)))
-    return with_p(out.withColumn("_t", t).withColumn("_df", F.col("n") - 2), "p", lambda t, d: 0.0 if math.isinf(t) else t_p(t, d), "_t", "_df").drop("_t", "_df")
+    return with_rho_p(out) if p else out
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], panel: str, least: int = 11) -> DataFrame:
-    """(panel, a, b, n, rho) for all column pairs in each panel with enough rows."""
+def spearman_matrix(df: DataFrame, columns: list[str], panel: str, least: int = 11, p: bool = False, mask: dict[str, str] | None = None) -> DataFrame:
+    """(panel, a, b, n, rho) for all column pairs in each panel with enough rows.
+
+    A column is ranked once for each set of rows it is complete in: where no value is missing, four columns are four
+    rankings, not twelve. `mask` names a score for some columns, whose values count only where the score is above 0.
+    """
+    for c, score in (mask or {}).items():
+        df = df.withColumn(c, F.when(F.col(score) > 0, F.col(c)))
+    df = df.select(panel, *[F.col(c).cast("double").alias(c) for c in columns])
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).head()
+    whole = [c for c in columns if not gaps[c]]
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
-    items = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).cast("double").alias("va"), F.col(y).cast("double").alias("vb")) for x, y in pairs])
-    long = df.select(panel, F.inline(items))
-    return spearman(long, "va", "vb", [panel, "a", "b"], least)
+    shared, own = ([q for q in pairs if (q[0] in whole and q[1] in whole) == w] for w in (True, False))
+    out = None
+    if shared:
+        ranked = complete = _enough(df, [panel], least)
+        for c in whole:
+            ranked = avg_rank(ranked, c, [panel], f"_r_{c}", of=complete)
+        varies = lambda c: F.min(f"_r_{c}") < F.max(f"_r_{c}")
+        one = ranked.groupBy(panel).agg(F.count("*").alias("n"), *[F.when(varies(x) & varies(y), F.corr(f"_r_{x}", f"_r_{y}")).alias(f"_c{i}") for i, (x, y) in enumerate(shared)])
+        rows = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n"), F.col(f"_c{i}").alias("rho")) for i, (x, y) in enumerate(shared)])
+        out = one.select(panel, F.inline(rows))
+    if own:
+        items = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).alias("va"), F.col(y).alias("vb")) for x, y in own])
+        rest = spearman(df.select(panel, F.inline(items)), "va", "vb", [panel, "a", "b"], least)
+        out = rest if out is None else out.unionByName(rest)
+    return with_rho_p(out) if p else out
+
+
+def strongest(matrix: DataFrame, panel: str, level: float = 0.05) -> DataFrame:
+    """Of a matrix with p, each panel's pair of the greatest |rho| (ties by name), and its significant pairs, strongest first."""
+    order = F.struct((-F.abs("rho")).alias("k"), "a", "b", "rho", "p")
+    out = matrix.where(F.col("rho").isNotNull()).groupBy(panel).agg(F.min(order).alias("s"), F.array_sort(F.collect_list(F.when(F.col("p") < level, order))).alias("l"))
+    names = F.transform("l", lambda x: F.concat_ws("~", x["a"], x["b"]))
+    return out.select(panel, F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.rho").alias("rho"), F.col("s.p").alias("p"), names.alias("significant"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
@@ -130,25 +174,37 @@ def _against(df: DataFrame, group: str, ref: str, col: str) -> DataFrame:
     return others.unionByName(df.where(F.col(group) == ref).select(col).crossJoin(F.broadcast(classes)).select(group, col, F.lit(1).alias("is_ref")))
 
 
-def mann_whitney(df: DataFrame, group: str, ref: str, col: str, p: bool = False) -> DataFrame:
-    """U of each class against the reference; p is normal, corrected for ties and continuity."""
+def upper_p(z: float) -> float:
+    """One-sided: how often a normal value exceeds z."""
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def mann_whitney(df: DataFrame, group: str, ref: str, col: str, p: bool = False, greater: bool = False) -> DataFrame:
+    """U of each class against the reference; p is normal, corrected for ties and continuity.
+
+    With `greater`, z and p are one-sided: small where the class has greater values than the reference.
+    """
     ranked = avg_rank(_against(df, group, ref, col), col, [group], "_r")
     ties = ranked.groupBy(group, col).agg(F.count("*").alias("c")).groupBy(group).agg(F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties"))
     out = ranked.groupBy(group).agg(F.count_if(F.col("is_ref") == 0).alias("n1"), F.count_if(F.col("is_ref") == 1).alias("n2"), F.sum(F.when(F.col("is_ref") == 0, F.col("_r"))).alias("_s"))
     out = out.withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2).drop("_s").join(ties, group)
     n = (F.col("n1") + F.col("n2")).cast("double")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    out = out.withColumn("z", F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2.0) - 0.5) / sd)
-    return with_p(out, "p", normal_p, "z") if p else out
+    off = F.col("u") - F.col("n1") * F.col("n2") / 2.0
+    out = out.withColumn("z", (off - 0.5 if greater else F.greatest(F.lit(0.0), F.abs(off) - 0.5)) / sd)
+    return with_p(out, "p", upper_p if greater else normal_p, "z") if p else out
 
 
 def ks_two_sample(df: DataFrame, group: str, ref: str, col: str, p: bool = False) -> DataFrame:
-    """The largest gap between each class's distribution and the reference's."""
+    """The largest gap between each class's distribution and the reference's; direction is the sign of its median's shift from the reference's."""
     counts = _against(df, group, ref, col).groupBy(group, col).agg(F.sum(1 - F.col("is_ref")).alias("a"), F.sum("is_ref").alias("b"))
-    w = Window.partitionBy(group)
-    up = w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(w) - F.sum("b").over(up) / F.sum("b").over(w))
-    out = counts.withColumn("gap", gap).groupBy(group).agg(F.max("gap").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    totals = counts.groupBy(group).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    both = running_total(running_total(counts, "a", col, group=[group], name="_a"), "b", col, group=[group], name="_b")
+    gap = (F.col("_a") + F.col("a")) / F.col("n1") - (F.col("_b") + F.col("b")) / F.col("n2")
+    out = joined(both, totals, [group]).groupBy(group).agg(F.max(F.abs(gap)).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    medians = percentiles(df, col, {"_m": 0.5}, [group])
+    medians = medians.crossJoin(F.broadcast(medians.where(F.col(group) == ref).select(F.col("_m").alias("_ref"))))
+    out = joined(out, medians.select(group, F.signum(F.col("_m") - F.col("_ref")).cast("int").alias("direction")), [group])
     if not p:
         return out
     return with_p(out.withColumn("_x", F.col("d") * F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))), "p", kolmogorov_p, "_x").drop("_x")

@@ -5,30 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manifoldry.operators.order import percentiles, running_total, same_keys
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
 
 def with_scalars(df: DataFrame, *aggs: Column, of: DataFrame | None = None) -> DataFrame:
     """`df` with global aggregates, one row, as columns."""
     return df.crossJoin(F.broadcast((df if of is None else of).agg(*aggs)))
 
 
+def with_percentiles(df: DataFrame, col: str, wanted: dict[str, float]) -> DataFrame:
+    """`df` with global percentiles, one row, as columns."""
+    return df.crossJoin(F.broadcast(percentiles(df, col, wanted)))
+
+
+def joined(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Two summaries of the same groups, a null group too."""
+    renamed = [f"_j{i}" for i in range(len(group))]
+    if not group:
+        return left.crossJoin(F.broadcast(right))
+    other = right.select(*[F.col(g).alias(n) for g, n in zip(group, renamed, strict=True)], *[c for c in right.columns if c not in group])
+    return left.join(other, same_keys(group, renamed)).drop(*renamed)
+
+
 def value_shares(df: DataFrame, *cols: str) -> DataFrame:
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
     return with_scalars(counts, F.sum("n").alias("_t")).withColumn("percent", F.col("n") * 100 / F.col("_t")).drop("_t")
 
 
 def describe_by(df: DataFrame, group: list[str], col: str) -> DataFrame:
-    q = [F.percentile(col, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return df.groupBy(*group).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std_pop"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), *q, F.max(col).alias("max"))
+    rest = df.groupBy(*group).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std_pop"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return joined(rest, percentiles(df, col, QUARTILES, group), group).select(*group, "n", "mean", "std_pop", "std", "min", *QUARTILES, "max")
 
 
 def flag_tails(df: DataFrame, col: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Columns is_high (>= upper percentile) and is_low (<= lower one)."""
-    out = with_scalars(df, F.percentile(col, F.lit(low)).alias("_lo"), F.percentile(col, F.lit(high)).alias("_hi"))
+    out = with_percentiles(df, col, {"_lo": low, "_hi": high})
     return out.withColumn("is_high", F.col(col) >= F.col("_hi")).withColumn("is_low", F.col(col) <= F.col("_lo")).drop("_lo", "_hi")
 
 
 def clip_percentile(df: DataFrame, col: str, low: float, high: float, name: str) -> DataFrame:
-    out = with_scalars(df, F.percentile(col, F.lit(low)).alias("_lo"), F.percentile(col, F.lit(high)).alias("_hi"))
+    out = with_percentiles(df, col, {"_lo": low, "_hi": high})
     return out.withColumn(name, F.least(F.greatest(F.col(col), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -36,20 +54,28 @@ def distinct_rounded(df: DataFrame, col: str, places: list[int]) -> DataFrame:
     return df.agg(*[F.count_distinct(F.round(col, p)).alias(f"places_{p}") for p in places])
 
 
-def histogram(df: DataFrame, col: str, bins: int, group: list[str]) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed."""
+def histogram(df: DataFrame, col: str, bins: int, group: list[str], log: bool = False, density: bool = False) -> DataFrame:
+    """Equal-width bins from minimum to maximum, the last one closed; with `log` of the positive values' log10.
+
+    With `density` also each bin's share of its group by its width.
+    """
+    if log:
+        df = df.where(F.col(col) > 0).withColumn(col, F.log10(col))
     out = with_scalars(df, F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    return out.groupBy(*group, F.when(width > 0, at).otherwise(0).alias("bin")).agg(F.count("*").alias("n"))
+    counts = out.groupBy(*group, F.when(width > 0, at).otherwise(0).alias("bin")).agg(F.count("*").alias("n"), F.first(width).alias("_w"))
+    if density:  # a row for each bin of a group
+        counts = counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(*group)) / F.col("_w"))
+    return counts.drop("_w")
 
 
 def ecdf(df: DataFrame, col: str, group: list[str]) -> DataFrame:
     """Share of rows up to each distinct value."""
     counts = df.groupBy(*group, col).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
-    up = F.sum("_c").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("share", up / F.sum("_c").over(w)).drop("_c")
+    totals = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    placed = joined(running_total(counts, "_c", col, group=group, name="_b"), totals, group)
+    return placed.withColumn("share", (F.col("_b") + F.col("_c")) / F.col("_n")).drop("_c", "_b", "_n")
 
 
 def composition(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
@@ -58,6 +84,13 @@ def composition(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
     return counts.withColumn("percent", F.col("n") * 100 / F.sum("n").over(Window.partitionBy(*by)))
 
 
+def top_letters(df: DataFrame, seq: str, by: list[str], k: int) -> DataFrame:
+    """The k most frequent letters (ties by letter) of each group, with their place and the number of distinct letters."""
+    w = Window.partitionBy(*by)  # a row for each letter of a group
+    placed = composition(df, seq, by).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "letter"))).withColumn("letters", F.count("*").over(w))
+    return placed.where(F.col("place") <= k).select(*by, "letter", "n", "place", "letters")
+
+
 def composition_deviation(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """Observed minus expected percent for each letter; the expected table has one row a letter."""
     return observed.join(F.broadcast(expected), "letter").withColumn("difference", F.col("percent") - F.col("expected"))
@@ -101,19 +134,13 @@ def fold_change(df: DataFrame, group: str, ref: str, col: str) -> DataFrame:
 
 def sign_shares(df: DataFrame, col: str, group: list[str]) -> DataFrame:
     share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
-    q = [F.percentile(col, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return df.groupBy(*group).agg(share(F.col(col) > 0).alias("positive"), share(F.col(col) < 0).alias("negative"), *q)
+    return joined(df.groupBy(*group).agg(share(F.col(col) > 0).alias("positive"), share(F.col(col) < 0).alias("negative")), percentiles(df, col, QUARTILES, group), group)
 
 
 def significance_split(df: DataFrame, group: list[str], rho: str, p: str, level: float = 0.05) -> DataFrame:
     sure = F.col(p) < level
-    return df.groupBy(*group).agg(
-        F.count_if(sure & (F.col(rho) > 0)).alias("positive"),
-        F.count_if(sure & (F.col(rho) < 0)).alias("negative"),
-        F.count_if(~sure).alias("unsure"),
-        F.avg(rho).alias("mean_rho"),
-        F.percentile(rho, F.lit(0.5)).alias("median_rho"),
-    )
+    counts = df.groupBy(*group).agg(F.count_if(sure & (F.col(rho) > 0)).alias("positive"), F.count_if(sure & (F.col(rho) < 0)).alias("negative"), F.count_if(~sure).alias("unsure"), F.avg(rho).alias("mean_rho"))
+    return joined(counts, percentiles(df, rho, {"median_rho": 0.5}, group), group)
 
 
 def vector_mean(df: DataFrame, group: list[str], vec: str) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from manifoldry.operators import pairs
 from manifoldry.operators.joins import triangles
-from manifoldry.operators.order import top_k
+from manifoldry.operators.order import percentiles, top_k
+from manifoldry.operators.summary import joined
 from manifoldry.sources.store import settled
 
 
-def adaptive_threshold(df: DataFrame, k: int = 15, q: float = 0.9) -> DataFrame:
-    return pairs.knn(df, k).where(F.col("rank") == k).agg(F.percentile("dist", F.lit(q)).alias("threshold"))
+def adaptive_threshold(df: DataFrame, k: int = 15, q: float = 0.9, group: str | None = None) -> DataFrame:
+    """The q-th percentile of the distance to the k-th neighbour, over all rows or within each class or replicate."""
+    if group:
+        edges = pairs.knn(df, k, same=group).where(F.col("rank") == k).join(df.select(F.col("id").alias("src"), group), "src")
+        return percentiles(edges, "dist", {"threshold": q}, [group])
+    return percentiles(pairs.knn(df, k).where(F.col("rank") == k), "dist", {"threshold": q})
 
 
 def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
@@ -72,7 +77,8 @@ def interval_metrics(intervals: DataFrame, group: list[str]) -> DataFrame:
     # -sum(l/L ln(l/L)) = ln L - sum(l ln l) / L
     total = F.sum(positive)
     entropy = F.log(total) - F.sum(positive * F.log(positive)) / total
-    return length.groupBy(*group).agg(F.count("*").alias("n"), F.avg("l").alias("mean"), F.coalesce(entropy, F.lit(0.0)).alias("entropy"), F.percentile("l", F.lit(0.5)).alias("q50"), F.percentile("l", F.lit(0.9)).alias("q90"), F.max("l").alias("max"))
+    rest = length.groupBy(*group).agg(F.count("*").alias("n"), F.avg("l").alias("mean"), F.coalesce(entropy, F.lit(0.0)).alias("entropy"), F.max("l").alias("max"))
+    return joined(rest, percentiles(length, "l", {"q50": 0.5, "q90": 0.9}, group), group)
 
 
 def top_persistent(intervals: DataFrame, k: int, group: list[str]) -> DataFrame:
@@ -82,8 +88,7 @@ def top_persistent(intervals: DataFrame, k: int, group: list[str]) -> DataFrame:
 
 def curve_bands(curves: DataFrame, group: str, scale: str, value: str) -> DataFrame:
     """Median and quartiles over replicates at each scale."""
-    q = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return curves.groupBy(group, scale).agg(*q)
+    return percentiles(curves, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, [group, scale])
 
 
 def curve_summary(bands: DataFrame, group: str, scale: str) -> DataFrame:
@@ -94,6 +99,18 @@ def curve_summary(bands: DataFrame, group: str, scale: str) -> DataFrame:
     return bands.withColumn("_a", step).groupBy(group).agg(F.sum("_a").alias("area"), peak.alias("p")).select(group, F.col("p.s").alias("peak_at"), (-F.col("p.m")).alias("peak"), "area")
 
 
+def scale_range(intervals: DataFrame, group: list[str], steps: int, q: float = 0.99) -> DataFrame:
+    """(group, step, s): `steps` scales from 0 to the q-th percentile of the finite deaths of each group."""
+    top = percentiles(intervals.where(F.col("death") < float("inf")), "death", {"_top": q}, group)
+    at = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
+    return top.select(*group, "_top", at).withColumn("s", F.col("_top") * F.col("step") / (steps - 1)).drop("_top")
+
+
+def replicate_ellipse(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """Means and sample covariance of two measures over a group's replicates."""
+    return df.groupBy(group).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.covar_samp(x, x).alias("xx"), F.covar_samp(x, y).alias("xy"), F.covar_samp(y, y).alias("yy"))
+
+
 def replicate_ci(df: DataFrame, group: str, col: str) -> DataFrame:
     d = df.groupBy(group).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"))
     return d.withColumn("lower", F.col("mean") - 1.96 * F.col("std")).withColumn("upper", F.col("mean") + 1.96 * F.col("std"))

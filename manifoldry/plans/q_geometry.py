@@ -49,10 +49,11 @@ def v4(spark, sf):
 
 @query("v5_explained_variance")
 def v5(spark, sf):
-    """Share and cumulative share of each of all 64 components."""
+    """Share and cumulative share of each of all 64 components, and how many reach 90 and 95 percent; null if none do."""
     shares = G.pca(vectors(spark, sf), 64)[1]
     total = [sum(shares[: i + 1]) for i in range(len(shares))]
-    return spark.createDataFrame([(i + 1, s, t) for i, (s, t) in enumerate(zip(shares, total, strict=True))], "component int, share double, cumulative double")
+    n90, n95 = (G.components_needed(shares, level) for level in (0.90, 0.95))
+    return spark.createDataFrame([(i + 1, s, t, n90, n95) for i, (s, t) in enumerate(zip(shares, total, strict=True))], "component int, share double, cumulative double, n90 int, n95 int")
 
 
 @query("g1_local_scale", f"WITH {KNN} SELECT src, round(1 / avg(dist), 6) AS density, round(min(dist), 6) AS nearest, round(max(dist), 6) AS r_k FROM k WHERE rank <= 20 GROUP BY src")
@@ -66,12 +67,12 @@ def g2(spark, sf):
 
 
 @query("g3_curvature", f"""
-WITH {KNN}, e AS (SELECT src, dst, dist FROM k WHERE rank <= 5),
+WITH {KNN}, e AS (SELECT src, dst, dist FROM k WHERE rank <= 15),
 c AS (SELECT e.src, e.dst, e.dist, a.dst AS u, min(list_distance(x.vec, y.vec)) AS m FROM e JOIN e a ON a.src = e.src JOIN e b ON b.src = e.dst JOIN {VECTORS} x ON x.id = a.dst JOIN {VECTORS} y ON y.id = b.dst GROUP BY ALL)
 SELECT src, round(avg(k), 5) AS curvature FROM (SELECT src, dst, 1 - avg(m) / dist AS k FROM c GROUP BY src, dst, dist) GROUP BY src""")
 def g3(spark, sf):
     v = vectors(spark, sf)
-    return G.ricci_curvature(P.knn(v, 5), v).select("src", r(F.col("curvature"), 5).alias("curvature"))
+    return G.ricci_curvature(P.knn(v, 15), v).select("src", r(F.col("curvature"), 5).alias("curvature"))
 
 
 @query("g4_condition_number")
@@ -158,22 +159,24 @@ _GRID = "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FRO
 
 
 @query("d3_class_grid", f"""
-WITH p AS {POINTS}, {_GRID.format(n=24, m=23)}, s AS (SELECT label, count(*) AS n, covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(x, y) AS xy, pow(count(*), -1.0 / 3) AS f FROM p GROUP BY label HAVING count(*) >= 20),
-t AS (SELECT label, n, (xx * yy - xy * xy) * f * f AS d, xx * f AS xx, yy * f AS yy, xy * f AS xy FROM s)
-SELECT label, ix, iy, round(sum(exp(-(yy * (gx - x) ** 2 + xx * (gy - y) ** 2 - 2 * xy * (gx - x) * (gy - y)) / d / 2) / (n * 2 * pi() * sqrt(d))), 6) AS density FROM p JOIN t USING (label), c GROUP BY ALL""")
+WITH p AS {POINTS}, {_GRID.format(n=120, m=119)}, s AS (SELECT label, count(*) AS n, covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(x, y) AS xy, pow(count(*), -1.0 / 3) AS f FROM p GROUP BY label HAVING count(*) >= 20),
+t AS (SELECT label, n, (xx * yy - xy * xy) * f * f AS d, xx * f AS xx, yy * f AS yy, xy * f AS xy FROM s),
+e AS (SELECT label, ix, iy, sum(exp(-(yy * (gx - x) ** 2 + xx * (gy - y) ** 2 - 2 * xy * (gx - x) * (gy - y)) / d / 2) / (n * 2 * pi() * sqrt(d))) AS density FROM p JOIN t USING (label), c GROUP BY ALL),
+l AS (SELECT label, quantile_cont(density, 0.9) AS level FROM e WHERE density > 0 GROUP BY label)
+SELECT label, ix, iy, round(density, 6) AS density, density >= level AS inside FROM e JOIN l USING (label)""")
 def d3(spark, sf):
-    return D.kde_grid(points(spark, sf), 24, "label").select("label", "ix", "iy", r(F.col("density")).alias("density"))
+    return D.kde_grid(points(spark, sf), 120, "label").select("label", "ix", "iy", r(F.col("density")).alias("density"), "inside")
 
 
-_RASTER = f"WITH p AS {POINTS}, {_H}, {_GRID.format(n=40, m=39)}, r AS (SELECT ix, iy, log10(sum(exp(-((gx - x) ** 2 + (gy - y) ** 2) / (2 * h * h))) / (n * 2 * pi() * h * h) + 1e-60) AS value FROM p, c, h GROUP BY ix, iy, n, h)"
+_RASTER = f"WITH p AS {POINTS}, {_H}, {_GRID.format(n=200, m=199)}, r AS MATERIALIZED (SELECT ix, iy, log10(sum(exp(-((gx - x) ** 2 + (gy - y) ** 2) / (2 * h * h))) / (n * 2 * pi() * h * h) + 1e-60) AS value FROM p, c, h GROUP BY ix, iy, n, h)"
 
 
 @query("d4_raster", _RASTER + " SELECT ix, iy, round(value, 5) AS value FROM r")
 def d4(spark, sf):
-    return D.density_raster(points(spark, sf), 40).select("ix", "iy", r(F.col("value"), 5).alias("value"))
+    return D.density_raster(points(spark, sf), 200).select("ix", "iy", r(F.col("value"), 5).alias("value"))
 
 
-_MIRROR = "CASE WHEN (({a} + k) % 80 + 80) % 80 < 40 THEN (({a} + k) % 80 + 80) % 80 ELSE 79 - (({a} + k) % 80 + 80) % 80 END"
+_MIRROR = "CASE WHEN (({a} + k) % 400 + 400) % 400 < 200 THEN (({a} + k) % 400 + 400) % 400 ELSE 399 - (({a} + k) % 400 + 400) % 400 END"
 _SMOOTH = f""", w AS (SELECT k, exp(-k * k / 8.0) / sum(exp(-k * k / 8.0)) OVER () AS w FROM (SELECT unnest(range(-8, 9))::INT AS k)),
 s1 AS (SELECT a.ix, a.iy, sum(w * b.value) AS value FROM r a, w, r b WHERE b.iy = a.iy AND b.ix = {_MIRROR.format(a='a.ix')} GROUP BY ALL),
 s2 AS (SELECT a.ix, a.iy, sum(w * b.value) AS value FROM s1 a, w, s1 b WHERE b.ix = a.ix AND b.iy = {_MIRROR.format(a='a.iy')} GROUP BY ALL)"""
@@ -181,7 +184,7 @@ s2 AS (SELECT a.ix, a.iy, sum(w * b.value) AS value FROM s1 a, w, s1 b WHERE b.i
 
 @query("d5_smooth", _RASTER + _SMOOTH + " SELECT ix, iy, round(value, 5) AS value FROM s2")
 def d5(spark, sf):
-    return D.smooth_raster(D.density_raster(points(spark, sf), 40), 40).select("ix", "iy", r(F.col("value"), 5).alias("value"))
+    return D.smooth_raster(D.density_raster(points(spark, sf), 200), 200).select("ix", "iy", r(F.col("value"), 5).alias("value"))
 
 
 _GRAD = """, g1 AS (SELECT ix, iy, value, lag(value) OVER a AS xa, lead(value) OVER a AS xb, lag(value) OVER b AS ya, lead(value) OVER b AS yb FROM r WINDOW a AS (PARTITION BY iy ORDER BY ix), b AS (PARTITION BY ix ORDER BY iy)),
@@ -190,13 +193,13 @@ g AS (SELECT ix, iy, sqrt((CASE WHEN xa IS NULL THEN xb - value WHEN xb IS NULL
 
 @query("d6_gradient", _RASTER + _GRAD + " SELECT ix, iy, round(gradient, 4) AS gradient FROM g")
 def d6(spark, sf):
-    return D.raster_gradient(D.density_raster(points(spark, sf), 40)).select("ix", "iy", r(F.col("gradient"), 4).alias("gradient"))
+    return D.raster_gradient(D.density_raster(points(spark, sf), 200)).select("ix", "iy", r(F.col("gradient"), 4).alias("gradient"))
 
 
-@query("d7_point_gradient", _RASTER + _GRAD + " SELECT id, round(gradient, 4) AS gradient FROM p, b, g WHERE g.ix = floor((x - x0) / (x1 - x0) * 39 + 0.5)::INT AND g.iy = floor((y - y0) / (y1 - y0) * 39 + 0.5)::INT")
+@query("d7_point_gradient", _RASTER + _GRAD + " SELECT id, round(gradient, 4) AS gradient FROM p, b, g WHERE g.ix = floor((x - x0) / (x1 - x0) * 199 + 0.5)::INT AND g.iy = floor((y - y0) / (y1 - y0) * 199 + 0.5)::INT")
 def d7(spark, sf):
     p = points(spark, sf)
-    return D.point_gradient(p, D.raster_gradient(D.density_raster(p, 40)), 40).select("id", r(F.col("gradient"), 4).alias("gradient"))
+    return D.point_gradient(p, D.raster_gradient(D.density_raster(p, 200)), 200).select("id", r(F.col("gradient"), 4).alias("gradient"))
 
 
 _NEAR = f"k AS (SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 12), b.id) AS rank FROM {VECTORS} a, {VECTORS} b)"
@@ -234,14 +237,30 @@ def _clustered(spark, sf):
     return p.join(D.dbscan(p, 0.25, 5), "id")
 
 
-@query("d11_dbscan")
+#: Labels fall to the least in reach; a round of the recursion is a step along a link.
+_CLUSTERS = f"""
+WITH RECURSIVE p AS MATERIALIZED {POINTS}, c AS MATERIALIZED (SELECT id, x, y, floor(x / 0.25)::INT AS cx, floor(y / 0.25)::INT AS cy FROM p),
+n AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM c a, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), c b WHERE b.cx = a.cx + dx AND b.cy = a.cy + dy AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25 * 0.25),
+core AS MATERIALIZED (SELECT i AS id FROM n GROUP BY i HAVING count(*) >= 5),
+e AS MATERIALIZED (SELECT i, j FROM n WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
+w(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT i, m FROM (SELECT e.i, min(w.label) AS m FROM w JOIN e ON e.j = w.id GROUP BY e.i) JOIN recurring.w AS r ON r.id = i WHERE m < r.label),
+b AS (SELECT n.i AS id, min(label) AS label FROM n JOIN w ON w.id = n.j GROUP BY n.i),
+f AS (SELECT p.*, coalesce(w.label, b.label) AS root FROM p LEFT JOIN w USING (id) LEFT JOIN b ON b.id = p.id),
+k AS (SELECT *, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY root) - 1 END AS cluster FROM f)"""
+
+
+@query("d11_dbscan", _CLUSTERS + " SELECT id, cluster FROM k")
 def d11(spark, sf):
-    return _clustered(spark, sf).select("id", "cluster")
+    return _clustered(spark, sf).select("id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query("d12_cluster_profile")
+@query("d12_cluster_profile", _CLUSTERS + """, m AS (SELECT cluster, label AS dominant FROM k GROUP BY cluster, label QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) = 1)
+SELECT cluster, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(x * y), 6) AS mean_density, round(avg(x - y), 6) AS mean_curvature, any_value(dominant) AS dominant, (SELECT count(*) FROM k WHERE cluster = -1) AS n_noise FROM k JOIN m USING (cluster) WHERE cluster >= 0 GROUP BY cluster""")
 def d12(spark, sf):
-    return D.cluster_profile(_clustered(spark, sf), "cluster", "label")
+    """Two measures of each point stand for its density and curvature."""
+    c = _clustered(spark, sf).withColumn("density", F.col("x") * F.col("y")).withColumn("curvature", F.col("x") - F.col("y"))
+    d = D.cluster_profile(c, "cluster", "label", ["density", "curvature"])
+    return d.select(F.col("cluster").cast("long").alias("cluster"), "n", *[r(F.col(x)).alias(x) for x in ("x", "y", "mean_density", "mean_curvature")], "dominant", "n_noise")
 
 
 @query("t1_adaptive_scale", f"WITH {KNN} SELECT round(quantile_cont(dist, 0.9), 6) AS threshold FROM k WHERE rank = 15")
@@ -249,9 +268,13 @@ def t1(spark, sf):
     return H.adaptive_threshold(vectors(spark, sf)).select(r(F.col("threshold")).alias("threshold"))
 
 
-@query("t2_lifetimes")
+@query("t2_lifetimes", f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT id, vec FROM {VECTORS}), root AS (SELECT id, vec FROM v ORDER BY id LIMIT 1),
+w AS (SELECT 0 AS t, v.id, v.vec, list_distance(v.vec, root.vec) AS best FROM v, root WHERE v.id <> root.id
+  UNION ALL SELECT t + 1, id, vec, least(best, list_distance(vec, near)) FROM (SELECT *, first_value(id) OVER o AS c, first_value(vec) OVER o AS near FROM w WINDOW o AS (ORDER BY best, id)) WHERE id <> c)
+SELECT 0.0::DOUBLE AS birth, round(min(best), 6) AS death FROM w GROUP BY t UNION ALL SELECT 0.0, 'inf'::DOUBLE""")
 def t2(spark, sf):
-    return H.h0_persistence(vectors(spark, sf))
+    return H.h0_persistence(vectors(spark, sf)).select("birth", r(F.col("death")).alias("death"))
 
 
 @query("t3_scale_counts", f"""
@@ -275,6 +298,24 @@ def t5(spark, sf):
     return H.top_persistent(intervals(spark, sf), 10, ["g"]).select("g", r(F.col("persistence"), 5).alias("persistence"), "place")
 
 
+@query("t1_by_class", f"""
+WITH k AS (SELECT a.id, a.label, list_distance(a.vec, b.vec) AS dist FROM {VECTORS} a JOIN {VECTORS} b ON a.label = b.label AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 12), b.id) = 15)
+SELECT label, round(quantile_cont(dist, 0.9), 6) AS threshold FROM k GROUP BY label""")
+def t1_class(spark, sf):
+    return H.adaptive_threshold(vectors(spark, sf), group="label").select("label", r(F.col("threshold")).alias("threshold"))
+
+
+@query("t6_scale_range", f"SELECT g, step, round(top * step / 19, 5) AS s FROM (SELECT g, quantile_cont(death, 0.99) AS top FROM {_INTERVALS} GROUP BY g), (SELECT unnest(range(20))::INT AS step)")
+def t6_range(spark, sf):
+    return H.scale_range(intervals(spark, sf), ["g"], 20).select("g", "step", r(F.col("s"), 5).alias("s"))
+
+
+@query("t7_ellipse", "SELECT g, round(avg(x), 5) AS mean_x, round(avg(y), 5) AS mean_y, round(covar_samp(x, x), 5) AS xx, round(covar_samp(x, y), 5) + 0.0 AS xy, round(covar_samp(y, y), 5) AS yy FROM (SELECT l_returnflag AS g, l_suppkey % 10 AS rep, avg(l_quantity) AS x, avg(l_tax) * 100 AS y FROM lineitem GROUP BY ALL) GROUP BY g")
+def t7_ellipse(spark, sf):
+    m = T(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") % 10).alias("rep")).agg(F.avg("l_quantity").alias("x"), (F.avg("l_tax") * 100).alias("y"))
+    return H.replicate_ellipse(m, "g", "x", "y").select("g", *[r(F.col(c), 5).alias(c) for c in ("mean_x", "mean_y", "xx", "xy", "yy")])
+
+
 _CURVES = "(SELECT l_returnflag AS g, l_linenumber AS s, l_suppkey % 10 AS rep, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 _BANDS = f"(SELECT g, s, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q75 FROM {_CURVES} GROUP BY ALL)"
 

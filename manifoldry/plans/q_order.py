@@ -64,9 +64,9 @@ def w3(spark, sf):
     return W.merge_intervals(i, "id")
 
 
-@query("w4_quota", "SELECT lang, least(count(*), 50) AS n FROM documents WHERE n_chars >= 40 GROUP BY ALL")
+@query("w4_quota", "SELECT lang, doc_id FROM documents WHERE n_chars >= 40 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= 50")
 def w4(spark, sf):
-    return W.quota_sample(T(spark, sf, "documents").where("n_chars >= 40").select("doc_id", "lang"), "lang", "doc_id", 50).groupBy("lang").agg(F.count("*").alias("n"))
+    return W.quota_sample(T(spark, sf, "documents").where("n_chars >= 40").select("lang", "doc_id"), "lang", "doc_id", 50)
 
 
 @query("w5_even_sample", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE i IN (SELECT floor(k * n / 100.0)::BIGINT FROM (SELECT unnest(range(100)) AS k), (SELECT count(*) AS n FROM orders))")
@@ -81,10 +81,8 @@ def w6(spark, sf):
 
 @query("w7_cumulative", "SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_tax) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax ROWS UNBOUNDED PRECEDING), 6) AS phase FROM lineitem")
 def w7(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax").rowsBetween(Window.unboundedPreceding, 0)
-    return T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r(F.sum("l_tax").over(w)).alias("phase"))
+    d = W.cumulative_phase(T(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"], "l_tax")
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", r(F.col("phase")).alias("phase"))
 
 
 @query("w8_adjacent_cosine", f"""
@@ -142,14 +140,33 @@ def w12(spark, sf):
     return spearman(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey"], least=5).select("l_orderkey", "n", r(F.col("rho"), 5).alias("rho"))
 
 
-@query("w13_sample", "SELECT 200::BIGINT AS n, 200::BIGINT AS keys")
+@query("w12_aligned", """
+WITH a AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) AS x FROM lineitem WHERE l_orderkey % 4 <> 1 GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_extendedprice) AS y FROM lineitem WHERE l_orderkey % 4 <> 2 GROUP BY ALL),
+n AS (SELECT k, na, nb FROM (SELECT k, count(*) AS na FROM a GROUP BY k) FULL JOIN (SELECT k, count(*) AS nb FROM b GROUP BY k) USING (k)),
+s AS (SELECT k, CASE WHEN nb IS NULL THEN 'no_right' WHEN na IS NULL THEN 'no_left' WHEN least(na, nb) < 5 THEN 'short' ELSE 'ok' END AS outcome FROM n),
+p AS (SELECT k, x, y FROM a JOIN b USING (k, i) JOIN s USING (k) WHERE outcome = 'ok'),
+r AS (SELECT k, y, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0 AS ry FROM p),
+c AS (SELECT k, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho, avg(y) AS m FROM r GROUP BY k)
+SELECT outcome, count(*) AS n, round(avg(rho), 5) AS mean_rho, round(avg(m), 3) AS mean_error FROM s LEFT JOIN c USING (k) GROUP BY outcome""")
+def w12_aligned(spark, sf):
+    """Two measures of each order's lines, one missing for every fourth order; skipped orders are counted by reason."""
+    li = T(spark, sf, "lineitem")
+    a = li.where("l_orderkey % 4 <> 1").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.min("l_quantity").alias("x"))
+    b = li.where("l_orderkey % 4 <> 2").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.min("l_extendedprice").alias("y"))
+    d = W.aligned_correlation(a, b, "k", "i", "x", "y")
+    return d.groupBy("outcome").agg(F.count("*").alias("n"), r(F.avg("rho"), 5).alias("mean_rho"), r(F.avg("mean"), 3).alias("mean_error"))
+
+
+@query("w13_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 200")
 def w13(spark, sf):
-    return W.sample_n(T(spark, sf, "orders").select("o_orderkey"), 200, "o_orderkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    return W.sample_n(T(spark, sf, "orders").select("o_orderkey"), 200, "o_orderkey")
 
 
-@query("w14_bootstrap", "SELECT lang, rep, 100::BIGINT AS n FROM (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 100), (SELECT unnest(range(20))::INT AS rep)")
+@query("w14_bootstrap", """
+WITH b AS (SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 100))
+SELECT lang, rep, doc_id FROM b, (SELECT unnest(range(20))::INT AS rep) QUALIFY row_number() OVER (PARTITION BY rep, lang ORDER BY md5('42:' || rep || ':' || doc_id), doc_id) <= 100""")
 def w14(spark, sf):
-    return W.bootstrap(T(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 100, 20).groupBy("lang", "rep").agg(F.count_distinct("doc_id").alias("n"))
+    return W.bootstrap(T(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 100, 20).select("lang", "rep", "doc_id")
 
 
 @query("w15_top_k", "SELECT o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders) WHERE place <= 10")
@@ -162,6 +179,9 @@ def w16(spark, sf):
     return W.representatives(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey")
 
 
-@query("w17_recurring", "SELECT o_orderstatus, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3 GROUP BY ALL")
+@query("w17_recurring", """
+WITH k AS (SELECT DISTINCT o_custkey AS panel, o_orderstatus || '/' || o_orderpriority AS item FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5)
+SELECT x.item AS a, y.item AS b, count(*) AS n FROM k x JOIN k y ON x.panel = y.panel AND x.item < y.item GROUP BY ALL HAVING count(*) >= 2""")
 def w17(spark, sf):
-    return W.top_k(T(spark, sf, "orders"), 3, [F.desc("o_totalprice"), F.asc("o_orderkey")], ["o_custkey"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    o = T(spark, sf, "orders").select(F.col("o_custkey").alias("panel"), F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("item"), "o_totalprice", "o_orderkey")
+    return W.recurring_pairs(o, "panel", "item", [F.desc("o_totalprice"), F.asc("o_orderkey")], 5, 2)

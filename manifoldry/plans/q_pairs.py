@@ -9,7 +9,7 @@ from manifoldry.operators import stats as R
 from manifoldry.plans.common import VECTORS, T, r, vectors
 from manifoldry.plans.registry import query
 
-KNN = f"k AS (SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 12), b.id) AS rank FROM {VECTORS} a, {VECTORS} b WHERE a.id <> b.id)"
+KNN = f"k AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 12), b.id) AS rank FROM {VECTORS} a, {VECTORS} b WHERE a.id <> b.id)"
 LOW = "(SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS vec, label FROM embeddings)"
 
 
@@ -35,23 +35,21 @@ def j12(spark, sf):
     return P.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0")).select("src", "dst", r(F.col("dist")).alias("dist"))
 
 
-@query("j15_random_pairs")
-def j15(spark, sf):
-    """1000 random pairs of distinct vectors, drawn by hash, and their distances."""
-    from manifoldry.operators.order import with_index
+_DRAW = "('0x' || substr(md5('{s}:' || draw), 1, 12))::BIGINT"
+
 
-    v = with_index(vectors(spark, sf).select("id", "vec"), "id").persist()
-    n = v.count()
-    a = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n))
-    draws = spark.range(1000).select(a.alias("a"), F.pmod(a + 1 + F.pmod(F.xxhash64("id", F.lit(2)), F.lit(max(1, n - 1))), F.lit(n)).alias("b"), F.col("id").alias("draw"))
-    left, right = (v.select(F.col("index").alias(k), F.col("id").alias(f"id_{k}"), F.col("vec").alias(f"v{k}")) for k in "ab")
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return draws.join(left, "a").join(right, "b").select("draw", "id_a", "id_b", d.alias("dist"))
+@query("j15_random_pairs", f"""
+WITH v AS (SELECT id, vec, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM {VECTORS}), d AS (SELECT unnest(range(1000)) AS draw, (SELECT count(*) FROM embeddings) AS n),
+a AS (SELECT draw, n, {_DRAW.format(s=1)} % n AS a, 1 + {_DRAW.format(s=2)} % (n - 1) AS step FROM d)
+SELECT draw, x.id AS id_a, y.id AS id_b, round(list_distance(x.vec, y.vec), 6) AS dist FROM a JOIN v x ON x.i = a.a JOIN v y ON y.i = (a.a + step) % a.n""")
+def j15(spark, sf):
+    """1000 pairs of distinct vectors, drawn by seeded hash, and their distances."""
+    return P.random_pairs(vectors(spark, sf), 1000).withColumn("dist", r(F.col("dist")))
 
 
-@query("j17_triangles", f"WITH {KNN}, e AS (SELECT src, dst FROM k WHERE rank <= 5 AND src < dst) SELECT x.src AS i, x.dst AS j, y.dst AS k FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN e z ON z.src = x.dst AND z.dst = y.dst")
+@query("j17_triangles", f"WITH {KNN}, e AS MATERIALIZED (SELECT src, dst FROM k WHERE rank <= 15 AND src < dst) SELECT x.src AS i, x.dst AS j, y.dst AS k FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN e z ON z.src = x.dst AND z.dst = y.dst")
 def j17(spark, sf):
-    return J.triangles(P.knn(vectors(spark, sf), 5))
+    return J.triangles(P.knn(vectors(spark, sf), 15))
 
 
 _SIL = """
@@ -70,15 +68,25 @@ def q2(spark, sf):
     return Q.silhouette_delta(vectors(spark, sf), low(spark, sf), "label").select("id", "label", r(F.col("delta")).alias("delta"))
 
 
-@query("q3_preservation", f"WITH {KNN}, " + KNN.replace("k AS (", "l AS (", 1).replace(VECTORS, LOW) + " SELECT round(count(*) / (15.0 * (SELECT count(*) FROM embeddings)), 6) AS preservation FROM k JOIN l USING (src, dst) WHERE k.rank <= 15 AND l.rank <= 15")
+@query("q2_class_change", "WITH " + _SIL.format(v=VECTORS, n="z") + ", " + _SIL.format(v=LOW, n="y") + """, d AS (SELECT z.label, z.silhouette AS b, y.silhouette AS a, y.silhouette - z.silhouette AS delta FROM z JOIN y USING (id)), c AS (SELECT quantile_cont(abs(delta), 0.99) AS cut FROM d)
+SELECT label, count(*) AS n, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after, round(stddev_samp(delta), 6) AS std_delta, count(*) FILTER (abs(delta) > cut) AS n_outliers, round((avg(a) - avg(b)) / abs(avg(b)) * 100, 3) AS percent_change,
+  round(quantile_cont(delta, 0.05), 6) + 0.0 AS q05, round(quantile_cont(delta, 0.5), 6) + 0.0 AS q50, round(quantile_cont(delta, 0.95), 6) + 0.0 AS q95 FROM d, c GROUP BY label""")
+def q2_change(spark, sf):
+    d = Q.silhouette_change(Q.silhouette_delta(vectors(spark, sf), low(spark, sf), "label"), "label")
+    return d.select("label", "n", *[r(F.col(c)).alias(c) for c in ("mean_before", "mean_after", "std_delta")], "n_outliers", r(F.col("percent_change"), 3).alias("percent_change"), *[r(F.col(c)).alias(c) for c in ("q05", "q50", "q95")])
+
+
+@query("q3_preservation", f"WITH {KNN}, " + KNN.replace("k AS MATERIALIZED (", "l AS MATERIALIZED (", 1).replace(VECTORS, LOW) + " SELECT round(count(*) / (15.0 * (SELECT count(*) FROM embeddings)), 6) AS preservation FROM k JOIN l USING (src, dst) WHERE k.rank <= 15 AND l.rank <= 15")
 def q3(spark, sf):
     return Q.neighborhood_preservation(vectors(spark, sf), low(spark, sf)).select(r(F.col("preservation")).alias("preservation"))
 
 
 @query("q4_distance_correlation", f"""
-WITH p AS (SELECT round(list_distance(a.vec, b.vec), 9) AS x, round(list_distance(c.vec, d.vec), 9) AS y FROM {VECTORS} a JOIN {VECTORS} b ON a.id < b.id JOIN {LOW} c ON c.id = a.id JOIN {LOW} d ON d.id = b.id)
+WITH s AS MATERIALIZED (SELECT a.id, a.vec, b.vec AS low FROM {VECTORS} a JOIN {LOW} b USING (id) ORDER BY md5('42:' || id), id LIMIT 2000),
+p AS (SELECT round(list_distance(a.vec, b.vec), 9) AS x, round(list_distance(a.low, b.low), 9) AS y FROM s a JOIN s b ON a.id < b.id)
 SELECT count(*) AS n_pairs, round(corr(rx, ry), 5) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)""")
 def q4(spark, sf):
+    """Of 2,000 rows in seeded order, the operator's own sample; all rows where there are no more."""
     return Q.distance_correlation(vectors(spark, sf), low(spark, sf), 2000).select("n_pairs", r(F.col("rho"), 5).alias("rho"))
 
 
@@ -96,15 +104,22 @@ WITH f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY id) - 1) %
 k AS (SELECT a.id, a.fold, a.label AS own, b.label, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 12), b.id) AS rank FROM f a, f b WHERE a.fold <> b.fold),
 v AS (SELECT id, fold, own, label, count(*) AS c FROM k WHERE rank <= 5 GROUP BY ALL),
 s AS (SELECT id, fold, own, arg_min(label, (-c, label)) AS said FROM v GROUP BY ALL)
-SELECT fold::INT AS fold, round(avg(r), 6) AS balanced_accuracy FROM (SELECT fold, own, avg((said = own)::INT) AS r FROM s GROUP BY ALL) GROUP BY fold""")
+SELECT fold::INT AS fold, round(a, 6) AS balanced_accuracy, round(avg(a) OVER (), 6) AS mean, round(stddev_pop(a) OVER (), 6) AS std FROM (SELECT fold, avg(r) AS a FROM (SELECT fold, own, avg((said = own)::INT) AS r FROM s GROUP BY ALL) GROUP BY fold)""")
 def q6(spark, sf):
-    return Q.knn_cv(vectors(spark, sf), "label").withColumn("balanced_accuracy", r(F.col("balanced_accuracy")))
+    return Q.knn_cv(vectors(spark, sf), "label").select("fold", *[r(F.col(c)).alias(c) for c in ("balanced_accuracy", "mean", "std")])
 
 
-@query("v6_seed_stability")
+_SEEDS = """
+WITH s AS MATERIALIZED (SELECT seed, a.id, a.vec, b.vec AS low FROM {v} a JOIN {l} b USING (id), (SELECT unnest([1, 2, 3, 4, 5]) AS seed) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || id), id) <= {n}),
+p AS (SELECT a.seed, round(list_distance(a.vec, b.vec), 9) AS x, round(list_distance(a.low, b.low), 9) AS y FROM s a JOIN s b ON a.seed = b.seed AND a.id < b.id),
+c AS (SELECT seed, corr(rx, ry) AS rho FROM (SELECT seed, rank() OVER (PARTITION BY seed ORDER BY x) + (count(*) OVER (PARTITION BY seed, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY seed ORDER BY y) + (count(*) OVER (PARTITION BY seed, y) - 1) / 2.0 AS ry FROM p) GROUP BY seed)"""
+
+
+@query("v6_seed_stability", _SEEDS.format(v=VECTORS, l=LOW, n=200) + " SELECT seed::INT AS seed, round(rho, 5) AS rho, round(avg(rho) OVER (), 5) AS mean, round(stddev_samp(rho) OVER (), 5) AS std FROM c")
 def v6(spark, sf):
-    """Distance correlation of 200 rows for each of five seeds."""
-    return Q.seed_stability(vectors(spark, sf), low(spark, sf), 200, [1, 2, 3, 4, 5])
+    """Distance correlation of a sample of 200 rows, the operator's feature, for each of five seeds; mean and deviation over the seeds."""
+    d = Q.seed_stability(vectors(spark, sf), low(spark, sf), 200, [1, 2, 3, 4, 5])
+    return d.select("seed", *[r(F.col(c), 5).alias(c) for c in ("rho", "mean", "std")])
 
 
 _RANK = "(rank() OVER ({p} ORDER BY {c}) + (count(*) OVER (PARTITION BY {g}{c}) - 1) / 2.0)"
@@ -124,6 +139,25 @@ def r2(spark, sf):
     return R.spearman_matrix(T(spark, sf, "lineitem"), _VARS, "l_returnflag").select("l_returnflag", "a", "b", "n", r(F.col("rho")).alias("rho"))
 
 
+#: Two-sided p of t and df: Simpson's rule over the density from 0 to |t|.
+_T_P = "1 - 2 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma(({d} + 1) / 2.0) - lgamma({d} / 2.0) - ln({d} * pi()) / 2 - ({d} + 1) / 2.0 * ln(1 + (i * {t} / 2000) ** 2 / {d}))) * {t} / 6000 FROM (SELECT unnest(range(2001)) AS i))"
+_NORMAL = "(SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((i * {z} / 2000) ** 2) / 2)) * {z} / 6000 / sqrt(2 * pi()) FROM (SELECT unnest(range(2001)) AS i))"
+_C_VARS = ["c_acctbal", "c_nationkey", "c_custkey"]
+_C_LONG = " UNION ALL ".join(f"SELECT c_mktsegment AS panel, '{x}' AS a, '{y}' AS b, {x}::DOUBLE AS u, {y}::DOUBLE AS v FROM c" for i, x in enumerate(_C_VARS) for y in _C_VARS[i + 1 :])
+
+
+@query("r2_strongest", f"""
+WITH c AS (SELECT c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal, c_nationkey, c_custkey FROM customer), l AS ({_C_LONG}),
+k AS (SELECT panel, a, b, {_RANK.format(p='PARTITION BY panel, a, b', c='u', g='panel, a, b, ')} AS x, {_RANK.format(p='PARTITION BY panel, a, b', c='v', g='panel, a, b, ')} AS y FROM l WHERE u IS NOT NULL AND v IS NOT NULL),
+s AS (SELECT panel, a, b, count(*) AS n, corr(x, y) AS rho FROM k GROUP BY ALL HAVING count(*) >= 11), t AS (SELECT *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM s), p AS (SELECT *, {_T_P.format(t='t.t', d='(n - 2)')} AS p FROM t)
+SELECT panel AS c_mktsegment, arg_min(a, (-abs(rho), a, b)) AS a, arg_min(b, (-abs(rho), a, b)) AS b, round(arg_min(rho, (-abs(rho), a, b)), 6) AS rho, round(arg_min(p, (-abs(rho), a, b)), 5) AS p,
+  coalesce(list(a || '~' || b ORDER BY -abs(rho), a, b) FILTER (p < 0.05), []) AS significant FROM p GROUP BY panel""")
+def r2_strongest(spark, sf):
+    """Strongest pair and significant pairs of each panel; balances count where they are positive."""
+    m = R.spearman_matrix(T(spark, sf, "customer"), _C_VARS, "c_mktsegment", p=True, mask={"c_acctbal": "c_acctbal"})
+    return R.strongest(m, "c_mktsegment").withColumn("rho", r(F.col("rho"))).withColumn("p", r(F.col("p"), 5))
+
+
 @query("r3_pearson", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY ALL")
 def r3(spark, sf):
     return T(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
@@ -147,6 +181,32 @@ def r5(spark, sf):
     return R.mann_whitney(T(spark, sf, "lineitem"), "l_returnflag", "A", "l_extendedprice").select("l_returnflag", "n1", "n2", r(F.col("u"), 3).alias("u"))
 
 
+_C_PAIR = "(SELECT s.g, c_acctbal AS v, (c_mktsegment = 'BUILDING')::INT AS is_ref FROM customer, (SELECT DISTINCT c_mktsegment AS g FROM customer WHERE c_mktsegment <> 'BUILDING') s WHERE c_mktsegment IN ('BUILDING', s.g))"
+
+
+@query("r5_one_sided", f"""
+WITH k AS (SELECT *, {_RANK.format(p='PARTITION BY g', c='v', g='g, ')} AS k FROM {_C_PAIR}), n AS (SELECT g, count(*) FILTER (is_ref = 0) AS n1, count(*) FILTER (is_ref = 1) AS n2, sum(k) FILTER (is_ref = 0) AS s FROM k GROUP BY g),
+t AS (SELECT g, sum(c ** 3 - c) AS ties FROM (SELECT g, v, count(*)::DOUBLE AS c FROM k GROUP BY ALL) GROUP BY g),
+z AS (SELECT g, (s - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) AS off, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sd FROM n JOIN t USING (g)),
+y AS (SELECT g, (off - 0.5) / sd AS z1, greatest(0, abs(off) - 0.5) / sd AS z2 FROM z)
+SELECT g AS c_mktsegment, round(0.5 - {_NORMAL.format(z='y.z1')}, 5) AS p_greater, round(1 - 2 * {_NORMAL.format(z='y.z2')}, 5) AS p FROM y""")
+def r5_one_sided(spark, sf):
+    c = T(spark, sf, "customer")
+    one, two = (R.mann_whitney(c, "c_mktsegment", "BUILDING", "c_acctbal", p=True, greater=g).select("c_mktsegment", r(F.col("p"), 5).alias(n)) for g, n in ((True, "p_greater"), (False, "p")))
+    return one.join(two, "c_mktsegment")
+
+
+@query("r6_shift", f"""
+WITH d AS (SELECT g, v, sum(1 - is_ref) OVER w / sum(1 - is_ref) OVER (PARTITION BY g) AS a, sum(is_ref) OVER w / sum(is_ref) OVER (PARTITION BY g) AS b, sum(1 - is_ref) OVER (PARTITION BY g) AS n1, sum(is_ref) OVER (PARTITION BY g) AS n2 FROM {_C_PAIR} WINDOW w AS (PARTITION BY g ORDER BY v)),
+x AS (SELECT g, max(abs(a - b)) AS d, max(abs(a - b)) * sqrt(any_value(n1) * any_value(n2) / (any_value(n1) + any_value(n2))) AS x FROM d GROUP BY g),
+m AS (SELECT c_mktsegment AS g, median(c_acctbal) AS m FROM customer GROUP BY ALL)
+SELECT g AS c_mktsegment, round(d, 6) AS d, sign(m - (SELECT m FROM m WHERE g = 'BUILDING'))::INT AS direction,
+  round(CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, (SELECT 2 * sum((CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * x * x)) FROM (SELECT unnest(range(1, 101)) AS i)))) END, 5) AS p FROM x JOIN m USING (g)""")
+def r6_shift(spark, sf):
+    d = R.ks_two_sample(T(spark, sf, "customer"), "c_mktsegment", "BUILDING", "c_acctbal", p=True)
+    return d.select("c_mktsegment", r(F.col("d")).alias("d"), "direction", r(F.col("p"), 5).alias("p"))
+
+
 @query("r6_kolmogorov_smirnov", f"SELECT g AS l_returnflag, round(max(abs(a - b)), 6) AS d FROM (SELECT g, v, sum(1 - is_ref) OVER w / sum(1 - is_ref) OVER (PARTITION BY g) AS a, sum(is_ref) OVER w / sum(is_ref) OVER (PARTITION BY g) AS b FROM {_PAIR} WINDOW w AS (PARTITION BY g ORDER BY v)) GROUP BY ALL")
 def r6(spark, sf):
     return R.ks_two_sample(T(spark, sf, "lineitem"), "l_returnflag", "A", "l_extendedprice").select("l_returnflag", r(F.col("d")).alias("d"))
@@ -156,9 +216,10 @@ def r6(spark, sf):
 WITH k AS (SELECT l_returnflag AS g, l_quantity AS v, {_RANK.format(p='', c='l_quantity', g='')} AS r FROM lineitem), c AS (SELECT count(*)::DOUBLE AS n, sum(r) AS s FROM k GROUP BY g),
 t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY v)), o AS (SELECT sum(n) AS n, count(*) AS k, sum(s * s / n) AS q FROM c),
 h AS (SELECT n, k, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h FROM o, t)
-SELECT n::BIGINT AS n, k, round(h, 4) AS h, round((h - k + 1) / (n - k), 6) AS eta2, (h - k + 1) / (n - k) < 0.06 AS small FROM h""")
+SELECT n::BIGINT AS n, k, round(h, 4) AS h, round((h - k + 1) / (n - k), 6) AS eta2, (h - k + 1) / (n - k) < 0.06 AS small, round(exp(-h / 2), 5) AS p FROM h""")
 def r7(spark, sf):
-    return R.kruskal(T(spark, sf, "lineitem"), "l_returnflag", "l_quantity").select("n", "k", r(F.col("h"), 4).alias("h"), r(F.col("eta2")).alias("eta2"), "small")
+    """With three classes, p is exp(-h / 2)."""
+    return R.kruskal(T(spark, sf, "lineitem"), "l_returnflag", "l_quantity", p=True).select("n", "k", r(F.col("h"), 4).alias("h"), r(F.col("eta2")).alias("eta2"), "small", r(F.col("p"), 5).alias("p"))
 
 
 _TWO = "SELECT avg(x) FILTER (g = 'A') AS m1, avg(x) FILTER (g = 'R') AS m2, var_samp(x) FILTER (g = 'A') AS v1, var_samp(x) FILTER (g = 'R') AS v2, var_pop(x) FILTER (g = 'A') AS p1, var_pop(x) FILTER (g = 'R') AS p2, count(*) FILTER (g = 'A') AS n1, count(*) FILTER (g = 'R') AS n2 FROM (SELECT l_returnflag AS g, l_extendedprice AS x FROM lineitem)"
@@ -169,6 +230,11 @@ def r8(spark, sf):
     return R.t_test(T(spark, sf, "lineitem"), "l_returnflag", "A", "R", "l_extendedprice").select(r(F.col("t")).alias("t"), "df")
 
 
+@query("r8_p", f"WITH s AS ({_TWO.replace('l_returnflag', 'c_mktsegment').replace('l_extendedprice', 'c_acctbal').replace('FROM lineitem', 'FROM customer').replace(chr(39) + 'A' + chr(39), chr(39) + 'BUILDING' + chr(39)).replace(chr(39) + 'R' + chr(39), chr(39) + 'MACHINERY' + chr(39))}), t AS (SELECT abs((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2))) AS t, n1 + n2 - 2 AS df FROM s) SELECT round({_T_P.format(t='t.t', d='t.df')}, 5) AS p FROM t")
+def r8_p(spark, sf):
+    return R.t_test(T(spark, sf, "customer"), "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", p=True).select(r(F.col("p"), 5).alias("p"))
+
+
 @query("r9_cohens_d", f"SELECT round((m1 - m2) / sqrt(((n1 - 1) * p1 + (n2 - 1) * p2) / (n1 + n2 - 2)), 6) AS d FROM ({_TWO})")
 def r9(spark, sf):
     return R.cohens_d(T(spark, sf, "lineitem"), "l_returnflag", "A", "R", "l_extendedprice").select(r(F.col("d")).alias("d"))

@@ -38,6 +38,22 @@ def p3(spark, sf):
     return _keys(spark, sf).select("o_orderkey", S.taxonomy(F.col("key")).alias("category"))
 
 
+_SUBS = "['anchor', 'random', 'idp', 'knotted', 'fold_switching', 'other', NULL]"
+_CATS = "['extreme', 'anchor', 'control', 'extreme', NULL]"
+
+
+@query("p3_taxonomy_pairs", f"""
+SELECT o_orderkey, CASE WHEN s IN ('anchor', 'astral95', 'integrable', 'random', 'idp', 'knotted', 'fold_switching') THEN s ELSE 'unknown' END AS by_sub,
+  CASE WHEN c = 'extreme' THEN CASE WHEN s IN ('fold_switching', 'idp') THEN s ELSE 'knotted' END WHEN c = 'anchor' THEN c WHEN c = 'control' THEN 'random' ELSE 'unknown' END AS by_pair
+FROM (SELECT o_orderkey, {_SUBS}[o_custkey % 7 + 1] AS s, {_CATS}[o_orderkey % 5 + 1] AS c FROM orders)""")
+def p3_pairs(spark, sf):
+    o = T(spark, sf, "orders")
+    subs = F.array(*[F.lit(x) for x in ("anchor", "random", "idp", "knotted", "fold_switching", "other", None)])
+    cats = F.array(*[F.lit(x) for x in ("extreme", "anchor", "control", "extreme", None)])
+    d = o.select("o_orderkey", F.get(subs, (F.col("o_custkey") % 7).cast("int")).alias("s"), F.get(cats, (F.col("o_orderkey") % 5).cast("int")).alias("c"))
+    return d.select("o_orderkey", S.taxonomy_of_sub(F.col("s")).alias("by_sub"), S.taxonomy_of_pair(F.col("c"), F.col("s")).alias("by_pair"))
+
+
 @query("p4_source_key", f"""
 SELECT o_orderkey, lower(CASE WHEN cat = 'astral95' THEN CASE WHEN length(p) >= 5 THEN substr(p, 2, 4) END ELSE substr(p, 1, 4) END) AS source_key
 FROM (SELECT o_orderkey, split_part(key, '|', 1) AS cat, split_part(key, '|', 3) AS p FROM (SELECT o_orderkey, {_KEY} AS key FROM orders))""")
@@ -66,6 +82,17 @@ def p6(spark, sf):
     return d.groupBy("l_returnflag", F.coalesce(S.region_fault(F.col("s"), F.col("e"), F.lit(40)), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("p6_valid_records", """
+SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, l_linenumber * 5 - 4 AS s, l_linenumber * 5 + l_quantity::INT AS e FROM lineitem)
+GROUP BY l_orderkey HAVING bool_and(s <= e AND s >= 1 AND e <= 75)""")
+def p6_records(spark, sf):
+    """Any bad region drops its record."""
+    from manifoldry.operators.joins import valid_records
+
+    d = T(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 5 - 4).alias("s"), (F.col("l_linenumber") * 5 + F.col("l_quantity").cast("int")).alias("e"))
+    return valid_records(d, "l_orderkey", S.region_fault(F.col("s"), F.col("e"), F.lit(75))).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
 @query("p7_clean", f"SELECT doc_id, md5(translate(seq, 'UBZX', 'CNQ')) AS cleaned, md5(replace(seq, 'X', '')) AS letters FROM {SEQ}")
 def p7(spark, sf):
     s = F.col("seq")

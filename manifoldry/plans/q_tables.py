@@ -34,6 +34,19 @@ def j4(spark, sf):
     return J.lookup_fallback(T(spark, sf, "documents").select("doc_id"), first, second, "doc_id", "n")
 
 
+@query("j4_locate", """
+WITH t AS (SELECT c_custkey AS k, c_custkey % 3 AS m, upper(regexp_replace(c_name || c_mktsegment || c_mktsegment, '[^A-Za-z]', '', 'g')) AS seq FROM customer),
+f AS (SELECT k, m, seq, CASE WHEN k % 5 = 0 THEN 'QQQQQQ' ELSE substr(seq, 4, 6) END AS frag FROM t)
+SELECT k, CASE WHEN m < 2 AND k % 5 > 0 THEN strpos(seq, frag) END::INT AS start, CASE WHEN m < 2 AND k % 5 > 0 THEN strpos(seq, frag) + 5 END::INT AS "end",
+  CASE WHEN m = 2 THEN 'none' WHEN k % 5 = 0 THEN 'mismatch' WHEN m = 0 THEN 'first' ELSE 'second' END AS outcome FROM f""")
+def j4_locate(spark, sf):
+    """Fragments of sequences made of customers' names and segments, in two tables that hold a third of the keys each."""
+    name = F.upper(F.regexp_replace(F.concat("c_name", "c_mktsegment", "c_mktsegment"), "[^A-Za-z]", ""))
+    t = T(spark, sf, "customer").select(F.col("c_custkey").alias("k"), name.alias("seq"))
+    asked = t.select("k", F.when(F.col("k") % 5 == 0, "QQQQQQ").otherwise(F.substring("seq", 4, 6)).alias("frag"))
+    return J.locate_fallback(asked, t.where("k % 3 = 0"), t.where("k % 3 = 1"), "k", "frag", "seq").drop("frag")
+
+
 @query("j5_lookup_alt_key", "SELECT p_partkey, coalesce(s1.s_name, s2.s_name) AS name FROM part LEFT JOIN supplier s1 ON s1.s_suppkey = p_partkey LEFT JOIN supplier s2 ON s2.s_suppkey = p_size")
 def j5(spark, sf):
     names = T(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
@@ -131,6 +144,11 @@ def a5(spark, sf):
     return A.histogram(T(spark, sf, "lineitem"), "l_extendedprice", 30, ["l_returnflag"])
 
 
+@query("a5_density", "WITH v AS (SELECT l_returnflag, log10(l_extendedprice) AS x FROM lineitem WHERE l_extendedprice > 0), q AS (SELECT min(x) AS a, max(x) AS b FROM v), h AS (SELECT l_returnflag, least(floor((x - a) / ((b - a) / 30)), 29)::INT AS bin, count(*) AS n, any_value((b - a) / 30) AS w FROM v, q GROUP BY ALL) SELECT l_returnflag, bin, n, round(n / sum(n) OVER (PARTITION BY l_returnflag) / w, 6) AS density FROM h")
+def a5_density(spark, sf):
+    return A.histogram(T(spark, sf, "lineitem"), "l_extendedprice", 30, ["l_returnflag"], log=True, density=True).withColumn("density", r(F.col("density")))
+
+
 @query("a6_ecdf", "SELECT DISTINCT l_returnflag, l_quantity, round(cume_dist() OVER (PARTITION BY l_returnflag ORDER BY l_quantity), 6) AS share FROM lineitem")
 def a6(spark, sf):
     return A.ecdf(T(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"]).withColumn("share", r(F.col("share")))
@@ -144,6 +162,11 @@ def a7(spark, sf):
     return A.composition(sequences(spark, sf), "seq", ["lang"]).withColumn("percent", r(F.col("percent")))
 
 
+@query("a7_top_letters", f"SELECT lang, letter, n, place, letters FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, letter)::INT AS place, count(*) OVER (PARTITION BY lang) AS letters FROM {_LETTERS}) WHERE place <= 5")
+def a7_top(spark, sf):
+    return A.top_letters(sequences(spark, sf), "seq", ["lang"], 5)
+
+
 @query("a8_deviation", f"SELECT lang, letter, round(n * 100.0 / sum(n) OVER (PARTITION BY lang) - 100.0 / 26, 6) AS difference FROM {_LETTERS}")
 def a8(spark, sf):
     even = spark.range(26).select(F.char(F.col("id") + 65).alias("letter"), F.lit(100.0 / 26).alias("expected"))
@@ -205,7 +228,7 @@ def a16(spark, sf):
     return A.vector_mean(vectors(spark, sf), ["label"], "vec").select("label", F.transform("mean", lambda x: r(x)).alias("mean"))
 
 
-@query("a17_checks", "SELECT count(*) AS rows, count(DISTINCT vec_id) AS keys, 0::BIGINT AS repeated, 0::BIGINT AS not_finite FROM embeddings")
+@query("a17_checks", "SELECT sum(n)::BIGINT AS rows, count(*) AS keys, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS repeated, sum(bad)::BIGINT AS not_finite FROM (SELECT vec_id, count(*) AS n, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS bad FROM embeddings GROUP BY vec_id)")
 def a17(spark, sf):
     return A.quality_checks(vectors(spark, sf), "id", "vec")
 
