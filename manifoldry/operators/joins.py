@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from manifoldry.functions import scalars as S
 from manifoldry.operators.order import running_total
+from manifoldry.sources.store import settled
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -126,12 +127,18 @@ def kmer_profile(df: DataFrame, key: str, seq: str, k: int = 5) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str, seq: str, k: int = 5, threshold: float = 0.95) -> DataFrame:
-    """Pairs with sum(min) / sum(max) of their k-mer profiles over the threshold.
+    """Pairs (a, b, similarity) with sum(min) / sum(max) of their k-mer profiles over the threshold.
+
+    Equal sequences are one class, whose least key stands for it: pairs are those of such keys, and each other member is
+    paired with its class's at similarity 1. Copies of a sequence thus make as many rows as there are copies.
 
     Prefix filter: both profiles sum to 1, so the minimum must hold 2t / (1 + t). With k-mers ordered rare first, pairs
     that are this alike share a k-mer before 1 - 2t / (1 + t) of either profile's mass is used up; only those make candidates.
     """
-    p = kmer_profile(df, key, seq, k)
+    classes = settled(df.where(F.length(seq) >= k).select(F.col(key).alias("b"), F.sha2(seq, 256).alias("_s")), "sequences")
+    reps = classes.groupBy("_s").agg(F.min("b").alias("a"))
+    members = classes.join(reps, "_s").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    p = settled(kmer_profile(df.join(reps.select(F.col("a").alias(key)), key, "left_semi"), key, seq, k), "profiles")
     common = p.groupBy("kmer").agg(F.count("*").alias("df"))
     # sum(min) >= 2t/(1+t) for profiles that sum to 1; mass before a shared k-mer is lost to the minimum.
     lost = 1 - 2 * threshold / (1 + threshold)
@@ -142,7 +149,8 @@ def near_duplicates(df: DataFrame, key: str, seq: str, k: int = 5, threshold: fl
     pairs = a.join(b, "kmer").where("a < b").select("a", "b").distinct()
     pa, pb = (p.select(F.col(key).alias(n), F.col("kmer"), F.col("share").alias(f"s{n}")) for n in ("a", "b"))
     both = pairs.join(pa, "a").join(pb, ["b", "kmer"]).groupBy("a", "b").agg(F.sum(F.least("sa", "sb")).alias("low"))
-    return both.withColumn("similarity", F.col("low") / (2 - F.col("low"))).where(F.col("similarity") > threshold).drop("low")
+    links = both.withColumn("similarity", F.col("low") / (2 - F.col("low"))).where(F.col("similarity") > threshold)
+    return links.select("a", "b", "similarity").unionByName(members)
 
 
 def triangles(edges: DataFrame) -> DataFrame:

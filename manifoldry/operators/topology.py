@@ -55,7 +55,7 @@ def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
 def scale_counts(df: DataFrame, scales: list[float]) -> DataFrame:
     """(s, v, e, t, euler): points, pairs and triples within each scale. A triple counts from its longest side on."""
     v = df.count()
-    near = pairs.near(df, max(scales)).persist()
+    near = settled(pairs.near(df, max(scales)), "near")
     steps = F.array(*[F.lit(float(s)) for s in scales])
     first = F.array_position(F.transform(steps, lambda s: F.col("dist") <= s), True) - 1
     e = near.groupBy(first.alias("k")).agg(F.count("*").alias("e"))

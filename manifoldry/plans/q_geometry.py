@@ -13,6 +13,7 @@ from manifoldry.plans.q_pairs import KNN
 from manifoldry.plans.q_tables import _INTERVALS, intervals
 from manifoldry.plans.registry import query
 from manifoldry.sources import files as S
+from manifoldry.sources.store import settled
 from manifoldry.streaming.resume import pending
 
 _FLAT = f"(SELECT id, label, unnest(vec) AS v, unnest(range(64)) AS i FROM {VECTORS})"
@@ -90,14 +91,14 @@ def g5(spark, sf):
 @query("g6_angle_defect")
 def g6(spark, sf):
     v = vectors(spark, sf)
-    k = P.knn(v, 15).persist()
+    k = settled(P.knn(v, 15), "neighbours")
     return G.u1_defect(k, G.local_frame(k, v))
 
 
 @query("g7_frame_defect")
 def g7(spark, sf):
     v = vectors(spark, sf)
-    k = P.knn(v, 15).persist()
+    k = settled(P.knn(v, 15), "neighbours")
     return G.so_defect(k, G.local_frame(k, v))
 
 

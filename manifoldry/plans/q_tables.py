@@ -83,11 +83,12 @@ def j9(spark, sf):
 
 
 @query("j13_near_duplicates", f"""
-WITH k AS (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 3), lambda i: substr(seq, i, 5))) AS kmer FROM {SEQ}),
+WITH d AS MATERIALIZED (SELECT doc_id, seq, min(doc_id) OVER (PARTITION BY seq) AS rep FROM {SEQ} WHERE length(seq) >= 5),
+k AS (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 3), lambda i: substr(seq, i, 5))) AS kmer FROM d WHERE doc_id = rep),
 c AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY ALL),
 p AS (SELECT doc_id, kmer, n / (sum(n) OVER (PARTITION BY doc_id)) AS s FROM c),
 q AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.s, b.s)) AS low FROM p a JOIN p b ON a.kmer = b.kmer AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, round(low / (2 - low), 6) AS similarity FROM q WHERE low / (2 - low) > 0.95""")
+SELECT a, b, round(low / (2 - low), 6) AS similarity FROM q WHERE low / (2 - low) > 0.95 UNION ALL SELECT rep, doc_id, 1.0 FROM d WHERE rep <> doc_id""")
 def j13(spark, sf):
     return J.near_duplicates(sequences(spark, sf), "doc_id", "seq").select("a", "b", r(F.col("similarity")).alias("similarity"))
 
