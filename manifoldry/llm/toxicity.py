@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manifoldry.llm import tokens
-from manifoldry.llm.common import read, task
+from manifoldry.llm.common import materialise, read, task
 
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -85,27 +85,25 @@ def bags(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "buckets", "counts"])
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Log-odds weight of each bucket and the bias, from (label, buckets, counts). AdaGrad over documents in random order."""
-    size, positive = 1 << BUCKET_BITS, sum(y for y, _, _ in rows)
-    docs, docs_1 = np.zeros(size), np.zeros(size)
-    for y, buckets, _ in rows:
-        docs[buckets] += 1
-        docs_1[buckets] += y
-    rate = docs / len(rows)
-    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / positive + 1 / (len(rows) - positive)))
-    apart = np.abs(docs_1 / positive - (docs - docs_1) / (len(rows) - positive)) / error
-    kept = np.flatnonzero((docs >= MIN_DOCS) & (apart >= MIN_Z))
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-    share = []
-    for y, buckets, counts in rows:
-        at = place[buckets]
-        share.append((y, at[at >= 0], counts[at >= 0] / (counts.sum() + SMOOTH)))
-
-    stress = (1.0, TOXIC_SHARE / (1 - TOXIC_SHARE) * (len(rows) - positive) / positive)
+def shares(batches, kept: np.ndarray):
+    """doc_id, toxic, at, share: a bag's n-grams that are in `kept`, by their place there, and their shares of the whole bag."""
+    for batch in batches:
+        at, share = [], []
+        for buckets, counts in zip(batch.column("buckets"), batch.column("counts"), strict=True):
+            buckets, counts = np.asarray(buckets.values), np.asarray(counts.values)
+            place = np.searchsorted(kept, buckets)
+            good = (place < len(kept)) & (kept[np.minimum(place, len(kept) - 1)] == buckets) if len(kept) else np.zeros(len(buckets), bool)
+            at.append(place[good].astype(np.int32))
+            share.append(counts[good] / (counts.sum() + SMOOTH))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64()))], ["doc_id", "toxic", "at", "share"])
+
+
+def train(share: list[tuple[int, np.ndarray, np.ndarray]], n: int, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Log-odds weight of each of `n` n-grams and the bias, from (label, n-grams, shares). AdaGrad over documents in random order."""
+    positive = sum(y for y, _, _ in share)
+    stress = (1.0, TOXIC_SHARE / (1 - TOXIC_SHARE) * (len(share) - positive) / positive)
     rng = np.random.default_rng(seed)
-    emb, emb_sq = np.zeros((len(kept), DIM)), np.full((len(kept), DIM), 1e-12)
+    emb, emb_sq = np.zeros((n, DIM)), np.full((n, DIM), 1e-12)
     out, out_sq = rng.normal(0, 0.5, (DIM, 2)), np.full((DIM, 2), 1e-8)
     bias, bias_sq = np.zeros(2), np.full(2, 1e-8)
     for epoch in range(EPOCHS):
@@ -126,9 +124,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tupl
             out -= 0.2 * rate * g_out / np.sqrt(out_sq)
             bias_sq += p * p
             bias -= 0.2 * rate * p / np.sqrt(bias_sq)
-    weights = np.zeros(size)
-    weights[kept] = emb @ (out[:, 1] - out[:, 0])
-    return weights, float(bias[1] - bias[0])
+    return emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
@@ -159,9 +155,22 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The model, from labelled documents that are not held out: at most MAX_TRAIN of each class reach the driver, as
-    bags. Without both classes every weight is 0 and the score is that of no evidence, 0.5 at most."""
+def telling(bags_: DataFrame, n: int, positive: int) -> np.ndarray:
+    """The n-grams that are kept, sorted: those in MIN_DOCS documents or more whose rates in the classes are MIN_Z errors apart."""
+    counts = bags_.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("toxic").alias("docs_1"))
+    rate = F.col("docs") / n
+    error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / positive + 1 / (n - positive)))
+    apart = F.abs(F.col("docs_1") / positive - (F.col("docs") - F.col("docs_1")) / (n - positive)) / error
+    kept = counts.where((F.col("docs") >= MIN_DOCS) & (apart >= MIN_Z)).select("bucket").toArrow()  # at most all buckets
+    return np.sort(kept.column("bucket").to_numpy())
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """n-grams, their weights and the bias, from labelled documents that are not held out: at most MAX_TRAIN of each class.
+
+    Their bags stay in tables; what reaches the driver are the n-grams kept and each document's shares of these. Without
+    both classes nothing is learnt and the score is that of no evidence, 0.5.
+    """
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out())
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_h", F.xxhash64("doc_id"))
@@ -170,12 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         part = known.where(F.col("toxic") == label).orderBy("_h", "doc_id").limit(MAX_TRAIN[label])
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("_h")), "doc_id")  # as many rows as MAX_TRAIN allows
-    table = sample.select("doc_id", "text", "toxic").mapInArrow(task(__name__, "bags"), "doc_id long, toxic int, buckets array<int>, counts array<int>").toArrow()
-    table = table.sort_by("doc_id")
-    rows = [(y, np.asarray(b.values), np.asarray(c.values)) for y, b, c in zip(table.column("toxic").to_pylist(), table.column("buckets"), table.column("counts"), strict=True)]
-    if len({y for y, _, _ in rows}) < 2:
-        return np.zeros(1 << BUCKET_BITS), 0.0
-    return train(rows)
+    held = materialise(sample.select("doc_id", "text", "toxic").mapInArrow(task(__name__, "bags"), "doc_id long, toxic int, buckets array<int>, counts array<int>"), "bags")
+    n, positive = held.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
+    if positive in (0, n):
+        return np.array([], np.int64), np.array([]), 0.0
+    kept = telling(held, n, positive)
+    table = held.mapInArrow(task(__name__, "shares", kept), "doc_id long, toxic int, at array<int>, share array<double>").toArrow().sort_by("doc_id")
+    rows = [(y, np.asarray(a.values), np.asarray(s.values)) for y, a, s in zip(table.column("toxic").to_pylist(), table.column("at"), table.column("share"), strict=True)]
+    return kept, *train(rows, len(kept))
 
 
 def with_score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
@@ -184,11 +195,10 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataF
     A null or empty text gets the score of no evidence. Labels, lang, source and doc_id are never inputs of a score.
     Repeated rows get equal scores. Empty input: empty result.
     """
-    weight, bias = fit(docs, labels)
-    kept = np.flatnonzero(weight)
+    kept, weight, bias = fit(docs, labels)
     base = docs.drop(name)
     schema = T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())])
-    return base.mapInArrow(task(__name__, "score_batches", kept, weight[kept], bias, name), schema)
+    return base.mapInArrow(task(__name__, "score_batches", kept, weight, bias, name), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
