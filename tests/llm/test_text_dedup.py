@@ -242,3 +242,79 @@ def test_passages_meet_all_earlier_holders(spark):
 
 def test_shared_run():
     assert substring.shared_run(46, 80) == 24
+
+
+def test_quoted_pieces_hide_no_later_copy(spark):
+    """Five older documents quote pieces of a passage that three later ones hold whole."""
+    rng = random.Random(21)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage = words(60)
+    rows = [(i, " ".join(words(40) + passage[8 * i : 8 * i + 20] + words(40))) for i in range(5)]
+    rows += [(10 + i, " ".join(words(50) + passage + words(50))) for i in range(3)]
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    assert [d for d, r in sorted(got.items()) if r.n_spans] == [11, 12]
+    assert all(10 in got[d].sources and got[d].spans[0].start <= 50 and got[d].spans[0].stop >= 110 for d in (11, 12))
+
+
+@pytest.mark.parametrize("length, changes", [(50, 1), (60, 1), (100, 2), (200, 4)])
+def test_near_repeats(spark, length, changes):
+    """Each document's passage, with words changed, in a later one; those that are similar enough are all found."""
+    rng = random.Random(length)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    rows, alike = [], set()
+    for i in range(60):
+        passage = words(length)
+        other = list(passage)
+        for at in rng.sample(range(length), changes):
+            other[at] = "changed"
+        rows += [(i, " ".join(words(60) + passage + words(60))), (1000 + i, " ".join(words(80) + other + words(60)))]
+        a, b = shingles(" ".join(passage)), shingles(" ".join(other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            alike.add(1000 + i)
+    got = {r.doc_id for r in substring.marked(frame(spark, rows)).collect() if r.n_spans}
+    assert len(alike) > 20 and alike <= got and not {d for d in got if d < 1000}
+
+
+def test_hot_line_beside_repeats(spark, monkeypatch):
+    """A line that all documents share, in surroundings of their own; some pairs share what is around it too."""
+    monkeypatch.setattr(substring, "FEW", 4)
+    rng = random.Random(31)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    line = words(30)
+    rows, need = [], set()
+    for i in range(40):
+        before, after = words(60), words(60)
+        rows.append((i, " ".join(before + line + after)))
+        if i % 4 == 0:
+            rows.append((100 + i, " ".join(words(60) + before[-15:] + line + after[:12] + words(60))))  # 57 words alike
+            need.add(100 + i)
+        if i % 4 == 1:
+            rows.append((100 + i, " ".join(words(60) + before[-6:] + line + after[:6] + words(60))))  # 42 words alike
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    assert {d for d, r in got.items() if r.n_spans} == need
+    assert all(d - 100 in got[d].sources for d in need)
+
+
+def test_every_exact_repeat_is_marked(spark):
+    """Fragments of passages in many documents: each run of 50 words that an earlier document has is marked but for a few words at its ends."""
+    rng = random.Random(41)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    pool = [words(140) for _ in range(6)]
+    rows = []
+    for d in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            p, a = rng.choice(pool), rng.randrange(0, 100)
+            w += words(rng.randrange(5, 60)) + p[a : a + rng.randrange(15, 90)]
+        rows.append((d, " ".join(w)))
+    first, runs = {}, defaultdict(list)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) != d:
+                runs[d].append(i)
+    got = {r.doc_id: {i for s in r.spans for i in range(s.start, s.stop)} for r in substring.marked(frame(spark, rows)).collect()}
+    # A longer repeat may end up to `run - gram` words beyond what another, earlier holder has of it.
+    slack = 24 - 18
+    assert sum(map(len, runs.values())) > 200
+    assert all(len(set(range(i, i + 50)) - got[d]) <= slack for d, at in runs.items() for i in at)
