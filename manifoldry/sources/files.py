@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,23 +41,27 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 REGION_SET = "dataset string, total_sequences int, sequences array<struct<id:string,sequence:string,length:int,regions:array<struct<type:string,start:int,end:int>>>>"
 
 
-def read_regions(spark: SparkSession, *paths: str) -> DataFrame:
-    """(id, type, start, end); where files share an id, the last file's regions stay."""
+def read_regions(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """(id, type, start, end); where files share an id, the last file's regions stay. With `lines`, a set a line, not a file."""
     rows = None
     for rank, path in enumerate(paths):
-        one = spark.read.json(path, schema=REGION_SET, multiLine=True).select(F.explode("sequences").alias("s"), F.lit(rank).alias("_rank")).select("s.id", "s.regions", "_rank")
+        one = spark.read.json(path, schema=REGION_SET, multiLine=not lines).select(F.explode("sequences").alias("s"), F.lit(rank).alias("_rank")).select("s.id", "s.regions", "_rank")
         rows = one if rows is None else rows.unionByName(one)
     last = rows.groupBy("id").agg(F.max_by("regions", "_rank").alias("regions"))
     return last.select("id", F.inline("regions"))
 
 
 def write_regions(df: DataFrame, path: str, dataset: str) -> None:
-    """A record for each sequence and dataset in JSON lines, regions nested."""
-    nested = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("regions"))
-    nested.select(F.lit(dataset).alias("dataset"), "id", "regions").write.json(path)
+    """(id, sequence, type, start, end) as JSON lines: each a set of one sequence with its length and regions, and how many sequences there are in all."""
+    region = F.struct("type", "start", "end")
+    nested = df.groupBy("id").agg(F.first("sequence").alias("sequence"), F.sort_array(F.collect_list(region)).alias("regions"))
+    one = F.struct("id", "sequence", F.length("sequence").alias("length"), "regions")
+    total = df.agg(F.count_distinct("id").cast("int").alias("total_sequences"))
+    nested.crossJoin(F.broadcast(total)).select(F.lit(dataset).alias("dataset"), "total_sequences", F.array(one).alias("sequences")).write.json(path)
 
 
-_CELLS = r"(?is)<tr[^>]*>\s*<t[dh][^>]*>(.*?)</t[dh]>\s*<t[dh][^>]*>(.*?)</t[dh]>\s*<t[dh][^>]*>(.*?)</t[dh]>\s*</tr>"
+#: A row of three cells; header cells make no row.
+_CELLS = r"(?is)<tr[^>]*>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>\s*</tr>"
 
 
 def extract_rows(df: DataFrame, key: str, text: str, pattern: str = _CELLS, groups: int = 3) -> DataFrame:
@@ -67,17 +71,31 @@ def extract_rows(df: DataFrame, key: str, text: str, pattern: str = _CELLS, grou
 
 
 def first_rows(rows: DataFrame, name: str, least: int = 5) -> DataFrame:
-    """The first row of each name of `least` characters or more that starts with 4 letters or digits."""
+    """The first row of each name of `least` characters or more that starts with 4 letters or digits; header cells are no rows."""
     good = rows.where((F.length(name) >= least) & F.col(name).rlike("^[A-Za-z0-9]{4}"))
-    w = Window.partitionBy(name).orderBy(*[c for c in rows.columns if c != name])
-    return good.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    rest = [c for c in rows.columns if c != name]
+    return good.groupBy(name).agg(F.min(F.struct(*rest)).alias("_f")).select(*[F.col(c if c == name else f"_f.{c}").alias(c) for c in rows.columns])
 
 
 def read_atoms(spark: SparkSession, path: str, hetero: bool = False) -> DataFrame:
-    """(file, chain, resseq, resname, atom, x, y, z) from fixed-width lines of all files."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.col("value").startswith("ATOM") | (F.lit(hetero) & F.col("value").startswith("HETATM")))
+    """(file, place, model, chain, resseq, resname, atom, x, y, z) from fixed-width lines of all files.
+
+    A file is read whole, as one value, so that a line knows its MODEL line; files without one are model 1. place is the line's number.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "(?=(?:^|\n)MODEL )")).alias("part", "body"))
+    number = F.expr(r"try_cast(regexp_extract(body, '^\\s*MODEL\\s+(\\d+)', 1) AS int)")
+    lines = whole.select("file", F.coalesce(number, F.lit(1)).alias("model"), "part", F.posexplode(F.split("body", "\n")).alias("line", "value"))
+    lines = lines.where(F.col("value").startswith("ATOM") | (F.lit(hetero) & F.col("value").startswith("HETATM")))
     cut = lambda a, n: F.trim(F.substring("value", a, n))
-    return lines.select("file", F.substring("value", 22, 1).alias("chain"), cut(23, 4).cast("int").alias("resseq"), cut(18, 3).alias("resname"), cut(13, 4).alias("atom"), *[cut(a, 8).cast("double").alias(n) for a, n in ((31, "x"), (39, "y"), (47, "z"))])
+    return lines.select("file", F.struct("part", "line").alias("place"), "model", F.substring("value", 22, 1).alias("chain"), cut(23, 4).cast("int").alias("resseq"), cut(18, 3).alias("resname"), cut(13, 4).alias("atom"), *[cut(a, 8).cast("double").alias(n) for a, n in ((31, "x"), (39, "y"), (47, "z"))])
+
+
+def ca_points(atoms: DataFrame) -> DataFrame:
+    """One point a residue: the first CA of each (file, model, chain, resseq)."""
+    key = ["file", "model", "chain", "resseq"]
+    rest = [c for c in atoms.columns if c not in (*key, "place")]
+    first = atoms.where("atom = 'CA'").groupBy(*key).agg(F.min(F.struct("place", *rest)).alias("_f"))
+    return first.select(*key, *[F.col(f"_f.{c}").alias(c) for c in rest])
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

@@ -22,8 +22,10 @@ def test_regions_last_file_wins(spark, tmp_path):
         (tmp_path / f"{n}.json").write_text('{"dataset":"d","total_sequences":1,"sequences":[{"id":"x","sequence":"AA","length":2,"regions":[{"type":"t","start":1,"end":%d}]}]}' % end)
     rows = S.read_regions(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
     assert [tuple(r) for r in rows.collect()] == [("x", "t", 1, 9)]
-    S.write_regions(rows, str(tmp_path / "out"), "d")
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    S.write_regions(rows.selectExpr("*", "'AA' AS sequence"), str(tmp_path / "out"), "d")
+    r = spark.read.json(str(tmp_path / "out")).head()
+    assert (r.dataset, r.total_sequences, r.sequences[0].sequence, r.sequences[0].length) == ("d", 1, "AA", 2)
+    assert [tuple(r) for r in S.read_regions(spark, str(tmp_path / "out"), lines=True).collect()] == [("x", "t", 1, 9)]
 
 
 def test_atoms(spark, tmp_path):
@@ -32,6 +34,9 @@ def test_atoms(spark, tmp_path):
     r = S.read_atoms(spark, str(tmp_path / "x.pdb")).collect()
     assert len(r) == 1 and (r[0].chain, r[0].resseq, r[0].resname, r[0].atom, r[0].x, r[0].z) == ("A", 7, "ALA", "CA", 11.104, -6.504)
     assert S.read_atoms(spark, str(tmp_path / "x.pdb"), hetero=True).count() == 2
+    (tmp_path / "m.pdb").write_text(f"MODEL        1\n{line}\n{line}\nENDMDL\nMODEL        2\n{line}\n")
+    atoms = S.read_atoms(spark, str(tmp_path / "m.pdb"))
+    assert sorted(r.model for r in atoms.collect()) == [1, 1, 2] and sorted(r.model for r in S.ca_points(atoms).collect()) == [1, 2]
 
 
 def test_table_listing_and_control(spark, tmp_path):
