@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators import pairs
+from manifoldry.operators.summary import dominant
 from manifoldry.operators.joins import triangles
 
 
@@ -180,15 +181,26 @@ def circle_paths(configs: DataFrame, n: int = 100) -> DataFrame:
     return configs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("path", "step", (F.col("cx") + F.col("radius") * F.cos(F.col("step") * at)).alias("x"), (F.col("cy") + F.col("radius") * F.sin(F.col("step") * at)).alias("y"))
 
 
+def match_paths(paths: DataFrame, points: DataFrame) -> DataFrame:
+    """(path, step, dst, dist): the nearest row (id, x, y) of each path point."""
+    asked = paths.select(F.xxhash64("path", "step").alias("id"), "path", "step", F.array("x", "y").alias("vec"))
+    near = pairs.nearest(asked.select("id", "vec"), points.select("id", F.array("x", "y").alias("vec")))
+    return asked.select("id", "path", "step").join(near.withColumnRenamed("src", "id"), "id").select("path", "step", "dst", "dist")
+
+
+def path_profile(matched: DataFrame, rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(path, dominant, mean_score): the most frequent class (ties to the first by name) and mean score of the rows that a path's points match."""
+    told = matched.join(rows.select(F.col("id").alias("dst"), label, score), "dst")
+    return dominant(told, ["path"], label).join(told.groupBy("path").agg(F.avg(score).alias("mean_score")), "path")
+
+
 def wilson_loop(paths: DataFrame, points: DataFrame, vecs: DataFrame) -> DataFrame:
     """(path, wilson_loop, avg_phase, std_phase, max_phase, avg_distance, max_distance, n_points).
 
     Path points take the vector of their nearest row; a vector carried around the closed path loses its part along each
     step, and the angles it turns by add up. One group holds a path's points, a fixed number.
     """
-    asked = paths.select(F.xxhash64("path", "step").alias("id"), "path", "step", F.array("x", "y").alias("vec"))
-    near = pairs.nearest(asked.select("id", "vec"), points.select("id", F.array("x", "y").alias("vec")))
-    rows = asked.select("id", "path", "step").join(near.withColumnRenamed("src", "id"), "id").join(vecs.select(F.col("id").alias("dst"), "vec"), "dst")
+    rows = match_paths(paths, points).join(vecs.select(F.col("id").alias("dst"), "vec"), "dst")
 
     def carry(table: pa.Table) -> pa.Table:
         table = table.sort_by("step")

@@ -46,6 +46,17 @@ def t_p(t: float, df: float) -> float:
     return 1.0 if df <= 0 else beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+def t_quantile(level: float, df: float) -> float:
+    """The t that the two-sided `level` lies within, by bisection."""
+    lo, hi = 0.0, 1.0
+    while t_p(hi, df) > 1 - level:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_p(mid, df) > 1 - level else (lo, mid)
+    return (lo + hi) / 2
+
+
 def chi2_p(x: float, df: float) -> float:
     """Upper tail of chi-square, by the series or the continued fraction of the incomplete gamma function."""
     if x <= 0:
@@ -152,16 +163,23 @@ def strongest(matrix: DataFrame, panel: str, level: float = 0.05) -> DataFrame:
     return out.select(panel, F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.rho").alias("rho"), F.col("s.p").alias("p"), names.alias("significant"))
 
 
-def linear_fit(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
-    """slope, intercept, r2, residual deviation s (n - 2), and what a band needs: n, mean_x, sxx."""
+def linear_fit(df: DataFrame, x: str, y: str, group: list[str], p: bool = False) -> DataFrame:
+    """slope, intercept, r2, residual deviation s (n - 2), and what a band needs: n, mean_x, sxx. With `p`, that of the slope."""
     d = df.groupBy(*group).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mean_x"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("_syy")
     )
-    return d.withColumn("s", F.sqrt(F.greatest(F.lit(0.0), F.col("_syy") * (1 - F.col("r2"))) / (F.col("n") - 2))).drop("_syy")
+    d = d.withColumn("s", F.sqrt(F.greatest(F.lit(0.0), F.col("_syy") * (1 - F.col("r2"))) / (F.col("n") - 2))).drop("_syy")
+    if not p:
+        return d
+    t = F.when(F.col("r2") >= 1, float("inf")).otherwise(F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))))
+    return with_p(d.withColumn("_t", t).withColumn("_df", F.col("n") - 2), "p", lambda t, f: 0.0 if math.isinf(t) else t_p(t, f), "_t", "_df").drop("_t", "_df")
 
 
-def fit_band(fit: DataFrame, grid: DataFrame, factor: float = 1.96) -> DataFrame:
-    """The fit's line and band at the grid's x0; both tables have few rows by design."""
+def fit_band(fit: DataFrame, grid: DataFrame, factor: float | None = 1.96, level: float = 0.95) -> DataFrame:
+    """The fit's line and band at the grid's x0; both tables have few rows by design. Without a factor, that of t at `level`."""
+    if factor is None:
+        fit = with_p(fit.withColumn("_df", F.col("n") - 2), "factor", lambda f: t_quantile(level, f), "_df").drop("_df")
+    factor = F.col("factor") if factor is None else F.lit(factor)
     se = F.col("s") * F.sqrt(1 / F.col("n") + (F.col("x0") - F.col("mean_x")) ** 2 / F.col("sxx"))
     line = F.col("intercept") + F.col("slope") * F.col("x0")
     return fit.crossJoin(F.broadcast(grid)).withColumn("y0", line).withColumn("lower", line - factor * se).withColumn("upper", line + factor * se)

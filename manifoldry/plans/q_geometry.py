@@ -113,12 +113,28 @@ def g8(spark, sf):
     return G.circle_paths(_circles(spark, sf)).select("path", "step", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
 
 
-def _loops(spark, sf):
+def _paths(spark, sf):
+    """Circles around each class in a plane of two vector components, and the rows there."""
     v = vectors(spark, sf)
     p = v.select("id", (F.col("vec")[0] * 10).alias("x"), (F.col("vec")[1] * 10).alias("y"))
     centres = p.join(v.select("id", "label"), "id").groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    paths = G.circle_paths(centres.select(F.col("label").cast("string").alias("path"), "cx", "cy", F.lit(1.0).alias("radius")))
-    return G.wilson_loop(paths, p, v.select("id", "vec"))
+    return G.circle_paths(centres.select(F.col("label").cast("string").alias("path"), "cx", "cy", F.lit(1.0).alias("radius"))), p
+
+
+def _loops(spark, sf):
+    return G.wilson_loop(*_paths(spark, sf), vectors(spark, sf).select("id", "vec"))
+
+
+@query("g9_path_profile", f"""
+WITH p AS (SELECT id, label, vec[1] * 10 AS x, vec[2] * 10 AS y, vec[3] AS score FROM {VECTORS}), c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY label),
+w AS (SELECT label::VARCHAR AS path, step, cx + cos(step * pi() / 50) AS x, cy + sin(step * pi() / 50) AS y FROM c, (SELECT unnest(range(100)) AS step)),
+m AS (SELECT path, step, arg_min(p.id, (round(sqrt((w.x - p.x) ** 2 + (w.y - p.y) ** 2), 12), p.id)) AS dst FROM w, p GROUP BY ALL),
+t AS (SELECT path, label, score FROM m JOIN p ON p.id = m.dst), d AS (SELECT path, label AS dominant FROM t GROUP BY path, label QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, label) = 1)
+SELECT path, any_value(dominant) AS dominant, round(avg(score), 5) + 0.0 AS mean_score FROM t JOIN d USING (path) GROUP BY path""")
+def g9_profile(spark, sf):
+    paths, p = _paths(spark, sf)
+    rows = vectors(spark, sf).select("id", "label", F.col("vec")[2].alias("score"))
+    return G.path_profile(G.match_paths(paths, p), rows, "label", "score").withColumn("mean_score", r(F.col("mean_score"), 5))
 
 
 @query("g9_wilson_loop")

@@ -173,6 +173,17 @@ def r4(spark, sf):
     return d.select("l_returnflag", "x0", *[r(F.col(c), 3).alias(c) for c in ("y0", "lower", "upper")], r(F.col("r2")).alias("r2"))
 
 
+@query("r4_slope_p", f"""
+WITH f AS (SELECT c_mktsegment, regr_slope(c_acctbal, c_nationkey) AS slope, regr_r2(c_acctbal, c_nationkey) AS r2, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT *, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM f)
+SELECT c_mktsegment, round(slope, 5) AS slope, round({_T_P.format(t='t.t', d='(t.n - 2)')}, 5) AS p, 0.05::DOUBLE AS beyond FROM t""")
+def r4_slope_p(spark, sf):
+    """p of the slope, and how much of t lies beyond the band's factor."""
+    fit = R.linear_fit(T(spark, sf, "customer"), "c_nationkey", "c_acctbal", ["c_mktsegment"], p=True)
+    band = R.fit_band(fit, spark.range(1).select(F.lit(0.0).alias("x0")), factor=None)
+    band = R.with_p(band.withColumn("df", F.col("n") - 2), "beyond", R.t_p, "factor", "df")
+    return band.select("c_mktsegment", r(F.col("slope"), 5).alias("slope"), r(F.col("p"), 5).alias("p"), r(F.col("beyond")).alias("beyond"))
+
+
 _PAIR = "(SELECT c.g, l_extendedprice AS v, (l_returnflag = 'A')::INT AS is_ref FROM lineitem, (SELECT unnest(['N', 'R']) AS g) c WHERE l_returnflag IN ('A', c.g))"
 
 

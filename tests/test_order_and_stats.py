@@ -83,3 +83,31 @@ def test_near_duplicates_find_all_pairs(spark):
 def test_histogram_of_equal_values(spark):
     assert summary.histogram(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", 5, []).head().n == 2
     assert math.isclose(summary.ecdf(spark.createDataFrame([(1.0,), (2.0,)], "v double"), "v", []).orderBy("v").head().share, 0.5)
+
+
+def test_percentiles_of_groups(spark):
+    rng = random.Random(9)
+    rows = [(g, float(rng.randrange(20)) if rng.random() > 0.1 else None) for g in ("a", "b", None) for _ in range(60)] + [("empty", None)]
+    got = {r.g: (r.lo, r.mid) for r in order.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", {"lo": 0.1, "mid": 0.5}, ["g"]).collect()}
+
+    def at(values, p):
+        values, k = sorted(values), p * (len(values) - 1)
+        i = int(k)
+        return values[i] + (values[min(i + 1, len(values) - 1)] - values[i]) * (k - i)
+
+    for g in ("a", "b", None):
+        values = [v for x, v in rows if x == g and v is not None]
+        assert all(math.isclose(a, at(values, p)) for a, p in zip(got[g], (0.1, 0.5), strict=True))
+    assert got["empty"] == (None, None)
+
+
+def test_running_totals_within_groups(spark):
+    rows = [(i % 3, i, i % 5) for i in range(90)]
+    got = order.running_total(spark.createDataFrame(rows, "g int, at int, v int"), "v", "at", group=["g"]).collect()
+    assert all(r.total == sum(v for g, at, v in rows if g == r.g and at < r["at"]) for r in got)
+
+
+def test_t_quantile_and_tails():
+    assert math.isclose(stats.t_quantile(0.95, 10), 2.2281388520, rel_tol=1e-8)
+    assert math.isclose(stats.t_quantile(0.99, 3), 5.8409093097, rel_tol=1e-8)
+    assert math.isclose(stats.upper_p(1.6448536270), 0.05, rel_tol=1e-8)
