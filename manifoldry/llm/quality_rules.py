@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manifoldry.llm.common import NOT_SPACES, SPACES, let, read
+from manifoldry.llm.common import NOT_SPACES, SPACES, let, materialise, read
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -124,9 +124,18 @@ def ablations(recorded: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
+def sole_failure(failures: Column, version: str = CURRENT) -> Column:
+    """The bit of the rule that alone rejects a document under a policy: without it, the document would stay; else 0."""
+    bits = failures.bitwiseAND(F.lit(POLICIES[version]))
+    return F.when(bits.bitwiseAND(bits - 1) == 0, bits).otherwise(0).cast("long")
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    judged = apply_policy(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failures").bitwiseAND(F.lit(BASE)).cast("boolean").alias("base_failed"), "kept", "failures")
+    """The ledger is stored once; both policies and the ablation are read from it."""
+    recorded = materialise(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+    earlier = apply_policy(recorded, "v1").withColumnRenamed("kept", "kept_v1").drop("policy")
+    judged = apply_policy(earlier).withColumn("sole_failure", sole_failure(F.col("failures")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failures").bitwiseAND(F.lit(BASE)).cast("boolean").alias("base_failed"), "kept", "failures", "kept_v1", "sole_failure")
 
 
 SQL = r"""
@@ -146,5 +155,6 @@ a AS (
 b AS (
   SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
     + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS failures FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures, (failures & 3) = 0 AS kept_v1,
+  (CASE WHEN failures IN (1, 2, 4, 8, 16, 32) THEN failures ELSE 0 END)::BIGINT AS sole_failure FROM b
 """
