@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators import pairs
+from manifoldry.operators.components import components
 from manifoldry.operators.order import percentiles, with_index
 from manifoldry.operators.summary import dominant, value_shares, with_percentiles, with_scalars
 from manifoldry.sources.store import settled
@@ -186,17 +187,8 @@ def dbscan(df: DataFrame, eps: float = 2.0, min_samples: int = 5) -> DataFrame:
     cores = df.select("id").join(degree.withColumnRenamed("i", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
     cores = settled(cores, "cores")
     inner = both.join(cores.withColumnRenamed("id", "i"), "i").join(cores.withColumnRenamed("id", "j"), "j")
-    inner = settled(inner, "inner")
-    labels = cores.withColumn("label", F.col("id"))
-    while True:  # labels fall to the least neighbour's, then to that label's own label
-        told = inner.join(labels.select(F.col("id").alias("j"), F.col("label").alias("l")), "j").groupBy("i").agg(F.min("l").alias("l"))
-        lower = labels.join(told.withColumnRenamed("i", "id"), "id", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label"))
-        lower = settled(lower, "labels")
-        jump = settled(lower.join(lower.select(F.col("id").alias("label"), F.col("label").alias("l")), "label", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
-        changed = jump.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = jump
-        if not changed:
-            break
+    found = components(inner.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    labels = settled(cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "labels")
     border = both.join(labels.select(F.col("id").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("b")).withColumnRenamed("i", "id")
     found = df.select("id").join(labels, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "b").alias("root"))
     names = with_index(found.where("root is not null").select("root").distinct(), "root", name="cluster")
