@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from manifoldry.llm import bpe, exact_dedup, minhash, packing, quality_rules, sharding, substring, token_counts, toxicity, url_filter
+from manifoldry.llm import bpe, exact_dedup, minhash, packing, pieces, quality_rules, sharding, substring, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_substring": substring.op9,
     "op10_sharding": sharding.op10,
+    "op11_pieces": pieces.op11,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
