@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from manifoldry.llm import bpe, exact_dedup, minhash, packing, pieces, quality_rules, sharding, substring, token_counts, toxicity, url_filter, variants
+from manifoldry.llm import bpe, exact_dedup, minhash, packing, phrases, pieces, quality_rules, sharding, substring, token_counts, toxicity, url_filter, variants
 
 QUERIES = {
     "op1_minhash": minhash.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_substring": substring.op9,
     "op10_sharding": sharding.op10,
     "op11_pieces": pieces.op11,
+    "op12_phrases": phrases.op12,
     "op13_variants": variants.op13,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op12_phrases": phrases.SQL,
     "op13_variants": variants.SQL,
 }
