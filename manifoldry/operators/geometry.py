@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manifoldry.operators import pairs
+from manifoldry.operators import neighbours, pairs
 from manifoldry.operators.summary import dominant
 from manifoldry.operators.joins import triangles
 
@@ -184,7 +184,7 @@ def circle_paths(configs: DataFrame, n: int = 100) -> DataFrame:
 def match_paths(paths: DataFrame, points: DataFrame) -> DataFrame:
     """(path, step, dst, dist): the nearest row (id, x, y) of each path point."""
     asked = paths.select(F.xxhash64("path", "step").alias("id"), "path", "step", F.array("x", "y").alias("vec"))
-    near = pairs.nearest(asked.select("id", "vec"), points.select("id", F.array("x", "y").alias("vec")))
+    near = neighbours.nearest(asked.select("id", "vec"), points.select("id", F.array("x", "y").alias("vec")))
     return asked.select("id", "path", "step").join(near.withColumnRenamed("src", "id"), "id").select("path", "step", "dst", "dist")
 
 

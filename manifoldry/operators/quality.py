@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manifoldry.operators import pairs
+from manifoldry.operators import neighbours, pairs
 from manifoldry.operators.order import avg_rank, percentiles, running_total, sample_n
 from manifoldry.operators.summary import joined, with_percentiles, with_scalars
 from manifoldry.sources.store import settled
@@ -40,7 +40,7 @@ def silhouette_change(delta: DataFrame, label: str) -> DataFrame:
 
 def neighborhood_preservation(hi: DataFrame, lo: DataFrame, k: int = 15) -> DataFrame:
     """Mean share of the k neighbours that both spaces have."""
-    a, b = (pairs.knn(x, k).select("src", "dst") for x in (hi, lo))
+    a, b = (neighbours.knn(x, k).select("src", "dst") for x in (hi, lo))
     return a.join(b, ["src", "dst"]).groupBy().agg(F.count("*").alias("_c")).crossJoin(hi.agg(F.count("*").alias("_n"))).select((F.col("_c") / (F.col("_n") * k)).alias("preservation"))
 
 
@@ -64,7 +64,7 @@ def seed_stability(hi: DataFrame, lo: DataFrame, n: int, seeds: list[int]) -> Da
 def knn_purity(df: DataFrame, label: str, k: int = 15) -> DataFrame:
     """(label, n, purity, prevalence, enrichment): share of neighbours of one's own class."""
     names = df.select("id", label)
-    edges = pairs.knn(df.select("id", "vec"), k).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    edges = neighbours.knn(df.select("id", "vec"), k).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
     purity = edges.groupBy("a").agg(F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)).alias("purity")).withColumnRenamed("a", label)
     total = df.agg(F.count("*").alias("_t"))
     shares = df.groupBy(label).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).withColumn("prevalence", F.col("n") / F.col("_t")).drop("_t")
@@ -76,7 +76,7 @@ def knn_cv(df: DataFrame, label: str, k: int = 5, folds: int = 5) -> DataFrame:
     at = running_total(df.withColumn("_1", F.lit(1)), "_1", "id", group=[label], name="_at")
     dealt = settled(at.withColumn("fold", F.pmod("_at", F.lit(folds)).cast("int")).drop("_1", "_at"), "folds")
     names = dealt.select("id", label)
-    votes = pairs.knn(dealt, k, other="fold").join(names.toDF("dst", "v"), "dst").groupBy("src", "v").agg(F.count("*").alias("c"))
+    votes = neighbours.knn(dealt, k, other="fold").join(names.toDF("dst", "v"), "dst").groupBy("src", "v").agg(F.count("*").alias("c"))
     said = votes.groupBy("src").agg(F.min(F.struct((-F.col("c")).alias("c"), "v"))["v"].alias("said")).withColumnRenamed("src", "id")
     recall = dealt.join(said, "id").groupBy("fold", label).agg(F.avg(F.when(F.col("said") == F.col(label), 1.0).otherwise(0.0)).alias("recall"))
     scores = recall.groupBy("fold").agg(F.avg("recall").alias("balanced_accuracy"))

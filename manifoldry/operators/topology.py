@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manifoldry.operators import pairs
-from manifoldry.operators.joins import triangles
+from manifoldry.operators import neighbours, pairs
+from manifoldry.operators.components import components
 from manifoldry.operators.order import percentiles, top_k
 from manifoldry.operators.summary import joined
 from manifoldry.sources.store import settled
@@ -15,59 +19,76 @@ from manifoldry.sources.store import settled
 def adaptive_threshold(df: DataFrame, k: int = 15, q: float = 0.9, group: str | None = None) -> DataFrame:
     """The q-th percentile of the distance to the k-th neighbour, over all rows or within each class or replicate."""
     if group:
-        edges = pairs.knn(df, k, same=group).where(F.col("rank") == k).join(df.select(F.col("id").alias("src"), group), "src")
+        edges = neighbours.knn(df, k, same=group).where(F.col("rank") == k).join(df.select(F.col("id").alias("src"), group), "src")
         return percentiles(edges, "dist", {"threshold": q}, [group])
-    return percentiles(pairs.knn(df, k).where(F.col("rank") == k), "dist", {"threshold": q})
+    return percentiles(neighbours.knn(df, k).where(F.col("rank") == k), "dist", {"threshold": q})
 
 
 def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(birth, death): deaths are the lengths of the minimum spanning tree, one is infinite.
 
-    Each pair of blocks keeps its own tree's edges. Then Boruvka rounds: every component takes its shortest edge out,
-    and components that meet become one.
+    Rows that fit one block make their tree there. Else every row looks for its nearest one outside its component
+    (blocks too far away are left out), the shortest of a component is an edge of the tree, and components that meet are
+    contracted: components at least halve in a round, and no more edges are ever written than there are rows.
     """
-    edges = settled(pairs.spanning_edges(df, n_blocks).dropDuplicates(["i", "j"]), "edges")
-    label = df.select("id").withColumn("c", F.col("id"))
-    chosen: DataFrame | None = None
+    ever = df.sparkSession.range(1 if not df.isEmpty() else 0).select(F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
+    if (n_blocks or pairs.blocks_for(df)) == 1:
+        edges = pairs.spanning_edges(df, 1)
+        return ever.unionByName(edges.select(F.lit(0.0).alias("birth"), F.col("dist").alias("death")))
+    rows = settled(df.select("id", F.col("vec").cast("array<double>").alias("vec")), "rows")
+    label = rows.select("id", F.col("id").alias("c"))
+    deaths = []
     while True:
-        ends = edges.join(label.toDF("i", "ci"), "i").join(label.toDF("j", "cj"), "j").where("ci <> cj")
-        each = ends.select("i", "j", "dist", "ci", "cj", F.explode(F.array("ci", "cj")).alias("c"))
-        best = settled(each.groupBy("c").agg(F.min(F.struct("dist", "i", "j", "ci", "cj")).alias("e")).select("c", "e.*"), "shortest")
+        near = neighbours.knn(rows.join(label, "id"), 1, other="c", n_blocks=n_blocks)
+        both = near.join(label.toDF("src", "c"), "src").join(label.toDF("dst", "d"), "dst")
+        # One order of all edges, so that components that choose at a tie never make a circle.
+        edge = F.min(F.struct("dist", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))).alias("e")
+        best = settled(both.groupBy("c").agg(edge).select("e.*").distinct(), "shortest")
         if best.isEmpty():
             break
-        new = best.select("i", "j", "dist").distinct()
-        chosen = new if chosen is None else chosen.unionByName(new)
-        # Each component points to its edge's other end; two that point at each other make the smaller one the root.
-        other = best.select("c", F.when(F.col("c") == F.col("ci"), F.col("cj")).otherwise(F.col("ci")).alias("p"))
-        back = other.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        parent = other.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
-        while True:
-            up = settled(parent.join(parent.toDF("p", "g"), "p", "left").select("c", "p", F.coalesce("g", "p").alias("g")), "parents")
-            done = up.where("p <> g").isEmpty()
-            parent = up.select("c", F.col("g").alias("p"))
-            if done:
-                break
-        label = settled(label.join(parent, "c", "left").select("id", F.coalesce("p", "c").alias("c")), "labels")
-    ever = df.sparkSession.range(1).select(F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
-    return ever if chosen is None else ever.unionByName(chosen.select(F.lit(0.0).alias("birth"), F.col("dist").alias("death")))
-
-
-def scale_counts(df: DataFrame, scales: list[float]) -> DataFrame:
-    """(s, v, e, t, euler): points, pairs and triples within each scale. A triple counts from its longest side on."""
-    v = df.count()
-    near = settled(pairs.near(df, max(scales)), "near")
-    steps = F.array(*[F.lit(float(s)) for s in scales])
-    first = F.array_position(F.transform(steps, lambda s: F.col("dist") <= s), True) - 1
-    e = near.groupBy(first.alias("k")).agg(F.count("*").alias("e"))
-    sides = near.select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    d = lambda a, b, n: near.select(F.col("i").alias(a), F.col("j").alias(b), F.col("dist").alias(n))
-    tri = triangles(sides).join(d("i", "j", "x"), ["i", "j"]).join(d("i", "k", "y"), ["i", "k"]).join(d("j", "k", "z"), ["j", "k"])
-    t = tri.select(F.greatest("x", "y", "z").alias("dist")).groupBy(first.alias("k")).agg(F.count("*").alias("t"))
-    at = df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scales)], "k long, s double")
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row for each scale
+        deaths.append(best.select(F.lit(0.0).alias("birth"), F.col("dist").alias("death")))
+        met = components(best.select("a", "b")).toDF("c", "to")
+        label = settled(label.join(met, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "labels")
+    return reduce(DataFrame.unionByName, deaths, ever)
+
+
+def scale_counts(df: DataFrame, scales: list[float], n_blocks: int | None = None) -> DataFrame:
+    """(s, v, e, t, euler): points, pairs and triples within each scale. A triple counts from its longest side on.
+
+    Nothing is written for a pair or a triple: each pair of blocks adds to a count of pairs at each scale, each three
+    blocks to one of triples, by products of their matrices of what is near.
+    """
+    n, v = n_blocks or pairs.blocks_for(df), df.count()
+    steps = np.array(scales, float)
+
+    def edges(left, right, same):
+        d = pairs.distances(pairs.matrix(left), pairs.matrix(right))
+        d = d[np.triu_indices(len(d), 1)] if same else d.ravel()
+        yield {"k": np.arange(len(steps), dtype=np.int32), "n": (d[:, None] <= steps).sum(0) if len(d) < 1 << 16 else np.searchsorted(np.sort(d), steps, side="right")}
+
+    def triples(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, c = (batch.column(x)[i].as_py() for x in "abc")
+                x, y, z = (pairs.matrix(batch.column(f"rows_{k}")[i].values) for k in "abc")
+                ab, bc, ac = (pairs.distances(*p) for p in ((x, y), (y, z), (x, z)))
+                for d, equal in ((ab, a == b), (bc, b == c), (ac, a == c)):
+                    if equal:
+                        np.fill_diagonal(d, np.inf)  # no point is its own neighbour
+                same = 6 if a == c else 2 if a == b or b == c else 1  # so often does each triple come up
+                n = [int(((ab <= s).astype(np.float32) @ (bc <= s).astype(np.float32))[ac <= s].sum(dtype=np.float64)) // same for s in steps]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], ["k", "n"])
+
+    rows = settled(pairs.packed(df, n, ["vec"]), "blocks")
+    three = rows.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(n - 1))).alias("b")).withColumn("c", F.explode(F.sequence("b", F.lit(n - 1))))
+    for k in "abc":
+        three = three.join(rows.select(F.col("block").alias(k), F.col("rows").alias(f"rows_{k}")), k)
+    three = three.repartition("a", "b", "c")
+    e = pairs.reduced(pairs.block_pairs(df, df, ["vec", "id"], n, n, symmetric=True), edges, "k int, n long").groupBy("k").agg(F.sum("n").alias("e"))
+    t = three.mapInArrow(triples, "k int, n long").groupBy("k").agg(F.sum("n").alias("t"))
+    at = df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scales)], "k int, s double")
     out = at.join(e, "k", "left").join(t, "k", "left").fillna(0, ["e", "t"])
-    out = out.select("s", F.lit(v).cast("long").alias("v"), F.sum("e").over(w).alias("e"), F.sum("t").over(w).alias("t"))
-    return out.withColumn("euler", F.col("v") - F.col("e") + F.col("t"))
+    return out.select("s", F.lit(v).cast("long").alias("v"), "e", "t").withColumn("euler", F.col("v") - F.col("e") + F.col("t"))
 
 
 def interval_metrics(intervals: DataFrame, group: list[str]) -> DataFrame:

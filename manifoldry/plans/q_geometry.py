@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from manifoldry.operators import density as D
 from manifoldry.operators import geometry as G
 
-from manifoldry.operators import pairs as P
+from manifoldry.operators import neighbours as N
 from manifoldry.operators import summary as A
 from manifoldry.operators import topology as H
 from manifoldry.plans.common import POINTS, T, VECTORS, points, r, vectors
@@ -59,12 +59,12 @@ def v5(spark, sf):
 
 @query("g1_local_scale", f"WITH {KNN} SELECT src, round(1 / avg(dist), 6) AS density, round(min(dist), 6) AS nearest, round(max(dist), 6) AS r_k FROM k WHERE rank <= 20 GROUP BY src")
 def g1(spark, sf):
-    return G.local_scale(P.knn(vectors(spark, sf), 20)).select("src", *[r(F.col(c)).alias(c) for c in ("density", "nearest", "r_k")])
+    return G.local_scale(N.knn(vectors(spark, sf), 20)).select("src", *[r(F.col(c)).alias(c) for c in ("density", "nearest", "r_k")])
 
 
 @query("g2_local_dimension", f"WITH {KNN}, m AS (SELECT *, max(dist) OVER (PARTITION BY src) AS rk FROM k WHERE rank <= 20) SELECT src, round(count(*) / sum(ln(rk / dist)), 4) AS dimension FROM m WHERE rank < 20 GROUP BY src")
 def g2(spark, sf):
-    return G.local_dimension(P.knn(vectors(spark, sf), 20)).select("src", r(F.col("dimension"), 4).alias("dimension"))
+    return G.local_dimension(N.knn(vectors(spark, sf), 20)).select("src", r(F.col("dimension"), 4).alias("dimension"))
 
 
 @query("g3_curvature", f"""
@@ -73,32 +73,32 @@ c AS (SELECT e.src, e.dst, e.dist, a.dst AS u, min(list_distance(x.vec, y.vec))
 SELECT src, round(avg(k), 5) AS curvature FROM (SELECT src, dst, 1 - avg(m) / dist AS k FROM c GROUP BY src, dst, dist) GROUP BY src""")
 def g3(spark, sf):
     v = vectors(spark, sf)
-    return G.ricci_curvature(P.knn(v, 15), v).select("src", r(F.col("curvature"), 5).alias("curvature"))
+    return G.ricci_curvature(N.knn(v, 15), v).select("src", r(F.col("curvature"), 5).alias("curvature"))
 
 
 @query("g4_condition_number")
 def g4(spark, sf):
     v = vectors(spark, sf)
-    return G.condition_number(P.knn(v, 15), v)
+    return G.condition_number(N.knn(v, 15), v)
 
 
 @query("g5_local_frame")
 def g5(spark, sf):
     v = vectors(spark, sf)
-    return G.local_frame(P.knn(v, 15), v)
+    return G.local_frame(N.knn(v, 15), v)
 
 
 @query("g6_angle_defect")
 def g6(spark, sf):
     v = vectors(spark, sf)
-    k = settled(P.knn(v, 15), "neighbours")
+    k = settled(N.knn(v, 15), "neighbours")
     return G.u1_defect(k, G.local_frame(k, v))
 
 
 @query("g7_frame_defect")
 def g7(spark, sf):
     v = vectors(spark, sf)
-    k = settled(P.knn(v, 15), "neighbours")
+    k = settled(N.knn(v, 15), "neighbours")
     return G.so_defect(k, G.local_frame(k, v))
 
 
@@ -225,8 +225,8 @@ _NEAR = f"k AS (SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS
 @query("d8_local_density_std", f"WITH {_NEAR}, d AS (SELECT src AS id, 1 / avg(dist) AS density FROM k WHERE rank BETWEEN 2 AND 21 GROUP BY src) SELECT src, round(stddev_pop(density), 6) AS local_std FROM k JOIN d ON d.id = dst WHERE rank <= 15 GROUP BY src")
 def d8(spark, sf):
     v = vectors(spark, sf)
-    dens = G.local_scale(P.knn(v, 20)).select(F.col("src").alias("id"), "density")
-    return D.local_density_std(P.knn(v, 15, include_self=True), dens).select("src", r(F.col("local_std")).alias("local_std"))
+    dens = G.local_scale(N.knn(v, 20)).select(F.col("src").alias("id"), "density")
+    return D.local_density_std(N.knn(v, 15, include_self=True), dens).select("src", r(F.col("local_std")).alias("local_std"))
 
 
 @query("d9_median_deviation", "SELECT o_orderkey, round(abs(o_totalprice - (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)), 4) AS deviation FROM orders")
@@ -295,12 +295,13 @@ def t2(spark, sf):
 
 
 @query("t3_scale_counts", f"""
-WITH e AS (SELECT a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM {VECTORS} a JOIN {VECTORS} b ON a.id < b.id WHERE list_distance(a.vec, b.vec) <= 1.15),
-t AS (SELECT greatest(x.d, y.d, z.d) AS d FROM e x JOIN e y ON x.i = y.i AND x.j < y.j JOIN e z ON z.i = x.j AND z.j = y.j), s AS (SELECT unnest([0.9, 1.0, 1.1, 1.15])::DOUBLE AS s),
+WITH e AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM {VECTORS} a JOIN {VECTORS} b ON a.id < b.id),
+t AS MATERIALIZED (SELECT greatest(x.d, y.d, z.d) AS d FROM e x JOIN e y ON x.i = y.i AND x.j < y.j JOIN e z ON z.i = x.j AND z.j = y.j), s AS (SELECT unnest([0.9, 1.0, 1.1, 1.15, 1.3, 2.0])::DOUBLE AS s),
 c AS (SELECT s, (SELECT count(*) FROM embeddings) AS v, (SELECT count(*) FROM e WHERE d <= s) AS e, (SELECT count(*) FROM t WHERE d <= s) AS t FROM s)
 SELECT *, v - e + t AS euler FROM c""")
 def t3(spark, sf):
-    return H.scale_counts(vectors(spark, sf), [0.9, 1.0, 1.1, 1.15])
+    """Scales up to the greatest distance of unit vectors: at the last one all pairs and triples count."""
+    return H.scale_counts(vectors(spark, sf), [0.9, 1.0, 1.1, 1.15, 1.3, 2.0])
 
 
 @query("t4_interval_metrics", f"""

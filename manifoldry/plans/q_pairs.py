@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from manifoldry.operators import joins as J
+from manifoldry.operators import neighbours as N
 from manifoldry.operators import pairs as P
 from manifoldry.operators import quality as Q
 from manifoldry.operators import stats as R
@@ -19,12 +20,12 @@ def low(spark, sf):
 
 @query("j10_knn", f"WITH {KNN} SELECT src, rank, dst, round(dist, 6) AS dist FROM k WHERE rank <= 15")
 def j10(spark, sf):
-    return P.knn(vectors(spark, sf), 15).withColumn("rank", F.col("rank").cast("long")).withColumn("dist", r(F.col("dist")))
+    return N.knn(vectors(spark, sf), 15).withColumn("rank", F.col("rank").cast("long")).withColumn("dist", r(F.col("dist")))
 
 
 @query("j11_knn_cosine", f"WITH k AS (SELECT a.id AS src, b.id AS dst, list_cosine_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_distance(a.vec, b.vec), 12), b.id) AS rank FROM {VECTORS} a, {VECTORS} b WHERE a.id <> b.id) SELECT src, rank, dst, round(dist, 6) AS dist FROM k WHERE rank <= 15")
 def j11(spark, sf):
-    return P.knn(vectors(spark, sf), 15, "cosine").withColumn("rank", F.col("rank").cast("long")).withColumn("dist", r(F.col("dist")))
+    return N.knn(vectors(spark, sf), 15, "cosine").withColumn("rank", F.col("rank").cast("long")).withColumn("dist", r(F.col("dist")))
 
 
 @query("j12_nearest", f"""
@@ -32,7 +33,7 @@ WITH q AS (SELECT id, vec FROM {VECTORS} WHERE id % 5 = 0), v AS (SELECT id, vec
 SELECT q.id AS src, arg_min(v.id, (round(list_distance(q.vec, v.vec), 12), v.id)) AS dst, round(min(list_distance(q.vec, v.vec)), 6) AS dist FROM q, v GROUP BY q.id""")
 def j12(spark, sf):
     v = vectors(spark, sf)
-    return P.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0")).select("src", "dst", r(F.col("dist")).alias("dist"))
+    return N.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0")).select("src", "dst", r(F.col("dist")).alias("dist"))
 
 
 _DRAW = "('0x' || substr(md5('{s}:' || draw), 1, 12))::BIGINT"
@@ -49,7 +50,7 @@ def j15(spark, sf):
 
 @query("j17_triangles", f"WITH {KNN}, e AS MATERIALIZED (SELECT src, dst FROM k WHERE rank <= 15 AND src < dst) SELECT x.src AS i, x.dst AS j, y.dst AS k FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN e z ON z.src = x.dst AND z.dst = y.dst")
 def j17(spark, sf):
-    return J.triangles(P.knn(vectors(spark, sf), 15))
+    return J.triangles(N.knn(vectors(spark, sf), 15))
 
 
 _SIL = """

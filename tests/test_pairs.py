@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from manifoldry.operators import density, geometry, pairs, quality, topology
+from manifoldry.operators import density, geometry, joins, neighbours, pairs, quality, topology
 
 
 @pytest.fixture(scope="module")
@@ -18,10 +18,73 @@ def vecs(spark, cloud):
 def test_knn(vecs, cloud, n_blocks):
     d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    got = {(r.src, r["rank"]): r.dst for r in pairs.knn(vecs, 4, n_blocks=n_blocks).collect()}
+    got = {(r.src, r["rank"]): r.dst for r in neighbours.knn(vecs, 4, n_blocks=n_blocks).collect()}
     assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i])[:4])}
 
 
+def clusters(seed, n=600, dim=6, centres=12):
+    """Tight clusters far apart, with repeated rows and a class each."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 20, (centres, dim))[rng.integers(0, centres, n)] + rng.normal(size=(n, dim))
+    x[n // 2 : n // 2 + 40] = x[:40]
+    x[-5:] = 0
+    return x, rng.integers(0, 3, n)
+
+
+def brute_knn(x, label, k, metric, include_self=False, other=False, same=False, query=None):
+    q = np.arange(len(x)) if query is None else query
+    d = np.round(pairs.distances(x[q], x, metric), 12)
+    if not include_self:
+        d[np.arange(len(q)), q] = np.inf
+    if other:
+        d[label[q][:, None] == label[None, :]] = np.inf
+    if same:
+        d[label[q][:, None] != label[None, :]] = np.inf
+    out = {}
+    for i, row in zip(q.tolist(), d, strict=True):
+        near = [int(j) for j in np.lexsort((np.arange(len(x)), row))[:k] if np.isfinite(row[j])]
+        out[i] = [(j, round(float(row[j]), 7)) for j in near]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("kind", [{}, {"include_self": True}, {"other": True}, {"same": True}])
+def test_knn_by_pivots(spark, monkeypatch, metric, kind):
+    """Ties between repeated rows of a cell go to smaller ids, whichever block these are in."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    x, label = clusters(len(kind))
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, vec array<double>, label int")
+    given = {k: (v if k == "include_self" else "label") for k, v in kind.items()}
+    got = {}
+    for r in neighbours.knn(df, 5, metric, **given).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, round(r.dist, 7)))
+    assert got == brute_knn(x, label, 5, metric, **kind)
+
+
+def test_knn_leaves_far_blocks_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    x, label = clusters(7, n=1600, centres=40)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    seen = {}
+    got = {}
+    for r in neighbours.knn(df, 3, counter=seen).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, round(r.dist, 7)))
+    assert got == brute_knn(x, label, 3, "euclidean")
+    assert seen["compared"] < 0.1 * seen["all"]
+
+
+def test_knn_of_other_rows_and_of_few(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    x, label = clusters(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in neighbours.knn(df, 4, include_self=True, query=df.where("id % 3 = 0")).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, round(r.dist, 7)))
+    assert got == brute_knn(x, label, 4, "euclidean", include_self=True, query=np.arange(0, 600, 3))
+    assert neighbours.knn(df.where("id < 3"), 5).count() == 6
+    assert neighbours.knn(df.where("id < 0"), 5).count() == 0 and neighbours.knn(df.where("id < 0"), 5, n_blocks=20).count() == 0
+
+
 @pytest.mark.parametrize("n_blocks", [1, 4])
 def test_silhouette(vecs, cloud, n_blocks):
     d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(2))
@@ -41,9 +104,31 @@ def test_spanning_tree(vecs, cloud, n_blocks):
     assert got[:-1] == pytest.approx(want)
 
 
-def test_scale_counts(vecs, cloud):
+def test_spanning_tree_of_many_blocks_with_ties(spark, monkeypatch):
+    """Points of a lattice, all of whose shortest edges are equal, and repeated points."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    x = np.array([(i % 12, i // 12) for i in range(144)] + [(3, 3)] * 5 + [(50, 50), (51, 50)], float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    want = sorted(pairs.tree(np.arange(len(x)), pairs.distances(x, x))["dist"])
+    got = sorted(r.death for r in topology.h0_persistence(df, 19).collect())
+    assert got[-1] == float("inf") and got[:-1] == pytest.approx(want)
+    assert topology.h0_persistence(df.where("id < 0")).count() == 0
+
+
+def test_triangles_of_a_hub(spark):
+    """The two ends of a star's edges are not paired over its hub."""
+    star = spark.range(1, 100_001).selectExpr("0L AS src", "id AS dst")
+    more = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 4)], "src long, dst long")
+    got = sorted(tuple(r) for r in joins.triangles(star.unionByName(more)).collect())
+    assert got == [(0, 1, 2), (0, 2, 3), (0, 4, 5)]
+
+
+@pytest.mark.parametrize("n_blocks", [1, 4])
+def test_scale_counts(vecs, cloud, n_blocks):
     d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(2))
-    for r in topology.scale_counts(vecs, [1.5, 2.0]).collect():
+    rows = topology.scale_counts(vecs, [0.1, 1.5, 2.0, 99.0], n_blocks).collect()
+    assert [(r.e, r.t) for r in rows if r.s == 99.0] == [(60 * 59 // 2, 60 * 59 * 58 // 6)]
+    for r in rows:
         near = d <= r.s
         e = sum(near[i, j] for i in range(60) for j in range(i))
         t = sum(near[i, j] and near[j, k] and near[i, k] for i in range(60) for j in range(i) for k in range(j))
@@ -51,7 +136,7 @@ def test_scale_counts(vecs, cloud):
 
 
 def test_condition_number_and_frames(vecs, cloud):
-    knn = pairs.knn(vecs, 8).persist()
+    knn = neighbours.knn(vecs, 8).persist()
     near = {}
     for r in knn.collect():
         near.setdefault(r.src, []).append(r.dst)
