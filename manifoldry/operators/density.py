@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from manifoldry.operators import pairs
 from manifoldry.operators.components import components
+from manifoldry.operators.gauss import gauss_sums
 from manifoldry.operators.order import percentiles, with_index
 from manifoldry.operators.summary import dominant, value_shares, with_percentiles, with_scalars
 from manifoldry.sources.store import settled
@@ -19,31 +19,48 @@ from manifoldry.sources.store import settled
 def bandwidth(df: DataFrame) -> tuple[int, float]:
     """n and n^(-1/6) times the mean of the two axes' population deviations."""
     n, sx, sy = df.agg(F.count("*"), F.stddev_pop("x"), F.stddev_pop("y")).head()
-    return n, n ** (-1 / 6) * (sx + sy) / 2
-
-
-def _vec(df: DataFrame) -> DataFrame:
-    return df.select("id", F.array("x", "y").alias("vec"))
+    return n, n ** (-1 / 6) * ((sx or 0.0) + (sy or 0.0)) / 2 if n else 0.0
 
 
 def kde(df: DataFrame, query: DataFrame | None = None, h: float | None = None) -> DataFrame:
-    """(id, density): mean of exp(-r^2 / 2h^2) / (2 pi h^2) over all points of `df`, itself included."""
+    """(id, density): mean of exp(-r^2 / 2h^2) / (2 pi h^2) over all points of `df`, itself included.
+
+    Kernels are summed by cells, each to gauss.ERROR, so a density is right to that over 2 pi h^2. Without points there
+    is no density; points that all share a place have no bandwidth of their own, and a null density.
+    """
     n, own = bandwidth(df)
     h = h or own
-    sums = pairs.kernel_sums(_vec(df if query is None else query), _vec(df), h)
-    return sums.select("id", (F.col("total") / (n * 2 * math.pi * h * h)).alias("density"))
+    asked = df if query is None else query
+    if not n or not h:
+        return asked.where(F.lit(n > 0)).select("id", F.lit(None).cast("double").alias("density"))
+    return gauss_sums(asked, df, h).select("id", (F.col("total") / (n * 2 * math.pi * h * h)).alias("density"))
 
 
 def kde_1d(df: DataFrame, col: str, grid: DataFrame, group: str) -> DataFrame:
     """Gaussian density of each group at the grid's points (g); Scott's factor times the sample deviation.
 
-    Equal values meet first, so each distinct value is laid over the grid once.
+    Equal values meet first; a task lays its values over the grid, whose size is a parameter, by batches and hands on one
+    sum for each of its groups and grid points.
     """
-    stats = df.groupBy(group).agg(F.count("*").alias("_n"), F.stddev_samp(col).alias("_s")).withColumn("_h", F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2)))
-    values = df.groupBy(group, col).agg(F.count("*").alias("_c")).join(F.broadcast(stats), group)
-    z = (F.col("g") - F.col(col)) / F.col("_h")
-    each = values.crossJoin(F.broadcast(grid)).groupBy(group, "g").agg(F.sum(F.col("_c") * F.exp(-z * z / 2) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
-    return each
+    stats = df.groupBy(group).agg(F.count(col).alias("_n"), F.stddev_samp(col).alias("_s")).withColumn("_h", F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2)))
+    stats = stats.where("_h > 0").withColumn("_k", F.xxhash64(group))
+    values = df.groupBy(group, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null")
+    at = np.array(sorted(r.g for r in grid.select(F.col("g").cast("double").alias("g")).distinct().collect()))
+    given = values.join(stats, group).select("_k", "_v", "_h", (F.col("_c") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("_w"))
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            k, v, h, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for label in np.unique(k).tolist():
+                mine = k == label
+                z = (at - v[mine, None]) / h[mine, None]
+                total[label] = total.get(label, 0) + w[mine] @ np.exp(-z * z / 2)
+        for label, made in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(made)], ["_k", "g", "d"])
+
+    laid = given.mapInArrow(sums, "_k long, g double, d double").groupBy("_k", "g").agg(F.sum("d").alias("density"))
+    return laid.join(stats.select("_k", group), "_k").select(group, "g", "density")
 
 
 def grid_cells(df: DataFrame, n: int) -> DataFrame:
@@ -55,7 +72,10 @@ def grid_cells(df: DataFrame, n: int) -> DataFrame:
 
 
 def _axes(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid's places on both axes; none for an empty table."""
     x0, x1, y0, y1 = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    if x0 is None or y0 is None:
+        return np.zeros(0), np.zeros(0)
     step = np.arange(n) / (n - 1)
     return x0 + step * (x1 - x0), y0 + step * (y1 - y0)
 
@@ -64,10 +84,13 @@ def density_raster(df: DataFrame, n: int = 200) -> DataFrame:
     """(id, ix, iy, x, y, value): log10 of the density at n x n cells.
 
     The kernel is a product of one in x and one in y, so a batch of points is laid over the whole grid, whose size is a
-    parameter, by a product of two matrices; a task hands on one sum a cell.
+    parameter, by a product of two matrices; a task hands on one sum a cell. An empty table has no cells, and neither
+    have points that all share a place, which have no bandwidth.
     """
     rows, h = bandwidth(df)
     gx, gy = _axes(df, n)
+    if not rows or not h or not len(gx):
+        return grid_cells(df, n).where(F.lit(False)).withColumn("value", F.lit(0.0))
 
     def sums(batches):
         total = np.zeros((n, n))
@@ -91,6 +114,8 @@ def kde_grid(df: DataFrame, n: int, group: str, least: int = 20) -> DataFrame:
     det = (F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")) * f * f
     stats = stats.select(group, "_n", det.alias("_d"), (F.col("_yy") * f / det).alias("_a"), (F.col("_xx") * f / det).alias("_b"), (-F.col("_xy") * f / det).alias("_c"))
     gx, gy = _axes(df, n)
+    if not len(gx):
+        return df.select(group, F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(0.0).alias("density"), F.lit(False).alias("inside")).where(F.lit(False))
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
@@ -168,31 +193,88 @@ def boundary_score(df: DataFrame, cols: list[str], q: float = 0.95, least: int =
     return out.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least).drop(*[f"_q{i}" for i in range(len(cols))])
 
 
-def close_pairs(df: DataFrame, eps: float) -> DataFrame:
-    """(i, j), i < j, of points within eps, by cells of that size: a cell meets itself and its neighbours."""
-    cells = df.select("id", "x", "y", F.floor(F.col("x") / eps).alias("cx"), F.floor(F.col("y") / eps).alias("cy"))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    a = cells.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", steps.alias("s")).select("i", "x1", "y1", (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"))
-    b = cells.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
+#: Cells to a side that a cell of the clustering is cut into when it is compared with another.
+FINE = 16
+
+
+def _cell_links(cores: DataFrame, side: float, eps: float) -> DataFrame:
+    """(a, b): nodes of cells that hold cores within eps of each other.
+
+    A cell is known by a core of each of its FINE x FINE parts, so that two cells compare in a task, however many points
+    they hold: often two of those cores are near, or all parts are too far apart. Only parts that are neither have their
+    points compared.
+    """
+    part = lambda c, k: F.least(F.greatest(F.floor((F.col(c) / side - F.col(k)) * FINE), F.lit(0)), F.lit(FINE - 1))
+    fine = settled(cores.withColumn("part", (part("x", "cx") * FINE + part("y", "cy")).cast("int")), "parts")
+    one = fine.groupBy("cx", "cy", "part").agg(F.min(F.struct("x", "y")).alias("p"))
+    cell = fine.groupBy("cx", "cy").agg(F.min("first").alias("node"))
+    known = one.groupBy("cx", "cy").agg(F.collect_list(F.struct("part", "p.x", "p.y")).alias("parts")).join(cell, ["cx", "cy"])
+    known = settled(known, "cells")
+    half = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half])).alias("s")
+    left = known.select(step, "cx", "cy", F.col("node").alias("a"), F.col("parts").alias("left")).select("s", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "a", "left")
+    met = left.join(known.select("cx", "cy", F.col("node").alias("b"), F.col("parts").alias("right")), ["cx", "cy"]).select("s", "a", "b", "left", "right")
+    width = side / FINE
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                p, q = (np.array([(c["part"] // FINE, c["part"] % FINE, c["x"], c["y"]) for c in r[k]], float) for k in ("left", "right"))
+                d = (p[:, None, 2] - q[None, :, 2]) ** 2 + (p[:, None, 3] - q[None, :, 3]) ** 2
+                if (d <= eps * eps).any():
+                    rows.append((r["a"], r["b"], -1, -1))
+                    continue
+                gx = np.abs(q[None, :, 0] + r["s"]["i"] * FINE - p[:, None, 0]) - 1
+                gy = np.abs(q[None, :, 1] + r["s"]["j"] * FINE - p[:, None, 1]) - 1
+                gap = np.hypot(np.maximum(gx, 0), np.maximum(gy, 0)) * width
+                rows += [(r["a"], r["b"], r["left"][i]["part"], r["right"][j]["part"]) for i, j in zip(*np.nonzero(gap <= eps * (1 + 1e-6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "b", "pa", "pb"])
+
+    judged = settled(met.mapInArrow(judge, "a long, b long, pa int, pb int"), "judged")
+    points = fine.join(cell, ["cx", "cy"])
+    x = points.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    y = points.select(F.col("node").alias("b"), F.col("part").alias("pb"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     near = (F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 <= eps * eps
-    return a.join(b, ["cx", "cy"]).where((F.col("i") < F.col("j")) & near).select("i", "j")
+    asked = judged.where("pa >= 0").join(x, ["a", "pa"]).join(y, ["b", "pb"]).where(near).select("a", "b")
+    return judged.where("pa < 0").select("a", "b").unionByName(asked).distinct()
+
+
+def _around(rows: DataFrame, others: DataFrame, eps: float, *carried: str) -> DataFrame:
+    """Rows (cx, cy, x, y) with each of `others` within eps: their cells are two steps apart at most."""
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])).alias("s")
+    a = rows.select(F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", step).select("x1", "y1", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    b = others.select("cx", "cy", F.col("x").alias("x2"), F.col("y").alias("y2"), *carried)
+    near = (F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 <= eps * eps
+    return a.join(b, ["cx", "cy"]).where(near).select(F.col("x1").alias("x"), F.col("y1").alias("y"), *carried)
 
 
 def dbscan(df: DataFrame, eps: float = 2.0, min_samples: int = 5) -> DataFrame:
     """(id, cluster): cores have min_samples points within eps, themselves included; clusters are connected cores,
-    numbered by their lowest core; a border point joins the lowest cluster near it; the rest is -1."""
-    links = settled(close_pairs(df, eps), "links")
-    both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy("i").agg(F.count("*").alias("n"))
-    cores = df.select("id").join(degree.withColumnRenamed("i", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
-    cores = settled(cores, "cores")
-    inner = both.join(cores.withColumnRenamed("id", "i"), "i").join(cores.withColumnRenamed("id", "j"), "j")
-    found = components(inner.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    labels = settled(cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "labels")
-    border = both.join(labels.select(F.col("id").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("b")).withColumnRenamed("i", "id")
-    found = df.select("id").join(labels, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "b").alias("root"))
-    names = with_index(found.where("root is not null").select("root").distinct(), "root", name="cluster")
-    return found.join(names, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    numbered by their lowest core; a border point joins the lowest cluster near it; the rest is -1.
+
+    Cells have a diagonal of eps, so all points of a cell are near each other: the points of a cell of min_samples are
+    cores without looking at any, only points of emptier cells are compared with those around them, and cells, not
+    points, are linked. Points without a place are -1.
+    """
+    side = eps / math.sqrt(2) * (1 - 1e-9)  # a little less, so that rounding never parts what shares a cell
+    cell = {"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)}
+    given = df.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = given.where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumns(cell)
+    places = settled(places, "places")
+    full = places.groupBy("cx", "cy").agg(F.sum("n").alias("held")).where(F.col("held") >= min_samples).select("cx", "cy")
+    loose = settled(places.join(full, ["cx", "cy"], "left_anti"), "loose")
+    enough = _around(loose, places, eps, "n").groupBy("x", "y").agg(F.sum("n").alias("held")).where(F.col("held") >= min_samples).select("x", "y")
+    columns = ["cx", "cy", "x", "y", "first"]
+    cores = settled(places.join(full, ["cx", "cy"], "left_semi").select(columns).unionByName(loose.join(enough, ["x", "y"], "left_semi").select(columns)), "cores")
+    found = components(_cell_links(cores, side, eps))
+    node = cores.groupBy("cx", "cy").agg(F.min("first").alias("node"))
+    labels = node.join(found.withColumnRenamed("id", "node"), "node", "left").select("cx", "cy", F.coalesce("component", "node").alias("label"))
+    labelled = settled(cores.join(labels, ["cx", "cy"]).select("cx", "cy", "x", "y", "label"), "labels")
+    border = _around(loose.join(enough, ["x", "y"], "left_anti"), labelled, eps, "label").groupBy("x", "y").agg(F.min("label").alias("root"))
+    roots = labelled.select("x", "y", F.col("label").alias("root")).unionByName(border)
+    names = with_index(roots.select("root").distinct(), "root", name="cluster")
+    return given.join(roots.join(names, "root").select("x", "y", "cluster"), ["x", "y"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def cluster_profile(df: DataFrame, cluster: str, label: str, measures: list[str] | None = None) -> DataFrame:

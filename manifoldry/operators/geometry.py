@@ -57,7 +57,9 @@ def centre(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def pca(df: DataFrame, k: int, vec: str = "vec") -> tuple[DataFrame, list[float]]:
-    """Scores of `k` components, centred, each with its largest loading positive; and the explained shares."""
+    """Scores of `k` components, centred, each with its largest loading positive; and the explained shares. No rows: no scores, no shares."""
+    if df.isEmpty():
+        return df.withColumn("scores", F.array().cast("array<double>")), []
     c = centre(df, vec).withColumn("_v", array_to_vector(vec))
     model = PCA(k=k, inputCol="_v", outputCol="_s").fit(c)
     loadings = model.pc.toArray()
@@ -232,8 +234,12 @@ def loop_verdict(loops: DataFrame) -> DataFrame:
 
 
 def distance_concentration(df: DataFrame, dim: int) -> DataFrame:
-    """Mean, deviation, least and greatest of all pair distances, and the mean kernel weight at bandwidth n^(-1/(d+4))."""
+    """Mean, deviation, least and greatest of all pair distances, and the mean kernel weight at bandwidth n^(-1/(d+4)).
+
+    Fewer than two rows have no pairs: n is 0 and the rest null.
+    """
     n = df.count()
-    m = pairs.pair_moments(df, n ** (-1 / (dim + 4)))
-    mean = F.col("s") / F.col("n")
-    return m.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std"), F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("k") / F.col("n")).alias("kernel"))
+    m = pairs.pair_moments(df, max(n, 1) ** (-1 / (dim + 4))).withColumn("n", F.coalesce("n", F.lit(0)))
+    n_pairs = F.when(F.col("n") > 0, F.col("n"))
+    mean = F.col("s") / n_pairs
+    return m.select("n", mean.alias("mean"), F.when(n_pairs > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n_pairs - mean * mean))).alias("std"), F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("k") / n_pairs).alias("kernel"))

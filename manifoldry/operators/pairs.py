@@ -98,18 +98,6 @@ def label_sums(df: DataFrame, label: str, n_blocks: int | None = None) -> DataFr
     return parts.groupBy("id", label).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def kernel_sums(query: DataFrame, df: DataFrame, h: float, n_blocks: int | None = None) -> DataFrame:
-    """(id, total): sum over `df` of exp(-r^2 / 2h^2) for each row of `query`."""
-    n = n_blocks or blocks_for(df)
-    pairs = block_pairs(query, df, ["id", "vec"], n_blocks or blocks_for(query), n)
-
-    def sums(left, right, _):
-        d = distances(matrix(left), matrix(right))
-        yield {"id": ids(left), "total": np.exp(-d * d / (2 * h * h)).sum(axis=1)}
-
-    return reduced(pairs, sums, "id long, total double").groupBy("id").agg(F.sum("total").alias("total"))
-
-
 def pair_moments(df: DataFrame, h: float = 1.0, n_blocks: int | None = None) -> DataFrame:
     """One row over all i < j: n, sum, sum of squares, least and greatest distance, sum of kernel weights."""
     n = n_blocks or blocks_for(df)

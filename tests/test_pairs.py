@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from manifoldry.operators import density, geometry, joins, neighbours, pairs, quality, topology
+from manifoldry.operators import density, gauss, geometry, joins, neighbours, pairs, quality, topology
 
 
 @pytest.fixture(scope="module")
@@ -170,6 +171,71 @@ def test_dbscan(spark):
     assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(40, 80)} == {1} and got[80] == -1
 
 
+def plane(spark, x):
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+
+
+def brute_clusters(x, eps, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.where(core, np.where(near & core[None, :], label[None, :], len(x)).min(1), len(x))
+        if (new == label).all():
+            break
+        label = new
+    root = np.where(core, label, np.where(near & core[None, :], label[None, :], len(x)).min(1))
+    names = {r: k for k, r in enumerate(sorted(set(root.tolist()) - {len(x)}))}
+    return {i: names.get(int(r), -1) for i, r in enumerate(root)}
+
+
+@pytest.mark.parametrize("seed,eps,least", [(0, 0.5, 4), (1, 1.0, 5), (2, 0.25, 3), (3, 1.0, 1)])
+def test_dbscan_equals_brute_force(spark, seed, eps, least):
+    """Clouds, a lattice with distances of exactly eps, repeated points, lone ones."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 1, (150, 2)), rng.uniform(-6, 6, (150, 2)), [(i * 0.5 + 10, j * 0.5) for i in range(6) for j in range(6)], [(20.0, 20.0)] * 4, [(30.0, 1.0), (31.0, 1.0), (32.0, 1.0)]])
+    assert {r.id: r.cluster for r in density.dbscan(plane(spark, x), eps, least).collect()} == brute_clusters(x, eps, least)
+
+
+def test_dbscan_of_cells_that_only_some_points_link(spark):
+    """Full cells whose known cores are too far apart, although one point each is near."""
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(0, 0.02, (200, 2)), rng.uniform(0, 0.02, (200, 2)) + [1.30, 0]
+    x = np.concatenate([a, b, [(0.1495, 0.01)], [(1.1495, 0.01)]])
+    assert {r.id: r.cluster for r in density.dbscan(plane(spark, x), 1.0, 5).collect()} == brute_clusters(x, 1.0, 5)
+
+
+def test_dbscan_of_a_full_cell(spark):
+    """A hundred thousand points that are all near each other, and some beside them."""
+    dense = spark.range(100_000).selectExpr("id", "(id % 317) / 1000.0D AS x", "floor(id / 317) / 1000.0D AS y")
+    more = spark.createDataFrame([(200_000, 1.1, 0.1), (200_001, 9.0, 9.0), (200_002, None, 1.0)], "id long, x double, y double")
+    got = density.dbscan(dense.unionByName(more), 1.0, 5).groupBy("cluster").count().collect()
+    assert {r.cluster: r["count"] for r in got} == {0: 100_001, -1: 2}
+
+
+def test_kernel_sums_by_cells(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (300, 2)), rng.uniform(-40, 40, (60, 2)), [(2.0, 2.0)] * 40])
+    for h in (0.05, 0.7, 30.0):
+        want = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * h * h)).sum(1)
+        got = {r.id: r.total for r in gauss.gauss_sums(plane(spark, x), plane(spark, x), h).collect()}
+        assert len(got) == len(x) and max(abs(got[i] - want[i]) for i in got) <= gauss.ERROR * len(x)
+    far = {r.id: r.total for r in gauss.gauss_sums(plane(spark, [(1e4, 1e4), (0, 0)]), plane(spark, x), 0.7).collect()}
+    assert far[0] == 0 and far[1] == pytest.approx(np.exp(-(x**2).sum(1) / 0.98).sum())
+
+
+def test_empty_tables(spark):
+    none = plane(spark, [])
+    vec = none.selectExpr("id", "array(x, y) AS vec", "'c' AS label")
+    assert density.kde(none).count() == density.density_raster(none, 5).count() == density.kde_grid(none.withColumn("g", F.lit("a")), 5, "g").count() == 0
+    assert density.kde_1d(none.withColumn("g0", F.lit("a")), "x", spark.range(3).withColumnRenamed("id", "g"), "g0").count() == density.dbscan(none).count() == 0
+    assert [tuple(r) for r in geometry.distance_concentration(vec, 2).collect()] == [(0, None, None, None, None, None)]
+    scores, shares = geometry.pca(vec, 2)
+    assert scores.count() == 0 and shares == []
+    same = plane(spark, [(1, 1)] * 3)
+    assert density.density_raster(same, 5).count() == 0 and [r.density for r in density.kde(same).collect()] == [None] * 3
+
+
 def test_loop_on_a_plane(spark):
     n = 12
     at = [(i, float(np.cos(2 * np.pi * i / n)), float(np.sin(2 * np.pi * i / n))) for i in range(n)]
