@@ -6,8 +6,9 @@ are: they correct the flow of the nodes that they end in. A shorter phrase occur
 begin with it weigh together, so that one table of edges gives all counts. Words with fewer occurrences than a phrase
 must have end runs as a piece's end does, since no phrase that counts holds one.
 
-Blocks of texts number their words; frequent words get ids of the whole corpus by a join, each block's edges are summed in
-the block and dealt to buckets by their first two words, where equal ones meet and flows are summed over sorted edges. A
+Blocks of texts number their words and send distinct ones, packed, to buckets by a hash; there they are counted, and the
+frequent ones' ids go back to the blocks. Each block's edges are summed in the block and dealt to buckets by their first
+two words, where equal ones meet and flows are summed over sorted edges. A
 pair of words that holds a large share of a block would overfill its bucket: its edges are dealt by all five words, its
 flows come out in parts, and a mark sent after it keeps the rest of that pair from being cut off before the parts are
 added up. Where a phrase flows into one longer phrase as a whole, only the end of that unary path is written.
@@ -20,6 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,14 @@ from manifoldry.llm.common import materialise, read, task
 ENDS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 LONGEST, LEAST, TOP = 5, 100, 2000
 NO_LANG = "und"
-BLOCK_BYTES = 8_000_000
+#: Bytes of text in a block, which is of one language; blocks that grow at the same time in a task; bytes to a bucket of words.
+BLOCK_BYTES, GROWING, WORD_BYTES = 16_000_000, 48_000_000, 32_000_000
 #: Edges in a bucket, about; a pair of words with more than this part of a block's edges is dealt by whole edges.
 BUCKET, SHARE = 1_500_000, 256
-BLOCKS = "block string, lang string, n long, payload binary, words array<string>, counts array<int>"
+#: A block's words in order have this bucket, its distinct words buckets from 0.
+ORDER = -1
+BLOCKS = "block string, lang string, bucket int, n long, payload binary"
+WORDS = "block string, bucket int, payload binary, lang string, words array<string>, f array<long>, ids array<long>"
 EDGES = "bucket int, lang string, kind int, payload binary"
 #: Kinds of rows: edges by their first two words, edges by all words, pairs that have edges of the second kind.
 LIGHT, HEAVY, MARK = 0, 1, 2
@@ -65,23 +71,81 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.insert(code, np.flatnonzero(np.diff(piece)) + 1, 0), coded.dictionary
 
 
-def number(batches):
-    """A row for each block of texts of one language: its words in order, its distinct words and their counts."""
+def by_language(batches):
+    """(language, texts) of up to BLOCK_BYTES; what is waiting for more of its language is bounded."""
+    waiting: dict[str, list] = {}
+    size: dict[str, int] = {}
+    for batch in tokens.blocks(batches, BLOCK_BYTES // 4):
+        for lang in pc.unique(batch.column("lang")).to_pylist():
+            mine = batch.filter(pc.equal(batch.column("lang"), lang)).column("text")
+            waiting.setdefault(lang, []).append(mine.cast(pa.large_string()))
+            size[lang] = size.get(lang, 0) + (pc.sum(pc.binary_length(mine)).as_py() or 0)
+        while size and (max(size.values()) >= BLOCK_BYTES or sum(size.values()) >= GROWING):
+            most = max(size, key=size.__getitem__)
+            del size[most]
+            yield most, pa.concat_arrays(waiting.pop(most))
+    for lang in list(waiting):
+        yield lang, pa.concat_arrays(waiting.pop(lang))
+
+
+def number(batches, n_buckets: int):
+    """For each block: a row of its words in order, and a row of distinct words with their counts for each bucket that has some."""
     from pyspark import TaskContext
 
     partition, made = TaskContext.get().partitionId(), 0
-    for batch in tokens.blocks(batches, BLOCK_BYTES):
-        for lang in pc.unique(batch.column("lang")).to_pylist():
-            seen, words = words_of(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"))
-            counts = np.bincount(seen, minlength=len(words) + 1)[1:]
-            # Frequent words get small numbers, whose bytes compress well.
-            often = np.argsort(-counts, kind="stable")
-            rank = np.zeros(len(words) + 1, np.int64)
-            rank[often + 1] = np.arange(1, len(words) + 1)
-            row = [[f"{partition}-{made}"], [lang], [int(counts.sum())], [pack(rank[seen])], [words.take(pa.array(often)).cast(pa.large_string()).to_pylist()], [counts[often].tolist()]]
-            made += 1
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["block", "lang", "n", "payload", "words", "counts"])
+    for lang, column in by_language(batches):
+        seen, distinct = words_of(column)
+        counts = np.bincount(seen, minlength=len(distinct) + 1)[1:]
+        # Frequent words get small numbers, whose bytes compress well.
+        often = np.argsort(-counts, kind="stable")
+        rank = np.zeros(len(distinct) + 1, np.int64)
+        rank[often + 1] = np.arange(1, len(distinct) + 1)
+        words, counts = distinct.take(pa.array(often)).to_pylist(), counts[often]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        name = f"{partition}-{made}"
+        made += 1
+        rows = [(name, lang, ORDER, int(counts.sum()), pack(rank[seen], bucket))]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            at = order[start:stop]
+            mine = [words[i] for i in at.tolist()]
+            lengths = np.fromiter(map(len, mine), np.int64, len(mine))
+            rows.append((name, lang, int(bucket[at[0]]), 0, pack(lengths, counts[at], np.frombuffer(b"".join(mine), np.uint8))))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "lang", "bucket", "n", "payload"])
+
+
+def count_words(table: pa.Table, n_buckets: int, least: int) -> pa.Table:
+    """All words of a bucket: ids for each block's, 0 for words that are not frequent; and a row of the frequent ones of each language."""
+    rows = []
+    for lang in sorted(pc.unique(table.column("lang")).to_pylist()):
+        mine = table.filter(pc.equal(table.column("lang"), lang))
+        lists, counts = [], []
+        for payload in mine.column("payload").to_pylist():
+            lengths, n, letters = unpack(payload)
+            stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            lists.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(letters.astype(np.uint8).tobytes())]))
+            counts.append(n)
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        code = coded.indices.to_numpy()
+        f = np.bincount(code, np.concatenate(counts)).astype(np.int64)
+        frequent = np.flatnonzero(f >= least)
+        words = coded.dictionary.take(pa.array(frequent)).to_pylist()
+        order = sorted(range(len(words)), key=lambda i: (-f[frequent[i]], words[i]))
+        # Ids are the same whenever this runs; those of a bucket and language are next to none of another.
+        first = sum(len(r[4]) for r in rows if r[4])
+        ids = np.zeros(len(f), np.int64)
+        ids[frequent[order]] = 1 + table.column("bucket")[0].as_py() + n_buckets * (first + np.arange(len(order)))
+        if len(order) and ids.max() >= 1 << 32:
+            raise ValueError("more frequent words than 32-bit numbers")
+        at = 0
+        for block, n in zip(mine.column("block").to_pylist(), counts, strict=True):
+            rows.append((block, table.column("bucket")[0].as_py(), pack(ids[code[at : at + len(n)]]), lang, None, None, None))
+            at += len(n)
+        rows.append((None, table.column("bucket")[0].as_py(), None, lang, [words[i].decode() for i in order], f[frequent[order]].tolist(), ids[frequent[order]].tolist()))
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "payload", "lang", "words", "f", "ids"])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -113,9 +177,11 @@ def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def edges(left: pa.Table, right: pa.Table, n_buckets: int, share: int) -> pa.Table:
     """The edges of one block, from its words in order and the ids of those that are frequent."""
     head = left.to_pylist()[0]
-    ids = np.zeros(head["size"] + 1, np.uint32)
-    ids[right.column("code").to_numpy() + 1] = right.column("id").to_numpy()
-    seen = np.concatenate([ids[unpack(head["payload"])[0].astype(np.int64)], np.zeros(LONGEST - 1, np.uint32)])
+    seen, bucket = unpack(head["payload"])
+    told = np.concatenate([unpack(x)[0] for x in right.sort_by("bucket").column("payload").to_pylist()] or [[]])
+    ids = np.zeros(len(bucket) + 1, np.uint32)
+    ids[np.argsort(bucket, kind="stable") + 1] = told  # answers lie by bucket, and in it as the block's words do
+    seen = np.concatenate([ids[seen.astype(np.int64)], np.zeros(LONGEST - 1, np.uint32)])
     at = np.flatnonzero((seen[:-1] != 0) & (seen[1:] != 0))
     grams = seen[at[:, None] + np.arange(LONGEST)] if len(at) else np.zeros((0, LONGEST), np.uint32)
     grams = np.where(np.logical_and.accumulate(grams != 0, axis=1), grams, 0)
@@ -205,32 +271,22 @@ def flows(table: pa.Table, least: int) -> pa.Table:
     return pa.table({c: pa.chunked_array(out[c], kinds[c]) for c in kinds})
 
 
-def _with_ids(frequent: DataFrame) -> DataFrame:
-    """The rows with an `id` from 1, dense but for the size of Spark's partitions. Written first, so that ids stay what they are."""
-    made = materialise(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    part = F.shiftrightunsigned("id", 33)
-    most, far = made.agg(F.coalesce(F.max(part), F.lit(0)), F.coalesce(F.max(F.col("id").bitwiseAND((1 << 33) - 1)), F.lit(0))).head()
-    if (most + 1) * (far + 1) >= 1 << 32:
-        raise ValueError("more frequent words than 32-bit numbers")
-    return made.withColumn("id", F.col("id").bitwiseAND((1 << 33) - 1) * (most + 1) + part + 1)
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, bucket: int = BUCKET, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, f, id) and phrases (lang, ids, f) of at least `least` occurrences, and all word occurrences (lang, n)."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"))
-    blocks = materialise(rows.mapInArrow(task(__name__, "number"), BLOCKS), "blocks")
-    said = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = _with_ids(said.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    answers = said.join(words, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id")
-    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    n_buckets = 1 + total // bucket
-    asked = blocks.select("block", "lang", F.size("words").alias("size"), "payload")
+    n_words = 1 + (rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // WORD_BYTES
+    blocks = materialise(rows.where("text is not null").mapInArrow(task(__name__, "number", n_words), BLOCKS), "blocks")
+    counted = materialise(blocks.where(F.col("bucket") != ORDER).groupBy("bucket").applyInArrow(task(__name__, "count_words", n_words, least), WORDS), "words")
+    words = counted.where("block is null").select("lang", F.explode(F.arrays_zip("words", "f", "ids")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"), F.col("w.ids").alias("id"))
+    answers = counted.where("block is not null").select(F.col("block").alias("of"), "bucket", "payload")
+    asked = blocks.where(F.col("bucket") == ORDER).select("block", "lang", "n", "payload")
+    n_buckets = 1 + (asked.agg(F.sum("n")).head()[0] or 0) // bucket
     made = asked.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(task(__name__, "edges", n_buckets, share, two=True), EDGES)
     found = materialise(made.groupBy("bucket").applyInArrow(task(__name__, "flows", least), PATHS), "paths")
     lengths = F.sequence("shortest", F.size("ids"))
     whole = found.where("whole").select("lang", F.explode(F.transform(lengths, lambda k: F.slice("ids", F.lit(1), k))).alias("ids"), F.col("n").alias("f"))
     parts = found.where("not whole").groupBy("lang", "ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return words, materialise(whole.unionByName(parts), "phrases"), blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    return words, materialise(whole.unionByName(parts), "phrases"), asked.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, bucket: int = BUCKET, share: int = SHARE) -> DataFrame:
