@@ -23,8 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It goes with all that was written there when the application ends."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _kept.add(path)
+    return path
+
+
 def settled(df: DataFrame, label: str = "table") -> DataFrame:
     """`df` written and read back: lineage ends here, values stay as they are, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
