@@ -15,6 +15,8 @@ Documents with equal sets are one node from the start, so exact copies cost noth
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,8 +42,8 @@ REGION, SHINGLES = 1024, 4096
 FEW = 32
 #: Regions of at most so many documents are compared in place, larger ones with their full sets.
 SMALL = 32
-#: Candidates whose values agree less often than this many standard deviations below what a link's would are none.
-DEVIATIONS = 4.5
+#: Candidates in such small regions whose values agree so seldom that a link's would with less than this chance are none.
+CHANCE = 1e-12
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, VALUES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -152,9 +154,11 @@ def tree_orders(batches):
 
 
 def least_agreement(percent: int) -> int:
-    """Of VALUES low bytes, how many must agree at least."""
-    p = percent / 100
-    return int(VALUES * (p + (1 - p) / 256) - DEVIATIONS * (VALUES * p * (1 - p)) ** 0.5)
+    """Of VALUES low bytes, how many must agree at least: fewer do with a chance of CHANCE at most where `percent` of two sets is common."""
+    p, k, tail = percent / 100, 0, 0.0
+    while (tail := tail + comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k)) <= CHANCE:
+        k += 1
+    return k
 
 
 def near_pairs(batches, least: int):
@@ -291,9 +295,13 @@ def _linked(groups: DataFrame, percent: int) -> DataFrame:
 def _across(sets: DataFrame, percent: int) -> DataFrame:
     """All links between nodes of different components in sets (node, n_shingles, shingles, component), or enough to connect the same.
 
-    Linked nodes share one of their rarest shingles, those beyond `percent` of a set and one more, whatever counts as
-    rare, if all sets have the same order (prefix filter). Shingles that only one component has come first in that order,
-    and lead nowhere; then the fewer hold a shingle, the sooner it comes.
+    Linked nodes share one of their rarest shingles, those beyond the overlap that a link needs and one more, whatever
+    counts as rare, if all sets have the same order (prefix filter). Shingles that only one component has come first in
+    that order, and lead nowhere; then the fewer hold a shingle, the sooner it comes.
+
+    A link with a set at least as large needs more overlap than one with any set: the smaller side of a pair has a shorter
+    prefix, and none if so many of its shingles are its component's own that the others do not suffice. The sizes that
+    the rest can reach bound the other side. Pages of one template that are no duplicates therefore do not meet.
     """
     rows = sets.mapInArrow(task(__name__, "shingle_rows"), "shingle long, node long, component long, n_shingles long")
     held = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "n")
@@ -301,17 +309,20 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
     rarest = Window.partitionBy("node").orderBy("n", "shingle")
     placed = shared.select("*", F.row_number().over(rarest).alias("at"), F.count("*").over(Window.partitionBy("node")).alias("n_shared"))
     least = F.ceil(F.col("n_shingles") * percent / 100)
-    prefix = placed.where(F.col("at") <= F.col("n_shared") - least + 1).select("shingle", "node", "component", "n_shingles")
+    # A link of sizes n and m has percent * (n + m) <= (100 + percent) * overlap.
+    reach = F.floor((100 + percent) * F.col("n_shared") / percent) - F.col("n_shingles")
+    twice = F.ceil(2 * percent * F.col("n_shingles") / (100 + percent))
+    prefix = placed.where(F.col("at") <= F.col("n_shared") - least + 1).select("shingle", "node", "component", "n_shingles", reach.alias("reach"), (F.col("at") <= F.col("n_shared") - twice + 1).alias("smaller"))
     prefix = materialise(prefix, "prefixes")
     big = materialise(sets.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > FEW), "large-components")
     in_small = prefix.join(big, "component", "left_anti")
     in_large = prefix.join(big.select("component"), "component", "left_semi")
 
     # Members of small components meet as pairs.
-    other = in_small.select("shingle", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("n_b"))
-    meet = (F.col("component") != F.col("of_b")) & (F.col("node") < F.col("b"))
-    alike = 100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
-    pairs = materialise(in_small.join(other, "shingle").where(meet & alike).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    other = in_small.where(F.col("reach") * 100 >= percent * F.col("n_shingles")).select("shingle", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("n_b"), F.col("reach").alias("reach_b"))
+    meet = (F.col("component") != F.col("of_b")) & ((F.col("n_shingles") < F.col("n_b")) | ((F.col("n_shingles") == F.col("n_b")) & (F.col("node") < F.col("b"))))
+    alike = (100 * F.col("n_shingles") >= percent * F.col("n_b")) & (F.col("n_b") <= F.col("reach")) & (F.col("n_shingles") <= F.col("reach_b"))
+    pairs = materialise(in_small.where("smaller").join(other, "shingle").where(meet & alike).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
 
     # Whoever shares a rare shingle with a large component meets all of it, in parts, once.
     whole = in_large.select("shingle", F.col("component").alias("large")).distinct()

@@ -1,6 +1,7 @@
 """Exact and near deduplication, passages and components against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -8,6 +9,7 @@ from collections import defaultdict
 import pytest
 
 from manifoldry.llm import exact_dedup, minhash, substring
+from manifoldry.llm.common import materialise
 from manifoldry.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
@@ -98,7 +100,7 @@ def template_pages(seed, n, words=180, own=30, copies=60):
     return [(i, " ".join(w)) for i, w in enumerate(pages)]
 
 
-@pytest.mark.parametrize("region", [4, 16, 1024])
+@pytest.mark.parametrize("region", [4, 16, 128, 1024])
 def test_near_duplicates_among_template_pages(spark, monkeypatch, region):
     """No link is lost where a region holds more than it may, whatever its bound."""
     rows = template_pages(region, 300)
@@ -110,6 +112,32 @@ def test_near_duplicates_among_template_pages(spark, monkeypatch, region):
     assert 30 < sum(c != d for d, (_, c) in want.items())
 
 
+def test_pages_of_a_template_make_no_pairs(spark, monkeypatch):
+    """Pages that share most words without being duplicates: what meets grows with the pages, not with their square."""
+    met = []
+
+    def seen(df, label):
+        out = materialise(df, label)
+        met.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    monkeypatch.setattr(minhash, "REGION", 32)
+    for n in (100, 200, 400):
+        rows = template_pages(n, n, own=20, copies=n // 10)
+        met.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+        assert len(met) == 2 and met[1] <= n
+        assert n > 100 or got == brute_components(rows, 85)
+
+
+def test_candidates_are_cut_by_chance():
+    for percent in (80, 85):
+        p, least = percent / 100, minhash.least_agreement(percent)
+        tail = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(least))
+        assert tail <= minhash.CHANCE < tail + math.comb(128, least) * p**least * (1 - p) ** (128 - least)
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")]
     got = minhash.near_duplicates(frame(spark, rows)).collect()
