@@ -43,15 +43,19 @@ def write_token_files(docs: DataFrame, out: str, path: str, pattern: str, end: i
     """Flat token files in `out`, one a partition. The text writer puts its line separator, here the end id, after each row.
 
     A null text is an empty document; repeated rows are documents each; an empty table gives no file with documents. The
-    documents of partition n are those of file part-n, in order (`document_ids`).
+    documents of partition n are those of file part-n, in order (`document_ids`), so a limit of rows a file does not hold
+    here. A document's ids are one line, of less than 2 GB.
     """
-    rows = docs.select("text").mapInArrow(task(__name__, "flatten", path, pattern, end), "value binary")
+    rows = docs.select("text").mapInArrow(task(__name__, "flatten", tokens.vocabulary(docs.sparkSession, path), pattern, end), "value binary")
     options = {"encoding": "ISO-8859-1", "lineSep": _separator(end).decode("latin-1")}
-    rows.select(F.col("value").cast("string")).write.options(**options).text(out)
+    rows.select(F.col("value").cast("string")).write.options(**options).option("maxRecordsPerFile", 0).text(out)
 
 
 def document_ids(docs: DataFrame) -> DataFrame:
-    """part, doc_no, doc_id of what `write_token_files` writes for `docs`, a table whose partitions are the same each time it is read."""
+    """part, doc_no, doc_id of what `write_token_files` writes for `docs`, a table whose partitions are the same each time it is read.
+
+    `paired` finds out whether they were.
+    """
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return docs.select(F.spark_partition_id().alias("part"), within.alias("doc_no"), F.col("doc_id").cast("long").alias("doc_id"))
 
@@ -108,10 +112,21 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
     return rows.select("file", (F.col("docs_before") + F.col("i")).alias("doc_no"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("stop") < F.col("total")).alias("ended"))
 
 
+def paired(counted: DataFrame, ids: DataFrame) -> DataFrame:
+    """Counts with document ids. Files that do not hold just as many documents as their partitions had rows are an error."""
+    counted = materialise(counted.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")), "counts")
+    ids = materialise(ids, "document-ids")
+    documents = F.count_if("ended").alias("docs"), F.countDistinct("file").alias("files"), F.count_if(~F.col("ended")).alias("open")
+    told = counted.groupBy("part").agg(*documents).join(ids.groupBy("part").agg(F.count("*").alias("rows")), "part", "full")
+    wrong = told.where(~(F.col("docs").eqNullSafe(F.col("rows")) & (F.col("files") == 1) & (F.col("open") == 0))).orderBy("part").head(1)
+    if wrong:
+        raise ValueError(f"token files and documents do not pair off: {wrong[0].asDict()}")
+    return counted.drop("file").join(ids, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens", "ended")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, out = read(spark, sf_dir, "documents"), new_path(spark, "token-files")
     write_token_files(docs, out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    counted = count_tokens(spark, out).withColumn("part", F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")).drop("file")
-    return counted.join(document_ids(docs), ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens", "ended")
+    return paired(count_tokens(spark, out), document_ids(docs))

@@ -147,6 +147,29 @@ def test_counts_carry_document_ids(spark, tmp_path):
     assert token_counts.op2(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_counts_with_a_limit_of_rows_a_file(spark, tmp_path):
+    texts = [f"text {i} " * (i % 7) for i in range(120)]
+    docs = spark.createDataFrame([(i % 50, t, "p", "d", "s") for i, t in enumerate(texts)], "doc_id long, text string, part string, doc_no string, start string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        rows = token_counts.op2(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i % 50, len(ids(t))) for i, t in enumerate(texts))
+
+
+def test_counts_that_do_not_pair_off_are_an_error(spark, tmp_path):
+    docs = frame(spark, ["a", "b", "c", "d", "e"]).coalesce(1)
+    token_counts.write_token_files(docs, str(tmp_path / "t"), PATH, P.PATTERN)
+    counted = token_counts.count_tokens(spark, str(tmp_path / "t"))
+    assert token_counts.paired(counted, token_counts.document_ids(docs)).count() == 5
+    with pytest.raises(ValueError, match="pair off"):
+        token_counts.paired(counted, token_counts.document_ids(docs.limit(4).coalesce(1)))
+    with pytest.raises(ValueError, match="pair off"):
+        token_counts.paired(counted, token_counts.document_ids(docs.repartition(2)))
+
+
 def test_packing_codes_added_tokens_as_the_library_does(spark):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     added = tokens.added_tokens(P.path("byte_bpe_50k.json"))
