@@ -46,7 +46,8 @@ def decisions(docs: DataFrame) -> DataFrame:
     marked = digests.join(F.broadcast(winners), F.col("text_sha256") == F.col("heavy_sha"), "left")
     heavy = marked.where("heavy_sha is not null").select("doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), "text_sha256", F.lit(True).alias("heavy"))
     rest = marked.where("heavy_sha is null").select("doc_id", "text_sha256")
-    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join below has a shuffle of its own, which Spark can split where a digest is frequent.
+    groups = materialise(rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     light = rest.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256", F.lit(False).alias("heavy"))
     return heavy.unionByName(light).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
