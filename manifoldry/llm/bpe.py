@@ -25,6 +25,8 @@ ROWS = "block string, bucket int, doc_ids array<long>, counts array<int>, payloa
 #: The bucket of a block's positions; words have buckets from 0.
 POSITIONS = -1
 BLOCK_BYTES = 8_000_000
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 24_000_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -86,7 +88,7 @@ def explode(batches, pattern: str, n_buckets: int):
         yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "doc_ids", "counts", "payload"])
 
 
-def encode_bucket(table: pa.Table, path: str, pattern: str) -> pa.Table:
+def encode_bucket(table: pa.Table, path: str | tuple, pattern: str) -> pa.Table:
     """All words of a bucket, of every block: each distinct one is encoded once; answers go by block."""
     coder = tokens.Coder(path, pattern)
     sizes, lists = [], []
@@ -155,14 +157,16 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text is empty and has no ids. Repeated rows give repeated results; a null doc_id stays null. Other columns
     are ignored. Empty input: empty result.
     """
-    n = buckets(docs.sparkSession)
+    # A bucket's words are one group in memory: as many buckets as keep it small, whatever the shuffle partitions are.
+    n = 1 + (docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // BUCKET_BYTES
+    known = tokens.vocabulary(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(__name__, "explode", pattern, n), ROWS)
     # Positions, the bulk, stay where they are written; only words and their ids move.
-    rows = bucketed(rows, "block", n, "pre-tokens")
+    rows = bucketed(rows, "block", buckets(docs.sparkSession), "pre-tokens")
     words, positions = rows.where(F.col("bucket") != POSITIONS), rows.where(F.col("bucket") == POSITIONS)
-    encoded = words.groupBy("bucket").applyInArrow(task(__name__, "encode_bucket", path, pattern), ROWS)
+    encoded = words.groupBy("bucket").applyInArrow(task(__name__, "encode_bucket", known, pattern), ROWS)
     both = positions.groupBy("block").cogroup(encoded.groupBy("block"))
-    return both.applyInArrow(task(__name__, "assemble", path, two=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return both.applyInArrow(task(__name__, "assemble", known, two=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from manifoldry.sources.store import shared_folder
+from manifoldry.sources.store import own_folder
 
 #: White space that separates words, as a regular expression class.
 SPACES = r"[\x20\x09-\x0D]"
@@ -17,7 +21,7 @@ NOT_SPACES = r"[^\x20\x09-\x0D]"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -28,10 +32,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
-    """`df` written as a table in `n` buckets by `key`, so that grouping by `key` later needs no shuffle of it."""
+    """`df` written as a table in `n` buckets by `key`, so that grouping by `key` later needs no shuffle of it.
+
+    The catalogue forgets the table at once; what reads its files knows their buckets already.
+    """
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).option("path", new_path(df.sparkSession, label)).option("compression", "zstd").saveAsTable(name)
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return table
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -77,23 +86,37 @@ def gapless(df: DataFrame, key: str, spread: Column, order: list[str], name: str
     return out.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_key", "_b", "_before", "_at", "_bucket")
 
 
+_shipped: set[str] = set()
+
+
+def ship() -> None:
+    """The package as an archive that Spark's file server hands to every worker, once an application."""
+    import manifoldry
+
+    context = SparkContext.getOrCreate()
+    if context.applicationId in _shipped:
+        return
+    top = Path(manifoldry.__path__[0])
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "manifoldry.zip"  # read by the driver's file server alone
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def task(module: str, name: str, *args, two: bool = False):
     """A function for mapInArrow or applyInArrow that calls `module.name(batches, *args)`, with two tables for a cogroup.
 
-    The package's folder goes with it, so that workers started elsewhere can import it too.
+    Spark gives the package to the workers, which need not have it where the driver does.
     """
-    import manifoldry
-
-    root = manifoldry.__path__[0].rpartition("/")[0]
+    ship()
 
     def call(*given):
         import importlib
-        import sys
 
         import pyarrow as pa
 
-        if root not in sys.path:
-            sys.path.insert(0, root)
         made = getattr(importlib.import_module(module), name)(*given, *args)
         if isinstance(made, pa.Table):
             return made

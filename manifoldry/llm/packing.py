@@ -124,11 +124,11 @@ def assign(batches, rows: np.ndarray):
 def pack(docs: DataFrame, path: str, pattern: str, end: int = END, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    `added` are tokens with ids of their own wherever they stand in a text. A null or empty text is the one id `end`. Repeated rows are packed each by itself; a null doc_id stays null. Other
-    columns are ignored. Empty input: empty result.
+    `added` are tokens with ids of their own wherever they stand in a text. A null or empty text is the one id `end`.
+    Repeated rows are packed each by itself; a null doc_id stays null. Other columns are ignored. Empty input: empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = materialise(rows.mapInArrow(task(__name__, "cut", path, pattern, end, capacity, added or {}), PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(task(__name__, "cut", tokens.vocabulary(docs.sparkSession, path), pattern, end, capacity, added or {}), PIECES), "pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     shapes = runs(plan({r["length"]: r["count"] for r in histogram}, capacity))
     numbered = gapless(pieces, "length", F.struct("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], "number")

@@ -22,21 +22,29 @@ WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{
 BLOCK_BYTES = 4_000_000
 
 
+def vocabulary(spark, path: str) -> tuple:
+    """A rank file as tasks get it: read here and broadcast, so that workers need not have it. Its size does not follow the data."""
+    return path, spark.sparkContext.broadcast(ranks(path))
+
+
 @lru_cache(maxsize=4)
-def ranks(path: str) -> dict[bytes, int]:
+def ranks(path: str | tuple) -> dict[bytes, int]:
+    """The ranks of a file, or of what `vocabulary` made of it."""
+    if not isinstance(path, str):
+        return path[1].value
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str, pattern: str):
+def encoding(path: str | tuple, pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
 @lru_cache(maxsize=4)
-def token_lengths(path: str) -> np.ndarray:
+def token_lengths(path: str | tuple) -> np.ndarray:
     out = np.zeros(max(ranks(path).values()) + 1, np.int64)
     for token, rank in ranks(path).items():
         out[rank] = len(token)
@@ -103,7 +111,7 @@ def spread(values: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.n
 class Coder:
     """Encodes blocks of texts with one vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str | tuple, pattern: str):
         self.path, self.enc, self.length = path, encoding(path, pattern), token_lengths(path)
 
     def encode_parts(self, distinct: list[str], joined: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
