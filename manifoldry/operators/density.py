@@ -184,11 +184,12 @@ def median_deviation(df: DataFrame, col: str, name: str) -> DataFrame:
     return with_percentiles(df, col, {"_m": 0.5}).withColumn(name, F.abs(F.col(col) - F.col("_m"))).drop("_m")
 
 
-def boundary_score(df: DataFrame, cols: list[str], q: float = 0.95, least: int = 2) -> DataFrame:
-    """How many columns exceed their own percentile, and whether at least `least` do."""
+def boundary_score(df: DataFrame, cols: list[str], q: float = 0.95, least: int = 2, of: dict[str, DataFrame] | None = None) -> DataFrame:
+    """How many columns exceed their percentile, and whether at least `least` do. The percentile is that of the column
+    itself, or of the same column in the table that `of` names for it, such as a whole raster's gradient."""
     out = df
     for i, c in enumerate(cols):
-        out = out.crossJoin(F.broadcast(percentiles(df, c, {f"_q{i}": q})))
+        out = out.crossJoin(F.broadcast(percentiles((of or {}).get(c, df), c, {f"_q{i}": q})))
     score = sum(((F.col(c) > F.col(f"_q{i}")).cast("int") for i, c in enumerate(cols)), F.lit(0))
     return out.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least).drop(*[f"_q{i}" for i in range(len(cols))])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators import neighbours, pairs
@@ -177,6 +177,11 @@ def so_defect(knn: DataFrame, frames: DataFrame) -> DataFrame:
     return _at_vertices(t.mapInArrow(run, "i long, j long, k long, defect double"), frames)
 
 
+def flagged_centre(df: DataFrame, flag: Column) -> DataFrame:
+    """(cx, cy): the mean place of the flagged points, of all points where none is flagged."""
+    return df.agg(*[F.coalesce(F.avg(F.when(flag, F.col(c))), F.avg(c)).alias(f"c{c}") for c in "xy"])
+
+
 def circle_paths(configs: DataFrame, n: int = 100) -> DataFrame:
     """(path, step, x, y): n equally spaced points on each circle of (path, cx, cy, radius)."""
     at = 2 * np.pi / n

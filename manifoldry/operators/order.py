@@ -5,6 +5,8 @@ A global order never goes through one task: rows are range-partitioned, counted
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +27,51 @@ def same_keys(left: list[str], right: list[str]) -> Column:
     return out
 
 
-def _running(df: DataFrame, value: Column, order: list[str], group: list[str], name: str) -> DataFrame:
-    """Sum of `value` over all earlier rows of the group: within range partitions, then over the partitions' sums.
+def _carried(dealt: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of range partitions with what `told` says of each (partition, group)."""
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    told = told.select(*[F.col(k).alias(n) for k, n in zip(keys, renamed, strict=True)], *[c for c in told.columns if c not in keys])
+    if len(keys) == 1:
+        told = F.broadcast(told)  # a row for each range partition
+    return dealt.join(told, same_keys(keys, renamed), "left").drop(*renamed)
+
+
+def segmented_scan(df: DataFrame, value: Column, order: list[str], group: list[str], name: str, fold: Callable[[Column], Column], both: Callable[[Column, Column], Column]) -> DataFrame:
+    """`fold` of `value` over all earlier rows of the group, for any associative function: null for the first row.
 
-    A group of any size is spread over range partitions; what meets in one task is a row for each partition it is in.
+    `fold` is its aggregate and `both` joins two results, either of which may be null. A group of any size is spread over
+    range partitions and folded there; what a partition starts with is folded over the results of those before it, so
+    what meets in one task is a row for each partition that a group is in.
     """
     dealt = _ranged(df, *group, *order)
     keys = ["_p", *group]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys).agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = [f"_k{i}" for i in range(len(keys))]
-    offsets = sums.select(*[F.col(k).alias(n) for k, n in zip(keys, renamed, strict=True)], F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    if not group:
-        offsets = F.broadcast(offsets)  # a row for each range partition
-    out = dealt.withColumn("_l", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, same_keys(keys, renamed))
-    return out.withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before", *renamed)
+    sums = dealt.groupBy(*keys).agg(fold(value).alias("_s"))
+    out = _carried(dealt.withColumn("_l", fold(value).over(inside)), sums.select(*keys, fold(F.col("_s")).over(before).alias("_before")), keys)
+    return out.withColumn(name, both(F.col("_before"), F.col("_l"))).drop("_p", "_l", "_before")
+
+
+def _running(df: DataFrame, value: Column, order: list[str], group: list[str], name: str) -> DataFrame:
+    """Sum of `value` over all earlier rows of the group, 0 for the first."""
+    return segmented_scan(df, value, order, group, name, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def running_max(df: DataFrame, value: str, *order: str, group: list[str] | None = None, name: str = "reach") -> DataFrame:
+    """The greatest value of all rows before, by `order` within `group`: null for the first."""
+    return segmented_scan(df, F.col(value), list(order), group or [], name, F.max, lambda a, b: F.greatest(a, b))
+
+
+def following(df: DataFrame, columns: list[str], order: str, group: str, name: str = "next") -> DataFrame:
+    """`name`: a struct of the next row's `columns` in the group, null for the last; groups may span range partitions."""
+    dealt = _ranged(df, group, order)
+    keys = ["_p", group]
+    inside = Window.partitionBy(*keys).orderBy(order)
+    row = F.struct(*columns)
+    heads = dealt.groupBy(*keys).agg(F.min(F.struct(order, row.alias("_r"))).alias("_h"))
+    after = heads.select(*keys, F.lead("_h._r").over(Window.partitionBy(group).orderBy("_p")).alias("_after"))
+    out = _carried(dealt.withColumn("_n", F.lead(row).over(inside)), after, keys)
+    return out.withColumn(name, F.coalesce("_n", "_after")).drop("_p", "_n", "_after")
 
 
 def with_index(df: DataFrame, *order: str, start: int = 0, name: str = "index") -> DataFrame:
@@ -61,6 +92,22 @@ def value_ranks(df: DataFrame, col: str, group: list[str] | None = None, name: s
     return running_total(counts, "_c", col, group=group, name="_b").withColumn(name, F.col("_b") + (F.col("_c") + 1) / 2).drop("_b", "_c")
 
 
+def avg_ranks(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
+    """Average ranks of several columns within `group` (column c as `_r_c`), all by one pass over their distinct values.
+
+    Columns are of type double and without nulls.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("_x")
+    counts = df.select(*group, each).groupBy(*group, F.col("_x.c").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
+    placed = running_total(counts, "_c", "_v", group=[*group, "_i"], name="_b")
+    ranks = settled(placed.select(*group, "_i", "_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias("_rank")), "ranks")
+    renamed = [f"_k{i}" for i in range(len(group) + 1)]
+    for i, c in enumerate(columns):
+        mine = ranks.where(F.col("_i") == i).select(*[F.col(k).alias(n) for k, n in zip([*group, "_v"], renamed, strict=True)], F.col("_rank").alias(f"_r_{c}"))
+        df = df.join(mine, same_keys([*group, c], renamed)).drop(*renamed)
+    return df
+
+
 def avg_rank(df: DataFrame, col: str, group: list[str] | None = None, name: str = "rank", of: DataFrame | None = None) -> DataFrame:
     """Average ranks; ties share the mean. Ranks are those among the rows of `of`, by default `df` itself."""
     keys = [*(group or []), col]
@@ -92,11 +139,11 @@ def percentiles(df: DataFrame, col: str, wanted: dict[str, float], group: list[s
 
 
 def merge_intervals(df: DataFrame, key: str) -> DataFrame:
-    """Merges (start, end) when start <= the end so far; a shared end merges, end + 1 does not."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = df.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    island = new.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Merges (start, end) when start <= the end so far; a shared end merges, end + 1 does not. A key of any size is spread over tasks."""
+    reached = running_max(df.select(key, "start", "end"), "end", "start", "end", group=[key], name="_reach")
+    # Of equal rows the one that opens an island comes first in both orders.
+    new = reached.select(key, "start", "end", F.coalesce((F.col("start") <= F.col("_reach")).cast("int"), F.lit(0)).alias("_goes_on")).withColumn("_new", 1 - F.col("_goes_on"))
+    island = running_total(new, "_new", "start", "end", "_goes_on", group=[key], name="_i").withColumn("_i", F.col("_i") + F.col("_new"))
     return island.groupBy(key, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
@@ -131,11 +178,19 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, group: str, key: str, n: int, reps: int, seed: int = 42) -> DataFrame:
-    """For each replicate and class, n rows without replacement; classes smaller than n are left out."""
-    big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
-    each = df.join(big, group, "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("rep", group).orderBy(hashed("rep", key, seed=seed), key)
-    return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """For each replicate and class, n rows without replacement; classes smaller than n are left out.
+
+    The n rows of the least draws are meant. Draws far above the n-th of so many are passed over where a row is read, so
+    that little more than the samples is copied; should that ever leave a sample short, nothing is passed over.
+    """
+    big = settled(df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n), "classes")
+    draw = hashed("rep", key, seed=seed)
+    each = df.join(big, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_d", draw)
+    share = F.conv(F.substring("_d", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    low = settled(each.where(share * F.col("_n") < n + 8 * n**0.5 + 40).drop("_n"), "draws")
+    short = low.groupBy("rep", group).agg(F.count("*").alias("c")).where(F.col("c") >= n).count() < big.count() * reps
+    w = Window.partitionBy("rep", group).orderBy("_d", key)
+    return (each.drop("_n") if short else low).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_d")
 
 
 def top_k(df: DataFrame, k: int, by: list[Column], group: list[str]) -> DataFrame:
@@ -160,8 +215,7 @@ def aligned_correlation(a: DataFrame, b: DataFrame, key: str, pos: str, x: str,
 
 def cumulative_phase(df: DataFrame, key: str, order: list[str], step: str, name: str = "phase") -> DataFrame:
     """Running sum of `step` along each sequence, its own step included."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(step).over(w))
+    return running_total(df, step, *order, group=[key], name="_phase").withColumn(name, F.col("_phase") + F.col(step)).drop("_phase")
 
 
 def recurring_pairs(df: DataFrame, panel: str, item: str, by: list[Column], k: int, least: int = 2) -> DataFrame:
@@ -181,9 +235,9 @@ def representatives(df: DataFrame, col: str, key: str) -> DataFrame:
 
 def adjacent_cosine(df: DataFrame, key: str, pos: str, vec: str, least: int = 5) -> DataFrame:
     """1 - cos(v_j, v_j+1) along each sequence; shorter ones than `least` are skipped."""
-    w = Window.partitionBy(key).orderBy(pos)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pair = df.withColumn("_next", F.lead(vec).over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(key))).where((F.col("_n") >= least) & F.col("_next").isNotNull())
+    long = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    pair = following(df.join(long, key, "left_semi"), [vec], pos, key, "_to").withColumn("_next", F.col(f"_to.{vec}")).where("_next is not null")
     cos = dot(F.col(vec), F.col("_next")) / F.sqrt(dot(F.col(vec), F.col(vec)) * dot(F.col("_next"), F.col("_next")))
     return pair.select(key, pos, (1 - cos).alias("distance"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manifoldry.operators import neighbours, pairs
-from manifoldry.operators.order import avg_rank, percentiles, running_total, sample_n
+from manifoldry.operators.order import avg_ranks, percentiles, running_total, sample_n
 from manifoldry.operators.summary import joined, with_percentiles, with_scalars
 from manifoldry.sources.store import settled
 
@@ -44,20 +46,34 @@ def neighborhood_preservation(hi: DataFrame, lo: DataFrame, k: int = 15) -> Data
     return a.join(b, ["src", "dst"]).groupBy().agg(F.count("*").alias("_c")).crossJoin(hi.agg(F.count("*").alias("_n"))).select((F.col("_c") / (F.col("_n") * k)).alias("preservation"))
 
 
-def distance_correlation(hi: DataFrame, lo: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Spearman correlation of all pair distances of n sampled rows in two spaces."""
+#: Rows of a sample whose pairs are all written.
+MOST_SAMPLED = 5000
+
+
+def _sampled_pairs(hi: DataFrame, lo: DataFrame, n: int, seed: int) -> DataFrame:
+    """(d_hi, d_lo) of all pairs of n sampled rows in two spaces."""
+    if n > MOST_SAMPLED:
+        raise ValueError(f"a sample of {n} rows has too many pairs; {MOST_SAMPLED} are allowed")
     rows = sample_n(hi.select("id"), n, "id", seed)
-    far = float("inf")
-    a, b = (pairs.near(x.join(rows, "id", "left_semi"), far).withColumn("dist", F.round("dist", 9)).withColumnRenamed("dist", name) for x, name in ((hi, "d_hi"), (lo, "d_lo")))
-    both = avg_rank(avg_rank(a.join(b, ["i", "j"]), "d_hi", None, "r_hi"), "d_lo", None, "r_lo")
-    return both.agg(F.count("*").alias("n_pairs"), F.corr("r_hi", "r_lo").alias("rho"))
+    both = settled(rows.join(hi.select("id", F.col("vec").alias("_h")), "id").join(lo.select("id", F.col("vec").alias("_l")), "id"), "sample")
+    a, b = (pairs.near(both.select("id", F.col(c).alias("vec")), float("inf")).withColumn("dist", F.round("dist", 9)).withColumnRenamed("dist", name) for c, name in (("_h", "d_hi"), ("_l", "d_lo")))
+    return a.join(b, ["i", "j"]).select("d_hi", "d_lo")
+
+
+def _rank_correlation(both: DataFrame, group: list[str]) -> DataFrame:
+    ranked = avg_ranks(settled(both, "distances"), ["d_hi", "d_lo"], group)
+    return ranked.groupBy(*group).agg(F.count("*").alias("n_pairs"), F.corr("_r_d_hi", "_r_d_lo").alias("rho"))
+
+
+def distance_correlation(hi: DataFrame, lo: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Spearman correlation of all pair distances of n sampled rows in two spaces; n is at most MOST_SAMPLED, since its pairs are rows."""
+    return _rank_correlation(_sampled_pairs(hi, lo, n, seed), [])
 
 
 def seed_stability(hi: DataFrame, lo: DataFrame, n: int, seeds: list[int]) -> DataFrame:
-    parts = [distance_correlation(hi, lo, n, s).select(F.lit(s).alias("seed"), "rho") for s in seeds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(seed, rho, mean, std): the distance correlation of each seed's sample; all seeds are ranked together."""
+    parts = [_sampled_pairs(hi, lo, n, s).withColumn("seed", F.lit(s)) for s in seeds]
+    out = _rank_correlation(reduce(DataFrame.unionByName, parts), ["seed"]).drop("n_pairs")
     return with_scalars(out, F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("std"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manifoldry.operators.order import avg_rank, percentiles, running_total, same_keys
+from manifoldry.operators.order import avg_rank, avg_ranks, percentiles, running_total, same_keys
 from manifoldry.operators.summary import joined
 
 
@@ -126,8 +126,8 @@ def spearman(df: DataFrame, a: str, b: str, group: list[str] | None = None, leas
     return with_rho_p(out) if p else out
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], panel: str, least: int = 11, p: bool = False, mask: dict[str, str] | None = None) -> DataFrame:
-    """(panel, a, b, n, rho) for all column pairs in each panel with enough rows.
+def spearman_matrix(df: DataFrame, columns: list[str], panel: str, least: int = 11, p: bool = False, mask: dict[str, str] | None = None, overall: str | None = None) -> DataFrame:
+    """(panel, a, b, n, rho) for all column pairs in each panel with enough rows; `overall` names one more panel, of all rows.
 
     A column is ranked once for each set of rows it is complete in: where no value is missing, four columns are four
     rankings, not twelve. `mask` names a score for some columns, whose values count only where the score is above 0.
@@ -135,15 +135,15 @@ def spearman_matrix(df: DataFrame, columns: list[str], panel: str, least: int =
     for c, score in (mask or {}).items():
         df = df.withColumn(c, F.when(F.col(score) > 0, F.col(c)))
     df = df.select(panel, *[F.col(c).cast("double").alias(c) for c in columns])
+    if overall is not None:
+        df = df.withColumn(panel, F.explode(F.array(F.col(panel).cast("string"), F.lit(overall))))
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).head()
     whole = [c for c in columns if not gaps[c]]
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
     shared, own = ([q for q in pairs if (q[0] in whole and q[1] in whole) == w] for w in (True, False))
     out = None
     if shared:
-        ranked = complete = _enough(df, [panel], least)
-        for c in whole:
-            ranked = avg_rank(ranked, c, [panel], f"_r_{c}", of=complete)
+        ranked = avg_ranks(_enough(df, [panel], least), whole, [panel])
         varies = lambda c: F.min(f"_r_{c}") < F.max(f"_r_{c}")
         one = ranked.groupBy(panel).agg(F.count("*").alias("n"), *[F.when(varies(x) & varies(y), F.corr(f"_r_{x}", f"_r_{y}")).alias(f"_c{i}") for i, (x, y) in enumerate(shared)])
         rows = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n"), F.col(f"_c{i}").alias("rho")) for i, (x, y) in enumerate(shared)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +81,34 @@ def ecdf(df: DataFrame, col: str, group: list[str]) -> DataFrame:
     return placed.withColumn("share", (F.col("_b") + F.col("_c")) / F.col("_n")).drop("_c", "_b", "_n")
 
 
+#: Letters that are counted at once.
+LETTERS = 4_000_000
+
+
 def composition(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
-    """Letters, their counts and percent, within `by`."""
-    counts = df.select(*by, F.explode(F.split(seq, "")).alias("letter")).where("letter <> ''").groupBy(*by, "letter").agg(F.count("*").alias("n"))
+    """Letters (code points), their counts and percent, within `by`. A batch of texts is counted at once; letters are never rows."""
+
+    def count(batches):
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LETTERS, side="right")))
+                part = batch.slice(at, stop - at)
+                texts = pc.fill_null(part.column("_seq"), "")
+                code = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+                key = np.zeros(part.num_rows, np.int64)
+                for c in by:
+                    _, key = np.unique(key * (part.num_rows + 1) + pc.fill_null(part.column(c).dictionary_encode().indices, part.num_rows).to_numpy(zero_copy_only=False), return_inverse=True)
+                _, row = np.unique(key, return_index=True)
+                found, n = np.unique(np.repeat(key, pc.utf8_length(texts).to_numpy(zero_copy_only=False)) * (1 << 21) + code, return_counts=True)
+                of = pa.array(row[found >> 21])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in by), pa.array([chr(c) for c in (found & ((1 << 21) - 1)).tolist()], pa.string()), pa.array(n, pa.int64())], [*by, "letter", "n"])
+                at = stop
+
+    given = df.select(*by, F.col(seq).alias("_seq"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[:-1])
+    counts = given.mapInArrow(count, f"{kinds}, letter string, n long").groupBy(*by, "letter").agg(F.sum("n").alias("n"))
     return counts.withColumn("percent", F.col("n") * 100 / F.sum("n").over(Window.partitionBy(*by)))
 
 

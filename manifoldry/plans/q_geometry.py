@@ -1,5 +1,7 @@
 """Queries of vectors (V), geometry (G), density (D), topology (T), sources (S) and incremental work (K)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from manifoldry.operators import density as D
@@ -13,8 +15,8 @@ from manifoldry.plans.q_pairs import KNN
 from manifoldry.plans.q_tables import _INTERVALS, intervals
 from manifoldry.plans.registry import query
 from manifoldry.sources import files as S
-from manifoldry.sources.store import settled
-from manifoldry.streaming.resume import pending
+from manifoldry.sources.store import own_folder, settled
+from manifoldry.streaming.resume import pending, score_stream
 
 _FLAT = f"(SELECT id, label, unnest(vec) AS v, unnest(range(64)) AS i FROM {VECTORS})"
 
@@ -113,6 +115,17 @@ def g8(spark, sf):
     return G.circle_paths(_circles(spark, sf)).select("path", "step", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
 
 
+@query("g8_flagged_centre", f"""
+WITH p AS {POINTS}, q AS (SELECT quantile_cont(x, 0.9) AS a, quantile_cont(y, 0.9) AS b FROM p), f AS (SELECT avg(x) AS cx, avg(y) AS cy FROM p, q WHERE x > a AND y > b),
+c AS (SELECT 'flagged' AS path, coalesce(cx, (SELECT avg(x) FROM p)) AS cx, coalesce(cy, (SELECT avg(y) FROM p)) AS cy FROM f UNION ALL SELECT 'none', avg(x), avg(y) FROM p)
+SELECT path, step, round(cx + 3 * cos(step * pi() / 50), 5) AS x, round(cy + 3 * sin(step * pi() / 50), 5) AS y FROM c, (SELECT unnest(range(100))::INT AS step)""")
+def g8_flagged(spark, sf):
+    """A circle around the points that two criteria flag, and one where no point is flagged, so that all count."""
+    scored = D.boundary_score(points(spark, sf), ["x", "y"], 0.9)
+    centres = [G.flagged_centre(scored, flag).select(F.lit(path).alias("path"), "cx", "cy", F.lit(3.0).alias("radius")) for path, flag in (("flagged", F.col("is_boundary")), ("none", F.lit(False)))]
+    return G.circle_paths(centres[0].unionByName(centres[1])).select("path", "step", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
+
+
 def _paths(spark, sf):
     """Circles around each class in a plane of two vector components, and the rows there."""
     v = vectors(spark, sf)
@@ -243,6 +256,16 @@ def d10(spark, sf):
     return d.groupBy("score", "is_boundary").agg(F.count("*").alias("n"))
 
 
+@query("d10_raster_percentile", _RASTER + _GRAD + """, u AS (SELECT id, x, y, gradient FROM p, b, g WHERE g.ix = floor((x - x0) / (x1 - x0) * 199 + 0.5)::INT AND g.iy = floor((y - y0) / (y1 - y0) * 199 + 0.5)::INT),
+q AS (SELECT (SELECT quantile_cont(gradient, 0.95) FROM g) AS qg, (SELECT quantile_cont(x, 0.95) FROM p) AS qx, (SELECT quantile_cont(y, 0.95) FROM p) AS qy)
+SELECT id, (gradient > qg)::INT + (x > qx)::INT + (y > qy)::INT AS score, (gradient > qg)::INT + (x > qx)::INT + (y > qy)::INT >= 2 AS is_boundary FROM u, q""")
+def d10_raster(spark, sf):
+    """A point's gradient is flagged against the 95th percentile of the whole raster, its other columns against their own."""
+    p = points(spark, sf)
+    g = settled(D.raster_gradient(D.density_raster(p, 200)), "gradient")
+    return D.boundary_score(D.point_gradient(p, g, 200), ["gradient", "x", "y"], 0.95, of={"gradient": g}).select("id", "score", "is_boundary")
+
+
 @query("d13_boundary_mix", _SCORE + " SELECT l_returnflag, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM s WHERE score >= 2 GROUP BY ALL")
 def d13(spark, sf):
     d = D.boundary_score(T(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], 0.9)
@@ -358,6 +381,12 @@ def t8(spark, sf):
     return H.matrix_summary(m).select("i", "j", r(F.col("mean"), 5).alias("mean"), r(F.col("std"), 5).alias("std"), "n")
 
 
+@query("t8_row_means", "SELECT rep, i, round(avg(value), 6) AS mean FROM (SELECT l_linenumber % 4 AS i, l_partkey % 4 AS j, l_suppkey % 10 AS rep, avg(l_discount) AS value FROM lineitem GROUP BY ALL) WHERE i <> j GROUP BY rep, i")
+def t8_rows(spark, sf):
+    m = T(spark, sf, "lineitem").groupBy((F.col("l_linenumber") % 4).alias("i"), (F.col("l_partkey") % 4).alias("j"), (F.col("l_suppkey") % 10).alias("rep")).agg(F.avg("l_discount").alias("value"))
+    return H.row_means(m).withColumn("mean", r(F.col("mean")))
+
+
 @query("s7_rows_from_markup", """SELECT page_id, unnest(range(len(a)))::INT AS position, unnest(a) AS c1, unnest(b) AS c2 FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS a, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS b FROM pages)""")
 def s7(spark, sf):
     return S.extract_rows(T(spark, sf, "pages"), "page_id", "html", '<a href="([^"]*)">([^<]*)</a>', 2)
@@ -384,6 +413,18 @@ def s12(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.count_distinct("seq_id").alias("keys"), F.bool_and((F.length("sequence") == F.col("length")) & F.col("length").between(40, 300)).alias("bounded"))
 
 
+@query("k1_resumed", "SELECT doc_id, n_chars, length(text) AS score, count(*) OVER () AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def k1_resumed(spark, sf):
+    """Documents without labels arrive in two parts; the scoring that starts anew after the first goes on where it stopped."""
+    waiting = settled(pending(T(spark, sf, "documents"), T(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", "text"), "waiting")
+    base = f"{own_folder(spark)}/scores-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        waiting.where(F.abs(F.xxhash64("doc_id")) % 2 == part).write.mode("append").parquet(f"{base}/in")
+        score_stream(spark, f"{base}/in", "doc_id long, n_chars long, text string", f"{base}/out", f"{base}/checkpoint", lambda d: d.select("doc_id", "n_chars", F.char_length("text").cast("long").alias("score")))
+    out = spark.read.schema("doc_id long, n_chars long, score long").parquet(f"{base}/out").drop("batch")
+    return A.with_scalars(out, F.count("*").alias("n"))
+
+
 @query("k1_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def k1(spark, sf):
     return pending(T(spark, sf, "documents"), T(spark, sf, "labels"), "doc_id").select("doc_id")

@@ -1,9 +1,11 @@
+import hashlib
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from manifoldry.operators import joins, order, stats, summary
+from manifoldry.operators import geometry, joins, order, quality, stats, summary
 
 
 def ranks(values):
@@ -111,3 +113,72 @@ def test_t_quantile_and_tails():
     assert math.isclose(stats.t_quantile(0.95, 10), 2.2281388520, rel_tol=1e-8)
     assert math.isclose(stats.t_quantile(0.99, 3), 5.8409093097, rel_tol=1e-8)
     assert math.isclose(stats.upper_p(1.6448536270), 0.05, rel_tol=1e-8)
+
+
+def one_key(spark, n=4000, seed=1):
+    """One key whose rows span many range partitions, and a few small ones."""
+    rng = random.Random(seed)
+    rows = [("hot", rng.randrange(20_000), rng.randrange(1, 12)) for _ in range(n)] + [(k, rng.randrange(50), rng.randrange(0, 9)) for k in "abc" for _ in range(20)]
+    return [(k, s, s + w) for k, s, w in rows] + [("hot", 5, 3), ("hot", 5, 3), ("hot", 7, 7), ("hot", 7, 7), (None, 1, 2), (None, 2, 5)]
+
+
+def test_intervals_of_one_key_over_many_partitions(spark):
+    rows = one_key(spark)
+    want = []
+    for key in {r[0] for r in rows}:
+        reach = None
+        for s, e in sorted((s, e) for k, s, e in rows if k == key):
+            if reach is None or s > reach:
+                want.append([key, s, e])
+            reach = e if reach is None else max(reach, e)
+            want[-1][2] = max(want[-1][2], e)
+    df = spark.createDataFrame(rows, "k string, start long, end long").repartition(7)
+    parts = order._ranged(df, "k", "start").where("k = 'hot'").select("_p").distinct().count()
+    assert parts > 1
+    got = [(r.k, r.start, r.end) for r in order.merge_intervals(df, "k").collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, want), key=repr)
+    assert order.merge_intervals(df.where("false"), "k").count() == 0
+
+
+def test_scans_across_partitions(spark):
+    rng = random.Random(2)
+    rows = [("a", i, rng.randrange(100)) for i in range(900)] + [("b", 0, 4)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    best = {(r.k, r.i): r.reach for r in order.running_max(df, "v", "i", group=["k"]).collect()}
+    after = {(r.k, r.i): r.next for r in order.following(df, ["v"], "i", "k").collect()}
+    values = [v for k, _, v in rows if k == "a"]
+    assert best == {("a", i): max(values[:i], default=None) for i in range(900)} | {("b", 0): None}
+    assert {x: n and n.v for x, n in after.items()} == {("a", i): (values[i + 1] if i < 899 else None) for i in range(900)} | {("b", 0): None}
+
+
+def test_bootstrap_draws_the_least(spark):
+    df = spark.createDataFrame([("big" if i % 5 else "small", i) for i in range(5000)] + [("tiny", -1)], "g string, id long")
+    got = {}
+    for r in order.bootstrap(df, "g", "id", 30, 4).collect():
+        got.setdefault((r.rep, r.g), set()).add(r.id)
+    draw = lambda rep, i: hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()
+    for rep in range(4):
+        for g, ids in (("big", [i for i in range(5000) if i % 5]), ("small", list(range(0, 5000, 5)))):
+            assert got.pop((rep, g)) == set(sorted(ids, key=lambda i: (draw(rep, i), i))[:30])
+    assert not got
+
+
+def test_letters_are_counted_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(summary, "LETTERS", 7)
+    rows = [("x", 1, "abca\U0001f600"), ("x", 1, ""), ("x", None, "é" * 20), (None, 2, "aa"), (None, 2, None), ("x", 1, "a")]
+    df = spark.createDataFrame(rows, "g string, h long, s string")
+    got = {(r.g, r.h, r.letter): (r.n, round(r.percent, 6)) for r in summary.composition(df, "s", ["g", "h"]).collect()}
+    assert got == {("x", 1, "a"): (3, 50.0), ("x", 1, "b"): (1, 16.666667), ("x", 1, "c"): (1, 16.666667), ("x", 1, "\U0001f600"): (1, 16.666667), ("x", None, "é"): (20, 100.0), (None, 2, "a"): (2, 100.0)}
+
+
+def test_centre_of_flagged_points(spark):
+    df = spark.createDataFrame([(0.0, 1.0, True), (2.0, 3.0, True), (10.0, 10.0, False)], "x double, y double, f boolean")
+    assert tuple(geometry.flagged_centre(df, F.col("f")).head()) == (1.0, 2.0)
+    assert tuple(geometry.flagged_centre(df, F.lit(False)).head()) == (4.0, 14 / 3)
+    assert tuple(geometry.flagged_centre(df.where("false"), F.col("f")).head()) == (None, None)
+
+
+def test_samples_of_too_many_rows_are_refused(spark):
+    df = spark.createDataFrame([(1, [0.0])], "id long, vec array<double>")
+    with pytest.raises(ValueError):
+        quality.distance_correlation(df, df, quality.MOST_SAMPLED + 1)

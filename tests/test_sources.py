@@ -1,3 +1,5 @@
+import pytest
+
 from manifoldry.sources import files as S
 from manifoldry.streaming.resume import pending, score_stream
 
@@ -57,3 +59,18 @@ def test_resume(spark, tmp_path):
         score_stream(spark, src, "id long", sink, mark, lambda b: b.selectExpr("id", "id * 2 AS score"))
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(10))
     assert pending(spark.range(12), spark.read.parquet(sink), "id").count() == 2
+
+
+def test_a_batch_that_fails_half_way_is_not_written_twice(spark, tmp_path):
+    src, sink, mark = (str(tmp_path / n) for n in ("src", "sink", "mark"))
+    spark.range(8).coalesce(1).write.parquet(src)
+
+    def half(batch):
+        batch.write.mode("overwrite").parquet(f"{sink}/batch=0")  # what a run may have left when it was lost
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        score_stream(spark, src, "id long", sink, mark, half)
+    score_stream(spark, src, "id long", sink, mark, lambda b: b)
+    score_stream(spark, src, "id long", sink, mark, lambda b: b)
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(8))
