@@ -59,6 +59,36 @@ def v5(spark, sf):
     return spark.createDataFrame([(i + 1, s, t, n90, n95) for i, (s, t) in enumerate(zip(shares, total, strict=True))], "component int, share double, cumulative double, n90 int, n95 int")
 
 
+@query("v4_norms", f"SELECT id, round(sum((v - m) ** 2), 5) AS norm FROM (SELECT id, v, avg(v) OVER (PARTITION BY i) AS m FROM {_FLAT}) GROUP BY id")
+def v4_norms(spark, sf):
+    """All 64 component scores of a row keep its squared distance from the mean: the components are an orthonormal base."""
+    scores = G.pca(vectors(spark, sf), 64)[0]
+    return scores.select("id", r(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm"))
+
+
+@query("v4_covariance", f"SELECT count(*) AS n, round(sum(v), 5) AS trace, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS cross, true AS falling, (SELECT round(sum(c * c), 5) FROM (SELECT covar_samp(a.v, b.v) AS c FROM {_FLAT} a JOIN {_FLAT} b USING (id) GROUP BY a.i, b.i)) AS square FROM (SELECT var_samp(v) AS v FROM {_FLAT} GROUP BY i)")
+def v4_covariance(spark, sf):
+    """Scores of all components have no mean and no covariance with each other; their variances fall, and add up, squared
+    too, to what the vectors' own covariance matrix has."""
+    each = G.pca(vectors(spark, sf), 64)[0].select("id", F.posexplode("scores").alias("i", "v"))
+    own = each.groupBy("i").agg(F.var_samp("v").alias("s"), F.abs(F.avg("v")).alias("m"))
+    other = each.select("id", F.col("i").alias("j"), F.col("v").alias("w"))
+    cross = each.join(other, "id").where("i < j").groupBy("i", "j").agg(F.abs(F.covar_samp("v", "w")).alias("c")).agg(r(F.max("c"), 5).alias("cross"))
+    falling = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.get("l", k)["s"] <= F.get("l", k - 1)["s"])
+    told = own.agg(F.count("*").alias("n"), r(F.sum("s"), 5).alias("trace"), r(F.max("m"), 5).alias("mean"), r(F.sum(F.col("s") * F.col("s")), 5).alias("square"), F.array_sort(F.collect_list(F.struct("i", "s"))).alias("l"))
+    return told.crossJoin(F.broadcast(cross)).select("n", "trace", "mean", "cross", falling.alias("falling"), "square")
+
+
+@query("v5_shares", f"""
+WITH c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.v, b.v) AS c FROM {_FLAT} a JOIN {_FLAT} b USING (id) GROUP BY a.i, b.i), t AS (SELECT sum(c) AS t FROM c WHERE i = j)
+SELECT 64::BIGINT AS n, 1.0::DOUBLE AS total, (SELECT round(sum(c * c) / any_value(t * t), 6) FROM c, t) AS squares, (SELECT round(sum(x.c * y.c * z.c) / any_value(t * t * t), 6) FROM c x JOIN c y ON y.i = x.j JOIN c z ON z.i = y.j AND z.j = x.i, t) AS cubes""")
+def v5_shares(spark, sf):
+    """The explained shares add up to one; the sums of their squares and cubes are those of the covariance matrix, by the trace of its powers."""
+    shares = G.pca(vectors(spark, sf), 64)[1]
+    rows = spark.createDataFrame([(float(x),) for x in shares], "x double")
+    return rows.agg(F.count("*").alias("n"), r(F.sum("x")).alias("total"), r(F.sum(F.col("x") ** 2)).alias("squares"), r(F.sum(F.col("x") ** 3)).alias("cubes"))
+
+
 @query("g1_local_scale", f"WITH {KNN} SELECT src, round(1 / avg(dist), 6) AS density, round(min(dist), 6) AS nearest, round(max(dist), 6) AS r_k FROM k WHERE rank <= 20 GROUP BY src")
 def g1(spark, sf):
     return G.local_scale(N.knn(vectors(spark, sf), 20)).select("src", *[r(F.col(c)).alias(c) for c in ("density", "nearest", "r_k")])
@@ -104,6 +134,69 @@ def g7(spark, sf):
     return G.so_defect(k, G.local_frame(k, v))
 
 
+@query("g4_three_neighbours", f"""
+WITH {KNN}, n AS (SELECT k.src, v.vec FROM k JOIN {VECTORS} v ON v.id = k.dst WHERE rank <= 3), u AS (SELECT src, unnest(vec) AS v, unnest(range(64)) AS i FROM n), c AS (SELECT src, i, avg(v) AS m FROM u GROUP BY ALL),
+m AS (SELECT src, list(m ORDER BY i) AS m FROM c GROUP BY src), d AS (SELECT src, row_number() OVER (PARTITION BY src) AS p, list_transform(list_zip(vec, m), lambda z: z[1] - z[2]) AS d FROM n JOIN m USING (src)),
+e AS (SELECT a.src, sum(list_inner_product(a.d, b.d)) FILTER (a.p = b.p) / 2 AS t, sum(list_inner_product(a.d, b.d) ** 2) / 4 AS q FROM d a JOIN d b ON a.src = b.src GROUP BY a.src)
+SELECT src, round((t + sqrt(2 * q - t * t)) / (t - sqrt(2 * q - t * t)), 4) AS condition FROM e""")
+def g4_three(spark, sf):
+    """Three neighbours have two eigenvalues, which follow from their sum and the sum of their squares."""
+    v = vectors(spark, sf)
+    return G.condition_number(N.knn(v, 3), v).select("src", r(F.col("condition"), 4).alias("condition"))
+
+
+@query("g5_two_neighbours", f"""
+WITH {KNN} SELECT src, 1.0::DOUBLE AS first, 1.0::DOUBLE AS second, 0.0::DOUBLE AS cross, round(sum(dist * dist), 5) AS captured FROM k WHERE rank <= 2 GROUP BY src""")
+def g5_two(spark, sf):
+    """Frames are orthonormal, and a frame of two axes holds all that two neighbours are away from the point."""
+    v = vectors(spark, sf)
+    knn = settled(N.knn(v, 2), "neighbours")
+    f = settled(G.local_frame(knn, v), "frames")
+    dot = lambda a, b: G.dot(F.col(a), F.col(b))
+    axes = f.select("src", F.col("frame")[0].alias("a"), F.col("frame")[1].alias("b"))
+    away = knn.join(v.select(F.col("id").alias("src"), F.col("vec").alias("v")), "src").join(v.select(F.col("id").alias("dst"), F.col("vec").alias("w")), "dst").withColumn("d", F.zip_with("w", "v", lambda x, y: x - y))
+    held = away.join(axes, "src").groupBy("src").agg(r(F.sum(dot("d", "a") ** 2 + dot("d", "b") ** 2), 5).alias("captured"))
+    return axes.select("src", r(dot("a", "a")).alias("first"), r(dot("b", "b")).alias("second"), r(F.abs(dot("a", "b"))).alias("cross")).join(held, "src")
+
+
+_TRIANGLES = "e AS (SELECT src, dst FROM k WHERE rank <= 15), t AS (SELECT a.src AS i, a.dst AS j, b.dst AS k FROM e a JOIN e b ON a.src = b.src JOIN e c ON c.src = a.dst AND c.dst = b.dst WHERE a.src < a.dst AND a.dst < b.dst)"
+
+
+@query("g6_nearest_direction", f"""
+WITH {KNN}, {_TRIANGLES}, f AS (SELECT k.src, list_transform(list_zip(w.vec, v.vec), lambda z: (z[1] - z[2]) / k.dist) AS f FROM k JOIN {VECTORS} v ON v.id = k.src JOIN {VECTORS} w ON w.id = k.dst WHERE rank = 1),
+d AS (SELECT i, j, k, acos(least(abs(list_inner_product(a.f, b.f)), 1)) + acos(least(abs(list_inner_product(b.f, c.f)), 1)) + acos(least(abs(list_inner_product(c.f, a.f)), 1)) AS d FROM t JOIN f a ON a.src = i JOIN f b ON b.src = j JOIN f c ON c.src = k),
+v AS (SELECT src, avg(d) AS d FROM (SELECT unnest([i, j, k]) AS src, d FROM d) GROUP BY src) SELECT f.src, round(d, 4) AS defect FROM f LEFT JOIN v USING (src)""")
+def g6_nearest(spark, sf):
+    """A frame of the nearest neighbour alone is its direction."""
+    v = vectors(spark, sf)
+    k = settled(N.knn(v, 15), "neighbours")
+    return G.u1_defect(k, G.local_frame(k.where("rank = 1"), v, 1)).select("src", r(F.col("defect"), 4).alias("defect"))
+
+
+#: The orthogonal factor of a 2 x 2 matrix [a, b, c, d]: its first row, and the sign of the second.
+_POLAR = "CASE WHEN {m}[1] * {m}[4] - {m}[2] * {m}[3] > 0 THEN [({m}[1] + {m}[4]) / sqrt(({m}[1] + {m}[4]) ** 2 + ({m}[2] - {m}[3]) ** 2), ({m}[2] - {m}[3]) / sqrt(({m}[1] + {m}[4]) ** 2 + ({m}[2] - {m}[3]) ** 2), -1.0] ELSE [({m}[1] - {m}[4]) / sqrt(({m}[1] - {m}[4]) ** 2 + ({m}[2] + {m}[3]) ** 2), ({m}[2] + {m}[3]) / sqrt(({m}[1] - {m}[4]) ** 2 + ({m}[2] + {m}[3]) ** 2), 1.0] END"
+
+
+_TURNS = [("ki", "k_", "i_"), ("jk", "j_", "k_"), ("ij", "i_", "j_")]
+_OVERLAPS = ", ".join(f"[list_inner_product({x}.a, {y}.a), list_inner_product({x}.a, {y}.b), list_inner_product({x}.b, {y}.a), list_inner_product({x}.b, {y}.b)] AS {m}" for m, x, y in _TURNS)
+
+
+@query("g7_given_frames", f"""
+WITH {KNN}, {_TRIANGLES}, f AS (SELECT id AS src, vec AS a, list_transform(range(1, 65), lambda i: CASE WHEN i % 2 = 1 THEN -vec[i + 1] ELSE vec[i - 1] END) AS b FROM {VECTORS}),
+o AS (SELECT i, j, k, {_OVERLAPS} FROM t JOIN f i_ ON i_.src = i JOIN f j_ ON j_.src = j JOIN f k_ ON k_.src = k),
+q AS (SELECT i, j, k, {', '.join(f"{_POLAR.format(m=m)} AS {m}" for m, _, _ in _TURNS)} FROM o),
+w AS (SELECT *, {', '.join(f"[[{m}[1], {m}[2]], [{m}[3] * {m}[2], -{m}[3] * {m}[1]]] AS r{m}" for m, _, _ in _TURNS)} FROM q),
+h AS (SELECT i, j, k, list_sum(list_transform(range(1, 3), lambda a: list_sum(list_transform(range(1, 3), lambda b: list_sum(list_transform(range(1, 3), lambda c: rki[a][b] * rjk[b][c] * rij[c][a])))))) AS tr FROM w),
+v AS (SELECT src, avg(abs(tr - 2)) AS d FROM (SELECT unnest([i, j, k]) AS src, tr FROM h) GROUP BY src) SELECT f.src, round(d, 4) AS defect FROM f LEFT JOIN v USING (src)""")
+def g7_given(spark, sf):
+    """Frames of a vector and of it turned by a right angle in each pair of its dimensions."""
+    v = vectors(spark, sf)
+    k = settled(N.knn(v, 15), "neighbours")
+    turned = F.transform("vec", lambda x, i: F.when(i % 2 == 0, -F.get("vec", i + 1)).otherwise(F.get("vec", i - 1)))
+    frames = v.select(F.col("id").alias("src"), F.array("vec", turned).alias("frame"))
+    return G.so_defect(k, frames).select("src", r(F.col("defect"), 4).alias("defect"))
+
+
 def _circles(spark, sf):
     p = points(spark, sf)
     centres = p.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
@@ -150,14 +243,31 @@ def g9_profile(spark, sf):
     return G.path_profile(G.match_paths(paths, p), rows, "label", "score").withColumn("mean_score", r(F.col("mean_score"), 5))
 
 
-@query("g9_wilson_loop")
+#: The vector carried along each path, a step a round: what is left of it across the step, at unit length.
+_LOOPS = f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT id, label, vec, vec[1] * 10 AS x, vec[2] * 10 AS y FROM {VECTORS}), c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY label),
+w AS (SELECT label::VARCHAR AS path, step, cx + cos(step * pi() / 50) AS x, cy + sin(step * pi() / 50) AS y FROM c, (SELECT unnest(range(100)) AS step)),
+m AS MATERIALIZED (SELECT path, step, arg_min(p.id, (round(sqrt((w.x - p.x) ** 2 + (w.y - p.y) ** 2), 12), p.id)) AS dst, min(sqrt((w.x - p.x) ** 2 + (w.y - p.y) ** 2)) AS dist FROM w, p GROUP BY ALL),
+s AS MATERIALIZED (SELECT a.path, a.step, x.vec AS here, y.vec AS there, list_distance(x.vec, y.vec) AS size, CASE WHEN list_distance(x.vec, y.vec) >= 1e-10 THEN list_transform(list_zip(y.vec, x.vec), lambda z: (z[1] - z[2]) / list_distance(x.vec, y.vec)) END AS way
+  FROM m a JOIN m b ON b.path = a.path AND b.step = (a.step + 1) % 100 JOIN p x ON x.id = a.dst JOIN p y ON y.id = b.dst),
+t(path, step, carried, phase) AS (SELECT path, 0::BIGINT, list_transform(here, lambda v: v / sqrt(list_inner_product(here, here))), NULL::DOUBLE FROM s WHERE step = 0
+  UNION ALL SELECT path, step + 1, CASE WHEN size < 1e-10 THEN carried WHEN long < 1e-10 THEN list_transform(there, lambda v: v / sqrt(list_inner_product(there, there))) ELSE list_transform(rest, lambda v: v / long) END,
+    CASE WHEN size < 1e-10 OR long < 1e-10 THEN 0.0 ELSE acos(greatest(-1, least(1, list_inner_product(carried, rest) / long))) END
+  FROM (SELECT *, sqrt(list_inner_product(rest, rest)) AS long FROM (SELECT t.path, t.step, t.carried, s.size, s.there, CASE WHEN s.size >= 1e-10 THEN list_transform(list_zip(t.carried, s.way), lambda z: z[1] - z[2] * list_inner_product(t.carried, s.way)) ELSE t.carried END AS rest FROM t JOIN s ON s.path = t.path AND s.step = t.step))),
+l AS (SELECT path, sum(phase) AS wilson_loop, avg(phase) AS avg_phase, stddev_pop(phase) AS std_phase, max(phase) AS max_phase, count(phase) AS n_points FROM t GROUP BY path),
+g AS (SELECT path, avg(dist) AS avg_distance, max(dist) AS max_distance FROM m GROUP BY path)"""
+
+
+@query("g9_wilson_loop", _LOOPS + " SELECT path, round(wilson_loop, 4) AS wilson_loop, round(avg_phase, 5) AS avg_phase, round(std_phase, 5) AS std_phase, round(max_phase, 5) AS max_phase, round(avg_distance, 5) AS avg_distance, round(max_distance, 5) AS max_distance, n_points FROM l JOIN g USING (path)")
 def g9(spark, sf):
-    return _loops(spark, sf)
+    d = _loops(spark, sf).withColumn("wilson_loop", r(F.col("wilson_loop"), 4))
+    return d.select("path", "wilson_loop", *[r(F.col(c), 5).alias(c) for c in ("avg_phase", "std_phase", "max_phase", "avg_distance", "max_distance")], "n_points")
 
 
-@query("g10_verdict")
+@query("g10_verdict", _LOOPS + " SELECT round(avg(wilson_loop), 4) AS mean, round(stddev_pop(wilson_loop), 4) AS std, round(min(wilson_loop), 4) AS min, round(max(wilson_loop), 4) AS max, round(corr(wilson_loop, std_phase), 3) AS r_std, round(corr(wilson_loop, max_phase), 3) AS r_max, stddev_pop(wilson_loop) > 0.1 OR abs(avg(wilson_loop)) > 0.5 AS nontrivial FROM l")
 def g10(spark, sf):
-    return G.loop_verdict(_loops(spark, sf))
+    v = G.loop_verdict(_loops(spark, sf))
+    return v.select(*[r(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max")], *[r(F.col(c), 3).alias(c) for c in ("r_std", "r_max")], "nontrivial")
 
 
 @query("g11_concentration", f"""

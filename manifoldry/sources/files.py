@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from manifoldry.sources.store import settled
+
+# What readers run in tasks travels by value, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, description, sequence): a record for each header; the id is the header's first token, body lines are joined."""
@@ -77,17 +86,44 @@ def first_rows(rows: DataFrame, name: str, least: int = 5) -> DataFrame:
     return good.groupBy(name).agg(F.min(F.struct(*rest)).alias("_f")).select(*[F.col(c if c == name else f"_f.{c}").alias(c) for c in rows.columns])
 
 
+def _numbered(batches):
+    """Kept lines with their number in the block and the model that the block has begun before, and a row of what each block ends with."""
+    names = ["file", "at", "line", "model", "value"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    here, line, model = None, 0, None
+    for batch in batches:
+        rows = []
+        for file, at, value in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "value")), strict=True):
+            if (file, at) != here:
+                if here is not None:
+                    rows.append((*here, line, model, None))
+                here, line, model = (file, at), 0, None
+            head = value.lstrip()
+            if head.startswith("MODEL"):
+                word = head[5:].split()
+                model = int(word[0]) if head[5:6].isspace() and word and word[0].isdigit() else model
+            elif value.startswith(("ATOM", "HETATM")):
+                rows.append((file, at, line, model, value))
+            line += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+    if here is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*here, line, model, None), kinds, strict=True)], names)
+
+
 def read_atoms(spark: SparkSession, path: str, hetero: bool = False) -> DataFrame:
-    """(file, place, model, chain, resseq, resname, atom, x, y, z) from fixed-width lines of all files.
+    """(file, place, model, chain, resseq, resname, atom, x, y, z) from fixed-width lines of all files; place is the line's number.
 
-    A file is read whole, as one value, so that a line knows its MODEL line; files without one are model 1. place is the line's number.
+    Files of any size: Spark cuts them into splits, each of which finds the MODEL lines in it. A running fold over the
+    splits' summaries, a row for each, tells a split how many lines come before it and which model it begins in. Lines
+    before any MODEL line are of model 1.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "(?=(?:^|\n)MODEL )")).alias("part", "body"))
-    number = F.expr(r"try_cast(regexp_extract(body, '^\\s*MODEL\\s+(\\d+)', 1) AS int)")
-    lines = whole.select("file", F.coalesce(number, F.lit(1)).alias("model"), "part", F.posexplode(F.split("body", "\n")).alias("line", "value"))
-    lines = lines.where(F.col("value").startswith("ATOM") | (F.lit(hetero) & F.col("value").startswith("HETATM")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    found = settled(lines.mapInArrow(_numbered, "file string, at long, line long, model int, value string"), "atom-lines")
+    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = found.where("value is null").select("file", "at", F.coalesce(F.sum("line").over(order), F.lit(0)).alias("_lines"), F.last("model", ignorenulls=True).over(order).alias("_model"))
+    kept = found.where(F.col("value").startswith("ATOM") | (F.lit(hetero) & F.col("value").startswith("HETATM"))).join(ends, ["file", "at"])
     cut = lambda a, n: F.trim(F.substring("value", a, n))
-    return lines.select("file", F.struct("part", "line").alias("place"), "model", F.substring("value", 22, 1).alias("chain"), cut(23, 4).cast("int").alias("resseq"), cut(18, 3).alias("resname"), cut(13, 4).alias("atom"), *[cut(a, 8).cast("double").alias(n) for a, n in ((31, "x"), (39, "y"), (47, "z"))])
+    return kept.select("file", (F.col("_lines") + F.col("line")).alias("place"), F.coalesce("model", "_model", F.lit(1)).alias("model"), F.substring("value", 22, 1).alias("chain"), cut(23, 4).cast("int").alias("resseq"), cut(18, 3).alias("resname"), cut(13, 4).alias("atom"), *[cut(a, 8).cast("double").alias(n) for a, n in ((31, "x"), (39, "y"), (47, "z"))])
 
 
 def ca_points(atoms: DataFrame) -> DataFrame:

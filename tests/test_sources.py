@@ -52,6 +52,30 @@ def test_table_listing_and_control(spark, tmp_path):
     assert len(rows) == 20 and all(40 <= len(r.sequence) == r.length <= 300 and set(r.sequence) <= {"A", "C"} for r in rows)
 
 
+@pytest.mark.parametrize("split", [90, 400, 1 << 20])
+def test_atoms_of_files_larger_than_a_split(spark, tmp_path, split):
+    """Models that go on over several splits; a file without MODEL lines; lines of other kinds between."""
+    line = lambda i: f"ATOM  {i % 99999:5d}  CA  ALA A{i % 9999:4d}    {i / 10:8.3f}{0:8.3f}{1:8.3f}"
+    want = {}
+    for name, models in (("a", {3: 17, 5: 40, 12: 1}), ("b", {None: 30}), ("c", {1: 3, 2: 0, 7: 25})):
+        text = ["HEADER x", "REMARK"]
+        for model, n in models.items():
+            text += [] if model is None else [f"MODEL     {model:4d}"]
+            for i in range(n):
+                want[name, len(text)] = (model or 1, i)
+                text.append(line(i))
+            text += ["TER", "ENDMDL"]
+        (tmp_path / f"{name}.pdb").write_text("\n".join(text) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = S.read_atoms(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r.file[-5], r.place): (r.model, r.resseq) for r in rows} == want and len(rows) == len(want)
+
+
 def test_resume(spark, tmp_path):
     src, sink, mark = (str(tmp_path / n) for n in ("src", "sink", "mark"))
     for lo in (0, 5):
