@@ -130,12 +130,19 @@ def sole_failure(failures: Column, version: str = CURRENT) -> Column:
     return F.when(bits.bitwiseAND(bits - 1) == 0, bits).otherwise(0).cast("long")
 
 
+def with_ablation(judged: DataFrame, recorded: DataFrame, version: str = CURRENT) -> DataFrame:
+    """`judged`, whose `sole_failure` is a rule's bit or 0, with how many documents that rule alone rejects: what would stay without it."""
+    bits = F.create_map(*[x for r in RULES for x in (F.lit(r.name), F.lit(1 << r.bit).cast("long"))])
+    told = ablations(recorded).where(F.col("policy") == version).select(F.get(F.map_values(F.map_filter(bits, lambda k, _: k == F.col("rule"))), F.lit(0)).alias("_bit"), F.col("n_only_this").alias("_n"))
+    return judged.join(F.broadcast(told), F.col("sole_failure") == F.col("_bit"), "left").withColumn("ablation_gain", F.coalesce("_n", F.lit(0))).drop("_bit", "_n")
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    """The ledger is stored once; both policies and the ablation are read from it."""
+    """The ledger is stored once; both policies and the ablations, by aggregation over distinct masks, are read from it."""
     recorded = materialise(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
     earlier = apply_policy(recorded, "v1").withColumnRenamed("kept", "kept_v1").drop("policy")
     judged = apply_policy(earlier).withColumn("sole_failure", sole_failure(F.col("failures")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failures").bitwiseAND(F.lit(BASE)).cast("boolean").alias("base_failed"), "kept", "failures", "kept_v1", "sole_failure")
+    return with_ablation(judged, recorded).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failures").bitwiseAND(F.lit(BASE)).cast("boolean").alias("base_failed"), "kept", "failures", "kept_v1", "sole_failure", "ablation_gain")
 
 
 SQL = r"""
@@ -154,7 +161,8 @@ a AS (
   FROM m LEFT JOIN c USING (doc_id)),
 b AS (
   SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
-    + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS failures FROM a)
+    + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS failures FROM a),
+d AS (SELECT *, (CASE WHEN failures IN (1, 2, 4, 8, 16, 32) THEN failures ELSE 0 END)::BIGINT AS sole_failure FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures, (failures & 3) = 0 AS kept_v1,
-  (CASE WHEN failures IN (1, 2, 4, 8, 16, 32) THEN failures ELSE 0 END)::BIGINT AS sole_failure FROM b
+  sole_failure, CASE WHEN sole_failure > 0 THEN count(*) OVER (PARTITION BY sole_failure) ELSE 0 END AS ablation_gain FROM d
 """

@@ -15,11 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_substring": substring.op9,
     "op10_sharding": sharding.op10,
+    "url_rules": url_filter.url_rules,
     "op11_pieces": pieces.op11,
     "op12_phrases": phrases.op12,
     "op13_variants": variants.op13,
 }
 ORACLES = {
+    "url_rules": url_filter.RULES_SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op12_phrases": phrases.SQL,

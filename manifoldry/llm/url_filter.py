@@ -135,3 +135,16 @@ def judge(pages: DataFrame) -> DataFrame:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """What rules alone say of every page's URL; the part of op3 that SQL can express."""
+    return with_rule(parsed(read(spark, sf_dir, "pages").select("page_id", "url"))).select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"))
+
+
+_RULES = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in RULES)
+RULES_SQL = f"""
+WITH r(rule, verdict) AS (VALUES {_RULES}), u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h, r WHERE ('.' || host).ends_with('.' || split_part(rule, '/', 1)) AND path.starts_with(substr(rule, strpos(rule, '/'))) GROUP BY page_id)
+SELECT h.*, m.rule, m.verdict FROM h LEFT JOIN m USING (page_id)"""

@@ -1,10 +1,13 @@
 """Rules, URL verdicts, toxicity, sharding and the pipeline."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from manifoldry.llm import quality_rules, sharding, toxicity, url_filter
@@ -131,3 +134,33 @@ def test_pipeline(spark, tmp_path):
     for r in out:
         length[r.doc_id] += r.length
     assert length[204] < length[203]
+
+
+def plain_score(text, weight, bias):
+    """The score of a text, n-gram by n-gram."""
+    m, total, n_grams = 0xFFFFFFFF, 0.0, 0
+    padded = " " + " ".join((text or "").lower().split()) + " "
+    code = [ord(c) * 0x01000193 & m for c in padded]
+    code = [(h ^ h >> 15) * 0x9E3779B1 & m for h in code]
+    for n in (3, 4, 5, 6):
+        for i in range(len(padded) - n + 1):
+            if " " in padded[i + 1 : i + n - 1]:
+                continue
+            rolled = code[i]
+            for h in code[i + 1 : i + n]:
+                rolled = (rolled * 0x01000193 + h) & m
+            mixed = (rolled ^ (n * 0x85EBCA6B & m)) * 0x9E3779B1 & m
+            total += weight[((mixed ^ mixed >> 13) * 0x01000193 & m) >> 12]
+            n_grams += 1
+    return 1 / (1 + math.exp(-(total / (n_grams + 100) + bias)))
+
+
+@pytest.mark.parametrize("span", [7, 64, 1 << 20])
+def test_scores_equal_a_plain_loop(monkeypatch, span):
+    """Whole texts, wherever they are cut for counting."""
+    monkeypatch.setattr(toxicity, "_SPAN", span)
+    weight = np.random.default_rng(4).normal(0, 30, 1 << 20)
+    rng = random.Random(4)
+    texts = ["", "   ", "a", "ab", "A b  c\n\td", "na\u00efve \u65e5\u672c\u8a9e \U0001f600\U0001f600", "word" * 40] + [" ".join("".join(rng.choices("abc\u00e9", k=rng.randrange(1, 9))) for _ in range(rng.randrange(60))) for _ in range(30)]
+    got = toxicity.score_texts(texts, weight, -0.3)
+    assert got.tolist() == pytest.approx([plain_score(t, weight, -0.3) for t in texts])

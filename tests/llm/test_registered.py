@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op3_url_filter", "op10_sharding"])

@@ -242,8 +242,9 @@ def test_every_repeated_window_is_found(spark):
             if first.setdefault(k, d) != d:
                 need[d].update(range(i, i + 55))
     got = {r.doc_id: {i for s in r.spans for i in range(s.start, s.stop)} for r in substring.marked(frame(spark, rows)).collect()}
-    missed = sum(len(v - got[d]) for d, v in need.items())
-    assert missed <= 0.01 * sum(map(len, need.values()))
+    for d, v in need.items():
+        inner = {i for i in v if {i - 6, i + 6} <= v}  # a span may stop up to 6 words before the end of a repeat
+        assert inner <= got[d]
 
 
 def test_cut_keeps_the_rest():
