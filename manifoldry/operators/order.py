@@ -242,30 +242,57 @@ def adjacent_cosine(df: DataFrame, key: str, pos: str, vec: str, least: int = 5)
     return pair.select(key, pos, (1 - cos).alias("distance"))
 
 
+def around(df: DataFrame, columns: list[str], order: str, group: str, before: int, after: int) -> DataFrame:
+    """`prev` and `next`: structs of the `before` rows before and the `after` rows after each row of the group, in order.
+
+    Groups may span range partitions: a partition gets the few rows that lie next to it from those beside it.
+    """
+    dealt = _ranged(df, group, order)
+    keys = ["_p", group]
+    row, inside = F.struct(*columns), Window.partitionBy("_p", group).orderBy(order)
+    placed = dealt.withColumn("_at", F.row_number().over(inside)).withColumn("_of", F.count("*").over(Window.partitionBy(*keys)))
+    edge = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("_at", row.alias("r"))))), lambda x: x["r"])
+    ends = placed.where((F.col("_at") <= after) | (F.col("_at") > F.col("_of") - before)).groupBy(*keys).agg(edge(F.col("_at") <= after).alias("_head"), edge(F.col("_at") > F.col("_of") - before).alias("_tail"))
+    beside = Window.partitionBy(group).orderBy("_p")
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - before + 1, F.lit(1)), before)
+    first = lambda x: F.slice(x, 1, after)
+    ends = ends.select(*keys, F.flatten(F.collect_list("_tail").over(beside.rowsBetween(-before, -1))).alias("_b"), F.flatten(F.collect_list("_head").over(beside.rowsBetween(1, after))).alias("_a"))
+    out = _carried(placed.withColumn("_l", F.collect_list(row).over(inside.rowsBetween(-before, -1))).withColumn("_r", F.collect_list(row).over(inside.rowsBetween(1, after))), ends, keys)
+    return out.withColumn("prev", last(F.concat("_b", "_l"))).withColumn("next", first(F.concat("_r", "_a"))).drop("_p", "_at", "_of", "_l", "_r", "_b", "_a")
+
+
 def frenet(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """kappa and tau along each curve (x, y, z) of 4 points or more: T from r', kappa from r'', N, B = T x N, tau from dB."""
+    """kappa and tau along each curve (x, y, z) of 4 points or more: T from r', kappa from r'', N, B = T x N, tau from dB.
+
+    A row takes one point before it and three after it; a curve of any length is spread over tasks.
+    """
     eps = 1e-10
-    w = Window.partitionBy(key).orderBy(pos)
-    v = lambda name: [F.col(f"{name}{a}") for a in "xyz"]
-    out = df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n >= 4")
-    for new, old in (("d", ""), ("e", "d")):
-        out = out.withColumns({f"{new}{a}": F.lead(f"{old}{a}").over(w) - F.col(f"{old}{a}") for a in "xyz"})
-    norm = lambda p: F.sqrt(sum((c * c for c in v(p)), F.lit(0.0)))
-    out = out.where(F.col("ex").isNotNull()).withColumn("_t", norm("d") + eps).withColumn("kappa", norm("e"))
-    out = out.withColumns({f"t{a}": F.col(f"d{a}") / F.col("_t") for a in "xyz"} | {f"n{a}": F.col(f"e{a}") / (F.col("kappa") + eps) for a in "xyz"})
-    (tx, ty, tz), (nx, ny, nz) = v("t"), v("n")
-    out = out.withColumns({"bx": ty * nz - tz * ny, "by": tz * nx - tx * nz, "bz": tx * ny - ty * nx})
-    before = [F.col(f"b{a}") - F.lag(f"b{a}").over(w) for a in "xyz"]
-    out = out.withColumn("_tau", -sum((d * F.lag(f"n{a}").over(w) for d, a in zip(before, "xyz", strict=True)), F.lit(0.0)))
+    long = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n >= 4").select(key)
+    out = around(df.join(long, key, "left_semi").select(key, pos, "x", "y", "z"), ["x", "y", "z"], pos, key, 1, 3).where(F.size("next") >= 2)
+    out = out.withColumn("_q", F.concat("prev", F.array(F.struct("x", "y", "z")), "next")).withColumn("_i", F.size("prev"))
+
+    def frame(i: Column) -> Column:
+        a, b, c = (F.get("_q", i + k) for k in range(3))
+        d = {t: b[t] - a[t] for t in "xyz"}
+        e = {t: c[t] - b[t] - d[t] for t in "xyz"}
+        size = lambda v: F.sqrt(sum((v[t] * v[t] for t in "xyz"), F.lit(0.0)))
+        return F.struct(size(e).alias("k"), *[(d[t] / (size(d) + eps)).alias(f"t{t}") for t in "xyz"], *[(e[t] / (size(e) + eps)).alias(f"n{t}") for t in "xyz"])
+
+    def bent(f: Column) -> dict[str, Column]:
+        return {a: f[f"t{b}"] * f[f"n{c}"] - f[f"t{c}"] * f[f"n{b}"] for a, b, c in ("xyz", "yzx", "zxy")}
+
     # The first torsion has no predecessor and repeats the next one.
-    return out.withColumn("tau", F.coalesce("_tau", F.lead("_tau").over(w), F.lit(0.0))).select(key, pos, "kappa", "tau")
+    out = out.withColumns({"_f": frame(F.col("_i")), "_u": frame(F.lit(0)), "_v": frame(F.lit(1))})
+    u, v = bent(F.col("_u")), bent(F.col("_v"))
+    tau = -sum(((v[t] - u[t]) * F.col(f"_u.n{t}") for t in "xyz"), F.lit(0.0))
+    return out.select(key, pos, F.col("_f.k").alias("kappa"), F.coalesce(tau, F.lit(0.0)).alias("tau"))
 
 
 def residue_error(curve: DataFrame, key: str, pos: str) -> DataFrame:
     """arccos(cos th_kappa * cos th_tau), th = atan2(difference, value + 1e-10), for each step of a curve."""
-    w = Window.partitionBy(key).orderBy(pos)
-    th = lambda c: F.atan2(F.lead(c).over(w) - F.col(c), F.col(c) + 1e-10)
-    out = curve.withColumn("_k", th("kappa")).withColumn("_t", th("tau")).where("_k is not null")
+    out = following(curve, ["kappa", "tau"], pos, key, "_to").where("_to is not null")
+    th = lambda c: F.atan2(F.col(f"_to.{c}") - F.col(c), F.col(c) + 1e-10)
+    out = out.withColumn("_k", th("kappa")).withColumn("_t", th("tau"))
     return out.select(key, pos, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos("_k") * F.cos("_t")))).alias("error"))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,26 @@ def test_samples_of_too_many_rows_are_refused(spark):
     df = spark.createDataFrame([(1, [0.0])], "id long, vec array<double>")
     with pytest.raises(ValueError):
         quality.distance_correlation(df, df, quality.MOST_SAMPLED + 1)
+
+
+def test_curve_over_many_partitions(spark):
+    """A long curve equals the same curve cut to pieces that fit one partition; short ones are left out."""
+    rng = np.random.default_rng(3)
+    p = np.cumsum(rng.normal(size=(700, 3)), axis=0)
+    df = spark.createDataFrame([("long", i, *map(float, v)) for i, v in enumerate(p)] + [("four", i, *map(float, v)) for i, v in enumerate(p[:4])] + [("three", i, *map(float, v)) for i, v in enumerate(p[:3])], "k string, i long, x double, y double, z double").repartition(6)
+    assert order._ranged(df, "k", "i").where("k = 'long'").select("_p").distinct().count() > 1
+    d, eps = np.diff(p, axis=0), 1e-10
+    e = np.diff(d, axis=0)
+    kappa = np.linalg.norm(e, axis=1)
+    t, n = d[:-1] / (np.linalg.norm(d[:-1], axis=1, keepdims=True) + eps), e / (kappa[:, None] + eps)
+    b = np.cross(t, n)
+    tau = -((b[1:] - b[:-1]) * n[:-1]).sum(1)
+    tau = np.concatenate([tau[:1], tau])
+    got = {(r.k, r.i): (r.kappa, r.tau) for r in order.frenet(df, "k", "i").collect()}
+    want = {("long", i): (kappa[i], tau[i]) for i in range(698)} | {("four", i): (kappa[i], tau[i]) for i in range(2)}
+    assert set(got) == set(want)
+    assert all(got[x] == pytest.approx(want[x]) for x in want)
+    curve = spark.createDataFrame([("c", i, float(a), float(c)) for i, (a, c) in enumerate(zip(kappa, tau, strict=True))], "k string, i long, kappa double, tau double").repartition(5)
+    errors = {r.i: r.error for r in order.residue_error(curve, "k", "i").collect()}
+    th = lambda v: np.arctan2(np.diff(v), v[:-1] + 1e-10)
+    assert [errors[i] for i in range(697)] == pytest.approx(np.arccos(np.clip(np.cos(th(kappa)) * np.cos(th(tau)), -1, 1)).tolist())
