@@ -22,35 +22,62 @@ WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{
 BLOCK_BYTES = 4_000_000
 
 
+#: What drivers have broadcast, by application and path; what tasks were given, by path.
+_sent: dict[tuple[str, str], object] = {}
+_given: dict[str, object] = {}
+
+
 def vocabulary(spark, path: str) -> tuple:
-    """A rank file as tasks get it: read here and broadcast, so that workers need not have it. Its size does not follow the data."""
-    return path, spark.sparkContext.broadcast(ranks(path))
+    """A rank file as tasks get it: read here and broadcast once, so that workers need not have it. Its size does not follow the data."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _sent:
+        _sent[key] = spark.sparkContext.broadcast(_ranks(path))
+    return path, _sent[key]
 
 
-@lru_cache(maxsize=4)
-def ranks(path: str | tuple) -> dict[bytes, int]:
-    """The ranks of a file, or of what `vocabulary` made of it."""
-    if not isinstance(path, str):
-        return path[1].value
+def _known(path: str | tuple) -> str:
+    """The path of a file, or of what `vocabulary` made of it; a worker keeps one copy for each path."""
+    if isinstance(path, str):
+        return path
+    _given[path[0]] = path[1]
+    return path[0]
+
+
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    if path in _given:
+        return _given[path].value
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str | tuple, pattern: str):
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str):
     import tiktoken
 
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=4)
-def token_lengths(path: str | tuple) -> np.ndarray:
-    out = np.zeros(max(ranks(path).values()) + 1, np.int64)
-    for token, rank in ranks(path).items():
+@lru_cache(maxsize=2)
+def _token_lengths(path: str) -> np.ndarray:
+    out = np.zeros(max(_ranks(path).values()) + 1, np.int64)
+    for token, rank in _ranks(path).items():
         out[rank] = len(token)
     return out
 
 
+def ranks(path: str | tuple) -> dict[bytes, int]:
+    return _ranks(_known(path))
+
+
+def encoding(path: str | tuple, pattern: str):
+    return _encoding(_known(path), pattern)
+
+
+def token_lengths(path: str | tuple) -> np.ndarray:
+    return _token_lengths(_known(path))
+
+
 def added_tokens(path: str) -> dict[str, int]:
     """The added tokens of a `tokenizers` file, which are matched in the text as it is."""
     with open(path, encoding="utf-8") as f:
