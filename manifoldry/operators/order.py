@@ -207,9 +207,9 @@ def aligned_correlation(a: DataFrame, b: DataFrame, key: str, pos: str, x: str,
     state = F.when(F.col("_nb").isNull(), "no_right").when(F.col("_na").isNull(), "no_left").when(F.least("_na", "_nb") < least, "short").otherwise("ok")
     judged = n_a.join(n_b, key, "full_outer").select(key, state.alias("outcome"))
     pairs = a.select(key, pos, x).join(b.select(key, pos, y), [key, pos]).join(judged.where("outcome = 'ok'").select(key), key, "left_semi")
-    ranked = avg_rank(avg_rank(pairs, x, [key], "_ra"), y, [key], "_rb", of=pairs)
-    varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    told = ranked.groupBy(key).agg(F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias("rho"), F.avg(y).alias("mean"))
+    ranked = avg_ranks(pairs.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), ["x", "y"], [key])
+    varies = (F.min("_r_x") < F.max("_r_x")) & (F.min("_r_y") < F.max("_r_y"))
+    told = ranked.groupBy(key).agg(F.count("*").alias("n"), F.when(varies, F.corr("_r_x", "_r_y")).alias("rho"), F.avg("y").alias("mean"))
     return judged.join(told, key, "left")
 
 

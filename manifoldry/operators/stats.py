@@ -119,10 +119,10 @@ def _enough(df: DataFrame, group: list[str], least: int) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, group: list[str] | None = None, least: int = 3, p: bool = False) -> DataFrame:
     """n and rho for each group, over pairs without nulls; groups of fewer than `least` rows are left out."""
     group = group or []
-    pairs = _enough(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b), group, least)
-    ranked = avg_rank(avg_rank(pairs, a, group, "_ra"), b, group, "_rb", of=pairs)
-    varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias("rho"))
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    ranked = avg_ranks(_enough(pairs, group, least), ["x", "y"], group)
+    varies = (F.min("_r_x") < F.max("_r_x")) & (F.min("_r_y") < F.max("_r_y"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(varies, F.corr("_r_x", "_r_y")).alias("rho"))
     return with_rho_p(out) if p else out
 
 
