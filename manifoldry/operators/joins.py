@@ -126,27 +126,49 @@ def kmer_profile(df: DataFrame, key: str, seq: str, k: int = 5) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
 
 
+#: Classes of k-mers whose masses are compared before profiles are.
+MASSES = 64
+
+
+def near_candidates(profiles: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of profiles (key, kmer, share): all those whose similarity can be over the threshold, few others.
+
+    Both profiles sum to 1, so the sum of minima must be at least 2t / (1 + t), and no more than the rest may be lost:
+
+    - Prefix: with k-mers ordered rare first, the first shared one comes before more than that is used up in either profile.
+    - Position: after it, no more than the smaller of the two profiles' rests can be shared.
+    - Mass: the sum of differences is twice what is lost, over k-mers and over any classes of them too. Texts that hold
+      the same frequent k-mers, of a template or a small alphabet, and are not alike, differ in these.
+    """
+    lost = 1 - 2 * threshold / (1 + threshold)
+    common = profiles.groupBy("kmer").agg(F.count("*").alias("df"))
+    w = Window.partitionBy(key).orderBy("df", "kmer").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = profiles.join(common, "kmer").withColumn("before", F.coalesce(F.sum("share").over(w), F.lit(0.0)))
+    prefix = ranked.where((F.col("before") <= lost + 1e-9) & (F.col("df") > 1)).select(key, "kmer", "share", "before")
+    classed = profiles.withColumn("_m", F.pmod(F.xxhash64("kmer"), F.lit(MASSES)))
+    masses = classed.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("_m") == i, F.col("share")).otherwise(0.0)).cast("float") for i in range(MASSES)]).alias("masses"))
+    rows = settled(prefix.join(masses, key), "prefixes")
+    a, b = (rows.select(F.col(key).alias(n), "kmer", F.col("share").alias(f"s{n}"), (1 - F.col("before") - F.col("share")).alias(f"r{n}"), F.col("masses").alias(f"m{n}")) for n in "ab")
+    shared = F.least("sa", "sb") + F.least("ra", "rb")
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    # Floats err by less than a millionth of the masses' sum.
+    near = (F.col("a") < F.col("b")) & (shared >= 1 - lost - 1e-9) & (apart <= 2 * lost + 1e-6)
+    return a.join(b, "kmer").where(near).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str, seq: str, k: int = 5, threshold: float = 0.95) -> DataFrame:
     """Pairs (a, b, similarity) with sum(min) / sum(max) of their k-mer profiles over the threshold.
 
     Equal sequences are one class, whose least key stands for it: pairs are those of such keys, and each other member is
     paired with its class's at similarity 1. Copies of a sequence thus make as many rows as there are copies.
 
-    Prefix filter: both profiles sum to 1, so the minimum must hold 2t / (1 + t). With k-mers ordered rare first, pairs
-    that are this alike share a k-mer before 1 - 2t / (1 + t) of either profile's mass is used up; only those make candidates.
+    Only pairs that `near_candidates` names have their profiles compared.
     """
     classes = settled(df.where(F.length(seq) >= k).select(F.col(key).alias("b"), F.sha2(seq, 256).alias("_s")), "sequences")
     reps = classes.groupBy("_s").agg(F.min("b").alias("a"))
     members = classes.join(reps, "_s").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     p = settled(kmer_profile(df.join(reps.select(F.col("a").alias(key)), key, "left_semi"), key, seq, k), "profiles")
-    common = p.groupBy("kmer").agg(F.count("*").alias("df"))
-    # sum(min) >= 2t/(1+t) for profiles that sum to 1; mass before a shared k-mer is lost to the minimum.
-    lost = 1 - 2 * threshold / (1 + threshold)
-    w = Window.partitionBy(key).orderBy("df", "kmer").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = p.join(common, "kmer").withColumn("before", F.coalesce(F.sum("share").over(w), F.lit(0.0)))
-    prefix = ranked.where((F.col("before") <= lost + 1e-9) & (F.col("df") > 1)).select(key, "kmer")
-    a, b = prefix.select(F.col(key).alias("a"), "kmer"), prefix.select(F.col(key).alias("b"), "kmer")
-    pairs = a.join(b, "kmer").where("a < b").select("a", "b").distinct()
+    pairs = near_candidates(p, key, threshold)
     pa, pb = (p.select(F.col(key).alias(n), F.col("kmer"), F.col("share").alias(f"s{n}")) for n in ("a", "b"))
     both = pairs.join(pa, "a").join(pb, ["b", "kmer"]).groupBy("a", "b").agg(F.sum(F.least("sa", "sb")).alias("low"))
     links = both.withColumn("similarity", F.col("low") / (2 - F.col("low"))).where(F.col("similarity") > threshold)

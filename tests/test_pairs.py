@@ -1,3 +1,6 @@
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +127,44 @@ def test_triangles_of_a_hub(spark):
     assert got == [(0, 1, 2), (0, 2, 3), (0, 4, 5)]
 
 
+def near_by_hand(texts, k=5, threshold=0.95):
+    profiles, out = {}, {}
+    for i, t in texts.items():
+        total = len(t) - k + 1
+        profiles[i] = {w: n / total for w, n in Counter(t[j : j + k] for j in range(total)).items()}
+    for a, b in combinations(sorted(texts), 2):
+        p, q = profiles[a], profiles[b]
+        low = sum(min(p[w], q[w]) for w in p.keys() & q.keys())
+        if low / (2 - low) > threshold:
+            out[a, b] = low / (2 - low)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["template", "alphabet"])
+def test_near_duplicates_of_texts_with_the_same_kmers(spark, kind):
+    rng = np.random.default_rng(5)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    if kind == "template":
+        # Fields of pages that many others hold too: their k-mers are rarest, and all pages share the template's.
+        head, fields = letters("abcdefghij", 300), [letters("klmnopqrst", 30) for _ in range(12)]
+        texts = {i: head + "".join(fields[j] for j in rng.choice(12, 3, replace=False)) for i in range(160)}
+    else:
+        texts = {i: letters("ab", 40) + letters("acgt", 400) for i in range(160)}
+    for i in range(0, 160, 8):  # near copies: one letter changed, or a few left out at the end
+        texts[1000 + i] = texts[i][:350] + "z" + texts[i][351:]
+        texts[2000 + i] = texts[i][:-3]
+    df = spark.createDataFrame(list(texts.items()), "id long, seq string")
+    expected = near_by_hand(texts)
+    got = {(r.a, r.b): r.similarity for r in joins.near_duplicates(df, "id", "seq").collect() if texts[r.a] != texts[r.b]}
+    firsts = {t: min(i for i in texts if texts[i] == t) for t in texts.values()}
+    expected = {(a, b): s for (a, b), s in expected.items() if firsts[texts[a]] == a and firsts[texts[b]] == b}
+    assert got.keys() == expected.keys() and len(expected) >= 40
+    assert all(abs(got[x] - expected[x]) < 1e-9 for x in got)
+    one = spark.createDataFrame([(i, t) for t, i in firsts.items()], "id long, seq string")
+    candidates = {(r.a, r.b) for r in joins.near_candidates(joins.kmer_profile(one, "id", "seq"), "id", 0.95).collect()}
+    assert expected.keys() <= candidates and len(candidates) <= 1.2 * len(expected)
+
+
 @pytest.mark.parametrize("n_blocks", [1, 4])
 def test_scale_counts(vecs, cloud, n_blocks):
     d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(2))
