@@ -165,5 +165,5 @@ def generate_control(spark: SparkSession, n: int, alphabet: str, weights: list[f
     steps = F.array(*[F.lit(b) for b in bounds[:-1]])
     letter = lambda i: F.substring(F.lit(alphabet), F.size(F.filter(steps, lambda b: b <= u(i))) + 1, F.lit(1))
     seq = F.array_join(F.transform(F.sequence(F.lit(1), "length"), letter), "")
-    key = F.concat_ws("|", F.lit("control"), F.lit("random"), F.concat(F.lit("random_"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")), F.col("length").cast("string"))
+    key = F.concat_ws("|", F.lit("control"), F.lit("random"), F.concat(F.lit("random_"), F.format_string("%04d", F.col("id") + 1)), F.col("length").cast("string"))
     return rows.select(key.alias("seq_id"), seq.alias("sequence"), "length")
