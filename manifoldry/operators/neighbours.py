@@ -6,8 +6,8 @@ are sure, which bounds every row's k-th distance. Then it meets those further bl
 rule out: no row of them is nearer than the pivots' distance and the blocks' inner and outer radii allow. Smaller tables
 are dealt by a hash, and all blocks meet.
 
-A block pair is never a row with two matrices: right blocks go to the lanes of a left block, and the left block goes to
-each of its lanes once, ahead of them. A lane keeps a running best k, so that at most LANES times k rows leave a task.
+A block pair is never a row with two matrices: cells of some left and some right blocks are a task each, and a block
+travels once to each cell (`pairs.lanes`). A cell keeps a running best k, so that k rows for each id and lane leave it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators.order import hashed
-from manifoldry.operators.pairs import distances, ids, matrix
+from manifoldry.operators.pairs import distances, ids, lanes, matrix, passed, squares
 from manifoldry.sources.store import settled
 
 BLOCK = 2048
@@ -28,8 +28,6 @@ LEAST_ROWS, SOME = 256, 8
 FEW = 16
 #: Pivots at most; what is known of cells fits in the driver, whatever the table's size.
 PIVOTS = 1024
-#: Runs of right blocks that a left block meets, each in one task.
-LANES = 8
 #: Distances are compared at this many places; bounds give way by a little more.
 PLACES, SLACK = 12, 1e-9
 
@@ -39,24 +37,6 @@ def blocks_for(df: DataFrame) -> int:
     return max(1, -(-n // BLOCK), min(SOME, n // LEAST_ROWS))
 
 
-def best_of(b: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of `d`, the k least values and their columns' ids, ties to the smaller id; infinite where there are fewer."""
-    m = d.shape[1]
-    if m > k:
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero(d <= limit)
-    else:
-        row, col = (x.ravel() for x in np.indices(d.shape))
-    order = np.lexsort((b[col] if b.ndim == 1 else b[row, col], d[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col, place = row[place < k], col[place < k], place[place < k]
-    out_b, out_d = np.zeros((len(d), k), np.int64), np.full((len(d), k), np.inf)
-    out_b[row, place] = b[col] if b.ndim == 1 else b[row, col]
-    out_d[row, place] = d[row, col]
-    return out_b, out_d
-
-
 def _hash_blocks(df: DataFrame, n: int, cols: list[str]) -> DataFrame:
     """(block, rows, size) by a hash of the id."""
     block = F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")
@@ -90,49 +70,79 @@ def _pivot_blocks(df: DataFrame, pivots: np.ndarray, metric: str, cols: list[str
     return settled(blocks.select(F.xxhash64("cell", "shell", "part").alias("block"), "cell", "lo", "hi", F.col("size").cast("int").alias("size"), "rows"), "blocks")
 
 
-def compared(met: DataFrame, left: DataFrame, right: DataFrame, k: int, metric: str, include_self: bool, other: str | None, same: str | None) -> DataFrame:
-    """(block, src, dst, dist): for the block pairs (a, b) of `met`, the k best of each lane for each left row."""
-    met = met.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(LANES)))
-    none = F.lit(None).cast("long")
-    ahead = met.select("a", "lane").distinct().join(left.select(F.col("block").alias("a"), "rows"), "a").select("a", "lane", none.alias("b"), "rows")
-    behind = met.join(right.select(F.col("block").alias("b"), "rows"), "b").select("a", "lane", "b", "rows")
-    # Nulls come first: the left block, then the right ones.
-    run = ahead.unionByName(behind).repartition("a", "lane").sortWithinPartitions("a", "lane", "b")
+#: Candidates whose distances are computed one by one at a time.
+FEW_PAIRS = 1 << 16
 
-    def against(left, right):
-        a, b = ids(left), ids(right)
-        # Small differences matter less than the order of work.
-        d = np.round(distances(matrix(left), matrix(right), metric), PLACES)
-        if not include_self:
-            d[a[:, None] == b[None, :]] = np.inf
-        if other:
-            d[ids(left, other)[:, None] == ids(right, other)[None, :]] = np.inf
-        if same:
-            d[ids(left, same)[:, None] != ids(right, same)[None, :]] = np.inf
-        return best_of(b, d, k)
 
-    def folded(batches):
-        block, mine, best = None, None, None
+def _exact(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of single pairs: those of equal vectors are zero, so that ties are ties."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), FEW_PAIRS):
+        p, q = x[row[i : i + FEW_PAIRS]], y[col[i : i + FEW_PAIRS]]
+        out[i : i + FEW_PAIRS] = 1 - (p * q).sum(1) if metric == "cosine" else np.sqrt(((p - q) ** 2).sum(1))
+    return np.round(out, PLACES)
 
-        def told():
-            good = np.isfinite(best[1])
-            src = np.repeat(ids(mine), k).reshape(best[0].shape)[good]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(src), block, np.int64)), pa.array(src), pa.array(best[0][good]), pa.array(best[1][good])], ["block", "src", "dst", "dist"])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows = batch.column("rows")[i].values
-                if not batch.column("b")[i].is_valid:
-                    if best is not None:
-                        yield told()
-                    block, mine, best = batch.column("a")[i].as_py(), rows, None
-                    continue
-                new = against(mine, rows)
-                best = new if best is None else best_of(np.concatenate([best[0], new[0]], axis=1), np.concatenate([best[1], new[1]], axis=1), k)
-        if best is not None:
-            yield told()
+def _merge(best: tuple[np.ndarray, np.ndarray], row: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+    """Adds pairs to the k best of each row in place, ties to the smaller id."""
+    k = best[0].shape[1]
+    touched = np.unique(row)
+    old = np.repeat(touched, k)
+    row, b, d = np.concatenate([old, row]), np.concatenate([best[0][touched].ravel(), b]), np.concatenate([best[1][touched].ravel(), d])
+    order = np.lexsort((b, d, row))
+    row, b, d = row[order], b[order], d[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    best[0][row[kept], place[kept]], best[1][row[kept], place[kept]] = b[kept], d[kept]
+
+
+def compared(met: DataFrame, left: DataFrame, right: DataFrame, sizes: tuple[int, int], k: int, metric: str, include_self: bool, other: str | None, same: str | None) -> DataFrame:
+    """(block, src, dst, dist): for the block pairs (a, b) of `met`, the k best of each lane for each left row.
 
-    return run.mapInArrow(folded, "block long, src long, dst long, dist double")
+    A product of matrices bounds the distances of a block pair; only pairs that can be among a row's k best, by what it
+    has so far, have theirs computed.
+    """
+    labels = [c for c in (other, same) if c]
+
+    def opened(rows):
+        x = _flat(matrix(rows), metric)
+        return ids(rows), x, [ids(rows, c) for c in labels], (np.zeros((len(x), k), np.int64), np.full((len(x), k), np.inf))
+
+    def step(kept, rows, same_block):
+        a, x, marks, best = kept
+        b, y = ids(rows), _flat(matrix(rows), metric)
+        if not len(a) or not len(b):
+            return
+        d = 1 - x @ y.T if metric == "cosine" else squares(x, y)
+        allowed = None
+        if not include_self:
+            allowed = a[:, None] != b[None, :]
+        for c, mine in zip(labels, marks, strict=True):
+            theirs = ids(rows, c)
+            fits = mine[:, None] != theirs[None, :] if c == other else mine[:, None] == theirs[None, :]
+            allowed = fits if allowed is None else allowed & fits
+        # Squares err by rounding, in proportion to the vectors' sizes.
+        size = (x * x).sum(1) + (y * y).sum(1).max()
+        far = best[1][:, -1] + 2 * 10.0**-PLACES
+        limit = (far if metric == "cosine" else far * far) + size * (x.shape[1] + 16) * 1e-15
+        open_ = ~np.isfinite(limit)
+        if open_.any() and len(b) > k:
+            mine = d[open_] if allowed is None else np.where(allowed[open_], d[open_], np.inf)
+            limit[open_] = np.partition(mine, k - 1, axis=1)[:, k - 1] + size[open_] * (x.shape[1] + 16) * 2e-15 + 1e-11
+        near = d <= limit[:, None]
+        if allowed is not None:
+            near &= allowed
+        row, col = np.nonzero(near)
+        if len(row):
+            _merge(best, row, b[col], _exact(x, y, row, col, metric))
+
+    def told(block, kept):
+        a, _, _, best = kept
+        good = np.isfinite(best[1])
+        src = np.repeat(a, k).reshape(best[0].shape)[good]
+        return {"block": np.full(len(src), block, np.int64), "src": src, "dst": best[0][good], "dist": best[1][good]}
+
+    return passed(lanes(met, left, right, *sizes), opened, step, told, "block long, src long, dst long, dist double")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -226,15 +236,17 @@ def knn(df: DataFrame, k: int, metric: str = "euclidean", include_self: bool = F
         right = _hash_blocks(rows, n, cols)
         left = right if asked is None else _hash_blocks(asked, n_blocks or blocks_for(asked), cols)
         met = left.select(F.col("block").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
-        return _first(compared(met, left, right, *settings), k).select("src", "rank", "dst", "dist")
+        return _first(compared(met, left, right, (n if asked is None else n_blocks or blocks_for(asked), n), *settings), k).select("src", "rank", "dst", "dist")
     pivots = draw_pivots(rows, n, metric)
     right = _pivot_blocks(rows, pivots, metric, cols)
     left = right if asked is None else _pivot_blocks(asked, pivots, metric, cols)
-    first, found, full = pruned_pairs(left, right, pivots, k, lambda met: compared(met, left, right, *settings))
+    sizes = left.count(), right.count()
+    first, found, full = pruned_pairs(left, right, pivots, k, lambda met: compared(met, left, right, sizes, *settings))
     second = _second(left, right, pivots, first, full, metric)
     if counter is not None:
-        counter.update(all=left.count() * right.count(), compared=first.count() + second.count())
-    return _first(found.unionByName(compared(second, left, right, *settings)), k).select("src", "rank", "dst", "dist")
+        counter.update(all=sizes[0] * sizes[1], compared=first.count() + second.count())
+    # Whoever reads it more than once finds it made.
+    return settled(_first(found.unionByName(compared(second, left, right, sizes, *settings)), k).select("src", "rank", "dst", "dist"), "neighbours")
 
 
 def nearest(query: DataFrame, ref: DataFrame) -> DataFrame:

@@ -47,3 +47,37 @@ def test_adjacent_cosine_of_a_short_last_group(spark, tmp_path):
     embeddings(spark, tmp_path, np.random.default_rng(1).normal(size=(53, 64)))
     got = by_spark(spark, tmp_path, "w8_adjacent_cosine")
     assert len(got) == 24 + 24 + 2 and got == by_sql(tmp_path, "w8_adjacent_cosine")
+
+
+def test_equal_vectors_are_at_no_distance(spark):
+    """Copies tie at 0, so that smaller ids come first; what is left of large squares would put them in any order."""
+    from manifoldry.operators import neighbours
+
+    x = np.random.default_rng(5).normal(size=(1, 64)) * 100
+    df = spark.createDataFrame([(i, x[0].tolist()) for i in range(40)], "id long, vec array<double>")
+    got = {(r.src, r["rank"]): (r.dst, r.dist) for r in neighbours.knn(df, 3, n_blocks=4).collect()}
+    assert all(got[(i, k + 1)] == (j, 0.0) for i in range(40) for k, j in enumerate([j for j in range(40) if j != i][:3]))
+
+
+def test_blocks_travel_to_cells_not_to_each_other(spark):
+    """Up to 512 blocks, each goes to 24 cells at most, however many it meets."""
+    from manifoldry.operators import pairs
+
+    sent = []
+    for n in (128, 256):
+        rows = spark.range(n).select(F.col("id").cast("int").alias("block"), F.lit(0).alias("rows"))
+        met = rows.select(F.col("block").alias("a")).crossJoin(rows.select(F.col("block").alias("b")))
+        sent.append(pairs.lanes(met, rows, rows, n, n).count() / n)
+    assert max(sent) <= 24
+
+
+def test_sums_by_class_for_any_type_of_label(spark):
+    from manifoldry.operators import pairs
+
+    x = np.random.default_rng(6).normal(size=(30, 6))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for kind, name in (("int", int), ("string", str)):
+        df = spark.createDataFrame([(i, v.tolist(), name(i % 2)) for i, v in enumerate(x)], f"id long, vec array<double>, label {kind}")
+        for r in pairs.label_sums(df, "label", 3).collect():
+            mine = np.arange(30) % 2 == int(r.label)
+            assert r.total == pytest.approx(d[r.id][mine].sum()) and r.n == mine.sum() - mine[r.id]
