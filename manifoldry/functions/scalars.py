@@ -123,9 +123,9 @@ def finite(x: Column) -> Column:
 
 
 def kmers(seq: Column, k: int = 5) -> Column:
-    """All substrings of length k."""
-    n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of length k, in one pass: a substring by its place would count code points from the text's start each time."""
+    each = "(?s)(?=([^\\x{DC00}-\\x{DFFF}].{%d}))" % (k - 1)  # never from the middle of a pair of surrogates
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(each), F.lit(1)), F.array().cast("array<string>"))
 
 
 def _best_window(full: Column, frag: Column) -> Column:

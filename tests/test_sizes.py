@@ -91,3 +91,11 @@ def test_kmers_do_not_travel(spark):
     out = kmer_profile(df, "id", "seq")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.id, r.kmer): r.n for r in out.collect()} == {(1, "ABCAB"): 3, (1, "BCABC"): 2, (1, "CABCA"): 1, (3, "AAAAA"): 2}
+
+
+def test_kmers_take_one_pass(spark):
+    from manifoldry.functions.scalars import kmers
+
+    texts = ["ab\nc😀déf", "abcde", "abcd", "", None, "A" * 300_000]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "s string").select(kmers(F.col("s")).alias("k")).collect()]
+    assert got == [[(t or "")[i : i + 5] for i in range(len(t or "") - 4)] for t in texts]
