@@ -99,3 +99,20 @@ def test_kmers_take_one_pass(spark):
     texts = ["ab\nc😀déf", "abcde", "abcd", "", None, "A" * 300_000]
     got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "s string").select(kmers(F.col("s")).alias("k")).collect()]
     assert got == [[(t or "")[i : i + 5] for i in range(len(t or "") - 4)] for t in texts]
+
+
+def test_a_block_meets_itself_in_one_order(spark, monkeypatch):
+    """Rows of a shuffle come in any order; two packings of one table then have pairs (i, j), i < j, twice or not at all."""
+    from manifoldry.operators import pairs
+
+    made, real = [], pairs.packed
+
+    def packed(df, n_blocks, cols):
+        made.append(0)
+        order = F.array_sort if len(made) % 2 else lambda c: F.reverse(F.array_sort(c))
+        return real(df, n_blocks, cols).withColumn("rows", order("rows"))
+
+    monkeypatch.setattr(pairs, "packed", packed)
+    df = spark.createDataFrame([(i, [float(i), i * i / 7]) for i in range(20)], "id long, vec array<double>")
+    got = [(r.i, r.j) for r in pairs.near(df, float("inf"), 3).collect()]
+    assert sorted(got) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
