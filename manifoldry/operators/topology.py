@@ -52,11 +52,41 @@ def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, deaths, ever)
 
 
+#: Blocks of a group: three groups are a task's.
+GROUP = 4
+
+
+def _near_bits(x: np.ndarray, y: np.ndarray, equal: bool, steps: np.ndarray) -> list:
+    """For each scale, what of `y` is near to each of `x`, as bits, and the other way round; None where nothing is near."""
+    d = pairs.distances(x, y)
+    if equal:
+        np.fill_diagonal(d, np.inf)  # no point is its own neighbour
+    near = [d <= s for s in steps]
+    bits = lambda m: np.ascontiguousarray(np.packbits(np.pad(m, ((0, 0), (0, -m.shape[1] % 64))), axis=1)).view(np.uint64)
+    return [(bits(m), bits(m.T), int(m.sum()), m.shape) if m.any() else None for m in near]
+
+
+def _closed(ab, bc, ac) -> int:
+    """Triples of a, b and c that are all near each other, from their bits."""
+    if ab is None or bc is None or ac is None:
+        return 0
+    (na, nb), nc = ab[3], ac[3][1]
+    if all(m[2] == m[3][0] * m[3][1] for m in (ab, bc, ac)):
+        return na * nb * nc
+    flat = lambda m, n: np.unpackbits(m.view(np.uint8), axis=1, count=n)
+    if ac[2] > 0.3 * na * nc:
+        product = flat(ab[0], nb).astype(np.float32) @ flat(bc[1], nb).astype(np.float32).T
+        return int(product[flat(ac[0], nc).astype(bool)].sum(dtype=np.float64))
+    i, k = np.divmod(np.flatnonzero(flat(ac[0], nc)), nc)
+    return sum(int(np.bitwise_count(ab[0][i[s : s + 65536]] & bc[1][k[s : s + 65536]]).sum()) for s in range(0, len(i), 65536))
+
+
 def scale_counts(df: DataFrame, scales: list[float], n_blocks: int | None = None) -> DataFrame:
     """(s, v, e, t, euler): points, pairs and triples within each scale. A triple counts from its longest side on.
 
     Nothing is written for a pair or a triple: each pair of blocks adds to a count of pairs at each scale, each three
-    blocks to one of triples, by products of their matrices of what is near.
+    blocks to one of triples, by the bits of what is near. A task has the blocks of three groups, so that a block travels
+    with the square of the groups, not of the blocks, and no row holds more than a block. Triples are cubic in the rows.
     """
     n, v = n_blocks or pairs.blocks_for(df), df.count()
     steps = np.array(scales, float)
@@ -66,24 +96,42 @@ def scale_counts(df: DataFrame, scales: list[float], n_blocks: int | None = None
         d = d[np.triu_indices(len(d), 1)] if same else d.ravel()
         yield {"k": np.arange(len(steps), dtype=np.int32), "n": (d[:, None] <= steps).sum(0) if len(d) < 1 << 16 else np.searchsorted(np.sort(d), steps, side="right")}
 
+    groups = -(-n // GROUP)
+
+    def counts(cell: tuple[int, int, int], held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        blocks = sorted(held)
+        bits = {(a, b): _near_bits(held[a], held[b], a == b, steps) for i, a in enumerate(blocks) for b in blocks[i:]}
+        total = [0] * len(steps)
+        for i, a in enumerate(blocks):
+            for j, b in enumerate(blocks[i:], i):
+                for c in blocks[j:]:
+                    if tuple(sorted(x % groups for x in (a, b, c))) != cell:
+                        continue
+                    same = 6 if a == c else 2 if a == b or b == c else 1  # so often does each triple come up
+                    for k in range(len(steps)):
+                        total[k] += _closed(bits[a, b][k], bits[b, c][k], bits[a, c][k]) // same
+        return pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["k", "n"])
+
     def triples(batches):
+        cell, held = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, c = (batch.column(x)[i].as_py() for x in "abc")
-                x, y, z = (pairs.matrix(batch.column(f"rows_{k}")[i].values) for k in "abc")
-                ab, bc, ac = (pairs.distances(*p) for p in ((x, y), (y, z), (x, z)))
-                for d, equal in ((ab, a == b), (bc, b == c), (ac, a == c)):
-                    if equal:
-                        np.fill_diagonal(d, np.inf)  # no point is its own neighbour
-                same = 6 if a == c else 2 if a == b or b == c else 1  # so often does each triple come up
-                n = [int(((ab <= s).astype(np.float32) @ (bc <= s).astype(np.float32))[ac <= s].sum(dtype=np.float64)) // same for s in steps]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], ["k", "n"])
+                at = tuple(batch.column(c)[i].as_py() for c in "abc")
+                if at != cell:
+                    if held:
+                        yield counts(cell, held)
+                    cell, held = at, {}
+                held[batch.column("block")[i].as_py()] = pairs.matrix(batch.column("rows")[i].values)
+        if held:
+            yield counts(cell, held)
 
     rows = settled(pairs.packed(df, n, ["vec"]), "blocks")
-    three = rows.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(n - 1))).alias("b")).withColumn("c", F.explode(F.sequence("b", F.lit(n - 1))))
-    for k in "abc":
-        three = three.join(rows.select(F.col("block").alias(k), F.col("rows").alias(f"rows_{k}")), k)
-    three = three.repartition("a", "b", "c")
+    number = df.sparkSession.range(groups)
+    cells = number.select(F.col("id").cast("int").alias("a")).withColumn("b", F.explode(F.sequence("a", F.lit(groups - 1)))).withColumn("c", F.explode(F.sequence("b", F.lit(groups - 1))))
+    cells = cells.select("*", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("group"))
+    three = cells.join(rows.select(F.pmod("block", F.lit(groups)).alias("group"), "block", "rows"), "group").select("a", "b", "c", "block", "rows")
+    # The tasks are as many as the cells.
+    three = three.repartition(groups * (groups + 1) * (groups + 2) // 6, "a", "b", "c").sortWithinPartitions("a", "b", "c", "block")
     e = pairs.reduced(pairs.block_pairs(df, df, ["vec", "id"], n, n, symmetric=True), edges, "k int, n long").groupBy("k").agg(F.sum("n").alias("e"))
     t = three.mapInArrow(triples, "k int, n long").groupBy("k").agg(F.sum("n").alias("t"))
     at = df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scales)], "k int, s double")

@@ -116,3 +116,18 @@ def test_a_block_meets_itself_in_one_order(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i), i * i / 7]) for i in range(20)], "id long, vec array<double>")
     got = [(r.i, r.j) for r in pairs.near(df, float("inf"), 3).collect()]
     assert sorted(got) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
+
+
+def test_triples_travel_as_blocks_of_three_groups(spark, monkeypatch):
+    """Counts are the same with any number of blocks, in rows of one block each."""
+    from manifoldry.operators import topology
+
+    x = np.random.default_rng(8).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    widest, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: (widest.append(self.columns), real(self, *a, **k))[1])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * 60)
+    got = {r.s: (r.e, r.t) for r in topology.scale_counts(df, [0.5, 1.5, 2.5, 99.0], 9).collect()}
+    near = {s: (d <= s).astype(int) for s in got}
+    assert got == {s: (m.sum() // 2, np.trace(m @ m @ m) // 6) for s, m in near.items()}
+    assert ["a", "b", "c", "block", "rows"] in widest
