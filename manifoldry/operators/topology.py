@@ -24,26 +24,47 @@ def adaptive_threshold(df: DataFrame, k: int = 15, q: float = 0.9, group: str |
     return percentiles(neighbours.knn(df, k).where(F.col("rank") == k), "dist", {"threshold": q})
 
 
+#: Neighbours that a spanning tree looks at before it searches.
+NEAR = 15
+
+
 def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(birth, death): deaths are the lengths of the minimum spanning tree, one is infinite.
 
-    Rows that fit one block make their tree there. Else every row looks for its nearest one outside its component
-    (blocks too far away are left out), the shortest of a component is an edge of the tree, and components that meet are
-    contracted: components at least halve in a round, and no more edges are ever written than there are rows.
+    Rows that fit one block make their tree there. Else a row's nearest one outside its component is looked up among its
+    NEAR neighbours, the shortest of a component is an edge of the tree, and components that meet are contracted. A row
+    whose neighbours all share its component is searched for only if it may have its component's shortest edge, and not
+    in the largest component: each other one has an edge of its own, so that components at least halve in a round.
     """
     ever = df.sparkSession.range(1 if not df.isEmpty() else 0).select(F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
     if (n_blocks or pairs.blocks_for(df)) == 1:
         edges = pairs.spanning_edges(df, 1)
         return ever.unionByName(edges.select(F.lit(0.0).alias("birth"), F.col("dist").alias("death")))
     rows = settled(df.select("id", F.col("vec").cast("array<double>").alias("vec")), "rows")
+    near = settled(neighbours.knn(rows, NEAR, n_blocks=n_blocks).select("src", "dst", "dist"), "near")
+    others = rows.count() - 1
     label = rows.select("id", F.col("id").alias("c"))
     deaths = []
+    # One order of all edges, so that components that choose at a tie never make a circle.
+    edge = F.min(F.struct("dist", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))).alias("e")
     while True:
-        near = neighbours.knn(rows.join(label, "id"), 1, other="c", n_blocks=n_blocks)
         both = near.join(label.toDF("src", "c"), "src").join(label.toDF("dst", "d"), "dst")
-        # One order of all edges, so that components that choose at a tie never make a circle.
-        edge = F.min(F.struct("dist", F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))).alias("e")
-        best = settled(both.groupBy("c").agg(edge).select("e.*").distinct(), "shortest")
+        out = F.min(F.when(F.col("c") != F.col("d"), F.struct("dist", "dst", "d"))).alias("out")
+        seen = settled(both.groupBy("src", "c").agg(out, F.max("dist").alias("far"), F.count("*").alias("n")), "seen")
+        sizes = seen.groupBy("c").agg(F.count("*").alias("size"), F.min("out.dist").alias("best"))
+        largest = sizes.orderBy(F.desc("size"), "c").select("c").head()
+        if largest is None:
+            break
+        unsure = F.col("out").isNull() & (F.col("n") < others) & (F.col("best").isNull() | (F.col("far") <= F.col("best")))
+        unsure = settled(seen.join(sizes.select("c", "best"), "c").where(unsure).select(F.col("src").alias("id"), "c"), "unsure")
+        known = seen.where("out is not null").select("src", "c", "out.*")
+        if not unsure.where(F.col("c") == largest.c).isEmpty():
+            known = known.where(F.col("c") != largest.c)
+        asked = unsure.where(F.col("c") != largest.c)
+        if not asked.isEmpty():
+            found = neighbours.knn(rows.join(label, "id"), 1, query=rows.join(asked, "id"), other="c", n_blocks=n_blocks)
+            known = known.unionByName(found.join(label.toDF("src", "c"), "src").join(label.toDF("dst", "d"), "dst").select("src", "c", "dist", "dst", "d"))
+        best = settled(known.groupBy("c").agg(edge).select("e.*").distinct(), "shortest")
         if best.isEmpty():
             break
         deaths.append(best.select(F.lit(0.0).alias("birth"), F.col("dist").alias("death")))

@@ -118,6 +118,25 @@ def test_a_block_meets_itself_in_one_order(spark, monkeypatch):
     assert sorted(got) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
 
 
+def test_spanning_tree_searches_for_few_rows(spark, monkeypatch):
+    """Only rows whose near ones all share their component, and not those of the largest one, are searched for."""
+    from manifoldry.operators import neighbours, topology
+
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    x[:40] = x[0] + np.random.default_rng(4).normal(size=(40, 3)) * 1e-3
+    asked, real = [], neighbours.knn
+
+    def knn(df, k, **more):
+        asked.append((df if more.get("query") is None else more["query"]).count())
+        return real(df, k, **more)
+
+    monkeypatch.setattr(neighbours, "knn", knn)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = sorted(r.death for r in topology.h0_persistence(df, 2).collect())
+    want = sorted(r.death for r in topology.h0_persistence(df, 1).collect())
+    assert got == pytest.approx(want) and sum(asked[1:]) < 100
+
+
 def test_triples_travel_as_blocks_of_three_groups(spark, monkeypatch):
     """Counts are the same with any number of blocks, in rows of one block each."""
     from manifoldry.operators import topology
