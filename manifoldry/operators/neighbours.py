@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manifoldry.operators.order import hashed
-from manifoldry.operators.pairs import distances, ids, lanes, matrix, passed, squares
+from manifoldry.operators.pairs import distances, ids, lanes, matrix, passed
 from manifoldry.sources.store import settled
 
 BLOCK = 2048
@@ -28,6 +28,8 @@ LEAST_ROWS, SOME = 256, 8
 FEW = 16
 #: Pivots at most; what is known of cells fits in the driver, whatever the table's size.
 PIVOTS = 1024
+#: Shells of a cell at most.
+SHELLS = 32
 #: Distances are compared at this many places; bounds give way by a little more.
 PLACES, SLACK = 12, 1e-9
 
@@ -49,7 +51,7 @@ def _flat(x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _pivot_blocks(df: DataFrame, pivots: np.ndarray, metric: str, cols: list[str]) -> DataFrame:
-    """(block, cell, lo, hi, size, rows): rows around their nearest pivot, in shells of about BLOCK, larger ones in parts."""
+    """(block, cell, lo, hi, size, rows): rows around their nearest pivot, in shells of about BLOCK, those of twice as many in parts."""
 
     def nearest_pivot(batches):
         for batch in batches:
@@ -61,17 +63,18 @@ def _pivot_blocks(df: DataFrame, pivots: np.ndarray, metric: str, cols: list[str
     given = df.select(*cols)
     fields = ", ".join(f"`{c}` {t}" for c, t in given.dtypes)
     dealt = settled(given.mapInArrow(nearest_pivot, f"{fields}, cell int, far double"), "dealt")
-    cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("shells"), F.min("far").alias("_lo"), F.max("far").alias("_hi"))
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    shelled = dealt.join(F.broadcast(cells), "cell").withColumn("shell", F.least(F.floor((F.col("far") - F.col("_lo")) / width * F.col("shells")), F.col("shells") - 1))
-    sizes = shelled.groupBy("cell", "shell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    # Shells hold about as many rows each, by a sketch of bounded size; rows at one distance share a shell, and are cut into parts.
+    cells = dealt.groupBy("cell").agg(F.greatest(F.round(F.count("*") / BLOCK), F.lit(1)).alias("shells"), F.percentile_approx("far", [i / SHELLS for i in range(1, SHELLS)], 1000).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda cut: cut < F.col("far")))
+    shelled = dealt.join(F.broadcast(cells), "cell").withColumn("shell", F.floor(place * F.least("shells", F.lit(SHELLS)) / SHELLS)).drop("_cuts")
+    sizes = shelled.groupBy("cell", "shell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     parted = shelled.join(sizes, ["cell", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     blocks = parted.groupBy("cell", "shell", "part").agg(F.collect_list(F.struct(*cols)).alias("rows"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("size"))
     return settled(blocks.select(F.xxhash64("cell", "shell", "part").alias("block"), "cell", "lo", "hi", F.col("size").cast("int").alias("size"), "rows"), "blocks")
 
 
-#: Candidates whose distances are computed one by one at a time.
-FEW_PAIRS = 1 << 16
+#: Candidates whose distances are computed one by one at a time; rows of a product of matrices.
+FEW_PAIRS, PART = 1 << 16, 256
 
 
 def _exact(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray, metric: str) -> np.ndarray:
@@ -96,48 +99,80 @@ def _merge(best: tuple[np.ndarray, np.ndarray], row: np.ndarray, b: np.ndarray,
     best[0][row[kept], place[kept]], best[1][row[kept], place[kept]] = b[kept], d[kept]
 
 
+def _sides(x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right factors: their product is the squared distance, or the cosine distance of unit vectors."""
+    one = np.ones((len(x), 1))
+    if metric == "cosine":
+        return np.hstack([-x, one]), np.hstack([x, one])
+    size = (x * x).sum(1, keepdims=True)
+    return np.hstack([-2 * x, size, one]), np.hstack([x, one, size])
+
+
 def compared(met: DataFrame, left: DataFrame, right: DataFrame, sizes: tuple[int, int], k: int, metric: str, include_self: bool, other: str | None, same: str | None) -> DataFrame:
     """(block, src, dst, dist): for the block pairs (a, b) of `met`, the k best of each lane for each left row.
 
     A product of matrices bounds the distances of a block pair; only pairs that can be among a row's k best, by what it
-    has so far, have theirs computed.
+    had when pairs were last merged, have theirs computed. The product is of single precision once all rows have k, unless its rounding, which
+    follows the vectors' sizes, is no small part of the distances.
     """
     labels = [c for c in (other, same) if c]
 
     def opened(rows):
         x = _flat(matrix(rows), metric)
-        return ids(rows), x, [ids(rows, c) for c in labels], (np.zeros((len(x), k), np.int64), np.full((len(x), k), np.inf))
+        return ids(rows), x, _sides(x, metric)[0].astype(np.float32), [ids(rows, c) for c in labels], (np.zeros((len(x), k), np.int64), np.full((len(x), k), np.inf)), []
+
+    def merged(kept):
+        *_, best, waiting = kept
+        if waiting:
+            _merge(best, *(np.concatenate(v) for v in zip(*waiting, strict=True)))
+            waiting.clear()
 
     def step(kept, rows, same_block):
-        a, x, marks, best = kept
+        a, x, rough, marks, best, waiting = kept
         b, y = ids(rows), _flat(matrix(rows), metric)
         if not len(a) or not len(b):
             return
-        d = 1 - x @ y.T if metric == "cosine" else squares(x, y)
-        allowed = None
-        if not include_self:
-            allowed = a[:, None] != b[None, :]
-        for c, mine in zip(labels, marks, strict=True):
-            theirs = ids(rows, c)
-            fits = mine[:, None] != theirs[None, :] if c == other else mine[:, None] == theirs[None, :]
-            allowed = fits if allowed is None else allowed & fits
-        # Squares err by rounding, in proportion to the vectors' sizes.
+        theirs = [ids(rows, c) for c in labels]
+
+        def allowed(i, j):
+            good = np.ones(np.broadcast(i, j).shape, bool) if include_self else a[i] != b[j]
+            for c, mine, other_ in zip(labels, marks, theirs, strict=True):
+                good &= mine[i] != other_[j] if c == other else mine[i] == other_[j]
+            return good
+
         size = (x * x).sum(1) + (y * y).sum(1).max()
+        err = lambda t: (size + (metric == "cosine")) * (x.shape[1] + 16) * np.finfo(t).eps
         far = best[1][:, -1] + 2 * 10.0**-PLACES
-        limit = (far if metric == "cosine" else far * far) + size * (x.shape[1] + 16) * 1e-15
-        open_ = ~np.isfinite(limit)
-        if open_.any() and len(b) > k:
-            mine = d[open_] if allowed is None else np.where(allowed[open_], d[open_], np.inf)
-            limit[open_] = np.partition(mine, k - 1, axis=1)[:, k - 1] + size[open_] * (x.shape[1] + 16) * 2e-15 + 1e-11
-        near = d <= limit[:, None]
-        if allowed is not None:
-            near &= allowed
-        row, col = np.nonzero(near)
+        limit = far if metric == "cosine" else far * far
+        open_ = np.flatnonzero(~np.isfinite(limit))
+        kind = np.float32 if not len(open_) and size.max() < 1e30 and (err(np.float32) > 0.05 * limit).mean() < 0.1 and np.median(limit) > 1e-30 else np.float64
+        lead, tail = rough if kind is np.float32 else _sides(x, metric)[0], _sides(y, metric)[1].astype(kind)
+        limit = limit + err(kind)
+        limit[open_] = -np.inf
+        found = []
+        for s in range(0, len(a), PART):
+            row, col = np.divmod(np.flatnonzero((lead[s : s + PART] @ tail.T <= limit[s : s + PART, None].astype(kind)).ravel()), len(b))
+            found.append((row + s, col))
+        for s in range(0, len(open_), PART):
+            mine = open_[s : s + PART]
+            d = lead[mine] @ tail.T
+            d[~allowed(mine[:, None], np.arange(len(b))[None, :])] = np.inf
+            if len(b) > k:
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * err(kind)[mine] + 1e-11
+                d[d > most[:, None]] = np.inf
+            row, col = np.nonzero(np.isfinite(d))
+            found.append((mine[row], col))
+        row, col = (np.concatenate(v) for v in zip(*found, strict=True))
+        good = allowed(row, col)
+        row, col = row[good], col[good]
         if len(row):
-            _merge(best, row, b[col], _exact(x, y, row, col, metric))
+            waiting.append((row, b[col], _exact(x, y, row, col, metric)))
+        if len(open_) or 2 * sum(len(w[0]) for w in waiting) > best[0].size:
+            merged(kept)
 
     def told(block, kept):
-        a, _, _, best = kept
+        merged(kept)
+        a, best = kept[0], kept[4]
         good = np.isfinite(best[1])
         src = np.repeat(a, k).reshape(best[0].shape)[good]
         return {"block": np.full(len(src), block, np.int64), "src": src, "dst": best[0][good], "dist": best[1][good]}
