@@ -196,6 +196,8 @@ def boundary_score(df: DataFrame, cols: list[str], q: float = 0.95, least: int =
 
 #: Cells to a side that a cell of the clustering is cut into when it is compared with another.
 FINE = 16
+#: Pairs of parts that a task holds before it hands them on.
+MOST_JUDGED = 1 << 16
 
 
 def _cell_links(cores: DataFrame, side: float, eps: float) -> DataFrame:
@@ -218,19 +220,30 @@ def _cell_links(cores: DataFrame, side: float, eps: float) -> DataFrame:
     width = side / FINE
 
     def judge(batches):
+        names, kinds = ["a", "b", "pa", "pb"], (np.int64, np.int64, np.int32, np.int32)
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                p, q = (np.array([(c["part"] // FINE, c["part"] % FINE, c["x"], c["y"]) for c in r[k]], float) for k in ("left", "right"))
-                d = (p[:, None, 2] - q[None, :, 2]) ** 2 + (p[:, None, 3] - q[None, :, 3]) ** 2
-                if (d <= eps * eps).any():
-                    rows.append((r["a"], r["b"], -1, -1))
-                    continue
-                gx = np.abs(q[None, :, 0] + r["s"]["i"] * FINE - p[:, None, 0]) - 1
-                gy = np.abs(q[None, :, 1] + r["s"]["j"] * FINE - p[:, None, 1]) - 1
-                gap = np.hypot(np.maximum(gx, 0), np.maximum(gy, 0)) * width
-                rows += [(r["a"], r["b"], r["left"][i]["part"], r["right"][j]["part"]) for i, j in zip(*np.nonzero(gap <= eps * (1 + 1e-6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "b", "pa", "pb"])
+            sides = []
+            for side in ("left", "right"):
+                lists = batch.column(side)
+                part, x, y = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("part", "x", "y"))
+                sides.append((lists.offsets.to_numpy(), part, x, y))
+            a, b, i, j = (v.to_numpy(zero_copy_only=False) for v in (batch.column("a"), batch.column("b"), batch.column("s").field("i"), batch.column("s").field("j")))
+            found, n = [], 0
+            for r in range(batch.num_rows):
+                (p, px, py), (q, qx, qy) = ([v[at[r] : at[r + 1]] for v in values] for at, *values in sides)
+                if ((px[:, None] - qx) ** 2 + (py[:, None] - qy) ** 2 <= eps * eps).any():
+                    pairs = np.array([-1]), np.array([-1])
+                else:
+                    gx = np.abs(q // FINE + i[r] * FINE - (p // FINE)[:, None]) - 1
+                    gy = np.abs(q % FINE + j[r] * FINE - (p % FINE)[:, None]) - 1
+                    row, col = np.nonzero(np.hypot(np.maximum(gx, 0), np.maximum(gy, 0)) * width <= eps * (1 + 1e-6))
+                    pairs = p[row], q[col]
+                m = len(pairs[0])
+                found.append((np.full(m, a[r]), np.full(m, b[r]), *pairs))
+                n += m
+                if n > MOST_JUDGED or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(t)) for v, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                    found, n = [], 0
 
     judged = settled(met.mapInArrow(judge, "a long, b long, pa int, pb int"), "judged")
     points = fine.join(cell, ["cx", "cy"])

@@ -150,3 +150,15 @@ def test_triples_travel_as_blocks_of_three_groups(spark, monkeypatch):
     near = {s: (d <= s).astype(int) for s in got}
     assert got == {s: (m.sum() // 2, np.trace(m @ m @ m) // 6) for s, m in near.items()}
     assert ["a", "b", "c", "block", "rows"] in widest
+
+
+def test_cells_hand_on_their_parts_in_pieces(spark, monkeypatch):
+    """What a task judges leaves it by MOST_JUDGED pairs of parts, not by whole batches."""
+    from test_pairs import brute_clusters, plane
+
+    from manifoldry.operators import density
+
+    monkeypatch.setattr(density, "MOST_JUDGED", 3)
+    x = np.random.default_rng(2).uniform(0, 12, size=(300, 2))
+    got = {r.id: r.cluster for r in density.dbscan(plane(spark, x), 0.5, 4).collect()}
+    assert got == brute_clusters(x, 0.5, 4) and len(set(got.values())) > 3
