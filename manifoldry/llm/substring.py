@@ -31,8 +31,11 @@ PASSAGE = 50
 LEAST = PASSAGE - WORDS + 1
 #: Passages are near duplicates from this similarity of their shingle sets on.
 PERCENT = 80
-#: So many different surroundings of a key meet each other; where there are more, they must share a rare shingle too.
+#: So many different surroundings of a key meet each other; where there are more, they must share a rare shingle too, and
+#: where so many hold that one as well, what they hold around the key is compared place by place.
 FEW = 64
+#: Open places that a task holds while all surroundings of their key pass by, and those of each that meet at a time.
+HELD, SOME = 1024, (64, 256)
 #: Shingles of a tile, in which documents are cut for comparison.
 TILE = 128
 
@@ -166,6 +169,104 @@ def contexts(batches, gram: int, reach: int):
         yield pa.RecordBatch.from_arrays(columns, ["pair", "doc", "c", "open"])
 
 
+def around(batches, gram: int, reach: int):
+    """(key, doc, c, open, hashes): the keys at the places `wanted`, with the 32-bit hashes of the shingles up to `reach` before and after, 0 beyond the text."""
+    inner = gram - WORDS + 1
+    beyond = np.zeros(reach, "<u4")
+    for block in tokens.blocks(batches):
+        words, starts = word_hashes(block.column("text"))
+        keys, doc, place, opens, data = [np.array([], np.int64)], [], [], [], []
+        bounds = zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False)
+        for d, wanted, a, b in bounds:
+            s = shingle_hashes(words[a:b])
+            asked = [x for x in wanted if x["c"] + gram <= b - a]
+            keys.append(run_hashes(s, gram)[[x["c"] for x in asked]].view(np.int64) if asked else keys[0])
+            all_ = np.concatenate([beyond, np.maximum(s >> np.uint64(32), np.uint64(1)).astype("<u4"), beyond])
+            doc += [d] * len(asked)
+            place += [x["c"] for x in asked]
+            opens += [x["open"] for x in asked]
+            data += [all_[x["c"] : x["c"] + inner + 2 * reach].tobytes() for x in asked]
+        columns = [pa.array(np.concatenate(keys)), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(opens, pa.bool_()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "c", "open", "hashes"])
+
+
+def hits(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """[i, p, j]: how many of the `least` hashes of x[i] from place p on are anywhere in y[j]. Hash 0 is none."""
+    names, of = np.unique(y, return_inverse=True)
+    held = np.zeros((len(names) + 1, len(y)), np.int16)
+    held[of.reshape(y.shape), np.arange(len(y))[:, None]] = 1
+    held[:-1][names == 0] = 0
+    at = np.searchsorted(names, x).clip(max=len(names) - 1)
+    total = held[np.where(names[at] == x, at, len(names))].cumsum(1, dtype=np.int16)
+    out = total[:, least - 1 :]
+    out[:, 1:] -= total[:, :-least].copy()
+    return out
+
+
+def meetings(batches, least: int, percent: int):
+    """What is `around` keys, by (key, part, later, doc), to pairs (doc, c, doc0, c0) of open places with earlier holders.
+
+    The open places of a part come first, then all holders of its key in the order of documents. An open place is paired
+    with each holder by which more of what is around it repeats than by those before, so that pairs follow the places:
+    only windows with enough shingles of the holder are looked at, and only where no span holds them yet.
+    """
+    enough = -(-2 * percent * least // (100 + percent))
+    group, held = None, []
+
+    def opened(parts):
+        doc, c, x = (np.concatenate(v) for v in zip(*parts, strict=True))
+        return doc, c, x, x == 0  # beyond the text nothing can be found: it counts as done
+
+    def met(mine, doc0, c0, y):
+        doc, c, x, done = mine
+        out = []
+        live = np.flatnonzero((doc > doc0[0]) & ~done.all(1))
+        for s in range(0, len(live), SOME[0]):
+            rows = live[s : s + SOME[0]]
+            good = hits(x[rows], y, least) >= enough
+            good &= (doc0[None, :] < doc[rows, None])[:, None, :]
+            i, j = np.nonzero(good.any(1))
+            first, last = good.argmax(1)[i, j], good.shape[1] - 1 - good[:, ::-1].argmax(1)[i, j] + least
+            for n in np.unique(i).tolist():
+                row, rest = rows[n], np.flatnonzero(i == n)
+                a, skip = x[row][x[row] != 0], int((x[row] != 0).argmax())
+                while len(rest):
+                    below = np.concatenate([[0], np.cumsum(done[row])])
+                    rest = rest[below[last[rest]] - below[first[rest]] < last[rest] - first[rest]]
+                    new = False
+                    while len(rest) and not new:
+                        k, rest = j[rest[0]], rest[1:]
+                        for p, q in similar_spans(a, y[k][y[k] != 0], least, percent):
+                            new |= not done[row, skip + p : skip + q + 1].all()
+                            done[row, skip + p : skip + q + 1] = True
+                        if new:
+                            out.append((doc[row], c[row], doc0[k], c0[k]))
+        return out
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key, part, later, doc, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "later", "doc", "c"))
+        data = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), "<u4").reshape(n, -1)
+        new = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (later[1:] != later[:-1])) + 1, [n]])
+        out = []
+        for s, e in zip(new.tolist(), new[1:].tolist(), strict=False):
+            if group != (key[s], part[s]):
+                group, held = (key[s], part[s]), []
+            if not later[s]:
+                held.append((doc[s:e], c[s:e], data[s:e]))
+                continue
+            if isinstance(held, list):
+                held = opened(held) if held else None
+            for t in range(s, e if held else s, SOME[1]):
+                to = min(e, t + SOME[1])
+                out += met(held, doc[t:to], c[t:to], data[t:to])
+        parts = list(zip(*out, strict=True)) or [[], [], [], []]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, types, strict=True)], ["doc", "c", "doc0", "c0"])
+
+
 def tiles(batches):
     """(doc, tile, hashes): the tiles asked for, as 32-bit shingle hashes."""
     for block in tokens.blocks(batches):
@@ -338,7 +439,8 @@ def _other_holders(rows: DataFrame, holders: DataFrame, open_: DataFrame, gram:
     Holders with the same surrounding are a class, whose first member stands for it. Open classes meet all classes of
     their key where these are few. Where they are many, they meet those that share a rare shingle beside the key: of two
     similar passages around a key, each has so many shingles in common with the other that they share one of its rarest
-    ones, whatever order counts as rare, if it is the same for both (prefix filter).
+    ones, whatever order counts as rare, if it is the same for both (prefix filter). Of those whose rarest ones are held
+    by many, all meet too (`_among_many`).
     """
     seen = _at_places(rows, holders).mapInArrow(task(__name__, "surroundings", gram, least), "key long, doc long, c int, around long")
     same = (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")) & (F.col("c") == F.col("_c"))
@@ -359,23 +461,42 @@ def _other_holders(rows: DataFrame, holders: DataFrame, open_: DataFrame, gram:
         reps = hot.select(F.col("f.doc").alias("doc"), F.col("f.c").alias("c"), F.lit(False).alias("open")).unionByName(hot.where("any_open").select(F.col("o.doc").alias("doc"), F.col("o.c").alias("c"), F.lit(True).alias("open")))
         reps = materialise(reps.groupBy("doc", "c").agg(F.max("open").alias("open")), "representatives")
         beside = materialise(_at_places(rows, reps, "open").mapInArrow(task(__name__, "contexts", gram, least), "pair long, doc long, c int, open boolean"), "contexts")
-        held = materialise(beside.groupBy("pair").agg(F.count("*").alias("n"), F.min(F.struct("doc", "c")).alias("f")).where("n > 1"), "pairs")
+        held = materialise(beside.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "pairs")
         # Shingles that only one has come first in the order and lead nowhere: they take places of the prefix, own - needed + 1,
         # and need no rows; what is left of it goes to the n_shared others.
-        shared = beside.join(held, "pair").select("pair", "doc", "c", "open", "n", "f")
+        shared = beside.join(held, "pair").select("pair", "doc", "c", "open", "n")
         needed = -(-2 * percent * least // (100 + percent)) - (gram - WORDS + 1)
         rarest = Window.partitionBy("doc", "c").orderBy("n", "pair")
         last = F.count("*").over(Window.partitionBy("doc", "c"))
         placed = shared.select("*", F.row_number().over(rarest).alias("at"), last.alias("n_shared"))
         prefix = materialise(placed.where(F.col("at") <= F.col("n_shared") - needed + 1).drop("at", "n_shared"), "prefixes")
-        # A pair that many hold though it is in their prefix: they share nearly all around the key, so the first stands for all.
-        first = prefix.where((F.col("n") > FEW) & F.col("open")).select("doc", "c", F.col("f.doc").alias("doc0"), F.col("f.c").alias("c0")).where("doc0 < doc")
         rare = prefix.where(F.col("n") <= FEW)
         meet = rare.where("open").select("pair", "doc", "c").join(rare.select("pair", F.col("doc").alias("doc0"), F.col("c").alias("c0")), "pair").where("doc0 < doc").select(names)
-        found = found.unionByName(first).unionByName(meet)
+        found = found.unionByName(meet)
+        hot = prefix.where(F.col("n") > FEW).groupBy("doc", "c").agg(F.max("open").alias("open"))
+        hot = materialise(hot, "hot-places")
+        if not hot.where("open").isEmpty():
+            found = found.unionByName(_among_many(rows, hot, gram, least, percent).select(names))
     return found.distinct().select("doc", "c", F.col("c").alias("d"), "doc0", "c0", F.col("c0").alias("d0"))
 
 
+def _among_many(rows: DataFrame, places: DataFrame, gram: int, least: int, percent: int) -> DataFrame:
+    """Pairs of the open ones of `places` (doc, c, open) with earlier holders of their key among these.
+
+    All are compared, in tasks of HELD open places, by which the holders pass; a row leaves them only for what more of an
+    open place's surrounding a holder repeats. So rows follow the places, and only comparisons their square.
+    """
+    schema = "key long, doc long, c int, open boolean, hashes binary"
+    holders = materialise(_at_places(rows, places, "open").mapInArrow(task(__name__, "around", gram, least), schema), "around")
+    parts = holders.groupBy("key").agg(F.ceil(F.count_if("open") / HELD).cast("int").alias("parts")).where("parts > 0")
+    dealt = holders.join(materialise(parts, "parts"), "key")
+    names = ["key", "part", "later", "doc", "c", "hashes"]
+    held = dealt.where("open").select("*", F.pmod(F.xxhash64("doc", "c"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("later"))
+    passing = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("later"))
+    met = held.select(names).unionByName(passing.select(names)).repartition("key", "part").sortWithinPartitions("key", "part", "later", "doc", "c")
+    return materialise(met.mapInArrow(task(__name__, "meetings", least, percent), "doc long, c int, doc0 long, c0 int"), "meetings")
+
+
 def marked(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """A row for each row of `docs`: doc_id, n_spans, n_dup_words, spans (start, stop), sources, n_copied_from_here.
 

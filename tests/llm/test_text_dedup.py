@@ -324,6 +324,23 @@ def test_hot_line_beside_repeats(spark, monkeypatch):
     assert all(d - 100 in got[d].sources for d in need)
 
 
+def test_no_rare_shingle_beside_repeats(spark, monkeypatch):
+    """A passage of which each shingle stands in many documents, two of its words changed in each; three late ones hold it whole."""
+    monkeypatch.setattr(substring, "FEW", 2)
+    rng = random.Random(51)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage, rows = words(64), []
+    for i in range(150):
+        other = list(passage)
+        for at in rng.choice([(a, b) for a in range(14, 50) for b in range(a + 5, 50)]):
+            other[at] = f"edit{i}"
+        rows.append((i, " ".join(words(60) + other + words(60))))
+    rows += [(1000 + i, " ".join(words(60) + passage + words(60))) for i in range(3)]
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    assert [d for d, r in sorted(got.items()) if r.n_spans] == [1001, 1002]
+    assert all(1000 in got[d].sources and got[d].spans[0].start <= 60 and got[d].spans[0].stop >= 124 for d in (1001, 1002))
+
+
 def test_every_exact_repeat_is_marked(spark):
     """Fragments of passages in many documents: each run of 50 words that an earlier document has is marked but for a few words at its ends."""
     rng = random.Random(41)
