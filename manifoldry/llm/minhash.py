@@ -49,31 +49,58 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, VALUES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES | np.uint8(0x20), _BYTES)
+_IN_WORD = (_BYTES != 0x20) & ((_BYTES < 0x09) | (_BYTES > 0x0D))
+#: The first n bytes of a piece.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _M1
-    h = (h ^ (h >> np.uint64(33))) * _M2
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))
+    h *= _M1
+    h ^= h >> np.uint64(33)
+    h *= _M2
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, A-Z lower-cased, of all texts, one after another, and where each text's words start and the last stop."""
+    """64-bit hashes of the words, A-Z lower-cased, of all texts, one after another, and where each text's words start and the last stop.
+
+    Words are read as pieces of 8 bytes, all words at once; the few long ones are hashed one by one.
+    """
     texts = pc.fill_null(column.cast(pa.large_string()), "")
-    for white in "\t\n\x0b\x0c\r":
-        texts = pc.replace_substring(texts, white, " ")
-    split = pc.split_pattern(pc.ascii_lower(texts), " ")
-    coded = split.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-    code = coded.indices.to_numpy()
-    real = np.ones(len(code), bool)
-    if "" in distinct:
-        real = code != distinct.index("")
-    at = split.offsets.to_numpy()
-    kept = np.concatenate([[0], np.cumsum(real)])
-    return table[code[real]] if len(code) else np.array([], np.uint64), kept[at - at[0]]
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(bounds[-1] - bounds[0])
+    if not size:
+        return np.array([], np.uint64), np.zeros(len(texts) + 1, np.int64)
+    padded = np.zeros(size + 8, np.uint8)
+    padded[:size] = _LOWER[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    within = _IN_WORD[padded[:size]]
+    first = np.concatenate([[True], ~within[:-1]])  # what follows white space, or starts a text
+    first[bounds[bounds < size]] = True
+    last = np.concatenate([first[1:] | ~within[1:], [True]])
+    start = np.flatnonzero(within & first)
+    length = np.flatnonzero(within & last) + 1 - start
+    pieces = np.ndarray(size + 1, "<u8", padded, strides=(1,))
+    rest = length.clip(max=8)
+    out = mix(length.astype(np.uint64) * _K[0] + (pieces[start] & _FIRST[rest]))
+    more = np.flatnonzero((length > 8) & (length <= LONG))
+    at = 8
+    while len(more):
+        rest = (length[more] - at).clip(max=8)
+        out[more] = mix(out[more] * _K[1] + (pieces[start[more] + at] & _FIRST[rest]))
+        at += 8
+        more = more[length[more] > at]
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[start[i] : start[i] + length[i]].tobytes())
+    return out, np.searchsorted(start, bounds)
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:

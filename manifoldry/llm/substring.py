@@ -71,6 +71,19 @@ def run_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def least_places(keys: np.ndarray, least: int) -> np.ndarray:
+    """The places of the least keys of all runs of `least` places, in order. Keys end in their places; zero keys are walls."""
+    if len(keys) < least:
+        return np.array([], np.int64)
+    run, size = keys, 1
+    while size < least:
+        step = min(size, least - size)
+        run = np.minimum(run[:-step], run[step:])
+        size += step
+    roots = run[np.flatnonzero(np.diff(run, prepend=np.uint64(0)))]  # a place is least in runs that follow each other
+    return (roots[roots >= np.uint64(1 << 32)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def compact_windows(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r), ends included, of all windows of `least` places or more in which keys[c] is the least. Keys are distinct.
 
@@ -82,12 +95,7 @@ def compact_windows(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     while (1 << len(levels)) <= n:
         half = 1 << (len(levels) - 1)
         levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-    if n < least:
-        return (np.array([], np.int64),) * 3
-    k = least.bit_length() - 1
-    run = levels[k][: n - least + 1] if least == 1 << k else np.minimum(levels[k][: n - least + 1], levels[k][least - (1 << k) :][: n - least + 1])
-    roots = run[np.flatnonzero(np.diff(run, prepend=np.uint64(0)))]
-    c = (np.unique(roots[roots >= np.uint64(1 << 32)]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    c = least_places(keys, least)
     own, left, right = keys[c], c.copy(), c + 1
     for k in reversed(range(len(levels))):
         size = len(levels[k])
@@ -99,35 +107,41 @@ def compact_windows(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
 
 def windows(batches, run: int, gram: int):
     """(key, doc, c): of every `run` words, the place and the key of the `gram` words of the least hash."""
-    for block in tokens.blocks(batches, 2_000_000):
+    for block in tokens.blocks(batches, 1_000_000):
         words, starts = word_hashes(block.column("text"))
-        sets = [run_hashes(shingle_hashes(words[a:b]), gram) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
-        wall = np.zeros(1, np.uint64)
-        h = np.concatenate([x for s in sets for x in (wall, s)] + [wall])
-        walls = np.concatenate([[0], np.cumsum([len(s) + 1 for s in sets])])
-        doc_id = block.column("doc_id").to_numpy(zero_copy_only=False)
+        n = np.diff(starts)
+        left = np.repeat(starts[1:], n) - np.arange(len(words))  # words up to the text's end
+        h = run_hashes(shingle_hashes(words), gram) if len(words) >= gram else words[:0]
+        doc_id = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         keys = (np.maximum(h >> np.uint64(32), np.uint64(1)) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-        keys[walls] = 0
-        _, c, _ = compact_windows(keys, run - gram + 1)
-        doc = np.searchsorted(walls, c, side="right") - 1
-        columns = [pa.array(h[c].view(np.int64)), pa.array(doc_id[doc].astype(np.int64)), pa.array((c - walls[doc] - 1).astype(np.int32))]
+        keys[left[: len(h)] < gram] = 0
+        c = least_places(keys, run - gram + 1)
+        doc = np.repeat(np.arange(len(n)), n)[c]
+        columns = [pa.array(h[c].view(np.int64)), pa.array(doc_id[doc]), pa.array((c - starts[doc]).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "c"])
 
 
+def block_shingles(block: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Shingle hashes of all words of a block, and where each text's own start and stop; those across two texts are in between."""
+    words, starts = word_hashes(block.column("text"))
+    s = shingle_hashes(words) if len(words) >= WORDS else words[:0]
+    return s, list(zip(starts[:-1].tolist(), np.maximum(starts[1:] - (WORDS - 1), starts[:-1]).tolist(), strict=True))
+
+
 def surroundings(batches, gram: int, reach: int):
     """(key, doc, c, around): the keys at the places `wanted`, with a digest of the shingles up to `reach` before and after."""
     for block in tokens.blocks(batches):
-        words, starts = word_hashes(block.column("text"))
-        keys, doc, place, around = [], [], [], []
-        bounds = zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False)
-        for d, wanted, a, b in bounds:
-            s = shingle_hashes(words[a:b])
-            at = [c for c in sorted(wanted) if c + gram <= b - a]
-            keys.append(run_hashes(s, gram)[at].view(np.int64))
+        shingles, bounds = block_shingles(block)
+        first, doc, place, around = [], [], [], []
+        for d, wanted, (a, b) in zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), bounds, strict=True):
+            s = shingles[a:b]
+            at = [c for c in sorted(wanted) if c + gram - WORDS < b - a]
+            first += [a + c for c in at]
             doc += [d] * len(at)
             place += at
             around += [xxhash.xxh3_64_intdigest(s[max(0, c - reach) : c + gram - WORDS + 1 + reach].tobytes()) for c in at]
-        columns = [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.array(around, np.uint64).view(np.int64))]
+        keys = run_hashes(shingles, gram)[np.array(first, np.int64)].view(np.int64)
+        columns = [pa.array(keys), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.array(around, np.uint64).view(np.int64))]
         yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "c", "around"])
 
 
@@ -135,38 +149,36 @@ def contexts(batches, gram: int, reach: int):
     """(pair, doc, c, open): the key at each place `wanted`, paired with every distinct shingle up to `reach` before and after that it does not hold."""
     inner = gram - WORDS + 1
     offsets = np.arange(-reach, inner + reach)
+    ends = ((offsets < 0) | (offsets >= inner)).astype(np.uint64)
+    none, bit = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
     for block in tokens.blocks(batches):
-        words, starts = word_hashes(block.column("text"))
-        key, doc, place, opens, near = [np.array([], np.uint64)], [], [], [], [np.zeros((0, len(offsets)), np.int64)]
-        shingles, n = [np.zeros(0, np.uint64)], 0
-        bounds = zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False)
-        for d, wanted, a, b in bounds:
-            s = shingle_hashes(words[a:b])
-            asked = [x for x in wanted if x["c"] + gram <= b - a]  # another row of the doc_id may have the others
-            at = np.array([x["c"] for x in asked], np.int64)
-            if not len(at):
-                continue
+        shingles, bounds = block_shingles(block)
+        doc, place, opens, starts, stops = [], [], [], [], []
+        for d, wanted, (a, b) in zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), bounds, strict=True):
+            asked = [x for x in wanted if x["c"] + inner <= b - a]  # another row of the doc_id may have the others
+            doc += [d] * len(asked)
+            place += [x["c"] for x in asked]
             opens += [x["open"] for x in asked]
-            key.append(run_hashes(s, gram)[at])
-            doc += [d] * len(at)
-            place += at.tolist()
-            around = at[:, None] + offsets
-            near.append(np.where((around >= 0) & (around < len(s)), around + n, -1))
-            shingles.append(s)
-            n += len(s)
-        near_all, key_all = np.concatenate(near), np.concatenate(key)
-        row, column = np.nonzero(near_all >= 0)
-        value = np.concatenate(shingles)[near_all[row, column]]
-        own = (offsets[column] >= 0) & (offsets[column] < inner)
-        order = np.lexsort((~own, value, row))  # of equal shingles, one that the key holds comes first
-        row, value, own = row[order], value[order], own[order]
-        first = np.ones(len(row), bool)
-        first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        kept = first & ~own
-        row, value = row[kept], value[kept]
-        pair = mix(value * _WHOLE + key_all[row])
-        columns = [pa.array(pair.view(np.int64)), *(pa.array(np.array(x, t)[row]) for x, t in ((doc, np.int64), (place, np.int32), (opens, bool)))]
-        yield pa.RecordBatch.from_arrays(columns, ["pair", "doc", "c", "open"])
+            starts += [a] * len(asked)
+            stops += [b] * len(asked)
+        if not doc:
+            continue
+        doc, place, opens, starts, stops = (np.array(x, t) for x, t in ((doc, np.int64), (place, np.int32), (opens, bool), (starts, np.int64), (stops, np.int64)))
+        key = run_hashes(shingles, gram)[starts + place]
+        out = []
+        for s in range(0, len(doc), 4096):
+            part = slice(s, s + 4096)
+            near = (starts[part] + place[part])[:, None] + offsets
+            inside = (near >= starts[part, None]) & (near < stops[part, None])
+            value = shingles[near.clip(0, len(shingles) - 1)] & ~bit | ends
+            value = np.sort(np.where(inside, value, none), axis=1)  # of equal shingles, one that the key holds comes first
+            kept = (value & bit == bit) & (value != none)
+            kept[:, 1:] &= value[:, 1:] >> bit != value[:, :-1] >> bit
+            row, column = np.nonzero(kept)
+            pair = mix(value[row, column] * _WHOLE + key[part][row])
+            which = row + s
+            out.append(pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(doc[which]), pa.array(place[which]), pa.array(opens[which])], ["pair", "doc", "c", "open"]))
+        yield from out
 
 
 def around(batches, gram: int, reach: int):
@@ -174,19 +186,19 @@ def around(batches, gram: int, reach: int):
     inner = gram - WORDS + 1
     beyond = np.zeros(reach, "<u4")
     for block in tokens.blocks(batches):
-        words, starts = word_hashes(block.column("text"))
-        keys, doc, place, opens, data = [np.array([], np.int64)], [], [], [], []
-        bounds = zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False)
-        for d, wanted, a, b in bounds:
-            s = shingle_hashes(words[a:b])
-            asked = [x for x in wanted if x["c"] + gram <= b - a]
-            keys.append(run_hashes(s, gram)[[x["c"] for x in asked]].view(np.int64) if asked else keys[0])
+        shingles, bounds = block_shingles(block)
+        first, doc, place, opens, data = [], [], [], [], []
+        for d, wanted, (a, b) in zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), bounds, strict=True):
+            s = shingles[a:b]
+            asked = [x for x in wanted if x["c"] + inner <= b - a]
+            first += [a + x["c"] for x in asked]
             all_ = np.concatenate([beyond, np.maximum(s >> np.uint64(32), np.uint64(1)).astype("<u4"), beyond])
             doc += [d] * len(asked)
             place += [x["c"] for x in asked]
             opens += [x["open"] for x in asked]
             data += [all_[x["c"] : x["c"] + inner + 2 * reach].tobytes() for x in asked]
-        columns = [pa.array(np.concatenate(keys)), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(opens, pa.bool_()), pa.array(data, pa.binary())]
+        keys = run_hashes(shingles, gram)[np.array(first, np.int64)].view(np.int64)
+        columns = [pa.array(keys), pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(opens, pa.bool_()), pa.array(data, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "c", "open", "hashes"])
 
 
@@ -270,11 +282,11 @@ def meetings(batches, least: int, percent: int):
 def tiles(batches):
     """(doc, tile, hashes): the tiles asked for, as 32-bit shingle hashes."""
     for block in tokens.blocks(batches):
-        words, starts = word_hashes(block.column("text"))
+        shingles, bounds = block_shingles(block)
+        short = (shingles >> np.uint64(32)).astype("<u4")
         doc, number, data = [], [], []
-        bounds = zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False)
-        for d, wanted, a, b in bounds:
-            s = (shingle_hashes(words[a:b]) >> np.uint64(32)).astype("<u4")
+        for d, wanted, (a, b) in zip(block.column("doc_id").to_pylist(), block.column("wanted").to_pylist(), bounds, strict=True):
+            s = short[a:b]
             for t in sorted(wanted):
                 if len(part := s[t * TILE : (t + 1) * TILE]):
                     doc.append(d)
@@ -335,22 +347,22 @@ def similar_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
 def verify(batches, least: int, percent: int):
     """Candidates' tiles, sorted by candidate, side and number, to spans in words: (doc, start, stop, source)."""
     held: pa.Table | None = None
-    names = ["doc", "lo", "hi", "doc0", "side", "tile", "hashes"]
+    names = ["doc", "lo", "hi", "doc0", "lo0", "side", "tile", "hashes"]
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
-        cols = [rows.column(n).to_numpy() for n in ("doc", "lo", "hi", "doc0", "side", "tile")]
+        cols = [rows.column(n).to_numpy() for n in ("doc", "lo", "hi", "doc0", "lo0", "side", "tile")]
         new = np.ones(len(cols[0]), bool)
-        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:4]])
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:5]])
         cuts = [*np.flatnonzero(new).tolist(), len(new)]
         data = rows.column("hashes").to_pylist()
         out = []
         for s, e in zip(cuts, cuts[1:], strict=False):
             doc, lo, hi, doc0 = (int(x[s]) for x in cols[:4])
-            mid = s + int((cols[4][s:e] == 0).sum())
+            mid = s + int((cols[5][s:e] == 0).sum())
             if mid in (s, e):
                 continue
             a, b = np.frombuffer(b"".join(data[s:mid]), "<u4"), np.frombuffer(b"".join(data[mid:e]), "<u4")
-            skip = int(cols[5][s]) * TILE
+            skip = int(cols[6][s]) * TILE
             a = a[max(0, lo - skip) : hi + 1 - skip]
             out += [(doc, max(lo, skip) + p, max(lo, skip) + q + WORDS, doc0) for p, q in similar_spans(a, b, least, percent)]
         parts = list(zip(*out, strict=True)) or [[], [], [], []]
@@ -375,23 +387,24 @@ def _compare(rows: DataFrame, pairs: DataFrame, least: int, percent: int) -> Dat
     before = lambda c: F.greatest(F.col(c) - least, F.lit(0))
     after = lambda c: F.col(c) + 2 * least
     pairs = pairs.select("doc", before("c").alias("l"), after("d").alias("r"), "doc0", before("c0").alias("l0"), after("d0").alias("r0"))
-    # Pairs of a document that overlap and meet one other document are one candidate: at most a document's keys in a group.
-    each = Window.partitionBy("doc", "doc0").orderBy("l", "r", "l0", "r0")
-    reach = F.max("r").over(each.rowsBetween(Window.unboundedPreceding, -1))
-    islands = pairs.withColumn("new", F.coalesce((F.col("l") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = islands.groupBy("doc", "doc0", "island").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("l0").alias("lo0"), F.max("r0").alias("hi0"))
-    candidates = materialise(bounds.drop("island"), "candidates")
+    # Pairs of a document that overlap and meet one part of an other document are one candidate: at most a document's keys in a group.
+    for lo, hi, group, island in (("l0", "r0", ["doc", "doc0"], "part"), ("l", "r", ["doc", "doc0", "part"], "island")):
+        each = Window.partitionBy(*group).orderBy(lo, hi)
+        reach = F.max(hi).over(each.rowsBetween(Window.unboundedPreceding, -1))
+        pairs = pairs.withColumn("new", F.coalesce((F.col(lo) > reach).cast("int"), F.lit(1))).withColumn(island, F.sum("new").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = pairs.groupBy("doc", "doc0", "part", "island").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("l0").alias("lo0"), F.max("r0").alias("hi0"))
+    candidates = materialise(bounds.drop("part", "island"), "candidates")
 
     span = lambda lo, hi: F.explode(F.sequence((F.col(lo) / TILE).cast("int"), (F.col(hi) / TILE).cast("int")))
-    side_a = candidates.select("doc", "lo", "hi", "doc0", F.lit(0).alias("side"), F.col("doc").alias("of"), span("lo", "hi").alias("tile"))
-    side_b = candidates.select("doc", "lo", "hi", "doc0", F.lit(1).alias("side"), F.col("doc0").alias("of"), span("lo0", "hi0").alias("tile"))
+    side_a = candidates.select("doc", "lo", "hi", "doc0", "lo0", F.lit(0).alias("side"), F.col("doc").alias("of"), span("lo", "hi").alias("tile"))
+    side_b = candidates.select("doc", "lo", "hi", "doc0", "lo0", F.lit(1).alias("side"), F.col("doc0").alias("of"), span("lo0", "hi0").alias("tile"))
     asked = side_a.unionByName(side_b)
     wanted = asked.groupBy("of", "tile").agg(F.lit(1).alias("_")).groupBy("of").agg(F.collect_list("tile").alias("wanted"))
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "wanted")
     cut = materialise(texts.mapInArrow(task(__name__, "tiles"), "doc long, tile int, hashes binary"), "tiles")
     cut = cut.select(F.col("doc").alias("_doc"), F.col("tile").alias("_tile"), "hashes")
-    ready = asked.join(cut, (F.col("of") == F.col("_doc")) & (F.col("tile") == F.col("_tile"))).select("doc", "lo", "hi", "doc0", "side", "tile", "hashes")
-    ready = ready.repartition("doc").sortWithinPartitions("doc", "doc0", "lo", "hi", "side", "tile")
+    ready = asked.join(cut, (F.col("of") == F.col("_doc")) & (F.col("tile") == F.col("_tile"))).select("doc", "lo", "hi", "doc0", "lo0", "side", "tile", "hashes")
+    ready = ready.repartition("doc").sortWithinPartitions("doc", "doc0", "lo", "hi", "lo0", "side", "tile")
     return materialise(ready.mapInArrow(task(__name__, "verify", least, percent), "doc long, start long, stop long, source long"), "passages")
 
 
@@ -407,23 +420,24 @@ def passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PERCENT) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = materialise(rows.mapInArrow(task(__name__, "windows", run, gram), "key long, doc long, c int"), "all-windows")
     # What is grouped by key is written before rows join it by key: a join of two shuffles is one that Spark splits where a key is hot.
-    repeated = materialise(found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key"), "repeated")
+    repeated = materialise(found.groupBy("key").agg(F.min("doc").alias("doc0"), F.max("doc").alias("most")).where("doc0 < most").select("key", "doc0"), "repeated")
     met = materialise(found.join(repeated, "key"), "windows")
-    first = materialise(met.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("f")).select(F.col("key").alias("_key"), F.col("f.doc").alias("doc0"), F.col("f.c").alias("c0")), "first")
-    later = materialise(met.join(first, F.col("key") == F.col("_key")).where("doc <> doc0").select("key", "doc", "c", "doc0", "c0"), "later")
+    first = materialise(met.where("doc = doc0").groupBy("key").agg(F.min("c").alias("c0")).select(F.col("key").alias("_key"), "c0"), "first")
+    others = materialise(met.join(first, F.col("key") == F.col("_key")).where("doc <> doc0 or c <> c0").select("key", "doc", "c", "doc0", "c0"), "others")
+    later = others.where("doc <> doc0")
     spans = _compare(rows, later.select("doc", "c", F.col("c").alias("d"), "doc0", "c0", F.col("c0").alias("d0")), least, percent)
 
-    # What no span holds and has other earlier holders than the first.
+    # What no span holds and has other earlier holders than the first, which can be later places of the first's document.
     held = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("doc").alias("_doc"), "spans")
     inside = F.exists("spans", lambda s: (s["start"] <= F.col("c")) & (s["stop"] >= F.col("c") + gram))
     left = later.join(held, F.col("doc") == F.col("_doc"), "left").where(F.col("spans").isNull() | ~inside).select("key", "doc", "c")
     left = materialise(left, "left")
-    more = later.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
+    more = others.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
     again = materialise(left.select("key").distinct().join(more, "key"), "again")
     if again.isEmpty():
         return spans
     open_ = left.select(F.col("key").alias("_key"), F.col("doc").alias("_doc"), F.col("c").alias("_c"), F.lit(True).alias("open"))
-    return spans.unionByName(_compare(rows, _other_holders(rows, met.join(again, "key"), open_, gram, least, percent), least, percent))
+    return spans.unionByName(_compare(rows, _other_holders(rows, met.select("key", "doc", "c").join(again, "key"), open_, gram, least, percent), least, percent))
 
 
 def _at_places(rows: DataFrame, places: DataFrame, *what: str) -> DataFrame:
@@ -436,11 +450,13 @@ def _at_places(rows: DataFrame, places: DataFrame, *what: str) -> DataFrame:
 def _other_holders(rows: DataFrame, holders: DataFrame, open_: DataFrame, gram: int, least: int, percent: int) -> DataFrame:
     """Pairs of the open places of `holders` (key, doc, c) with earlier holders of their keys.
 
-    Holders with the same surrounding are a class, whose first member stands for it. Open classes meet all classes of
-    their key where these are few. Where they are many, they meet those that share a rare shingle beside the key: of two
-    similar passages around a key, each has so many shingles in common with the other that they share one of its rarest
-    ones, whatever order counts as rare, if it is the same for both (prefix filter). Of those whose rarest ones are held
-    by many, all meet too (`_among_many`).
+    Holders with the same surrounding are a class, whose first member stands for it; of its open ones, those in the first
+    open document do, as the others repeat the first member. Open classes meet all classes of their key where these are
+    few. Where they are many, they meet those that share a rare shingle beside the key: of two similar passages around a
+    key, each has so many shingles in common with the other that they share one of its rarest ones, whatever order counts
+    as rare, if it is the same for both (prefix filter). Of those whose rarest ones are held by many, all meet too
+    (`_among_many`). A surrounding that repeats itself has fewer different shingles; where it is similar with fewer in
+    common than others need, it is not found among many.
     """
     seen = _at_places(rows, holders).mapInArrow(task(__name__, "surroundings", gram, least), "key long, doc long, c int, around long")
     same = (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")) & (F.col("c") == F.col("_c"))
@@ -448,24 +464,27 @@ def _other_holders(rows: DataFrame, holders: DataFrame, open_: DataFrame, gram:
     classes = seen.groupBy("key", "around").agg(F.min(F.struct("doc", "c")).alias("f"), F.max("open").alias("any_open"), F.min(F.when(F.col("open"), F.struct("doc", "c"))).alias("o"))
     classes = materialise(classes, "classes")
     sizes = materialise(classes.groupBy("key").agg(F.count("*").alias("n"), F.max("any_open").alias("any_open")).where("any_open").select("key", "n"), "sizes")
-    sources = classes.select("key", F.col("f.doc").alias("doc0"), F.col("f.c").alias("c0"), "around")
-    targets = classes.where("any_open").select("key", F.col("o.doc").alias("doc"), F.col("o.c").alias("c"))
+    sources = classes.select("key", F.col("f.doc").alias("doc0"), F.col("f.c").alias("c0"))
+    heads = classes.where("any_open").select("key", "around", F.col("f.doc").alias("doc0"), F.col("f.c").alias("c0"), F.col("o.doc").alias("o"))
+    members = seen.where("open").select("key", "around", "doc", "c").join(heads, ["key", "around"]).where("doc0 < doc or o = doc")
+    members = materialise(members.select("key", "doc", "c", "doc0", "c0", (F.col("o") == F.col("doc")).alias("stands")), "members")
+    targets = members.where("stands").select("key", "doc", "c")
     names = ["doc", "c", "doc0", "c0"]
-    in_class = seen.where("open").select("key", "around", "doc", "c").join(sources, ["key", "around"]).where("doc0 < doc").select(names)
+    in_class = members.where("doc0 < doc").select(names)
     few = sizes.where(F.col("n") <= FEW).select("key")
-    among_few = targets.join(few, "key").join(sources.drop("around").join(few, "key"), "key").where("doc0 < doc").select(names)
+    among_few = targets.join(few, "key").join(sources.join(few, "key"), "key").where("doc0 < doc").select(names)
     found = in_class.unionByName(among_few)
     many = materialise(sizes.where(F.col("n") > FEW).select("key"), "many")
     if not many.isEmpty():
-        hot = classes.join(many, "key")
-        reps = hot.select(F.col("f.doc").alias("doc"), F.col("f.c").alias("c"), F.lit(False).alias("open")).unionByName(hot.where("any_open").select(F.col("o.doc").alias("doc"), F.col("o.c").alias("c"), F.lit(True).alias("open")))
-        reps = materialise(reps.groupBy("doc", "c").agg(F.max("open").alias("open")), "representatives")
+        firsts = sources.join(many, "key").select("key", F.col("doc0").alias("doc"), F.col("c0").alias("c"), F.lit(False).alias("open"))
+        stand = firsts.unionByName(targets.join(many, "key").select("key", "doc", "c", F.lit(True).alias("open")))
+        reps = materialise(stand.groupBy("doc", "c").agg(F.max("open").alias("open")), "representatives")
+        needed = -(-2 * percent * least // (100 + percent)) - (gram - WORDS + 1)
         beside = materialise(_at_places(rows, reps, "open").mapInArrow(task(__name__, "contexts", gram, least), "pair long, doc long, c int, open boolean"), "contexts")
         held = materialise(beside.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "pairs")
         # Shingles that only one has come first in the order and lead nowhere: they take places of the prefix, own - needed + 1,
         # and need no rows; what is left of it goes to the n_shared others.
         shared = beside.join(held, "pair").select("pair", "doc", "c", "open", "n")
-        needed = -(-2 * percent * least // (100 + percent)) - (gram - WORDS + 1)
         rarest = Window.partitionBy("doc", "c").orderBy("n", "pair")
         last = F.count("*").over(Window.partitionBy("doc", "c"))
         placed = shared.select("*", F.row_number().over(rarest).alias("at"), last.alias("n_shared"))
@@ -473,8 +492,8 @@ def _other_holders(rows: DataFrame, holders: DataFrame, open_: DataFrame, gram:
         rare = prefix.where(F.col("n") <= FEW)
         meet = rare.where("open").select("pair", "doc", "c").join(rare.select("pair", F.col("doc").alias("doc0"), F.col("c").alias("c0")), "pair").where("doc0 < doc").select(names)
         found = found.unionByName(meet)
-        hot = prefix.where(F.col("n") > FEW).groupBy("doc", "c").agg(F.max("open").alias("open"))
-        hot = materialise(hot, "hot-places")
+        hot = prefix.where(F.col("n") > FEW).select("doc", "c", "open")
+        hot = materialise(hot.groupBy("doc", "c").agg(F.max("open").alias("open")), "hot-places")
         if not hot.where("open").isEmpty():
             found = found.unionByName(_among_many(rows, hot, gram, least, percent).select(names))
     return found.distinct().select("doc", "c", F.col("c").alias("d"), "doc0", "c0", F.col("c0").alias("d0"))

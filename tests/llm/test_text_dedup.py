@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from manifoldry.llm import exact_dedup, minhash, substring
@@ -364,3 +365,51 @@ def test_every_exact_repeat_is_marked(spark):
     slack = 24 - 18
     assert sum(map(len, runs.values())) > 200
     assert all(len(set(range(i, i + 50)) - got[d]) <= slack for d, at in runs.items() for i in at)
+
+
+def _quoted(passage):
+    """Pieces of a passage that hold all its runs of 18 words, none of them a repeat by itself."""
+    return [passage[a : a + 30] for a in range(0, len(passage) - 17, 13)]
+
+
+def test_every_place_of_a_document_is_compared(spark):
+    """Older documents quote pieces of a passage, one holds it whole; a later one holds it twice, in equal surroundings."""
+    rng = random.Random(61)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage, before, after = words(60), words(60), words(60)
+    rows = [(i, " ".join(words(40) + p + words(40))) for i, p in enumerate(_quoted(passage))]
+    twice = before + passage + after
+    rows += [(10, " ".join(words(50) + passage + words(50))), (11, " ".join(twice + words(100) + twice))]
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    assert [d for d, r in sorted(got.items()) if r.n_spans] == [11]
+    assert [(s.start <= 60, s.stop >= 120) for s in got[11].spans[:1]] == [(True, True)]
+    assert [(s.start <= 340, s.stop >= 400) for s in got[11].spans[1:]] == [(True, True)]
+
+
+def test_every_place_of_the_first_document_counts(spark):
+    """A document quotes pieces of a passage before it holds it whole; only one other holds it."""
+    rng = random.Random(62)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage = words(60)
+    first = [w for p in _quoted(passage) for w in p + words(200)] + passage + words(50)
+    rows = [(1, " ".join(first)), (2, " ".join(words(50) + passage + words(50)))]
+    got = {r.doc_id: r for r in substring.marked(frame(spark, rows)).collect()}
+    assert [d for d, r in sorted(got.items()) if r.n_spans] == [2] and got[2].sources == [1]
+    assert got[2].spans[0].start <= 50 and got[2].spans[0].stop >= 110
+
+
+def test_words_are_split_as_a_pattern_does():
+    """Words of all lengths, white space of all kinds, null and empty texts, in slices too."""
+    rng = random.Random(64)
+    texts = ["".join(rng.choice("abAB \t\n\x0b\x0c\r,\u00e9\u2003\x00") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [None, "", " ", "x" * 64 + " " + "x" * 65, "X" * 200, "A" * 8 + " " + "a" * 8 + " " + "a" * 9, None]
+    rng.shuffle(texts)
+    one, other = {}, {}
+    for column in (pa.array(texts), pa.array(texts).slice(7, 200), pa.array(texts, pa.large_string()).slice(3), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        hashes, starts = minhash.word_hashes(column)
+        assert len(starts) == len(column) + 1
+        for text, a, b in zip(column.to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False):
+            found = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+            assert len(found) == b - a
+            assert all(one.setdefault(w, h) == h and other.setdefault(h, w) == w for w, h in zip(found, hashes[a:b].tolist(), strict=True))
+    assert len(one) > 300
