@@ -158,6 +158,20 @@ def test_triples_travel_as_blocks_of_three_groups(spark, monkeypatch):
     assert ["a", "b", "c", "block", "rows"] in widest
 
 
+def test_blocks_of_a_table_travel_to_cells_not_to_each_other(spark, monkeypatch):
+    """Moments and near pairs of 40 blocks: a block of rows is a row for each cell that it goes to, at most 16, where it was one for each of 40 others."""
+    from manifoldry.operators import pairs
+
+    x = np.random.default_rng(5).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    sent, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: (sent.append(self.where("rows is not null").count()), real(self, *a, **k))[1])
+    got = pairs.pair_moments(df, 0.7, 40).head()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(200, 1)]
+    assert [got.n, got.s, got.q, got.lo, got.hi, got.k] == pytest.approx([len(d), d.sum(), (d * d).sum(), d.min(), d.max(), np.exp(-d * d / (2 * 0.7**2)).sum()])
+    assert len(sent) == 1 and sent[0] <= 16 * 40
+
+
 def test_cells_hand_on_their_parts_in_pieces(spark, monkeypatch):
     """What a task judges leaves it by MOST_JUDGED pairs of parts, not by whole batches."""
     from test_pairs import brute_clusters, plane
