@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from manifoldry.operators import neighbours, pairs
 from manifoldry.operators.components import components
 from manifoldry.operators.order import percentiles, top_k
+from manifoldry.operators.pairs import matrix
 from manifoldry.operators.summary import joined
 from manifoldry.sources.store import settled
 
@@ -73,64 +75,131 @@ def h0_persistence(df: DataFrame, n_blocks: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, deaths, ever)
 
 
-#: Blocks of a group: three groups are a task's.
-GROUP = 4
-
-
-def _near_bits(x: np.ndarray, y: np.ndarray, equal: bool, steps: np.ndarray) -> list:
-    """For each scale, what of `y` is near to each of `x`, as bits, and the other way round; None where nothing is near."""
-    d = pairs.distances(x, y)
-    if equal:
-        np.fill_diagonal(d, np.inf)  # no point is its own neighbour
-    near = [d <= s for s in steps]
-    bits = lambda m: np.ascontiguousarray(np.packbits(np.pad(m, ((0, 0), (0, -m.shape[1] % 64))), axis=1)).view(np.uint64)
-    return [(bits(m), bits(m.T), int(m.sum()), m.shape) if m.any() else None for m in near]
-
-
-def _closed(ab, bc, ac) -> int:
-    """Triples of a, b and c that are all near each other, from their bits."""
-    if ab is None or bc is None or ac is None:
+#: Groups of blocks, at least and at most: three groups are a task's. Blocks of two groups whose bits it holds at once, rows whose distances and near pairs whose bits are in a core's cache.
+SOME, GROUPS, TILE, ROWS, AT_ONCE = 5, 8, 8, 256, 1024
+
+
+def _within(x: np.ndarray, y: np.ndarray, steps: np.ndarray, sides: dict, held: dict) -> list[np.ndarray]:
+    """For each scale, whether each of `y` is near to each of `x`: by one product, of single precision where its rounding decides few pairs, and by the vectors themselves where it decides."""
+    own, (_, theirs) = (x * x).sum(1, keepdims=True), sides[np.float64]
+    size = (own.max() + theirs.max()) if len(x) and len(y) else 0.0
+    for kind in (np.float32, np.float64):
+        if kind is np.float32 and size > 1e30:
+            continue
+        square, near, may = (b[: len(x)] if isinstance(b, np.ndarray) else [v[: len(x)] for v in b] for b in held[kind])
+        np.matmul(np.hstack([-2 * x, own, np.ones_like(own)]).astype(kind), sides[kind][0], out=square)
+        err, open_ = size * (x.shape[1] + 16) * np.finfo(kind).eps, []
+        for s, m in zip(steps, near, strict=True):
+            np.less_equal(square, kind(s * s - err), out=m)
+            np.less_equal(square, kind(s * s + err), out=may)
+            open_.append(np.flatnonzero(may & ~m) if np.count_nonzero(may) > np.count_nonzero(m) else np.zeros(0, np.int64))
+        if kind is np.float64 or sum(map(len, open_)) * 50 <= square.size:
+            break
+    for s, m, at in zip(steps, near, open_, strict=True):
+        for i in range(0, len(at), 1 << 16):
+            p, q = np.divmod(at[i : i + (1 << 16)], max(1, len(y)))
+            m[p, q] = np.sqrt(((x[p] - y[q]) ** 2).sum(1)) <= s
+        if s < 0:
+            m[:] = False
+    return near
+
+
+def _near(x: np.ndarray, y: np.ndarray, equal: bool, steps: np.ndarray, what) -> list[tuple]:
+    """For each scale, the number of near pairs of `x` and `y`, their sizes, and `what(part, row)` of the parts of the table of what is near, from that row on; None where all are."""
+    theirs = (y * y).sum(1, keepdims=True)
+    right = np.hstack([y, np.ones_like(theirs), theirs]).T
+    sides = {np.float64: (right, theirs), np.float32: (right.astype(np.float32) if not theirs.max(initial=0) > 1e30 else None, theirs)}
+    places = lambda kind: np.empty((min(ROWS, len(x)), len(y)), kind)
+    flags = [places(bool) for _ in steps], places(bool)
+    # Written again for each part.
+    held = {np.float32: (places(np.float32), *flags), np.float64: (places(np.float64), *flags)}
+    n, parts = [0] * len(steps), [[] for _ in steps]
+    for i in range(0, len(x), ROWS):
+        for k, m in enumerate(_within(x[i : i + ROWS], y, steps, sides, held)):
+            if equal:  # no point is its own neighbour
+                m[np.arange(len(m)), i + np.arange(len(m))] = False
+            near = int(np.count_nonzero(m))
+            n[k] += near
+            parts[k].append(what(m, i) if near < m.size else i)
+    whole = lambda i: what(np.ones((min(ROWS, len(x) - i), len(y)), bool), i)
+    return [(c, (len(x), len(y)), None if c == len(x) * len(y) else np.concatenate([whole(p) if isinstance(p, int) else p for p in v])) for c, v in zip(n, parts, strict=True)]
+
+
+def _bits(m: np.ndarray, row: int = 0) -> np.ndarray:
+    """Rows as words of 64 bits."""
+    return np.packbits(np.pad(m, ((0, 0), (0, -m.shape[1] % 64))) if m.shape[1] % 64 else m, axis=1).view(np.uint64)
+
+
+def _places(m: np.ndarray, row: int = 0) -> np.ndarray:
+    return np.flatnonzero(m) + row * m.shape[1]
+
+
+def _nothing(m: np.ndarray, row: int = 0) -> np.ndarray:
+    return np.zeros(0)
+
+
+def _closed(ab: tuple, cb: tuple, ac: tuple) -> int:
+    """Triples of a, b and c that are all near each other: what is near in b to both ends of a near pair of a and c. Of each two, their number, sizes, and bits or the pairs."""
+    if not (ab[0] and cb[0] and ac[0]):
         return 0
-    (na, nb), nc = ab[3], ac[3][1]
-    if all(m[2] == m[3][0] * m[3][1] for m in (ab, bc, ac)):
-        return na * nb * nc
-    flat = lambda m, n: np.unpackbits(m.view(np.uint8), axis=1, count=n)
-    if ac[2] > 0.3 * na * nc:
-        product = flat(ab[0], nb).astype(np.float32) @ flat(bc[1], nb).astype(np.float32).T
-        return int(product[flat(ac[0], nc).astype(bool)].sum(dtype=np.float64))
-    i, k = np.divmod(np.flatnonzero(flat(ac[0], nc)), nc)
-    return sum(int(np.bitwise_count(ab[0][i[s : s + 65536]] & bc[1][k[s : s + 65536]]).sum()) for s in range(0, len(i), 65536))
+    if all(n == p * q for n, (p, q), _ in (ab, cb, ac)):
+        return ab[1][0] * ab[1][1] * cb[1][0]
+    (na, nb), nc = ab[1], cb[1][0]
+    # Where all are near, nothing is kept.
+    x, y, met = (v if v is not None else f(np.ones(shape, bool)) for (_, shape, v), f in ((ab, _bits), (cb, _bits), (ac, _places)))
+    if ac[0] > 0.45 * na * nc:
+        flat = lambda m: np.unpackbits(m.view(np.uint8), axis=1, count=nb).astype(np.float32)
+        near = np.zeros((na, nc), bool)
+        near.ravel()[met] = True
+        return int((flat(x) @ flat(y).T)[near].sum(dtype=np.float64))
+    i, k = np.divmod(met, nc)
+    total, words = 0, x.shape[1]
+    p, q, n = np.empty((AT_ONCE, words), np.uint64), np.empty((AT_ONCE, words), np.uint64), np.empty((AT_ONCE, words), np.uint8)
+    for s in range(0, len(i), AT_ONCE):
+        # In place, in what a core's cache holds.
+        m = min(AT_ONCE, len(i) - s)
+        np.take(x, i[s : s + m], axis=0, out=p[:m], mode="clip")
+        np.take(y, k[s : s + m], axis=0, out=q[:m], mode="clip")
+        np.bitwise_count(np.bitwise_and(p[:m], q[:m], out=p[:m]), out=n[:m])
+        total += int(n[:m].sum(dtype=np.uint64))
+    return total
 
 
 def scale_counts(df: DataFrame, scales: list[float], n_blocks: int | None = None) -> DataFrame:
     """(s, v, e, t, euler): points, pairs and triples within each scale. A triple counts from its longest side on.
 
     Nothing is written for a pair or a triple: each pair of blocks adds to a count of pairs at each scale, each three
-    blocks to one of triples, by the bits of what is near. A task has the blocks of three groups, so that a block travels
-    with the square of the groups, not of the blocks, and no row holds more than a block. Triples are cubic in the rows.
+    blocks to one of triples, by the bits of what is near. A task has the blocks of three groups, of GROUPS at most, so
+    that a block travels as often whatever the table's size, and no row holds more than a block. Only two blocks of
+    different roles are compared, and their bits serve a tile of others. Triples are cubic in the rows.
     """
     n, v = n_blocks or pairs.blocks_for(df), df.count()
     steps = np.array(scales, float)
 
-    def edges(left, right, same):
-        d = pairs.distances(pairs.matrix(left), pairs.matrix(right))
-        d = d[np.triu_indices(len(d), 1)] if same else d.ravel()
-        yield {"k": np.arange(len(steps), dtype=np.int32), "n": (d[:, None] <= steps).sum(0) if len(d) < 1 << 16 else np.searchsorted(np.sort(d), steps, side="right")}
+    def step(kept, right, same):
+        kept[1][:] += [n // (1 + same) for n, *_ in _near(kept[0], matrix(right), same, steps, _nothing)]
+
+    def edges(_, kept):
+        return {"k": np.arange(len(steps), dtype=np.int32), "n": kept[1]}
 
-    groups = -(-n // GROUP)
+    groups = min(n, GROUPS, max(SOME, -(-n // TILE)))
 
     def counts(cell: tuple[int, int, int], held: dict[int, np.ndarray]) -> pa.RecordBatch:
-        blocks = sorted(held)
-        bits = {(a, b): _near_bits(held[a], held[b], a == b, steps) for i, a in enumerate(blocks) for b in blocks[i:]}
+        first, second, third = ([x for x in sorted(held) if x % groups == g] for g in cell)
         total = [0] * len(steps)
-        for i, a in enumerate(blocks):
-            for j, b in enumerate(blocks[i:], i):
-                for c in blocks[j:]:
-                    if tuple(sorted(x % groups for x in (a, b, c))) != cell:
-                        continue
-                    same = 6 if a == c else 2 if a == b or b == c else 1  # so often does each triple come up
-                    for k in range(len(steps)):
-                        total[k] += _closed(bits[a, b][k], bits[b, c][k], bits[a, c][k]) // same
+        sides = lambda x, y, what: _near(held[x], held[y], x == y, steps, what)
+        tiles = lambda blocks: [blocks[i : i + TILE] for i in range(0, len(blocks), TILE)]
+        for some, others in ((p, q) for p in tiles(first) for q in tiles(second)):
+            ab = {(a, b): sides(a, b, _bits) for a in some for b in others if cell[0] != cell[1] or a <= b}
+            for c in third:
+                cb = {b: sides(c, b, _bits) for b in others if cell[1] != cell[2] or b <= c}
+                for a in some:
+                    met = [b for b in cb if (a, b) in ab]
+                    ac = sides(a, c, _places) if met else []
+                    for b in met:
+                        same = 6 if a == c == b else 2 if a == b or b == c else 1  # so often does each triple come up
+                        for k in range(len(steps)):
+                            total[k] += _closed(ab[a, b][k], cb[b][k], ac[k]) // same
         return pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["k", "n"])
 
     def triples(batches):
@@ -142,18 +211,18 @@ def scale_counts(df: DataFrame, scales: list[float], n_blocks: int | None = None
                     if held:
                         yield counts(cell, held)
                     cell, held = at, {}
-                held[batch.column("block")[i].as_py()] = pairs.matrix(batch.column("rows")[i].values)
+                held[batch.column("block")[i].as_py()] = matrix(batch.column("rows")[i].values)
         if held:
             yield counts(cell, held)
 
     rows = settled(pairs.packed(df, n, ["vec"]), "blocks")
-    number = df.sparkSession.range(groups)
-    cells = number.select(F.col("id").cast("int").alias("a")).withColumn("b", F.explode(F.sequence("a", F.lit(groups - 1)))).withColumn("c", F.explode(F.sequence("b", F.lit(groups - 1))))
-    cells = cells.select("*", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("group"))
-    three = cells.join(rows.select(F.pmod("block", F.lit(groups)).alias("group"), "block", "rows"), "group").select("a", "b", "c", "block", "rows")
     # The tasks are as many as the cells.
-    three = three.repartition(groups * (groups + 1) * (groups + 2) // 6, "a", "b", "c").sortWithinPartitions("a", "b", "c", "block")
-    e = pairs.reduced(pairs.block_pairs(df, df, ["vec", "id"], n, n, symmetric=True), edges, "k int, n long").groupBy("k").agg(F.sum("n").alias("e"))
+    threes = list(combinations_with_replacement(range(groups), 3))
+    cells = df.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(threes)], "task int, a int, b int, c int").select("*", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("group"))
+    three = cells.join(rows.select(F.pmod("block", F.lit(groups)).alias("group"), "block", "rows"), "group")
+    three = three.repartitionById(len(threes), "task").select("a", "b", "c", "block", "rows").sortWithinPartitions("a", "b", "c", "block")
+    opened = lambda left: (matrix(left), np.zeros(len(steps), np.int64))
+    e = pairs.passed(pairs.symmetric_lanes(df, ["vec"], n), opened, step, edges, "k int, n long").groupBy("k").agg(F.sum("n").alias("e"))
     t = three.mapInArrow(triples, "k int, n long").groupBy("k").agg(F.sum("n").alias("t"))
     at = df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scales)], "k int, s double")
     out = at.join(e, "k", "left").join(t, "k", "left").fillna(0, ["e", "t"])

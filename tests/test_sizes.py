@@ -172,6 +172,31 @@ def test_blocks_of_a_table_travel_to_cells_not_to_each_other(spark, monkeypatch)
     assert len(sent) == 1 and sent[0] <= 16 * 40
 
 
+def test_near_pairs_are_those_of_the_vectors(monkeypatch):
+    """Where rounding of a product could decide, the vectors themselves do: on a grid all distances are at a scale, in large, small and usual numbers."""
+    from manifoldry.operators import topology
+
+    grid = np.stack(np.meshgrid(*[np.arange(6.0)] * 3), -1).reshape(-1, 3)
+    for by, away in ((1, 0), (0.1, 1000), (1e-6, 0), (1e20, 0)):
+        x = grid * by + away
+        y = x[50:150]
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        steps = np.array([-1, 0, by, 2 * by, 3 * by, np.inf])
+        near = [n if at is None else set(at.tolist()) for n, _, at in topology._near(x, y, False, steps, topology._places)]
+        assert near == [d.size if (d <= s).all() else set(np.flatnonzero(d <= s).tolist()) for s in steps]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.7, 1.0])
+def test_triples_by_bits_and_by_products_are_the_same(share):
+    from manifoldry.operators import topology
+
+    r = np.random.default_rng(6)
+    ab, cb, ac = (r.random(s) <= share for s in ((130, 100), (90, 100), (130, 90)))
+    told = lambda m, what: (int(np.count_nonzero(m)), m.shape, what(m))
+    want = np.einsum("ij,kj,ik->", *(m.astype(int) for m in (ab, cb, ac)))
+    assert topology._closed(told(ab, topology._bits), told(cb, topology._bits), told(ac, topology._places)) == want
+
+
 def test_cells_hand_on_their_parts_in_pieces(spark, monkeypatch):
     """What a task judges leaves it by MOST_JUDGED pairs of parts, not by whole batches."""
     from test_pairs import brute_clusters, plane
